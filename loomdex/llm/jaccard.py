@@ -12,11 +12,15 @@ the component that is returned.
    shingles that many classes share last (a Bloom filter of fixed size names them; a
    false positive changes the order for all sets alike and loses nothing).
 3. Classes that share a prefix shingle form a block. First each class is verified against
-   one class of its blocks, and what links is joined. Copies with small edits meet here.
+   the one it shares most blocks with, and what links is joined. Copies with small edits
+   meet here.
 4. Blocks whose members then still are of different components get a signature tree each;
    the dual traversal returns the pairs between components that can still reach the
-   threshold, which are verified on the full sets. Pairs within a component are skipped:
-   their link would change nothing.
+   threshold. A pair that links also has a least number of common prefix shingles
+   (``least_common``), so the blocks of each pair are counted, and what is left is verified
+   on the full sets. Pairs within a component are skipped: their link would change nothing.
+
+Full sets are made only for the classes of pairs that are verified.
 
 Blocks over ``cap`` members are cut into units by ``blocks.pair_units``; no group is
 collected, capped or sampled.
@@ -36,9 +40,9 @@ from .scratch import Scratch, broadcast_if_small
 from .sigtree import SignatureTree, bitmap, dual
 from .stream import runs
 
-#: A class at least this many others share a shingle with makes it frequent.
-FREQUENT = 32
-BLOOM_BITS = 1 << 23
+#: Repeats within tasks, over all tasks, that make a shingle frequent.
+FREQUENT = 4
+BLOOM_BITS = 1 << 25
 _NO_ID = -(1 << 63)
 
 
@@ -56,7 +60,9 @@ def _sets(batch: pa.RecordBatch, k: int):
             yield r, shingle_set(w.hash[at[r - lo] : at[r - lo + 1]], k)
 
 
-def _profile(k: int, buffered: int = 1 << 20):
+def _profile(k: int, buffered: int = 1 << 21):
+    names = ["doc_id", "n", "cid", "token", "map"]
+
     def run(batches):
         held, size, seen = [], 0, set()
 
@@ -64,10 +70,11 @@ def _profile(k: int, buffered: int = 1 << 20):
             value, n = np.unique(np.concatenate(held), return_counts=True)
             value, n = value[n > 1], n[n > 1]
             none = pa.nulls(len(value), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(n), none, pa.array(signed(value))], names=["doc_id", "n", "cid", "token"])
+            return pa.RecordBatch.from_arrays([none, pa.array(n), none, pa.array(signed(value)), pa.nulls(len(value), pa.binary())], names=names)
 
         for batch in batches:
             n, cid = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
+            maps: list[bytes | None] = [None] * batch.num_rows
             for r, s in _sets(batch, k):
                 n[r] = len(s)
                 if not len(s):
@@ -75,12 +82,13 @@ def _profile(k: int, buffered: int = 1 << 20):
                 cid[r] = fingerprint(s)
                 if int(cid[r]) not in seen:
                     seen.add(int(cid[r]))
+                    maps[r] = bitmap(s).tobytes()
                     held.append(s)
                     size += len(s)
                     if size >= buffered:
                         yield repeated()
                         held, size, seen = [], 0, set()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(cid, mask=n == 0), pa.nulls(len(n), pa.int64())], names=["doc_id", "n", "cid", "token"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(cid, mask=n == 0), pa.nulls(len(n), pa.int64()), pa.array(maps, pa.binary())], names=names)
         if held:
             yield repeated()
 
@@ -110,6 +118,23 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def least_common(a, b, percent: int):
+    """Least number of common prefix shingles of two linking sets of sizes a and b (columns):
+    of o common shingles the k-th stands at k + a - o in one order and k + b - o in the
+    other at most, and both prefixes hold it while that is within their lengths."""
+
+    def rounded_up(x, y: int):
+        return -F.floor(-x / F.lit(float(y)))
+
+    o = rounded_up(percent * (a + b), 100 + percent)
+    room = [o - rounded_up(percent * n, 100) + 1 for n in (a, b)]
+    return F.greatest(F.least(*room), F.lit(1))
+
+
+def _near_sizes(a, b, percent: int):
+    return (100 * a >= percent * b) & (100 * b >= percent * a)
+
+
 def _prefixes(k: int, percent: int, bloom):
     def run(batches):
         bits, seen = bloom.value, set()
@@ -137,13 +162,12 @@ def _prefixes(k: int, percent: int, bloom):
 def _full_sets(k: int):
     def run(batches):
         for batch in batches:
-            cids, sets, maps = [], [], []
+            cids, sets = [], []
             for _, s in _sets(batch, k):
                 if len(s):
                     cids.append(fingerprint(s))
                     sets.append(s.tobytes())
-                    maps.append(bitmap(s).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary()), pa.array(maps, pa.binary())], names=["cid", "shingles", "map"])
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "shingles"])
 
     return run
 
@@ -166,12 +190,6 @@ def _verify(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long")
-
-
 def _candidates(percent: int):
     def run(batches):
         for unit in runs(batches, ["token", *UNIT]):
@@ -190,7 +208,9 @@ def _candidates(percent: int):
             else:
                 continue
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j]))], names=["a", "b"])
+                i, j = np.where(cid[i] < cid[j], i, j), np.where(cid[i] < cid[j], j, i)
+                weight = np.full(len(i), unit.column("weight")[0].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cid[i], cid[j], n[i], n[j], weight)], names=["a", "b", "na", "nb", "weight"])
 
     return run
 
@@ -208,26 +228,35 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, cap: int
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with Scratch(spark, "jaccard") as scratch:
-        profile = scratch.table(rows.mapInArrow(_profile(k), "doc_id long, n long, cid long, token long"), "profile")
+        profile = scratch.table(rows.mapInArrow(_profile(k), "doc_id long, n long, cid long, token long, map binary"), "profile")
         own = profile.where("token is null").select("doc_id", F.col("n").alias("n_shingles"), "cid")
         classes = scratch.table(own.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep")), "classes")
         bloom = spark.sparkContext.broadcast(_bloom(profile))
         prefixes = rows.select("text").mapInArrow(_prefixes(k, percent, bloom), "cid long, n long, prefix array<long>")
         tokens = prefixes.select("cid", "n", F.explode("prefix").alias("token"))
         block = Window.partitionBy("token")
-        shared = tokens.withColumn("lo", F.min("cid").over(block)).withColumn("hi", F.max("cid").over(block)).where("lo < hi")
-        shared = scratch.table(shared.dropDuplicates(["token", "cid"]).select("token", "cid", "n", "lo"), "shared")
-
-        involved = shared.select("cid").distinct().join(classes, "cid").select(F.coalesce("rep", F.lit(_NO_ID)).alias("__id"), "cid")
-        involved = scratch.table(involved, "involved")
-        keyed = rows.withColumn("__id", F.coalesce("doc_id", F.lit(_NO_ID)))
-        wanted = keyed.join(broadcast_if_small(involved.select("__id").distinct()), "__id", "left_semi").select("text")
-        full = wanted.mapInArrow(_full_sets(k), "cid long, shingles binary, map binary").dropDuplicates(["cid"])
-        full = scratch.table(full.join(broadcast_if_small(involved.select("cid")), "cid", "left_semi"), "full")
-
-        first = shared.where("cid != lo").groupBy("cid", "lo").agg(F.count("*").alias("c"))
+        shared = tokens.withColumn("lo", F.min(F.struct("cid", "n")).over(block)).withColumn("hi", F.max("cid").over(block)).where("lo.cid < hi")
+        shared = scratch.table(shared.dropDuplicates(["token", "cid"]).select("token", "cid", "n", F.col("lo.cid").alias("lo"), F.col("lo.n").alias("lo_n")), "shared")
+
+        def verified(pairs: DataFrame, name: str) -> DataFrame:
+            """The pairs (a, b) that link, by their full sets."""
+            pairs = scratch.table(pairs, f"pairs-{name}")
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+            wanted = scratch.table(wanted.join(classes, "cid").select(F.coalesce("rep", F.lit(_NO_ID)).alias("__id"), "cid"), f"wanted-{name}")
+            keyed = rows.withColumn("__id", F.coalesce("doc_id", F.lit(_NO_ID)))
+            texts = keyed.join(broadcast_if_small(wanted.select("__id").distinct()), "__id", "left_semi").select("text")
+            full = texts.mapInArrow(_full_sets(k), "cid long, shingles binary")
+            full = scratch.table(full.join(broadcast_if_small(wanted.select("cid")), "cid", "left_semi"), f"full-{name}")
+            left = full.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
+            right = full.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
+            both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+            return scratch.table(both.mapInArrow(_verify(percent), "a long, b long"), f"links-{name}")
+
+        # the blocks in which lo is not the least member are not seen here, hence the half
+        first = shared.where("cid != lo").groupBy("cid", "n", "lo", "lo_n").agg(F.count("*").alias("c"))
+        first = first.where(_near_sizes(F.col("n"), F.col("lo_n"), percent) & (2 * F.col("c") >= least_common(F.col("n"), F.col("lo_n"), percent)))
         first = first.groupBy("cid").agg(F.max_by("lo", F.struct("c", "lo")).alias("b")).select(F.col("cid").alias("a"), "b")
-        links = scratch.table(_verified(first, full, percent), "links-1")
+        links = verified(first, "1")
         found = scratch.table(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "cc1"), "comp-1")
 
         labelled = shared.join(found, shared["cid"] == found["node"], "left").select("token", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
@@ -235,12 +264,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, cap: int
         open_ = scratch.table(open_, "open")
         # blocks with the same members give the same pairs: one of them is enough
         same = open_.groupBy("token").agg(F.bit_xor(F.xxhash64("cid")).alias("f"), F.bit_xor(F.xxhash64("cid", F.lit(7))).alias("g"), F.count("*").alias("c"))
-        same = same.groupBy("f", "g", "c").agg(F.min("token").alias("token")).select("token")
-        open_ = scratch.table(open_.join(same, "token", "left_semi"), "blocks")
-        units = pair_units(open_, ["token"], "cid", "comp", cap).join(full.select("cid", "map"), "cid")
+        same = same.groupBy("f", "g", "c").agg(F.min("token").alias("token"), F.count("*").alias("weight")).select("token", "weight")
+        open_ = scratch.table(open_.join(same, "token"), "blocks")
+        maps = profile.where("map is not null").select("cid", "map").join(open_.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
+        units = pair_units(open_, ["token"], "cid", "comp", cap).join(maps, "cid")
         units = units.repartition(F.col("token"), *[F.col(c) for c in UNIT]).sortWithinPartitions("token", *UNIT)
-        pairs = units.select("token", *UNIT, "cid", "n", "comp", "side", "map").mapInArrow(_candidates(percent), "a long, b long").distinct()
-        more = scratch.table(_verified(pairs, full, percent), "links-2")
+        pairs = units.select("token", *UNIT, "cid", "n", "comp", "side", "weight", "map").mapInArrow(_candidates(percent), "a long, b long, na long, nb long, weight long")
+        pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("weight").alias("c")).where(F.col("c") >= least_common(F.col("na"), F.col("nb"), percent)).select("a", "b")
+        more = verified(pairs, "2")
         label = found.select(F.col("node"), F.col("comp"))
         joined = more.join(label.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
         again = connected_components(joined.select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v")), scratch, "cc2")

@@ -19,7 +19,7 @@ import numpy as np
 
 from .lexer import U64
 
-BITS = 4096
+BITS = 1024
 FAN = 4
 _BLOCK = 16384
 
