@@ -12,7 +12,8 @@ the component that is returned.
    shingles that many classes share last (a Bloom filter of fixed size names them; a
    false positive changes the order for all sets alike and loses nothing).
 3. Classes that share a prefix shingle form a block. First each class is verified against
-   the one it shares most blocks with, and what links is joined. Copies with small edits
+   the hub it shares most blocks with (the member of a block of which the largest part
+   is shared at all), and what links is joined. Copies with small edits
    meet here.
 4. Blocks whose members then still are of different components get a signature tree each;
    the dual traversal returns the pairs between components that can still reach the
@@ -118,14 +119,16 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def rounded_up(x, y: int):
+    """Column x / y rounded up."""
+    return -F.floor(-x / F.lit(float(y)))
+
+
 def least_common(a, b, percent: int):
     """Least number of common prefix shingles of two linking sets of sizes a and b (columns):
     of o common shingles the k-th stands at k + a - o in one order and k + b - o in the
     other at most, and both prefixes hold it while that is within their lengths."""
 
-    def rounded_up(x, y: int):
-        return -F.floor(-x / F.lit(float(y)))
-
     o = rounded_up(percent * (a + b), 100 + percent)
     room = [o - rounded_up(percent * n, 100) + 1 for n in (a, b)]
     return F.greatest(F.least(*room), F.lit(1))
@@ -235,8 +238,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, cap: int
         prefixes = rows.select("text").mapInArrow(_prefixes(k, percent, bloom), "cid long, n long, prefix array<long>")
         tokens = prefixes.select("cid", "n", F.explode("prefix").alias("token"))
         block = Window.partitionBy("token")
-        shared = tokens.withColumn("lo", F.min(F.struct("cid", "n")).over(block)).withColumn("hi", F.max("cid").over(block)).where("lo.cid < hi")
-        shared = scratch.table(shared.dropDuplicates(["token", "cid"]).select("token", "cid", "n", F.col("lo.cid").alias("lo"), F.col("lo.n").alias("lo_n")), "shared")
+        shared = tokens.withColumn("lo", F.min("cid").over(block)).withColumn("hi", F.max("cid").over(block)).where("lo < hi")
+        shared = scratch.table(shared.dropDuplicates(["token", "cid"]).select("token", "cid", "n"), "shared-0")
+        # a text that others were edited from shares all of its shingles, an edited one misses some
+        kept = shared.groupBy("cid").agg((F.count("*") / (F.first("n") - rounded_up(percent * F.first("n"), 100) + 1)).alias("kept"))
+        shared = shared.join(kept, "cid").withColumn("hub", F.max(F.struct("kept", "cid", "n")).over(block))
+        shared = scratch.table(shared.select("token", "cid", "n", F.col("hub.cid").alias("lo"), F.col("hub.n").alias("lo_n")), "shared")
 
         def verified(pairs: DataFrame, name: str) -> DataFrame:
             """The pairs (a, b) that link, by their full sets."""
@@ -252,7 +259,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, cap: int
             both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
             return scratch.table(both.mapInArrow(_verify(percent), "a long, b long"), f"links-{name}")
 
-        # the blocks in which lo is not the least member are not seen here, hence the half
+        # blocks of the same two with another hub are not seen here, hence the half
         first = shared.where("cid != lo").groupBy("cid", "n", "lo", "lo_n").agg(F.count("*").alias("c"))
         first = first.where(_near_sizes(F.col("n"), F.col("lo_n"), percent) & (2 * F.col("c") >= least_common(F.col("n"), F.col("lo_n"), percent)))
         first = first.groupBy("cid").agg(F.max_by("lo", F.struct("c", "lo")).alias("b")).select(F.col("cid").alias("a"), "b")
