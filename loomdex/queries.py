@@ -1 +1,406 @@
-QUERIES = {}
+"""Reference operators as registered queries on the driver's tables."""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import hooks, text
+from .operators import analytics, frecency, index as ix, memo, pack, reuse, search as se, sessions
+from .plans.planner import classify
+from .plans.request import SearchRequest
+from .session import storage_root
+from .sources import corpora, tree
+from .streaming import changes
+from .streaming.memo import memo_totals
+
+NOW = 1_706_745_600  # 2024-02-01, after the last event
+IDLE = 43_200
+PACK_GOAL = "Fix the license error for onion and heit documents"
+_built: dict[str, str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> ix.Index:
+    """The index of the documents, built once for each session and folder and then read."""
+    key = f"{storage_root(spark)}/index-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    if key not in _built:
+        ix.build(corpora.documents(spark, sf_dir), key)
+        _built[key] = sf_dir
+    return ix.load(spark, key)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _search(**request) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: se.search(index(spark, sf_dir), SearchRequest(**request))
+
+
+def scan_repo_stats(spark, sf_dir):
+    docs = corpora.documents(spark, sf_dir).withColumn("skipped_binary", tree.looks_binary(F.col("contents").cast("binary")))
+    return tree.repo_stats(docs)
+
+
+def language_histogram(spark, sf_dir):
+    d = corpora.documents(spark, sf_dir)
+    return d.groupBy(F.coalesce("extension", F.lit("<none>")).alias("language")).agg(F.count("*").alias("files"))
+
+
+def repo_category(spark, sf_dir):
+    rules = F.when((F.col("files") > 500_000) | (F.col("size") > 20 << 30), "very_large").when((F.col("files") >= 50_000) | (F.col("size") >= 2 << 30), "large").when((F.col("files") >= 5_000) | (F.col("size") >= 200 << 20), "medium").otherwise("small")
+    per = _t(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).cast("long").alias("size"))
+    return per.withColumn("category", rules)
+
+
+def binary_sniff(spark, sf_dir):
+    """Texts cut in the middle of bytes, so that some are no valid UTF-8."""
+    d = _t(spark, sf_dir, "documents")
+    cut = F.substring(F.col("text").cast("binary"), 2, 4000)
+    return d.select("doc_id", tree.looks_binary(cut).alias("is_binary"), F.is_valid_utf8(cut.cast("string")).alias("valid"))
+
+
+def hidden_paths(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    path = F.expr("CASE doc_id % 6 WHEN 0 THEN '.github/workflows/ci.yml' WHEN 1 THEN '.gitignore' WHEN 2 THEN '.venv/secret.txt' WHEN 3 THEN 'src/.hidden/a.rs' WHEN 4 THEN '.env.example' ELSE concat('src/', source, '.rs') END")
+    return d.select("doc_id", path.alias("path")).withColumn("searchable", tree.searchable(F.col("path")))
+
+
+def trigram_df(spark, sf_dir):
+    return ix.document_frequency(index(spark, sf_dir).postings)
+
+
+def trigram_postings_topn(spark, sf_dir):
+    return ix.document_frequency(index(spark, sf_dir).postings).orderBy(F.desc("docs"), "trigram").limit(50)
+
+
+def total_postings(spark, sf_dir):
+    return index(spark, sf_dir).postings.agg(F.count("*").alias("total_postings"))
+
+
+def candidate_counts(spark, sf_dir):
+    out = None
+    for p in ("ement", "heit", "license", "zzzz"):
+        part = se.metrics(index(spark, sf_dir), SearchRequest(pattern=p), "indexed").select(F.lit(p).alias("pattern"), "candidate_docs", "verified_docs", "bytes_scanned")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def search_summary(spark, sf_dir):
+    return se.summary(se.search(index(spark, sf_dir), SearchRequest(pattern="tion")))
+
+
+def grouped_hits(spark, sf_dir):
+    hits = se.search(index(spark, sf_dir), SearchRequest(pattern="license", case="insensitive"))
+    return se.grouped(hits).select("relative_path", F.size("lines").alias("n_lines"), F.col("lines")[0]["line_number"].alias("first_line"))
+
+
+def session_rollup(spark, sf_dir):
+    rows = None
+    for p in ("ement", "qu", "heit", "license"):
+        request = SearchRequest(pattern=p)
+        engine = "indexed" if len(p) > 2 else "direct_scan"
+        part = se.search(index(spark, sf_dir), request).agg(F.count("*").alias("matches")).select(F.lit(engine).alias("engine"), "matches")
+        rows = part if rows is None else rows.union(part)
+    return analytics.session_rollup(rows)
+
+
+def _versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Base and scan of a changing tree: every tenth document was removed, added or edited."""
+    d = corpora.documents(spark, sf_dir)
+    kind = F.col("doc_id") % 10
+    base = d.where(kind != 1)
+    now = d.where(kind != 2).withColumn("contents", F.when(kind == 3, F.concat("contents", F.lit("\nreplacement_token"))).otherwise(F.col("contents")))
+    describe = lambda x: x.withColumns({"size": F.octet_length("contents").cast("long"), "modified_unix_secs": F.lit(0).cast("long"), "hash": text.sha256(F.col("contents"))})
+    return describe(base), describe(now)
+
+
+def index_change_classify(spark, sf_dir):
+    return ix.classify_changes(*_versions(spark, sf_dir))
+
+
+def index_change_ratio(spark, sf_dir):
+    return ix.change_ratio(ix.classify_changes(*_versions(spark, sf_dir)))
+
+
+def index_overlay_search(spark, sf_dir):
+    base, now = _versions(spark, sf_dir)
+    kind = ix.classify_changes(base, now)
+    delta = now.join(kind.where("change in ('added', 'modified')"), "relative_path", "left_semi")
+    removed = kind.where("change = 'removed'").select("relative_path")
+    columns = index(spark, sf_dir).docs.columns
+    old = base.select(*columns)
+    live = ix.overlay_postings(ix.Index(old, index(spark, sf_dir).postings.join(old.select("doc_id"), "doc_id", "left_semi")), delta.select(*columns), removed)
+    return se.search(live, SearchRequest(pattern="replacement_token"))
+
+
+def change_log_latest(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    log = e.select(F.col("event_id").alias("batch"), F.get_json_object("props", "$.k").alias("relative_path"), (F.col("event_type") == "error").alias("deleted"), F.col("user_id").alias("doc_id"))
+    delta, removed = ix.latest(log)
+    return delta.select("relative_path", "doc_id").union(removed.select("relative_path", F.lit(None).cast("long")))
+
+
+def _access(spark, sf_dir) -> DataFrame:
+    e = corpora.memo_events(spark, sf_dir)
+    return e.select("path", F.when(F.col("event") == "select", "select").otherwise("result").alias("kind"), F.unix_timestamp("ts").alias("ts"))
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def frecency_scores(spark, sf_dir):
+    return _rounded(frecency.scores(_access(spark, sf_dir), NOW), "score")
+
+
+def frecency_top(spark, sf_dir):
+    return _rounded(frecency.top(frecency.scores(_access(spark, sf_dir), NOW), 20), "score").select("path", "score")
+
+
+def frecency_rerank(spark, sf_dir):
+    paths = _access(spark, sf_dir).select("path").distinct().union(spark.sql("select 'k/none'"))
+    hits = paths.withColumn("ordinal", F.row_number().over(Window.orderBy("path")))
+    ranked = frecency.rerank(hits, frecency.scores(_access(spark, sf_dir), NOW))
+    return ranked.select("path", "ordinal", "new_rank")
+
+
+def frecency_restore(spark, sf_dir):
+    current = frecency.scores(_access(spark, sf_dir), NOW)
+    saved = current.select(F.when(F.col("select_count") % 2 == 0, F.col("path")).otherwise(F.concat("path", F.lit("-old"))).alias("path"), F.lit(5.0).alias("score"))
+    return _rounded(frecency.restore(current, saved, NOW), "score")
+
+
+def query_ring_buffer(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("timestamp_secs"), F.col("event_id").alias("seq"), "user_id")
+    return frecency.recent_queries(e)
+
+
+def memo_redundant_reads(spark, sf_dir):
+    r = memo.reads(corpora.memo_events(spark, sf_dir), IDLE)
+    return r.select("session_id", "seq", "path", "life", "segment", "redundant", "known_tokens", "tokens_saved")
+
+
+def memo_session_totals(spark, sf_dir):
+    return memo.totals(corpora.memo_events(spark, sf_dir), IDLE)
+
+
+def memo_idle_sessions(spark, sf_dir):
+    out = memo.idle_sessions(corpora.memo_events(spark, sf_dir), F.lit("2024-01-30 20:00:00").cast("timestamp"))
+    return out.select("session_id", F.unix_timestamp("last_activity").alias("last_activity"), "idle")
+
+
+def memo_check_recommendation(spark, sf_dir):
+    e = corpora.memo_events(spark, sf_dir)
+    disk = e.groupBy("path").agg(F.max_by("content_hash", "seq").alias("disk_hash"), F.max_by("tokens", "seq").alias("disk_tokens"))
+    return memo.check(memo.tracked(e, 30 * 86400), disk)
+
+
+def memo_broadcast(spark, sf_dir):
+    e = corpora.memo_events(spark, sf_dir)
+    return memo.broadcast_changes(e.where("event = 'edit' and seq % 7 = 0"), memo.tracked(e, 30 * 86400))
+
+
+def memo_stream(spark, sf_dir):
+    """The events replayed as a stream; the last row of each session is its state."""
+    e = corpora.memo_events(spark, sf_dir)
+    root = f"{storage_root(spark)}/memo-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    e.write.mode("overwrite").parquet(f"{root}/in")
+    out: list[DataFrame] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    checkpoint = f"{root}/checkpoint-{len(_built)}-{hashlib.sha256(str(id(out)).encode()).hexdigest()[:8]}"
+    q = memo_totals(spark.readStream.schema(e.schema).parquet(f"{root}/in"), IDLE).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    done = spark.read.parquet(f"{root}/out")
+    newest = done.groupBy("session_id").agg(F.max_by(F.struct("life", "total_reads", "redundant_reads_prevented", "tokens_saved", "compaction_count"), "seq").alias("s"))
+    return newest.select("session_id", "s.*")
+
+
+def search_epochs(spark, sf_dir):
+    return reuse.epochs(corpora.memo_events(spark, sf_dir)).groupBy("session_id").agg(F.max("epoch").alias("epoch"))
+
+
+def reuse_check(spark, sf_dir):
+    e = corpora.memo_events(spark, sf_dir)
+    edits = e.where("event = 'edit'").withColumn("generation", F.row_number().over(Window.orderBy("ts", "seq")).cast("long")).select("seq", "generation", "path")
+    journal = reuse.newest_batches(edits.select("generation", "path"), 64).withColumn("ordinal", F.lit(1))
+    n = edits.agg(F.max("generation").alias("g"))
+    requests = e.where("event = 'read'").crossJoin(F.broadcast(n)).select(  # n is one row
+        F.col("seq").alias("request_id"), (F.col("g") - F.col("seq") % 90 + F.when(F.col("seq") % 17 == 0, 200).otherwise(0)).alias("recorded_generation"), (F.col("seq") % 11 == 0).cast("long").alias("recorded_epoch"),
+        F.array("path").alias("matched_paths"), F.substring("path", 1, 4).alias("scope"), F.col("g").alias("current"),
+    )
+    return reuse.check(requests, journal, F.col("current"), F.lit(0).cast("long"), F.col("path").startswith(F.col("scope")))
+
+
+def context_terms(spark, sf_dir):
+    b = _t(spark, sf_dir, "benchmark")
+    return b.select("item_id", F.posexplode(text.terms(F.col("text"))).alias("n", "term"))
+
+
+def context_pack_rank(spark, sf_dir):
+    r = pack.rank(index(spark, sf_dir), PACK_GOAL, "bugfix", ("./src1/en/doc_1.txt",))
+    return r.select("path", text.round_score(F.col("score")).alias("score"), F.array_join("reasons", ",").alias("reasons"), F.size("snippets").alias("n_snippets"))
+
+
+def context_pack_budget(spark, sf_dir):
+    p = pack.pack(index(spark, sf_dir), PACK_GOAL, "bugfix", 300, 6)
+    rows = [(i, x["path"], x["score"], len(x["snippets"]), p["estimated_tokens"], p["truncated"]) for i, x in enumerate(p["items"])]
+    return spark.createDataFrame(rows, "rank int, path string, score double, n_snippets int, estimated_tokens int, truncated boolean")
+
+
+def _log(spark, sf_dir) -> DataFrame:
+    """Conversations as an action log: a user's turn searches, any other one reads."""
+    c = _t(spark, sf_dir, "conversations")
+    payload = F.when(F.col("role") == "user", F.to_json(F.struct(F.substring("text", 1, 12).alias("query")))).otherwise(F.to_json(F.struct(F.concat(F.lit("f/"), F.col("turn") % 3).alias("path"), F.md5(F.col("text").cast("binary")).alias("sha"))))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("entry_id"), F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("ts"), F.when(F.col("role") == "user", "search").otherwise("read").alias("kind"), payload.alias("payload"))
+
+
+def working_set(spark, sf_dir):
+    return sessions.files_read(_log(spark, sf_dir))
+
+
+def searches_run(spark, sf_dir):
+    return sessions.searches_run(_log(spark, sf_dir)).select("session_id", "search_id", "query", "search_kind")
+
+
+def snapshot_diff(spark, sf_dir):
+    f = sessions.files_read(_log(spark, sf_dir))
+    even, odd = (f.where(F.col("session_id").cast("long") % 2 == i).groupBy("path").agg(F.max("sha").alias("sha")) for i in (0, 1))
+    return sessions.diff_files(even, odd)
+
+
+def snapshot_diff_searches(spark, sf_dir):
+    s = sessions.searches_run(_log(spark, sf_dir)).withColumn("search_id", F.substring("query", 1, 3))
+    n = F.col("session_id").cast("long") % 2
+    return sessions.diff_searches(s.where(n == 0), s.where(n == 1))
+
+
+def sessions_newest_open(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("updated_at"))
+    s = c.select(F.col("conv_id").cast("string").alias("session_id"), F.when(F.col("n") % 2 == 0, "open").otherwise("closed").alias("status"), "updated_at")
+    return sessions.newest_open(s)
+
+
+def pinned_snippets(spark, sf_dir):
+    docs = corpora.documents(spark, sf_dir)
+    specs = docs.select(F.col("relative_path").alias("path"), F.lit(2).alias("line_start"), (F.col("doc_id") % 3 + 2).cast("int").alias("line_end"))
+    return sessions.pinned_snippets(specs, docs)
+
+
+def pack_checksums(spark, sf_dir):
+    docs = corpora.documents(spark, sf_dir).select(F.col("relative_path").alias("path"), F.col("contents").cast("binary").alias("contents"))
+    changed = docs.withColumn("contents", F.when(F.crc32(F.col("path").cast("binary")) % 5 == 0, F.lit(b"x")).otherwise(F.col("contents")))
+    return sessions.mismatches(sessions.checksums(docs), changed)
+
+
+def session_brief(spark, sf_dir):
+    log = _log(spark, sf_dir).where("session_id = '1'")
+    b = sessions.brief(log, "Continue")
+    return b.select("markdown", F.octet_length("markdown").alias("bytes"))
+
+
+def bench_percentiles(spark, sf_dir):
+    return _rounded(analytics.percentiles(_t(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice"), "p50", "p95", "p99", "mean", "min", "max")
+
+
+def bench_result_diff(spark, sf_dir):
+    i = index(spark, sf_dir)
+    a = se.search(i, SearchRequest(pattern="license")).select("relative_path", "line_number")
+    b = se.search(i, SearchRequest(pattern="licensed", case="insensitive")).select("relative_path", "line_number")
+    return analytics.difference(a, b)
+
+
+def ir_metrics(spark, sf_dir):
+    d, l = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
+    j = d.join(l, "doc_id").select(F.col("source").alias("scenario"), F.col("doc_id").cast("string").alias("path"), "doc_id", "quality", "toxic")
+    ranked = j.withColumn("rank", F.row_number().over(Window.partitionBy("scenario").orderBy("doc_id"))).where("rank <= 8").select("scenario", "rank", "path")
+    label = F.expr("CASE WHEN toxic = 1 THEN 'bad' WHEN quality = 1 AND doc_id % 2 = 0 THEN 'required' WHEN quality = 1 THEN 'helpful' END")
+    oracle = j.select("scenario", "path", label.alias("label")).where("label is not null")
+    return _rounded(analytics.retrieval(ranked, oracle), "mrr", "coverage", "precision")
+
+
+def reusable_searches(spark, sf_dir):
+    e = corpora.memo_events(spark, sf_dir)
+    s = e.where("event = 'read'").select("session_id", F.col("seq").alias("turn"), F.col("path").alias("key"), F.lit(0).alias("epoch"), F.array("path").alias("matched_paths"))
+    return analytics.reusable_searches(s, e.where("event = 'edit'").select("session_id", F.col("seq").alias("turn"), "path"))
+
+
+def token_estimates(spark, sf_dir):
+    c = F.col("text")
+    return _t(spark, sf_dir, "documents").select("doc_id", text.tokens_by_bytes(c, 3.5).alias("read_tokens"), text.tokens_by_chars(c).alias("pack_tokens"), text.tokens_by_bytes(c, 4).alias("hydration_tokens"))
+
+
+def preview_trim(spark, sf_dir):
+    c = F.col("text")
+    return _t(spark, sf_dir, "documents").select("doc_id", text.trim_preview(c, 40).alias("preview"), text.truncate_middle(c, 21).alias("middle"), text.slug(F.substring(c, 1, 40)).alias("slug"), text.format_bytes(F.octet_length(c)).alias("size"), text.format_bytes(F.octet_length(c), True).alias("isize"), text.format_number(F.octet_length(c)).alias("bytes"), text.format_duration(F.col("n_chars")).alias("duration"))
+
+
+def path_heuristics(spark, sf_dir):
+    p = F.regexp_replace("url", "^[a-z]+://", "")
+    return _t(spark, sf_dir, "pages").select("page_id", text.looks_like_test(p).alias("is_test"), text.looks_like_config(p).alias("is_config"), text.looks_like_fixture(p).alias("is_fixture"), text.normalize_path(F.concat(F.lit(" ././"), p)).alias("path"))
+
+
+def token_frequency(spark, sf_dir):
+    return se.token_frequency(corpora.documents(spark, sf_dir)).where("docs >= 20")
+
+
+def pick_tokens(spark, sf_dir):
+    f = se.token_frequency(corpora.documents(spark, sf_dir))
+    bands = {"selective": (1, 3, 6), "moderate": (5, 50, 4), "high": (100, 1 << 40, 4)}
+    out = None
+    for name, band in bands.items():
+        part = se.pick_token(f, *band).select(F.lit(name).alias("band"), "token", "docs")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def hook_events(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    tool = F.expr("CASE event_type WHEN 'view' THEN 'Read' WHEN 'purchase' THEN 'MultiEdit' WHEN 'error' THEN 'Bash' WHEN 'signup' THEN 'mcp__fs__read_file' ELSE 'Grep' END")
+    command = F.when(F.col("event_type") == "error", F.concat(F.lit("head -n 5 'src/"), F.col("user_id").cast("string"), F.lit(" x.rs'")))
+    payload = F.to_json(F.struct(F.col("user_id").cast("string").alias("session_id"), tool.alias("tool_name"), F.struct(F.get_json_object("props", "$.k").alias("file_path"), command.alias("command")).alias("tool_input"), F.floor("value").cast("long").alias("tokens")))
+    p = e.select("event_id", payload.alias("p"))
+    return p.select("event_id", hooks.session_id(F.col("p")).alias("session_id"), hooks.event_kind(F.col("p")).alias("kind"), hooks.path(F.col("p")).alias("path"), hooks.shell_read_path(hooks.command(F.col("p"))).alias("shell_path"), hooks.tokens(F.col("p")).alias("tokens"))
+
+
+def change_coalesce(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    rows = e.select(F.get_json_object("props", "$.k").alias("path"), F.when(F.col("event_type") == "error", "deleted").otherwise("changed").alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    out = changes.coalesce(rows, "6 hours")
+    return out.select("path", F.unix_timestamp("batch.start").alias("start"), "deleted", "events")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "literal_search": _search(pattern="ement"),
+    "literal_search_ci": _search(pattern="The", case="insensitive"),
+    "literal_short_scan": _search(pattern="qu"),
+    "regex_anchor": _search(pattern=r"\bheit\w*", kind="regex"),
+    "regex_alternation": _search(pattern="license|heit|réeaux", kind="regex"),
+    "regex_ci": _search(pattern="licens(ed|e)\\b", kind="regex", case="insensitive"),
+    "regex_weak_scan": _search(pattern="[0-9]+[.]", kind="regex"),
+    "path_search": _search(pattern="SRC1/", kind="path"),
+    "path_filters_combo": _search(pattern="the", extensions=(".EN", "de"), path_prefixes=("src1", "src2"), exact_names=()),
+    "path_exact": _search(pattern="a", exact_paths=("src1/en/doc_1.txt", "src6/en/doc_6.txt"), exact_names=("DOC_1.TXT", "doc_6.txt")),
+    "glob_filter": _search(pattern="", kind="path", globs=("src1*/**/doc_?1.txt", "src{2,3}/fr/*")),
+    "path_plus_content": _search(pattern="tion", path_substrings=("SRC7/FR",)),
+    "max_results_global": _search(pattern="tion", max_results=25),
+    "max_results_per_file": _search(pattern="tion", max_results=2, limit_mode="per_file"),
+    **{
+        f.__name__: f
+        for f in (
+            scan_repo_stats, language_histogram, repo_category, binary_sniff, hidden_paths, trigram_df, trigram_postings_topn, total_postings, candidate_counts, search_summary, grouped_hits,
+            session_rollup, index_change_classify, index_change_ratio, index_overlay_search, change_log_latest, frecency_scores, frecency_top, frecency_rerank, frecency_restore, query_ring_buffer,
+            memo_redundant_reads, memo_session_totals, memo_idle_sessions, memo_check_recommendation, memo_broadcast, memo_stream, search_epochs, reuse_check, context_terms, context_pack_rank,
+            context_pack_budget, working_set, searches_run, snapshot_diff, snapshot_diff_searches, sessions_newest_open, pinned_snippets, pack_checksums, session_brief, bench_percentiles,
+            bench_result_diff, ir_metrics, reusable_searches, token_estimates, preview_trim, path_heuristics, token_frequency, pick_tokens, hook_events, change_coalesce,
+        )
+    },
+}
+
+__all__ = ["QUERIES", "classify", "index"]
