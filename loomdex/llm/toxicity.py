@@ -151,22 +151,13 @@ def _features(w, lo: int, hi: int):
         yield u, level[index], np.minimum(n, BURST), up[index]
 
 
-def _toxic_counts(batches):
-    for batch in batches:
-        held, total = {}, 0
-        for lo, hi, w in words(batch.column("text"), LETTERS, PREFIXES):
-            total += len(w)
-            for h, level, n, up in _features(w, lo, hi):
-                for i in range(len(h)):
-                    x = held.get(h[i])
-                    if x is None:
-                        held[h[i]] = [int(level[i]), int(n[i]), 1, up[i]]
-                    else:
-                        x[1] += int(n[i])
-                        x[2] += 1
+def _toxic_counts(batches, most: int = 100_000):
+    """Counts of tokens, handed on whenever ``most`` distinct ones are held."""
+
+    def counted(held: dict, total: int) -> pa.RecordBatch:
         keys = np.fromiter(held, dtype=U64, count=len(held))
         rows = list(held.values())
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [
                 pa.array([0, *signed(keys).tolist()], pa.int64()),
                 pa.array([-1, *(x[0] for x in rows)], pa.int64()),
@@ -177,6 +168,23 @@ def _toxic_counts(batches):
             names=["h", "level", "n", "docs", "up"],
         )
 
+    held, total = {}, 0
+    for batch in batches:
+        for lo, hi, w in words(batch.column("text"), LETTERS, PREFIXES):
+            total += len(w)
+            for h, level, n, up in _features(w, lo, hi):
+                for i in range(len(h)):
+                    x = held.get(h[i])
+                    if x is None:
+                        held[h[i]] = [int(level[i]), int(n[i]), 1, up[i].copy()]
+                    else:
+                        x[1] += int(n[i])
+                        x[2] += 1
+                if len(held) >= most:
+                    yield counted(held, total)
+                    held, total = {}, 0
+    yield counted(held, total)
+
 
 def _other_counts(tokens: np.ndarray):
     def run(batches):
