@@ -42,6 +42,14 @@ def timed(run, times: int = 3) -> float:
     return round(statistics.median(took), 4)
 
 
+class Told(dict):
+    """Says each figure on stderr as it comes."""
+
+    def __setitem__(self, name: str, seconds: float) -> None:
+        super().__setitem__(name, seconds)
+        print(name, seconds, file=sys.stderr, flush=True)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -49,7 +57,7 @@ def main() -> None:
     conf = {"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.warehouse.dir": f"{work}/warehouse"}
     spark = get_spark("bench", f"local[{cpus}]", **conf)
     spark.sparkContext.setLogLevel("ERROR")
-    out: dict[str, float] = {}
+    out = Told()
     out["index_build"] = timed(lambda: ix.build(corpora.documents(spark, sf_dir), f"{work}/index"), 2)
     index = ix.load(spark, f"{work}/index")
     for name, request in CASES.items():

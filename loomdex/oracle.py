@@ -155,9 +155,9 @@ SQL: dict[str, str] = {
     "ir_metrics": "WITH j AS (SELECT source AS scenario, doc_id::VARCHAR AS path, doc_id, CASE WHEN toxic = 1 THEN 'bad' WHEN quality = 1 AND doc_id % 2 = 0 THEN 'required' WHEN quality = 1 THEN 'helpful' END AS label FROM documents JOIN labels USING (doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY doc_id) AS rank FROM j QUALIFY rank <= 8), w AS (SELECT scenario, count(*) AS wanted FROM j WHERE label IN ('required', 'helpful') GROUP BY 1) SELECT scenario, bool_or(rank = 1 AND coalesce(label = 'required', false)) AS hit_at_1, bool_or(rank <= 4 AND coalesce(label = 'required', false)) AS hit_at_4, round(coalesce(1.0::DOUBLE / min(rank) FILTER (label = 'required'), 0), 6) AS mrr, round(count(*) FILTER (label IN ('required', 'helpful')) / greatest(coalesce(any_value(wanted), 0), 1), 6) AS coverage, round(count(*) FILTER (label IN ('required', 'helpful')) / count(*), 6) AS precision, bool_or(rank = 1 AND coalesce(label = 'bad', false)) AS misleading_top1 FROM r LEFT JOIN w USING (scenario) GROUP BY scenario",
     "reusable_searches": f"WITH {_EVENTS}, s AS (SELECT session_id, seq AS turn, path AS key, lag(seq) OVER (PARTITION BY session_id, path ORDER BY seq) AS previous_turn FROM ev WHERE event = 'read') SELECT session_id, turn, key, previous_turn, NOT EXISTS (SELECT 1 FROM ev e WHERE e.event = 'edit' AND e.session_id = s.session_id AND e.path = s.key AND e.seq > s.previous_turn AND e.seq < s.turn) AS reusable FROM s WHERE previous_turn IS NOT NULL",
     "token_estimates": "SELECT doc_id, ceil(strlen(text) / 3.5)::BIGINT AS read_tokens, greatest(1, ceil(length(text) / 4.0))::BIGINT AS pack_tokens, ceil(strlen(text) / 4.0)::BIGINT AS hydration_tokens FROM documents",
-    "preview_trim": f"SELECT doc_id, CASE WHEN length(regexp_replace(text, '[\\r\\n]+$', '')) <= 40 THEN regexp_replace(text, '[\\r\\n]+$', '') ELSE left(regexp_replace(text, '[\\r\\n]+$', ''), 39) || '…' END AS preview, CASE WHEN length(text) <= 21 THEN text ELSE left(text, 10) || '…' || right(text, 10) END AS middle, regexp_replace(regexp_replace({_LOW.format('left(text, 40)')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, {_size(['KB', 'MB', 'GB'])} AS size, {_size(['KiB', 'MiB', 'GiB', 'TiB'])} AS isize, format('{{:,}}', strlen(text)) AS bytes, CASE WHEN n_chars >= 1000 THEN ((n_chars + 5) // 10) // 100 || '.' || lpad((((n_chars + 5) // 10) % 100)::VARCHAR, 2, '0') || ' s' ELSE n_chars || ' ms' END AS duration FROM documents",
+    "preview_trim": f"SELECT doc_id, CASE WHEN length(regexp_replace(text, '[\\r\\n]+$', '')) <= 40 THEN regexp_replace(text, '[\\r\\n]+$', '') ELSE left(regexp_replace(text, '[\\r\\n]+$', ''), 39) || '…' END AS preview, CASE WHEN length(text) <= 21 THEN text ELSE left(text, 10) || '…' || right(text, 10) END AS middle, regexp_replace(regexp_replace({_LOW.format('text')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, {_size(['KB', 'MB', 'GB'])} AS size, {_size(['KiB', 'MiB', 'GiB', 'TiB'])} AS isize, format('{{:,}}', strlen(text)) AS bytes, CASE WHEN n_chars >= 1000 THEN ((n_chars + 5) // 10) // 100 || '.' || lpad((((n_chars + 5) // 10) % 100)::VARCHAR, 2, '0') || ' s' ELSE n_chars || ' ms' END AS duration FROM documents",
     "path_heuristics": "WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages) SELECT page_id, contains(path, '/test') OR contains(path, 'tests/') OR contains(path, '_test.') OR contains(path, '.test.') OR contains(path, '_spec.') OR contains(path, '.spec.') AS is_test, contains(path, 'config') OR ends_with(path, '.toml') OR ends_with(path, '.yaml') OR ends_with(path, '.yml') AS is_config, contains(path, 'fixture') OR contains(path, 'testdata') AS is_fixture, trim(path) AS path FROM p",
-    "token_frequency": "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{3,}')) AS token FROM documents) SELECT token, count(*) AS docs FROM t WHERE length(token) <= 64 GROUP BY 1 HAVING count(*) >= 20",
+    "token_frequency": "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{3,}')) AS token FROM documents) SELECT token, count(*) AS docs FROM t WHERE length(token) <= 64 GROUP BY 1",
     "pick_tokens": "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{3,}')) AS token FROM documents), f AS (SELECT token, count(*) AS docs FROM t WHERE length(token) <= 64 GROUP BY 1) SELECT * FROM (SELECT 'selective' AS band, token, docs FROM f WHERE docs BETWEEN 1 AND 3 AND length(token) >= 6 ORDER BY docs DESC, token LIMIT 1) UNION ALL SELECT * FROM (SELECT 'moderate', token, docs FROM f WHERE docs BETWEEN 5 AND 50 ORDER BY docs DESC, token LIMIT 1) UNION ALL SELECT * FROM (SELECT 'high', token, docs FROM f WHERE docs >= 100 ORDER BY docs DESC, token LIMIT 1)",
     "hook_events": "SELECT event_id, user_id::VARCHAR AS session_id, CASE WHEN event_type IN ('view', 'signup', 'error') THEN 'read' WHEN event_type = 'purchase' THEN 'edit' END AS kind, coalesce(json_extract_string(props, '$.k'), CASE WHEN event_type = 'error' THEN 'src/' || user_id || ' x.rs' END) AS path, CASE WHEN event_type = 'error' THEN 'src/' || user_id || ' x.rs' END AS shell_path, floor(value)::BIGINT AS tokens FROM events",
     "change_coalesce": "WITH e AS (SELECT json_extract_string(props, '$.k') AS path, event_type = 'error' AS d, ts FROM events), s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS st FROM e), g AS (SELECT *, sum(st) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM s) SELECT path, floor(epoch(min(ts)))::BIGINT AS start, bool_or(d) AS deleted, count(*) AS events FROM g GROUP BY path, g",

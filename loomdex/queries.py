@@ -57,9 +57,10 @@ def repo_category(spark, sf_dir):
 
 
 def binary_sniff(spark, sf_dir):
-    """Texts cut in the middle of bytes, so that some are no valid UTF-8."""
+    """Texts without their first byte, so that some are no valid UTF-8."""
     d = _t(spark, sf_dir, "documents")
-    cut = F.substring(F.col("text").cast("binary"), 2, 4000)
+    raw = F.col("text").cast("binary")
+    cut = F.substring(raw, 2, F.octet_length(raw))
     return d.select("doc_id", tree.looks_binary(cut).alias("is_binary"), F.is_valid_utf8(cut.cast("string")).alias("valid"))
 
 
@@ -338,7 +339,7 @@ def token_estimates(spark, sf_dir):
 
 def preview_trim(spark, sf_dir):
     c = F.col("text")
-    return _t(spark, sf_dir, "documents").select("doc_id", text.trim_preview(c, 40).alias("preview"), text.truncate_middle(c, 21).alias("middle"), text.slug(F.substring(c, 1, 40)).alias("slug"), text.format_bytes(F.octet_length(c)).alias("size"), text.format_bytes(F.octet_length(c), True).alias("isize"), text.format_number(F.octet_length(c)).alias("bytes"), text.format_duration(F.col("n_chars")).alias("duration"))
+    return _t(spark, sf_dir, "documents").select("doc_id", text.trim_preview(c, 40).alias("preview"), text.truncate_middle(c, 21).alias("middle"), text.slug(c).alias("slug"), text.format_bytes(F.octet_length(c)).alias("size"), text.format_bytes(F.octet_length(c), True).alias("isize"), text.format_number(F.octet_length(c)).alias("bytes"), text.format_duration(F.col("n_chars")).alias("duration"))
 
 
 def path_heuristics(spark, sf_dir):
@@ -347,7 +348,7 @@ def path_heuristics(spark, sf_dir):
 
 
 def token_frequency(spark, sf_dir):
-    return se.token_frequency(corpora.documents(spark, sf_dir)).where("docs >= 20")
+    return se.token_frequency(corpora.documents(spark, sf_dir))
 
 
 def pick_tokens(spark, sf_dir):
