@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .lexer import ALNUM, U64, mix64, per_row, words
 from .scratch import fresh
+from .stream import frugal
 
 #: Fixed masks, weight 6; 1 marks a word that must agree.
 MASKS = ("111010011", "1101100011", "11001010011", "110100010101", "1010011000111")
@@ -184,7 +185,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, max_words: int = 500_000) ->
     schema = "doc_id long, item_id long, item_words long, matches long, length long, doc_word long, item_word long, start long, end long"
     out = None
     for block in test_blocks(benchmark, max_words):
-        part = base.mapInArrow(_report(spark.sparkContext.broadcast(block)), schema)
+        part = base.mapInArrow(frugal(_report(spark.sparkContext.broadcast(block))), schema)
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -196,5 +197,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_words: int = 500_000) -> Da
     flag = fresh(docs, "contaminated")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
     for block in test_blocks(benchmark, max_words):
-        out = out.mapInArrow(_flag(spark.sparkContext.broadcast(block), [*out.columns, flag]), f"{fields}, `{flag}` boolean").where(~F.col(flag)).drop(flag)
+        out = out.mapInArrow(frugal(_flag(spark.sparkContext.broadcast(block), [*out.columns, flag])), f"{fields}, `{flag}` boolean").where(~F.col(flag)).drop(flag)
     return out

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stream import frugal
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?/][^a-zA-Z>][^>]*>|<![^>]*>|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*>"
     r"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<broken>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>|(?P<text>[^<]+|<)",
@@ -342,4 +344,4 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), name:
     is read as browsers read it, never refused. No shuffle; other columns are not read."""
     base = pages.select(*keep, F.col("html").cast("string").alias("html"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keep).schema.fields)
-    return base.mapInArrow(_render([*keep, name]), f"{schema}, `{name}` string")
+    return base.mapInArrow(frugal(_render([*keep, name])), f"{schema}, `{name}` string")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .blocks import UNIT, pair_units
 from .components import connected_components
 from .scratch import Scratch, broadcast_if_small
-from .stream import runs
+from .stream import frugal, runs
 
 PIVOTS = 256
 BALL_AT_LEAST = 32
@@ -254,7 +254,7 @@ def near_duplicates(table: DataFrame, cosine: float = 0.9, recall: float = 0.95,
             x = np.eye(dim)
         model = fit(x, n, cosine, recall)
         schema = "cid long, least long, m long, vector binary, code binary, keys array<long>"
-        index = scratch.table(merged.mapInArrow(_encode(model), schema), "index")
+        index = scratch.table(merged.mapInArrow(frugal(_encode(model)), schema), "index")
         slots = index.select("cid", F.posexplode("keys").alias("t", "key"))
         hot = slots.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("cid").alias("cid")).where(F.col("n") >= BALL_AT_LEAST)
         hot = hot.groupBy("cid").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "cid").limit(PIVOTS)
@@ -266,16 +266,16 @@ def near_duplicates(table: DataFrame, cosine: float = 0.9, recall: float = 0.95,
             if all(v @ p < least for p in pivots):
                 pivots.append(v)
         centre = np.array(pivots).reshape(-1, dim)
-        index = scratch.table(index.mapInArrow(_balls(centre, least), f"{schema}, ball long"), "balls")
+        index = scratch.table(index.mapInArrow(frugal(_balls(centre, least)), f"{schema}, ball long"), "balls")
 
         slots = scratch.table(index.select("cid", "ball", "code", F.posexplode("keys").alias("t", "key")), "slots")
         units = pair_units(slots, ["t", "key"], "cid", "ball", cap)
         order = ["t", "key", *UNIT]
         units = units.repartition(*[F.col(c) for c in order]).sortWithinPartitions(*order).select("t", "key", *UNIT, "side", "cid", "ball", "code")
-        near = units.mapInArrow(_near_codes(model), "t int, key long, unit_lo int, unit_hi int, side int, cid long, ball long")
+        near = units.mapInArrow(frugal(_near_codes(model)), "t int, key long, unit_lo int, unit_hi int, side int, cid long, ball long")
         near = scratch.table(near, "near")
         again = near.join(index.select("cid", "m", "vector", "keys"), "cid").repartition(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-        counts = again.select("t", "key", *UNIT, "side", "cid", "ball", "m", "vector", "keys").mapInArrow(_rerank(cosine), "cid long, links long, root long")
+        counts = again.select("t", "key", *UNIT, "side", "cid", "ball", "m", "vector", "keys").mapInArrow(frugal(_rerank(cosine)), "cid long, links long, root long")
         counts = scratch.table(counts, "counts")
 
         balls = index.where("ball is not null").groupBy("ball").agg(F.sum("m").alias("size"), F.min("cid").alias("head"))

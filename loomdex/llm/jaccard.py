@@ -39,7 +39,7 @@ from .components import connected_components
 from .lexer import BLANK_SEPARATED, U64, mix64, per_row, shingle_set, signed, unsigned, words
 from .scratch import Scratch, broadcast_if_small
 from .sigtree import SignatureTree, bitmap, dual
-from .stream import runs
+from .stream import frugal, runs
 
 #: Repeats within tasks, over all tasks, that make a shingle frequent.
 FREQUENT = 4
@@ -231,11 +231,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, cap: int
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with Scratch(spark, "jaccard") as scratch:
-        profile = scratch.table(rows.mapInArrow(_profile(k), "doc_id long, n long, cid long, token long, map binary"), "profile")
+        profile = scratch.table(rows.mapInArrow(frugal(_profile(k)), "doc_id long, n long, cid long, token long, map binary"), "profile")
         own = profile.where("token is null").select("doc_id", F.col("n").alias("n_shingles"), "cid")
         classes = scratch.table(own.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep")), "classes")
         bloom = spark.sparkContext.broadcast(_bloom(profile))
-        prefixes = rows.select("text").mapInArrow(_prefixes(k, percent, bloom), "cid long, n long, prefix array<long>")
+        prefixes = rows.select("text").mapInArrow(frugal(_prefixes(k, percent, bloom)), "cid long, n long, prefix array<long>")
         tokens = prefixes.select("cid", "n", F.explode("prefix").alias("token"))
         block = Window.partitionBy("token")
         shared = tokens.withColumn("lo", F.min("cid").over(block)).withColumn("hi", F.max("cid").over(block)).where("lo < hi")
@@ -252,12 +252,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, cap: int
             wanted = scratch.table(wanted.join(classes, "cid").select(F.coalesce("rep", F.lit(_NO_ID)).alias("__id"), "cid"), f"wanted-{name}")
             keyed = rows.withColumn("__id", F.coalesce("doc_id", F.lit(_NO_ID)))
             texts = keyed.join(broadcast_if_small(wanted.select("__id").distinct()), "__id", "left_semi").select("text")
-            full = texts.mapInArrow(_full_sets(k), "cid long, shingles binary")
+            full = texts.mapInArrow(frugal(_full_sets(k)), "cid long, shingles binary")
             full = scratch.table(full.join(broadcast_if_small(wanted.select("cid")), "cid", "left_semi"), f"full-{name}")
             left = full.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
             right = full.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
             both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-            return scratch.table(both.mapInArrow(_verify(percent), "a long, b long"), f"links-{name}")
+            return scratch.table(both.mapInArrow(frugal(_verify(percent)), "a long, b long"), f"links-{name}")
 
         # blocks of the same two with another hub are not seen here, hence the half
         first = shared.where("cid != lo").groupBy("cid", "n", "lo", "lo_n").agg(F.count("*").alias("c"))
@@ -276,7 +276,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, cap: int
         maps = profile.where("map is not null").select("cid", "map").join(open_.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
         units = pair_units(open_, ["token"], "cid", "comp", cap).join(maps, "cid")
         units = units.repartition(F.col("token"), *[F.col(c) for c in UNIT]).sortWithinPartitions("token", *UNIT)
-        pairs = units.select("token", *UNIT, "cid", "n", "comp", "side", "weight", "map").mapInArrow(_candidates(percent), "a long, b long, na long, nb long, weight long")
+        pairs = units.select("token", *UNIT, "cid", "n", "comp", "side", "weight", "map").mapInArrow(frugal(_candidates(percent)), "a long, b long, na long, nb long, weight long")
         pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("weight").alias("c")).where(F.col("c") >= least_common(F.col("na"), F.col("nb"), percent)).select("a", "b")
         more = verified(pairs, "2")
         label = found.select(F.col("node"), F.col("comp"))

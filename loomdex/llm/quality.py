@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .labelled import training_rows
 from .lexer import BLANK_SEPARATED, buffers, per_row, pieces, shingles, words
 from .scratch import fresh
+from .stream import frugal
 
 FEATURES = (
     "log_bytes", "log_words", "letters", "upper", "digits", "blank", "stops", "marks", "bars", "bangs",
@@ -193,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> QualityMod
     class outside of the held-out third. Without enough rows of both classes every text
     scores the share of class 1."""
     rows, counts = training_rows(docs, labels, "quality", per_class)
-    got = rows.mapInArrow(_feature_rows, "y int, x array<double>").toPandas()  # 2 x per_class rows at most
+    got = rows.mapInArrow(frugal(_feature_rows), "y int, x array<double>").toPandas()  # 2 x per_class rows at most
     if not len(got):
         return fit_matrix(np.zeros((0, len(FEATURES))), np.zeros(0), counts)
     x, y = np.stack(got["x"].to_numpy()), got["y"].to_numpy(dtype=np.float64)
@@ -219,4 +220,4 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str] = ("doc_id",)) -
     base = base.withColumn("text", F.col("text").cast("string"))
     names = [*kept, fresh(base, "score")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*kept).schema.fields) + f", `{names[-1]}` double"
-    return base.mapInArrow(_score(model, names), schema)
+    return base.mapInArrow(frugal(_score(model, names)), schema)

@@ -1,8 +1,9 @@
-"""Runs of equal keys out of a sorted stream of Arrow batches."""
+"""Streams of Arrow batches: runs of equal keys, and memory given back at the end."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,3 +31,19 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         held.append(batch.slice(cuts[-2], n - cuts[-2]))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def frugal(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for mapInArrow, giving unused memory back to the system when it ends: Python
+    workers are kept between tasks, and what they hold counts against the executor."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return wrapped
