@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .labelled import training_rows
 from .lexer import LETTERS, U64, buffers, per_row, signed, unsigned, words
 from .scratch import Scratch, fresh
+from .stream import frugal
 
 PREFIXES = (3, 4, 5, 6, 7, 8)
 BURST = 4
@@ -40,6 +41,8 @@ DRIFT = 0.1
 MIN_DOCS = 3
 MIN_SCORE = 1.0
 _FILTER = 1 << 20
+#: Columns of token counts: hash, level, count, documents, hashes of the prefixes (0: none).
+_COUNTS = ["h", "level", "n", "docs", *(f"up{p}" for p in PREFIXES)]
 
 
 @dataclass
@@ -151,39 +154,35 @@ def _features(w, lo: int, hi: int):
         yield u, level[index], np.minimum(n, BURST), up[index]
 
 
-def _toxic_counts(batches, most: int = 100_000):
-    """Counts of tokens, handed on whenever ``most`` distinct ones are held."""
-
-    def counted(held: dict, total: int) -> pa.RecordBatch:
-        keys = np.fromiter(held, dtype=U64, count=len(held))
-        rows = list(held.values())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([0, *signed(keys).tolist()], pa.int64()),
-                pa.array([-1, *(x[0] for x in rows)], pa.int64()),
-                pa.array([total, *(x[1] for x in rows)], pa.int64()),
-                pa.array([0, *(x[2] for x in rows)], pa.int64()),
-                pa.array([[], *(signed(x[3]).tolist() for x in rows)], pa.list_(pa.int64())),
-            ],
-            names=["h", "level", "n", "docs", "up"],
-        )
-
-    held, total = {}, 0
+def _toxic_counts(batches, most: int = 1 << 17):
+    """Counts of tokens. Rows of documents are merged whenever ``most`` of them are held, and
+    handed on once merging frees less than half."""
+    held, size, total = [], 0, 0
+
+    def merged() -> tuple[np.ndarray, ...]:
+        h, level, n, docs, up = (np.concatenate(x) for x in zip(*held))
+        h, first, at = np.unique(h, return_index=True, return_inverse=True)
+        return h, level[first], np.bincount(at, n).astype(np.int64), np.bincount(at, docs).astype(np.int64), up[first]
+
+    def counted(words_: int, h=(), level=(), n=(), docs=(), up=None) -> pa.RecordBatch:
+        """The tokens, and the number of words as a row of level -1."""
+        up = np.zeros((0, len(PREFIXES)), dtype=U64) if up is None else up
+        columns = [[0, *signed(np.asarray(h, dtype=U64))], [-1, *level], [words_, *n], [0, *docs], *([0, *signed(up[:, i])] for i in range(len(PREFIXES)))]
+        return pa.RecordBatch.from_arrays([pa.array(np.array(c, dtype=np.int64)) for c in columns], names=_COUNTS)
+
     for batch in batches:
         for lo, hi, w in words(batch.column("text"), LETTERS, PREFIXES):
             total += len(w)
             for h, level, n, up in _features(w, lo, hi):
-                for i in range(len(h)):
-                    x = held.get(h[i])
-                    if x is None:
-                        held[h[i]] = [int(level[i]), int(n[i]), 1, up[i].copy()]
-                    else:
-                        x[1] += int(n[i])
-                        x[2] += 1
-                if len(held) >= most:
-                    yield counted(held, total)
-                    held, total = {}, 0
-    yield counted(held, total)
+                held.append((h, level, n, np.ones(len(h), dtype=np.int64), up))
+                size += len(h)
+                if size >= most:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size >= most // 2:
+                        yield counted(total, *held[0])
+                        held, size, total = [], 0, 0
+    yield counted(total, *merged()) if held else counted(total)
 
 
 def _other_counts(tokens: np.ndarray):
@@ -223,11 +222,11 @@ def _positives(model: ToxicityModel):
     return run
 
 
-def _select(toxic, words_toxic: int, other: np.ndarray, words_other: int) -> tuple[np.ndarray, np.ndarray]:
+def _select(toxic: dict[str, np.ndarray], words_toxic: int, other: np.ndarray, words_other: int) -> tuple[np.ndarray, np.ndarray]:
     """Kept tokens and scores; longest tokens first, each taking its counts from its prefixes."""
-    h = unsigned(toxic["h"].to_numpy())
-    n, docs = toxic["n"].to_numpy(dtype=np.float64).copy(), toxic["docs"].to_numpy(dtype=np.float64).copy()
-    level = toxic["level"].to_numpy()
+    h = unsigned(toxic["h"])
+    n, docs, level = toxic["n"].astype(np.float64), toxic["docs"].astype(np.float64), toxic["level"]
+    up = np.stack([toxic[c] for c in _COUNTS[4:]], axis=1)
     expected = other * (words_toxic / max(words_other, 1))
     index = {int(x): i for i, x in enumerate(signed(h))}
     kept, scores = [], []
@@ -239,8 +238,8 @@ def _select(toxic, words_toxic: int, other: np.ndarray, words_other: int) -> tup
             continue
         kept.append(h[i])
         scores.append(s)
-        for up in toxic["up"].iloc[i]:
-            j = index.get(int(up)) if up else None
+        for x in up[i].tolist():
+            j = index.get(x) if x else None
             if j is not None:
                 n[j] -= n[i]
                 expected[j] = max(0.0, expected[j] - expected[i])
@@ -304,24 +303,26 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> ToxicityMo
         none.bias, none.weight = math.log(share / (1 - share)), 0.0
         if not counts.get(0) or not counts.get(1):
             return none
-        schema = "h long, level long, n long, docs long, up array<long>"
-        toxic = rows.where("y = 1").select("text").mapInArrow(_toxic_counts, schema)
-        toxic = toxic.groupBy("h", "level").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.any_value("up").alias("up"))
-        toxic = toxic.where((F.col("docs") >= MIN_DOCS) | (F.col("level") == -1)).toPandas()  # tokens of per_class documents
-        words_toxic = int(toxic.loc[toxic["level"] == -1, "n"].sum())
-        toxic = toxic[toxic["level"] != -1].reset_index(drop=True)
-        toxic = toxic.iloc[np.argsort(unsigned(toxic["h"].to_numpy(dtype=np.int64)))].reset_index(drop=True)
-        if not len(toxic):
+        toxic = rows.where("y = 1").select("text").mapInArrow(frugal(_toxic_counts), ", ".join(f"{c} long" for c in _COUNTS))
+        toxic = toxic.groupBy("h", "level").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), *[F.max(c).alias(c) for c in _COUNTS[4:]])
+        got = toxic.where((F.col("docs") >= MIN_DOCS) | (F.col("level") == -1)).toArrow()  # tokens of per_class documents
+        toxic = {c: got.column(c).to_numpy() for c in _COUNTS}
+        is_token = toxic["level"] != -1
+        words_toxic = int(toxic["n"][~is_token].sum())
+        order = np.flatnonzero(is_token)
+        order = order[np.argsort(unsigned(toxic["h"])[order])]
+        if not len(order):
             return none
-        tokens = unsigned(toxic["h"].to_numpy(dtype=np.int64))
-        other = rows.where("y = 0").select("text").mapInArrow(_other_counts(tokens), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+        toxic = {c: v[order] for c, v in toxic.items()}
+        tokens = unsigned(toxic["h"])
+        other = rows.where("y = 0").select("text").mapInArrow(frugal(_other_counts(tokens)), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
         count = np.zeros(len(tokens))
-        real = other[other["i"] >= 0]
-        count[real["i"].to_numpy(dtype=np.int64)] = real["n"]
-        words_other = int(other.loc[other["i"] < 0, "n"].sum())
+        at, n = other.column("i").to_numpy(), other.column("n").to_numpy()
+        count[at[at >= 0]] = n[at >= 0]
+        words_other = int(n[at < 0].sum())
         model = ToxicityModel(*_select(toxic, words_toxic, count, words_other))
-        got = rows.mapInArrow(_positives(model), "y int, n long, places array<long>, scores array<double>").toPandas()
-        sample = list(zip(got["y"], got["n"], got["places"], got["scores"]))
+        got = rows.mapInArrow(frugal(_positives(model)), "y int, n long, places array<long>, scores array<double>").toArrow()
+        sample = list(zip(*(got.column(c).to_pylist() for c in ("y", "n", "places", "scores"))))
         _extreme_value(model, sample)
         _calibrate(model, sample, counts)
         return model
@@ -381,4 +382,4 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] = ("doc_id",),
     if passages:
         names.append(fresh(base, "passages"))
         schema += f", `{names[-1]}` array<struct<start:bigint,end:bigint,score:double,surprise:double,text:string>>"
-    return base.mapInArrow(_score(model, names, passages), schema)
+    return base.mapInArrow(frugal(_score(model, names, passages)), schema)
