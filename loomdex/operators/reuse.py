@@ -48,3 +48,13 @@ def epochs(events: DataFrame) -> DataFrame:
     """``events`` plus epoch: how many session starts and compactions came so far, of all sessions."""
     w = Window.orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return events.withColumn("epoch", F.count_if(F.col("event").isin("session_start", "pre_compact")).over(w))
+
+
+def search_memo(uses: DataFrame, n: int = 256) -> DataFrame:
+    """What a session remembers of its searches (session_id, seq, key): the ``n`` used last,
+    with search_id (numbered by first use) and last_use."""
+    per = uses.groupBy("session_id", "key").agg(F.min("seq").alias("first_use"), F.max("seq").alias("last_use"))
+    session = Window.partitionBy("session_id")
+    named = per.withColumn("search_id", F.format_string("search-%06d", F.row_number().over(session.orderBy("first_use", "key"))))
+    kept = named.withColumn("__n", F.row_number().over(session.orderBy(F.desc("last_use"), "key"))).where(F.col("__n") <= n)
+    return kept.select("session_id", "search_id", "key", "last_use")

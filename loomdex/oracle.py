@@ -161,5 +161,11 @@ SQL: dict[str, str] = {
     "pick_tokens": "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{3,}')) AS token FROM documents), f AS (SELECT token, count(*) AS docs FROM t WHERE length(token) <= 64 GROUP BY 1) SELECT * FROM (SELECT 'selective' AS band, token, docs FROM f WHERE docs BETWEEN 1 AND 3 AND length(token) >= 6 ORDER BY docs DESC, token LIMIT 1) UNION ALL SELECT * FROM (SELECT 'moderate', token, docs FROM f WHERE docs BETWEEN 5 AND 50 ORDER BY docs DESC, token LIMIT 1) UNION ALL SELECT * FROM (SELECT 'high', token, docs FROM f WHERE docs >= 100 ORDER BY docs DESC, token LIMIT 1)",
     "hook_events": "SELECT event_id, user_id::VARCHAR AS session_id, CASE WHEN event_type IN ('view', 'signup', 'error') THEN 'read' WHEN event_type = 'purchase' THEN 'edit' END AS kind, coalesce(json_extract_string(props, '$.k'), CASE WHEN event_type = 'error' THEN 'src/' || user_id || ' x.rs' END) AS path, CASE WHEN event_type = 'error' THEN 'src/' || user_id || ' x.rs' END AS shell_path, floor(value)::BIGINT AS tokens FROM events",
     "change_coalesce": "WITH e AS (SELECT json_extract_string(props, '$.k') AS path, event_type = 'error' AS d, ts FROM events), s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS st FROM e), g AS (SELECT *, sum(st) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM s) SELECT path, floor(epoch(min(ts)))::BIGINT AS start, bool_or(d) AS deleted, count(*) AS events FROM g GROUP BY path, g",
+    "search_memo": f"WITH {_EVENTS}, p AS (SELECT session_id, path AS key, min(seq) AS first_use, max(seq) AS last_use FROM ev WHERE event = 'read' AND path IS NOT NULL GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY first_use, key) AS i, row_number() OVER (PARTITION BY session_id ORDER BY last_use DESC, key) AS r FROM p) SELECT session_id, printf('search-%06d', i) AS search_id, key, last_use FROM n WHERE r <= 25",
+    "change_renames": f"WITH {_EVENTS}, r AS (SELECT path, CASE event WHEN 'edit' THEN 'deleted' WHEN 'pre_compact' THEN 'deleted' ELSE 'changed' END AS kind FROM ev UNION ALL SELECT path || '.new', 'created' FROM ev WHERE event = 'edit') SELECT path, kind, count(*) AS events FROM r GROUP BY 1, 2",
+    "replay_totals": f"WITH {_lives(43200)}, t AS (SELECT sum(CASE WHEN redundant THEN known_tokens ELSE 0 END)::BIGINT AS eligible, sum(tokens_saved)::BIGINT AS saved, count(*) FILTER (redundant AND tokens_saved = 0) AS false_negatives FROM reads) SELECT *, round(CASE WHEN eligible > 0 THEN saved / eligible ELSE 0 END, 6)::DOUBLE AS saved_ratio FROM t",
+    "verdict_counts": "SELECT l_returnflag, CASE WHEN l_tax >= 0.08 THEN 'hurts' WHEN l_linestatus = 'O' AND (l_discount * 2 > 0.15 OR l_linenumber - 3 >= 1) THEN 'helps' WHEN l_linestatus <> 'O' AND l_quantity > 25 THEN 'hurts' ELSE 'neutral' END AS verdict, count(*) AS runs FROM lineitem GROUP BY 1, 2",
+    "session_upsert": "WITH c AS (SELECT conv_id::VARCHAR AS session_id, count(*) AS n, max(turn) AS u FROM conversations GROUP BY conv_id) SELECT session_id, CASE WHEN n % 2 = 1 AND u > 3 THEN 'new goal' ELSE 'goal ' || n END AS goal, 'open' AS status, 0::INTEGER AS created_at, CASE WHEN n % 2 = 1 THEN 1706745600 ELSE u END AS updated_at FROM c UNION ALL SELECT 'fresh', 'first goal', 'open', 1706745600, 1706745600",
+    "session_resume": f"WITH {_FILES} SELECT session_id, path, CASE WHEN path IN (SELECT path FROM files WHERE last_read_at > 1) THEN 'primed' ELSE 'stale' END AS state FROM files",
 }
 SQL = {k: v for k, v in SQL.items() if v}

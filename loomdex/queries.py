@@ -377,6 +377,49 @@ def change_coalesce(spark, sf_dir):
     return out.select("path", F.unix_timestamp("batch.start").alias("start"), "deleted", "events")
 
 
+def search_memo(spark, sf_dir):
+    e = corpora.memo_events(spark, sf_dir)
+    return reuse.search_memo(e.where("event = 'read' and path is not null").select("session_id", "seq", F.col("path").alias("key")), 25)
+
+
+def change_renames(spark, sf_dir):
+    e = corpora.memo_events(spark, sf_dir)
+    kind = F.expr("CASE event WHEN 'edit' THEN 'renamed' WHEN 'pre_compact' THEN 'deleted' ELSE 'changed' END")
+    out = changes.renames(e.select("path", F.concat("path", F.lit(".new")).alias("new_path"), kind.alias("kind"), "ts"))
+    return out.groupBy("path", "kind").agg(F.count("*").alias("events"))
+
+
+def replay_totals(spark, sf_dir):
+    """Every session's life is a run; all its redundant reads could be saved."""
+    r = memo.reads(corpora.memo_events(spark, sf_dir), IDLE)
+    runs = r.groupBy("session_id", "life").agg(F.sum(F.when(F.col("redundant"), F.col("known_tokens")).otherwise(0)).alias("eligible_tokens"), F.sum("tokens_saved").alias("tokens_saved"), F.count_if(F.col("redundant") & (F.col("tokens_saved") == 0)).alias("false_negatives"))
+    return _rounded(analytics.replay_totals(runs), "saved_ratio")
+
+
+def verdict_counts(spark, sf_dir):
+    """Line items as measured runs: which of them help, by group."""
+    v = analytics.verdict(F.col("l_tax") >= 0.08, F.col("l_linestatus") == "O", F.col("l_discount") * 2, F.col("l_linenumber") - 3, F.col("l_quantity") > 25)
+    return _t(spark, sf_dir, "lineitem").select("l_returnflag", v.alias("verdict")).groupBy("l_returnflag", "verdict").agg(F.count("*").alias("runs"))
+
+
+def session_upsert(spark, sf_dir):
+    """Conversations as sessions, those of an odd number of turns closed; the closed ones open again."""
+    c = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("updated_at"))
+    s = c.select(F.col("conv_id").cast("string").alias("session_id"), F.concat(F.lit("goal "), F.col("n")).alias("goal"), F.when(F.col("n") % 2 == 0, "open").otherwise("closed").alias("status"), F.lit(0).alias("created_at"), "updated_at")
+    opened = s.where("status = 'closed'").select("session_id", F.when(F.col("updated_at") > 3, "new goal").otherwise(" ").alias("goal"))
+    return sessions.upsert(s, opened.union(spark.sql("select 'fresh', 'first goal'")), NOW)
+
+
+def session_resume(spark, sf_dir):
+    """Files of all sessions against a tree that holds what some of them read first."""
+    f = sessions.files_read(_log(spark, sf_dir))
+    present = f.where("last_read_at > 1").select(F.col("path").alias("relative_path")).distinct()
+    none = frecency.scores(_access(spark, sf_dir), NOW)
+    r = sessions.resume(f, present, none, none.select("path", "score"), NOW)
+    label = lambda n: r[n].select("session_id", "path", F.lit(n).alias("state"))
+    return label("primed").union(label("stale"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "literal_search": _search(pattern="ement"),
     "literal_search_ci": _search(pattern="The", case="insensitive"),
@@ -400,6 +443,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
             memo_redundant_reads, memo_session_totals, memo_idle_sessions, memo_check_recommendation, memo_broadcast, memo_stream, search_epochs, reuse_check, context_terms, context_pack_rank,
             context_pack_budget, working_set, searches_run, snapshot_diff, snapshot_diff_searches, sessions_newest_open, pinned_snippets, pack_checksums, session_brief, bench_percentiles,
             bench_result_diff, ir_metrics, reusable_searches, token_estimates, preview_trim, path_heuristics, token_frequency, pick_tokens, hook_events, change_coalesce,
+            search_memo, change_renames, replay_totals, verdict_counts, session_upsert, session_resume,
         )
     },
 }

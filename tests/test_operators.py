@@ -120,6 +120,12 @@ def test_reuse(spark):
     assert check(q((1, 10, 1, ["src/lib.rs"]), (2, 10, 1, ["x"])), k, 11) == {1: (False, "changed_matched_path"), 2: (False, "changed_search_scope")}
 
 
+def test_search_memo(spark):
+    rows = [("s", 1, "a"), ("s", 2, "b"), ("s", 3, "c"), ("s", 4, "a"), ("t", 9, "b")]
+    got = reuse.search_memo(spark.createDataFrame(rows, "session_id string, seq long, key string"), 2).collect()
+    assert sorted(map(tuple, got)) == [("s", "search-000001", "a", 4), ("s", "search-000003", "c", 3), ("t", "search-000001", "b", 9)]
+
+
 def test_pack(spark):
     p = pack.pack(live(spark), "fix auth panic for service accounts", max_files=3)
     assert p["items"][0]["path"] == "src/auth/router.rs" and len(p["items"]) <= 3
