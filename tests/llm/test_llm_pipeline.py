@@ -41,3 +41,21 @@ def test_repeated_and_null_ids(spark, sf):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = P.drop_near_duplicates(spark, docs, sf).collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(1, "a b c d e f g"), (2, ""), (3, "")] or sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, "q r s t u v"), (1, "a b c d e f g"), (2, ""), (3, "")]
+
+
+def test_one_row_of_each_group_stays(spark, sf, tmp_path):
+    one, near = "a b c d e f g h i j k l m n o p q r s t u v w x", "a b c d e f g h i j k l m n o p q r s t u v w y"
+    rows = [(None, near), (None, one), (None, "null id of its own text"), (None, None), (None, " "), (7, "again one two three four"), (7, one), (1, one), (1, near), (9, ""), (None, "of null ids only"), (None, "of null ids only")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "rows"))
+    for given in (docs, spark.read.parquet(str(tmp_path / "rows"))):
+        got = [(r["doc_id"] or 0, r["text"] or "") for r in P.drop_near_duplicates(spark, given, sf).collect()]
+        kept = [x for x in got if x[1] in (one, near)]
+        assert len(kept) == 1 and kept[0][0] == 1  # either text of id 1: the first in its files
+        assert sorted(x for x in got if x not in kept) == [(0, ""), (0, " "), (0, "null id of its own text"), (0, "of null ids only"), (7, "again one two three four"), (9, "")]
+
+
+def test_null_copy_drops_no_other_null_id(spark, sf):
+    rows = [(1, "a b c d e f g", "en"), (None, "a b c d e f g", "en"), (None, "q r s t u v", "en"), (None, None, "en")]
+    got = P.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), sf).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, ""), (0, "q r s t u v"), (1, "a b c d e f g")]
