@@ -4,11 +4,14 @@
   axes, and for each code a rotation found by iterative quantisation (Gong and Lazebnik)
   from its own random start; each bit is cut at its median, so codes are balanced.
 * Index: every vector gets the bits of all codes. Tables are substrings of ``s`` bits,
-  s = ceil(log2 N) - 3, so a bucket holds a few vectors at any N. Bits of two vectors at
-  angle a differ with probability a/pi, so ``tables`` is the least number that brings a
-  pair right at the threshold together with probability ``recall``; nearer pairs more.
+  s = ceil(log2 N) - 3, so a bucket holds a few vectors at any N. How often bits of a pair
+  right at the threshold differ depends on the data (centring widens angles if vectors
+  share a direction), so it is measured: sample vectors are moved to the threshold, at
+  random and towards other vectors, and ``tables`` is the least number that brings a share
+  of ``recall`` of either kind together; nearer pairs more. Where that takes over
+  MANY_TABLES, s is smaller if that makes fewer keys and comparisons together.
 * Retrieve: pairs of a bucket whose first code differs in few enough bits (four standard
-  deviations above what the threshold angle gives).
+  deviations above the mean of the moved vectors).
 * Rerank: cosine in double precision on the original vectors decides; a pair is counted
   in the first table where both collide, so once.
 
@@ -35,6 +38,9 @@ from .stream import frugal, runs
 
 PIVOTS = 256
 BALL_AT_LEAST = 32
+MANY_TABLES = 64
+#: Comparisons that cost as much as one key of a vector.
+KEY_COST = 256
 
 
 def unit_vectors(column: pa.Array, dim: int) -> np.ndarray:
@@ -59,7 +65,7 @@ def unit_vectors(column: pa.Array, dim: int) -> np.ndarray:
 class ItqModel:
     dim: int
     bits: int  # of one code
-    width: int  # of a table's substring
+    width: int  # of a table's substring; 0: one table that holds all vectors
     tables: int
     centre: np.ndarray
     axes: np.ndarray  # dim x (codes * bits)
@@ -67,10 +73,13 @@ class ItqModel:
     differ: int  # most bits in which the first codes of a retrieved pair differ
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.centre) @ self.axes > self.cut
+        out = np.empty((len(x), self.axes.shape[1]), dtype=bool)
+        for i in range(0, len(x), 1024):  # the products are large if there are many codes
+            out[i : i + 1024] = (x[i : i + 1024] - self.centre) @ self.axes > self.cut
+        return out
 
     def keys(self, bits: np.ndarray) -> np.ndarray:
-        per = self.bits // self.width
+        per = self.bits // self.width if self.width else 1
         weight = 1 << np.arange(self.width, dtype=np.int64)
         out = np.zeros((len(bits), self.tables), dtype=np.int64)
         for t in range(self.tables):
@@ -79,35 +88,78 @@ class ItqModel:
         return out
 
 
-def table_count(cosine: float, width: int, recall: float) -> int:
-    hit = (1 - math.acos(cosine) / math.pi) ** width
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
+def table_count(differ: float, width: int, recall: float) -> int:
+    """Tables for pairs of which a bit differs with probability ``differ``."""
+    hit = (1 - differ) ** width
+    return 1 if hit >= recall else max(1, math.ceil(math.log(1 - recall) / math.log1p(-hit)))
+
 
+def moved(x: np.ndarray, axes: np.ndarray, cosine: float, random: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors right at the threshold: vectors of ``x`` and the same moved at
+    random within the span of ``axes``, and moved towards other vectors."""
+    out = []
+    for to in (random.normal(size=(len(x), axes.shape[1])) @ axes.T, x[random.permutation(len(x))]):
+        away = to - (to * x).sum(axis=1)[:, None] * x
+        size = np.sqrt((away * away).sum(axis=1))
+        good = size > 1e-6
+        if good.any():
+            out.append((x[good], cosine * x[good] + math.sqrt(1 - cosine * cosine) * away[good] / size[good, None]))
+    return out
 
-def fit(x: np.ndarray, n: int, cosine: float, recall: float, rounds: int = 30, seed: int = 7) -> ItqModel:
-    """``x``: sample of unit vectors; ``n``: how many vectors will be indexed."""
+
+def fit(x: np.ndarray, n: int, cosine: float, recall: float, rounds: int = 30, seed: int = 7, tried: int = 8192) -> ItqModel:
+    """``x``: sample of unit vectors; ``n``: how many vectors will be indexed; ``tried``:
+    how many vectors are moved to measure recall."""
     dim = x.shape[1]
     bits = min(64, dim)
     width = min(max(4, math.ceil(math.log2(max(n, 2))) - 3), bits, 48)
-    tables = table_count(cosine, width, recall)
-    codes = -(-tables // (bits // width))
     centre = x.mean(axis=0)
     z = x - centre
-    _, vectors = np.linalg.eigh(z.T @ z)
+    values, vectors = np.linalg.eigh(z.T @ z)
     axes = vectors[:, ::-1][:, :bits]
     v = z @ axes
-    random, all_axes = np.random.default_rng(seed), []
-    for _ in range(codes):
+    random, all_axes, cuts = np.random.default_rng(seed), [], []
+    pairs = moved(x[:tried], vectors[:, values > 1e-9 * max(values[-1], 1e-9)], cosine, np.random.default_rng(seed + 1))
+    seen: list[list[np.ndarray]] = [[] for _ in pairs]  # of each code, where its bits agree
+
+    def learn():
         r, _ = np.linalg.qr(random.normal(size=(bits, bits)))
         for _ in range(rounds):
             b = np.where(v @ r > 0, 1.0, -1.0)
             u, _, w = np.linalg.svd(b.T @ v)
             r = (u @ w).T
         all_axes.append(axes @ r)
-    every = np.concatenate(all_axes, axis=1)
-    p = math.acos(cosine) / math.pi
-    differ = math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
-    return ItqModel(dim, bits, width, tables, centre, every, np.median(z @ every, axis=0), differ)
+        cuts.append(np.median(v @ r, axis=0))
+        for k, (a, c) in enumerate(pairs):
+            seen[k].append(((a - centre) @ all_axes[-1] > cuts[-1]) == ((c - centre) @ all_axes[-1] > cuts[-1]))
+
+    learn()
+    p = max((1 - agree[0].mean() for agree in seen), default=math.acos(cosine) / math.pi)
+    tables = table_count(p, width, recall)
+    if tables > MANY_TABLES:
+        width = min(range(1, width + 1), key=lambda w: table_count(p, w, recall) * (KEY_COST + n / 2**w))
+        tables = table_count(p, width, recall)
+    distance = [bits - agree[0].sum(axis=1) for agree in seen]
+    spread = math.sqrt(bits * p * (1 - p))
+    differ = min(bits, max((math.ceil(d.mean() + 4 * max(d.std(), spread)) for d in distance), default=math.ceil(bits * p + 4 * spread)))
+    per, together, found = bits // width, [np.zeros(len(a), dtype=bool) for a, _ in pairs], 0
+    least, most = table_count(math.acos(cosine) / math.pi, width, recall), max(4 * tables, 4 * MANY_TABLES)
+
+    def short() -> bool:
+        return found < least or any((t & (d <= differ)).mean() < recall for t, d in zip(together, distance))
+
+    while found < most and short():
+        if found // per == len(all_axes):
+            learn()
+        for t, agree in zip(together, seen):
+            t |= agree[found // per][:, found % per * width : (found % per + 1) * width].all(axis=1)
+            if found % per == per - 1:
+                agree[found // per] = agree[found // per][:, :0]  # read to its end
+        found += 1
+    if short():
+        width, found, differ = 0, 1, bits  # codes do not tell such pairs from others: all are compared
+    used = -(-found // per)
+    return ItqModel(dim, bits, width, found, centre, np.concatenate(all_axes[:used], axis=1), np.concatenate(cuts[:used]), differ)
 
 
 def _encode(model: ItqModel):

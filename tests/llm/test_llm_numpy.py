@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from loomdex.llm import chat, decontam, html, lexer, mixing, sigtree, toxicity
+from loomdex.llm import chat, decontam, html, itq, lexer, mixing, sigtree, toxicity
 from loomdex.llm.lexer import ALNUM, BLANK_SEPARATED, LETTERS
 
 
@@ -107,3 +107,22 @@ def test_schema_and_references():
     assert len(chat.problems({"y": "b", "z": 0}, schema)) == 3 and chat.problems({"x": True}, schema) == ["$.x: not integer"]
     assert chat.references({"a": [{"$ref": "i"}], "b": {"$ref": "j"}}) in (["i", "j"], ["j", "i"])
     assert chat.parse_message("user", "{not json", {})["json"] == '{"content":"{not json","role":"user"}'
+
+
+@pytest.mark.parametrize("shared", [0.0, 0.25, 0.5, 0.72])
+def test_itq_recall_at_the_threshold_off_centre(shared):
+    g = np.random.default_rng(4)
+    unit = lambda v: v / np.sqrt((v * v).sum(axis=1))[:, None]
+    x = unit(np.sqrt(shared) * np.eye(64)[0] + np.sqrt(1 - shared) * unit(g.normal(size=(8000, 64))))
+    to = g.normal(size=(1500, 64))
+    y = 0.9 * x[:1500] + np.sqrt(0.19) * unit(to - (to * x[:1500]).sum(axis=1)[:, None] * x[:1500])
+    model = itq.fit(x, len(x), 0.9, 0.95)
+    a, b = model.codes(x[:1500]), model.codes(y)
+    near = (a[:, : model.bits] != b[:, : model.bits]).sum(axis=1) <= model.differ
+    assert (near & (model.keys(a) == model.keys(b)).any(axis=1)).mean() >= 0.93
+
+
+@pytest.mark.parametrize("x", [np.eye(4)[:1], np.eye(4)[:2], np.array([[1.0, 0, 0], [-1.0, 0, 0]]), np.ones((1, 1)), np.eye(16)])
+def test_itq_fits_few_vectors(x):
+    model = itq.fit(x, len(x), 0.9, 0.95)
+    assert model.keys(model.codes(x)).shape == (len(x), model.tables)

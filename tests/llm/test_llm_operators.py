@@ -108,6 +108,20 @@ def test_itq(spark):
     assert itq.near_duplicates(t.limit(0)).count() == 0
 
 
+def test_itq_off_centre(spark):
+    g = np.random.default_rng(6)
+    unit = lambda v: v / np.sqrt((v * v).sum(axis=1))[:, None]
+    x = unit(0.85 * np.eye(64)[0] + np.sqrt(1 - 0.85**2) * unit(g.normal(size=(1500, 64))))
+    to = g.normal(size=(500, 64))
+    y = 0.902 * x[:500] + np.sqrt(1 - 0.902**2) * unit(to - (to * x[:500]).sum(axis=1)[:, None] * x[:500])
+    m = np.concatenate([x, y])
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    link = unit(m) @ unit(m).T >= 0.9
+    np.fill_diagonal(link, False)
+    got = {r["vec_id"]: r["n_links"] for r in itq.near_duplicates(t).collect()}
+    assert all(got[i] <= n for i, n in enumerate(link.sum(axis=1))) and sum(got.values()) >= 0.93 * link.sum() >= 900
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
