@@ -202,7 +202,7 @@ def memo_check_recommendation(spark, sf_dir):
 
 def memo_broadcast(spark, sf_dir):
     e = corpora.memo_events(spark, sf_dir)
-    return memo.broadcast_changes(e.where("event = 'edit' and seq % 7 = 0"), memo.tracked(e, 30 * 86400))
+    return memo.broadcast_changes(e.where("event = 'edit'"), memo.tracked(e, 30 * 86400))
 
 
 def memo_stream(spark, sf_dir):

@@ -173,3 +173,13 @@ def test_queries_have_results(spark, sf):
 
     for name in ("literal_search", "memo_stream", "memo_session_totals", "context_pack_budget", "index_overlay_search"):
         assert QUERIES[name](spark, sf).columns
+
+
+def test_memo_broadcast_sends_every_edit(spark, sf):
+    from loomdex import queries
+    from loomdex.sources import corpora
+
+    e = corpora.memo_events(spark, sf)
+    edited = {r["path"] for r in e.where("event = 'edit'").select("path").collect()}
+    want = sorted((r["session_id"], r["path"]) for r in memo.tracked(e, 30 * 86400).select("session_id", "path").collect() if r["path"] in edited)
+    assert sorted((r["session_id"], r["path"]) for r in queries.memo_broadcast(spark, sf).collect()) == want and want
