@@ -8,7 +8,9 @@ beside the text, and the best run of matches (+1 a match, -MISMATCH a substituti
 the verified overlap. A text is contaminated by an item if that run has at least
 ``min(MIN_MATCHES, ceil(MIN_SHARE * words of the item))`` matches.
 
-Items shorter than a mask are sought by all of their words.
+Items under SHORT words are sought by masks that every run with enough matches contains: so
+many words in a row, or, from 9 words on, four on either side of a substitution (the score
+leaves room for no other one).
 
 The test side is read in blocks of bounded size; each block's hash table is broadcast and
 the training side, of any size, streams through without a shuffle. More test items mean
@@ -30,6 +32,9 @@ from .stream import frugal
 
 #: Fixed masks, weight 6; 1 marks a word that must agree.
 MASKS = ("111010011", "1101100011", "11001010011", "110100010101", "1010011000111")
+#: Items of fewer words use masks of their own.
+SHORT = 11
+AROUND = "111101111"
 MIN_MATCHES = 12
 MIN_SHARE = 0.7
 MISMATCH = 3
@@ -50,8 +55,10 @@ def _masked(h: np.ndarray, mask: str, tag: int) -> np.ndarray:
 
 def _masks_for(length: int) -> list[tuple[int, str]]:
     """(tag, mask) of the masks that an item of so many words uses."""
-    fits = [(i + 1, m) for i, m in enumerate(MASKS) if len(m) <= length]
-    return fits or ([(1000 + length, "1" * length)] if length else [])
+    if length < SHORT:
+        row = needed(length)
+        return [(1000 + row, "1" * row)] * (length > 0) + [(2000, AROUND)] * (length >= len(AROUND))
+    return [(i + 1, m) for i, m in enumerate(MASKS) if len(m) <= length]
 
 
 def best_run(match: np.ndarray) -> tuple[int, int, int]:

@@ -126,3 +126,15 @@ def test_itq_recall_at_the_threshold_off_centre(shared):
 def test_itq_fits_few_vectors(x):
     model = itq.fit(x, len(x), 0.9, 0.95)
     assert model.keys(model.codes(x)).shape == (len(x), model.tables)
+
+
+@pytest.mark.parametrize("n", range(1, 11))
+def test_short_items_have_a_seed_for_all_that_is_verified(n):
+    item = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    block = decontam.TestBlock([(0, item)])
+    for bits in range(1 << n):
+        match = np.array([bits >> i & 1 for i in range(n)], dtype=bool)
+        for cut in (0, 1):  # the text may begin within the item
+            text = np.where(match, item, np.uint64(7) + np.arange(n, dtype=np.uint64))[cut:]
+            if len(text) and decontam.best_run(match[cut:])[2] >= decontam.needed(n):
+                assert block.overlaps(text, np.zeros(len(text), dtype=np.int64), 0, 1), (n, match, cut)
