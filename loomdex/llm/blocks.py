@@ -4,24 +4,25 @@ A block is a set of members that must be compared pairwise, unless two of them h
 same ``class`` (already known to belong together). A block of up to ``cap`` members is one
 unit. A larger one is dealt into chunks, and each pair of chunks becomes a unit, so that
 every pair of members still meets in exactly one unit and no task gets more than 2 x cap.
+Members count as one each, or as much as a column ``load`` says.
 A class that fills whole chunks of its own needs no unit with itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNIT = ["unit_lo", "unit_hi"]
 
 
-def pair_units(rows: DataFrame, block: list[str], member: str, klass: str, cap: int) -> DataFrame:
+def pair_units(rows: DataFrame, block: list[str], member: str, klass: str, cap: int, load: Column | None = None) -> DataFrame:
     """``rows`` plus unit_lo, unit_hi and side (0: chunk against itself, 1 and 2: the two
     chunks of a unit); a row appears once for each unit it takes part in."""
-    if not rows.groupBy(*block).count().where(F.col("count") > cap).limit(1).count():
+    load = F.lit(1) if load is None else load
+    if not rows.groupBy(*block).agg(F.sum(load).alias("__n")).where(F.col("__n") > cap).limit(1).count():
         return rows.select("*", F.lit(0).alias("unit_lo"), F.lit(0).alias("unit_hi"), F.lit(0).alias("side"))
-    sizes = rows.groupBy(*block, klass).agg(F.count("*").alias("__n"))
+    sizes = rows.groupBy(*block, klass).agg(F.sum(load).alias("__n"))
     over_block = Window.partitionBy(*block)
     sizes = sizes.withColumn("__all", F.sum("__n").over(over_block))
     # classes of at least half a chunk get chunks of their own; the rest share mixed ones

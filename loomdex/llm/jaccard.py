@@ -11,20 +11,20 @@ the component that is returned.
    n - ceil(percent * n / 100) + 1 shingles in any common order. The order here puts
    shingles that many classes share last (a Bloom filter of fixed size names them; a
    false positive changes the order for all sets alike and loses nothing).
-3. Classes that share a prefix shingle form a block. First each class is verified against
-   the hub it shares most blocks with (the member of a block of which the largest part
-   is shared at all), and what links is joined. Copies with small edits
-   meet here.
-4. Blocks whose members then still are of different components get a signature tree each;
-   the dual traversal returns the pairs between components that can still reach the
-   threshold. A pair that links also has a least number of common prefix shingles
-   (``least_common``), so the blocks of each pair are counted, and what is left is verified
-   on the full sets. Pairs within a component are skipped: their link would change nothing.
-
-Full sets are made only for the classes of pairs that are verified.
-
-Blocks over ``cap`` members are cut into units by ``blocks.pair_units``; no group is
-collected, capped or sampled.
+3. Classes that share a prefix shingle form a block, and each block has a hub, the member
+   of which the largest part is shared at all (a text that others were edited from). All
+   members of the blocks of one hub form a group; two sets that link meet in at least one.
+4. In each group the dual traversal of signature trees finds the members that can reach the
+   threshold with another one: by sizes, by the overlap that the bitmaps allow, and by the
+   prefix shingles that two linking sets have in common (``least_common``). The traversal
+   leaves the task as a list of members, not of pairs.
+5. The full sets of these members only come to the same groups, where the tree's pairs are
+   counted exactly, first each member against the hub. A pair within a component is skipped,
+   as its link would change nothing, so a group returns less links than it has members.
+
+Groups over ``cap`` are first cut into parts that all hold the hub; what then is not yet of
+one component is compared across parts by ``blocks.pair_units``. No group is collected,
+capped or sampled.
 """
 
 from __future__ import annotations
@@ -44,6 +44,10 @@ from .stream import frugal, runs
 #: Repeats within tasks, over all tasks, that make a shingle frequent.
 FREQUENT = 4
 BLOOM_BITS = 1 << 25
+#: Shingles of a set that one row carries, and those that a member of a full unit has on average.
+SET_ROW = 2048
+SHINGLES_A_MEMBER = 512
+GROUP = ["hub", *UNIT]
 _NO_ID = -(1 << 63)
 
 
@@ -124,20 +128,6 @@ def rounded_up(x, y: int):
     return -F.floor(-x / F.lit(float(y)))
 
 
-def least_common(a, b, percent: int):
-    """Least number of common prefix shingles of two linking sets of sizes a and b (columns):
-    of o common shingles the k-th stands at k + a - o in one order and k + b - o in the
-    other at most, and both prefixes hold it while that is within their lengths."""
-
-    o = rounded_up(percent * (a + b), 100 + percent)
-    room = [o - rounded_up(percent * n, 100) + 1 for n in (a, b)]
-    return F.greatest(F.least(*room), F.lit(1))
-
-
-def _near_sizes(a, b, percent: int):
-    return (100 * a >= percent * b) & (100 * b >= percent * a)
-
-
 def _prefixes(k: int, percent: int, bloom):
     def run(batches):
         bits, seen = bloom.value, set()
@@ -165,55 +155,123 @@ def _prefixes(k: int, percent: int, bloom):
 def _full_sets(k: int):
     def run(batches):
         for batch in batches:
-            cids, sets = [], []
+            cids, part, sets = [], [], []
             for _, s in _sets(batch, k):
-                if len(s):
-                    cids.append(fingerprint(s))
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "shingles"])
+                c = fingerprint(s) if len(s) else 0
+                for i in range(0, len(s), SET_ROW):
+                    cids.append(c)
+                    part.append(i // SET_ROW)
+                    sets.append(s[i : i + SET_ROW].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(part, pa.int32()), pa.array(sets, pa.binary())], names=["cid", "part", "shingles"])
 
     return run
 
 
-def linked(shared: int, a: int, b: int, percent: int) -> bool:
-    return a > 0 and b > 0 and 100 * shared >= percent * (a + b - shared)
+def _unit(unit: pa.Table) -> dict[str, np.ndarray]:
+    """Columns of the distinct members of a unit (a long set comes as several rows)."""
+    cid, first, member = np.unique(unit.column("cid").to_numpy(), return_index=True, return_inverse=True)
+    out = {c: unit.column(c).to_numpy()[first] for c in ("n", "shared", "comp", "side")}
+    maps = unit.column("map").take(pa.array(first)).to_pylist()
+    return out | {"cid": cid, "member": member, "map": np.frombuffer(b"".join(maps), dtype=np.uint64).reshape(len(cid), -1)}
+
+
+def _pairs(u: dict[str, np.ndarray], label: np.ndarray, percent: int, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of members of different labels that may link and of which one at least
+    is ``open_``, by dual traversal."""
 
+    def tree(at):
+        return SignatureTree(u["n"][at], u["map"][at], label[at], u["shared"][at])
+
+    whole = (u["side"] == 0).any()
+    sides = [(open_, np.ones(len(open_), dtype=bool))] if whole else [(open_ & (u["side"] == 1), u["side"] == 2), (open_ & (u["side"] == 2), u["side"] == 1)]
+    left, right = [], []
+    for a, b in sides:
+        a, b = np.flatnonzero(a), np.flatnonzero(b)
+        if len(a) and len(b):
+            i, j = dual(tree(a), tree(b), percent)
+            left.append(a[i])
+            right.append(b[j])
+    if not left:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    i, j = np.concatenate(left), np.concatenate(right)
+    once = ~open_[j] | (i < j)  # a pair of two open members comes twice
+    return i[once], j[once]
+
+
+def _able(percent: int):
+    """Members of each unit that may link with a member of another component."""
 
-def _verify(percent: int):
     def run(batches):
-        for batch in batches:
-            x, y = batch.column("sa"), batch.column("sb")
-            ok = []
-            for i in range(batch.num_rows):
-                left, right = (np.frombuffer(c[i].as_buffer(), dtype=U64) for c in (x, y))
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                ok.append(linked(both, len(left), len(right), percent))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for unit in runs(batches, GROUP):
+            u = _unit(unit)
+            _, label = np.unique(u["comp"], return_inverse=True)
+            able = np.zeros(len(label), dtype=bool)
+            hub = np.flatnonzero(u["cid"] == unit.column("hub")[0].as_py())
+            if len(hub) and (u["side"] == 0).all():
+                h = np.zeros(len(label), dtype=bool)
+                h[hub] = True
+                i, j = _pairs(u, label, percent, h)
+                able[i] = able[j] = True
+            i, j = _pairs(u, label, percent, ~able)
+            able[i] = able[j] = True
+            if able.any():
+                first = np.unique(u["member"], return_index=True)[1][able]
+                yield from unit.take(pa.array(first)).combine_chunks().to_batches()
 
     return run
 
 
-def _candidates(percent: int):
+def linked(shared, a, b, percent: int):
+    return (a > 0) & (b > 0) & (100 * shared >= percent * (a + b - shared))
+
+
+def _links(percent: int):
+    """Links (a, b) that join the components of each unit's members, counted on full sets."""
+
     def run(batches):
-        for unit in runs(batches, ["token", *UNIT]):
-            cid = unit.column("cid").to_numpy()
-            n, comp, side = (unit.column(c).to_numpy() for c in ("n", "comp", "side"))
-            maps = np.frombuffer(b"".join(unit.column("map").to_pylist()), dtype=np.uint64).reshape(len(cid), -1)
-            parts = [np.flatnonzero(side == s) for s in (0, 1, 2)]
-            if len(parts[0]):
-                at = parts[0]
-                i, j = dual(SignatureTree(n[at], maps[at], comp[at]), None, percent)
-                i, j = at[i], at[j]
-            elif len(parts[1]) and len(parts[2]):
-                p, q = parts[1], parts[2]
-                i, j = dual(SignatureTree(n[p], maps[p], comp[p]), SignatureTree(n[q], maps[q], comp[q]), percent)
-                i, j = p[i], q[j]
-            else:
-                continue
-            if len(i):
-                i, j = np.where(cid[i] < cid[j], i, j), np.where(cid[i] < cid[j], j, i)
-                weight = np.full(len(i), unit.column("weight")[0].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cid[i], cid[j], n[i], n[j], weight)], names=["a", "b", "na", "nb", "weight"])
+        for unit in runs(batches, GROUP):
+            u = _unit(unit)
+            n, cid = u["n"], u["cid"]
+            parts = [np.frombuffer(x.as_buffer(), dtype=U64) for x in unit.column("shingles")]
+            _, code = np.unique(np.concatenate(parts), return_inverse=True)
+            owner = np.repeat(u["member"], [len(x) for x in parts])
+            order = np.argsort(owner, kind="stable")
+            code, at = code[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))])
+            mark = np.zeros(int(code.max()) + 1, dtype=bool)
+            _, label = np.unique(u["comp"], return_inverse=True)
+            out: list[tuple[int, int]] = []
+
+            def count(i: int, j: np.ndarray) -> None:
+                """Joins what links with i."""
+                j = j[label[j] != label[i]]
+                if not len(j):
+                    return
+                mark[code[at[i] : at[i + 1]]] = True
+                size = at[j + 1] - at[j]
+                start = np.cumsum(size) - size
+                both = np.add.reduceat(mark[code[np.arange(int(size.sum())) + np.repeat(at[j] - start, size)]], start, dtype=np.int64)
+                mark[code[at[i] : at[i + 1]]] = False
+                for k in j[linked(both, n[i], n[j], percent)].tolist():
+                    if label[k] != label[i]:
+                        out.append((min(cid[i], cid[k]), max(cid[i], cid[k])))
+                        label[label == label[k]] = label[i]
+
+            hub = np.flatnonzero(cid == unit.column("hub")[0].as_py())
+            if len(hub) and (u["side"] == 0).all():
+                near = (100 * n >= percent * n[hub[0]]) & (100 * n[hub[0]] >= percent * n)
+                for block in np.array_split(np.flatnonzero(near), len(n) // 256 + 1):
+                    count(int(hub[0]), block)
+            open_ = label != np.bincount(label).argmax()
+            i, j = _pairs(u, label.copy(), percent, open_)
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            cuts = np.flatnonzero(np.diff(i)) + 1
+            for first, block in zip(i[np.concatenate([[0], cuts])] if len(i) else [], np.split(j, cuts)):
+                for some in np.array_split(block, len(block) // 256 + 1):
+                    count(int(first), some)
+            if out:
+                a, b = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -226,7 +284,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, cap: int
     of 1 to k-1 words is one shingle. A null, empty or blank text has 0 shingles and links
     with nothing: its component is its own doc_id. A null doc_id gets the component of
     its class, which is null if no member has an id. Repeated rows give repeated results.
-    Memory: one document's set, one unit of 2 x cap bitmaps, and the fixed Bloom filter.
+    Memory: one document's set, one unit of 2 x cap members of SHINGLES_A_MEMBER shingles on
+    average, and the fixed Bloom filter.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -239,53 +298,47 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, cap: int
         tokens = prefixes.select("cid", "n", F.explode("prefix").alias("token"))
         block = Window.partitionBy("token")
         shared = tokens.withColumn("lo", F.min("cid").over(block)).withColumn("hi", F.max("cid").over(block)).where("lo < hi")
-        shared = scratch.table(shared.dropDuplicates(["token", "cid"]).select("token", "cid", "n"), "shared-0")
+        shared = scratch.table(shared.dropDuplicates(["token", "cid"]).select("token", "cid", "n"), "shared")
         # a text that others were edited from shares all of its shingles, an edited one misses some
-        kept = shared.groupBy("cid").agg((F.count("*") / (F.first("n") - rounded_up(percent * F.first("n"), 100) + 1)).alias("kept"))
-        shared = shared.join(kept, "cid").withColumn("hub", F.max(F.struct("kept", "cid", "n")).over(block))
-        shared = scratch.table(shared.select("token", "cid", "n", F.col("hub.cid").alias("lo"), F.col("hub.n").alias("lo_n")), "shared")
-
-        def verified(pairs: DataFrame, name: str) -> DataFrame:
-            """The pairs (a, b) that link, by their full sets."""
-            pairs = scratch.table(pairs, f"pairs-{name}")
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-            wanted = scratch.table(wanted.join(classes, "cid").select(F.coalesce("rep", F.lit(_NO_ID)).alias("__id"), "cid"), f"wanted-{name}")
+        kept = shared.groupBy("cid").agg(F.count("*").alias("shared"))
+        some = shared.join(kept, "cid").withColumn("part", F.col("shared") / (F.col("n") - rounded_up(percent * F.col("n"), 100) + 1))
+        some = scratch.table(some, "kept")
+        hubs = some.groupBy("token").agg(F.max(F.struct("part", "cid"))["cid"].alias("hub"))
+        groups = some.join(hubs, "token").groupBy("hub", "cid").agg(F.first("n").alias("n"), F.first("shared").alias("shared"))
+        maps = profile.where("map is not null").select("cid", "map").dropDuplicates(["cid"])
+        groups = scratch.table(groups.join(maps, "cid").select("hub", "cid", "n", "shared", F.col("cid").alias("comp"), "map"), "groups")
+        load = F.greatest(F.lit(1.0), F.col("n") / F.lit(float(SHINGLES_A_MEMBER)))
+
+        def links(units: DataFrame, name: str) -> DataFrame:
+            """Links between the components of each unit's members."""
+            fields = [*GROUP, "side", "cid", "n", "shared", "comp", "map"]
+            able = units.select(*fields).repartition(*[F.col(c) for c in GROUP]).sortWithinPartitions(*GROUP)
+            able = able.mapInArrow(frugal(_able(percent)), "hub long, unit_lo int, unit_hi int, side int, cid long, n long, shared long, comp long, map binary")
+            able = scratch.table(able, f"able-{name}")
+            wanted = scratch.table(able.select("cid").distinct().join(classes, "cid").select(F.coalesce("rep", F.lit(_NO_ID)).alias("__id"), "cid"), f"wanted-{name}")
             keyed = rows.withColumn("__id", F.coalesce("doc_id", F.lit(_NO_ID)))
             texts = keyed.join(broadcast_if_small(wanted.select("__id").distinct()), "__id", "left_semi").select("text")
-            full = texts.mapInArrow(frugal(_full_sets(k)), "cid long, shingles binary")
-            full = scratch.table(full.join(broadcast_if_small(wanted.select("cid")), "cid", "left_semi"), f"full-{name}")
-            left = full.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
-            right = full.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
-            both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-            return scratch.table(both.mapInArrow(frugal(_verify(percent)), "a long, b long"), f"links-{name}")
-
-        # blocks of the same two with another hub are not seen here, hence the half
-        first = shared.where("cid != lo").groupBy("cid", "n", "lo", "lo_n").agg(F.count("*").alias("c"))
-        first = first.where(_near_sizes(F.col("n"), F.col("lo_n"), percent) & (2 * F.col("c") >= least_common(F.col("n"), F.col("lo_n"), percent)))
-        first = first.groupBy("cid").agg(F.max_by("lo", F.struct("c", "lo")).alias("b")).select(F.col("cid").alias("a"), "b")
-        links = verified(first, "1")
-        found = scratch.table(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "cc1"), "comp-1")
-
-        labelled = shared.join(found, shared["cid"] == found["node"], "left").select("token", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
-        open_ = labelled.withColumn("lo", F.min("comp").over(block)).withColumn("hi", F.max("comp").over(block)).where("lo < hi").drop("lo", "hi")
-        open_ = scratch.table(open_, "open")
-        # blocks with the same members give the same pairs: one of them is enough
-        same = open_.groupBy("token").agg(F.bit_xor(F.xxhash64("cid")).alias("f"), F.bit_xor(F.xxhash64("cid", F.lit(7))).alias("g"), F.count("*").alias("c"))
-        same = same.groupBy("f", "g", "c").agg(F.min("token").alias("token"), F.count("*").alias("weight")).select("token", "weight")
-        open_ = scratch.table(open_.join(same, "token"), "blocks")
-        maps = profile.where("map is not null").select("cid", "map").join(open_.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
-        units = pair_units(open_, ["token"], "cid", "comp", cap).join(maps, "cid")
-        units = units.repartition(F.col("token"), *[F.col(c) for c in UNIT]).sortWithinPartitions("token", *UNIT)
-        pairs = units.select("token", *UNIT, "cid", "n", "comp", "side", "weight", "map").mapInArrow(frugal(_candidates(percent)), "a long, b long, na long, nb long, weight long")
-        pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("weight").alias("c")).where(F.col("c") >= least_common(F.col("na"), F.col("nb"), percent)).select("a", "b")
-        more = verified(pairs, "2")
-        label = found.select(F.col("node"), F.col("comp"))
-        joined = more.join(label.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-        again = connected_components(joined.select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v")), scratch, "cc2")
-        again = scratch.table(again.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp-2")
+            full = texts.mapInArrow(frugal(_full_sets(k)), "cid long, part int, shingles binary")
+            full = full.join(broadcast_if_small(wanted.select("cid")), "cid", "left_semi").dropDuplicates(["cid", "part"]).drop("part")
+            both = able.join(full, "cid").select(*fields, "shingles").repartition(*[F.col(c) for c in GROUP]).sortWithinPartitions(*GROUP)
+            return scratch.table(both.mapInArrow(frugal(_links(percent)), "a long, b long"), f"links-{name}").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+        sizes = groups.groupBy("hub").agg(F.ceil(F.sum(load) / F.lit(float(cap))).cast("int").alias("parts"))
+        dealt = groups.join(sizes, "hub").withColumn("every", F.col("cid") == F.col("hub"))
+        part = F.pmod(F.xxhash64("cid"), F.col("parts").cast("long")).cast("int")
+        dealt = dealt.withColumn("unit_lo", F.explode(F.when(F.col("every"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))))
+        dealt = dealt.withColumn("unit_hi", F.col("unit_lo")).withColumn("side", F.lit(0))
+        edges = links(dealt, "1")
+        found = scratch.table(connected_components(edges, scratch, "cc1"), "comp-1")
+        over = scratch.table(sizes.where("parts > 1").select("hub"), "over")
+        if over.limit(1).count():
+            large = groups.join(broadcast_if_small(over), "hub", "left_semi").drop("comp").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+            mixed = large.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hub")
+            large = scratch.table(large.join(mixed, "hub", "left_semi"), "large")
+            again = links(pair_units(large, ["hub"], "cid", "comp", cap, load), "2")
+            found = scratch.table(connected_components(edges.union(again), scratch, "cc2"), "comp-2")
 
         member = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        member = member.join(again, "comp", "left").select("cid", "rep", F.coalesce("top", "comp").alias("comp"))
         member = scratch.table(member, "members")
         least = member.groupBy("comp").agg(F.min("rep").alias("component_id"))
         named = member.join(least, "comp").select("cid", "component_id")

@@ -1,6 +1,7 @@
 """Signature trees over shingle sets.
 
-Every item has a bitmap (its shingles hashed to BITS positions), a size and a class. A
+Every item has a bitmap (its shingles hashed to BITS positions), a size, a class and the
+number of its prefix shingles that other items have at all. A
 node holds the OR of the bitmaps below it, the range of sizes, the largest surplus (how
 many shingles share a bit with another one of the same set) and the range of classes.
 Two sets below nodes X and Y share at most
@@ -10,7 +11,8 @@ Two sets below nodes X and Y share at most
 shingles, since all but ``surplus`` shingles of a set have a bit of their own. The dual
 traversal drops a pair of nodes if that is less than the least overlap that sets of their
 smallest sizes need, if no two sizes of theirs are near enough, or if all items below are
-of one class. It never drops a pair of items that could link.
+of one class. Items also have to have ``least_common`` prefix shingles that others share.
+It never drops a pair of items that could link.
 """
 
 from __future__ import annotations
@@ -30,11 +32,21 @@ def bitmap(shingle_hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
+def least_common(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Least number of common prefix shingles of two linking sets of sizes a and b: of o
+    common shingles the k-th stands at k + a - o in one order and k + b - o in the other at
+    most, and both prefixes hold it while that is within their lengths."""
+    o = -(-percent * (a + b) // (100 + percent))
+    room = [o + (-percent * n // 100) + 1 for n in (a, b)]
+    return np.maximum(np.minimum(*room), 1)
+
+
 class SignatureTree:
     """Items sorted by size; levels[0] are the items, the last level is one node."""
 
-    def __init__(self, sizes: np.ndarray, maps: np.ndarray, classes: np.ndarray):
+    def __init__(self, sizes: np.ndarray, maps: np.ndarray, classes: np.ndarray, shared: np.ndarray | None = None):
         self.order = np.lexsort((classes, sizes))
+        self.shared = None if shared is None else shared[self.order]
         sizes, maps, classes = sizes[self.order], maps[self.order], classes[self.order]
         surplus = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
         self.levels = [(sizes, sizes, maps, surplus, classes, classes)]
@@ -103,6 +115,9 @@ def dual(a: SignatureTree, b: SignatureTree | None, percent: int) -> tuple[np.nd
         if same:
             up = i <= j if level > 1 else i < j
             i, j = i[up], j[up]
+    if a.shared is not None and b.shared is not None:
+        near = np.minimum(a.shared[i], b.shared[j]) >= least_common(a.levels[0][0][i], b.levels[0][0][j], percent)
+        i, j = i[near], j[near]
     if same and height == 1:
         i = j = np.zeros(0, dtype=np.int64)
     return a.order[i], b.order[j]

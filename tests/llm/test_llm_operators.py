@@ -74,6 +74,24 @@ def test_jaccard(spark, cap):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("cap", [2048, 40])
+def test_jaccard_families(spark, cap):
+    """Families of many edited copies, of which some link only with others of their kind."""
+    g = np.random.default_rng(11)
+    word = lambda: f"w{g.integers(0, 4000)}"
+    rows = []
+    for family in range(4):
+        base = [word() for _ in range(int(g.integers(30, 90)))]
+        for _ in range(60):
+            t = list(base if g.random() < 0.7 or not rows else rows[int(g.integers(0, len(rows)))][1].split())
+            for _ in range(int(g.integers(0, 4))):
+                t[int(g.integers(0, len(t)))] = word()
+            rows.append((len(rows) + 1, " ".join(t[: max(8, len(t) - int(g.integers(0, 4)))]), "s"))
+    want = brute_components(rows)
+    assert len({c for _, _, c in want}) > 20
+    assert Counter(map(tuple, jaccard.jaccard_components(table(spark, rows), cap=cap).collect())) == want
+
+
 def test_jaccard_empty(spark):
     assert jaccard.jaccard_components(table(spark, [])).count() == 0
 
