@@ -11,7 +11,9 @@ the component that is returned.
    n - ceil(percent * n / 100) + 1 shingles in any common order. The order here puts
    shingles that many classes share last (a Bloom filter of fixed size names them; a
    false positive changes the order for all sets alike and loses nothing).
-3. Classes that share a prefix shingle form a block, and each block has a hub, the member
+3. Classes that share a prefix shingle form a block. A block of two is a pair; such pairs are
+   counted, and those with too few common shingles are dropped unless they meet in a larger
+   block. Each larger block has a hub, the member
    of which the largest part is shared at all (a text that others were edited from). All
    members of the blocks of one hub form a group; two sets that link meet in at least one.
 4. In each group the dual traversal of signature trees finds the members that can reach the
@@ -48,6 +50,11 @@ BLOOM_BITS = 1 << 25
 SET_ROW = 2048
 SHINGLES_A_MEMBER = 512
 GROUP = ["hub", *UNIT]
+#: Parts that the members of a frequent shingle's block are spread over.
+SALTS = 64
+#: Members a task compares, and members of which a table is broadcast (about 200 bytes each).
+ROWS_A_TASK = 20_000
+MEMBERS_SENT = 200_000
 _NO_ID = -(1 << 63)
 
 
@@ -128,11 +135,18 @@ def rounded_up(x, y: int):
     return -F.floor(-x / F.lit(float(y)))
 
 
+def least_common_of(a: str, b: str, percent: int):
+    """``sigtree.least_common`` of two columns."""
+    o = rounded_up(percent * (F.col(a) + F.col(b)), 100 + percent)
+    room = [o - rounded_up(percent * F.col(n), 100) + 1 for n in (a, b)]
+    return F.greatest(F.least(*room), F.lit(1))
+
+
 def _prefixes(k: int, percent: int, bloom):
     def run(batches):
         bits, seen = bloom.value, set()
         for batch in batches:
-            cids, ns, lists = [], [], []
+            cids, ns, rare, lists = [], [], [], []
             for _, s in _sets(batch, k):
                 if not len(s) or (c := fingerprint(s)) in seen:
                     continue
@@ -143,21 +157,27 @@ def _prefixes(k: int, percent: int, bloom):
                 p = prefix_length(len(s), percent)
                 cids.append(c)
                 ns.append(len(s))
+                rare.append(len(s) - int(frequent.sum()))
                 lists.append(signed(np.concatenate([s[~frequent], s[frequent]])[:p] if frequent.any() else s[:p]))
             offsets = np.zeros(len(lists) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in lists], out=offsets[1:])
             values = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(ns, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["cid", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(ns, pa.int64()), pa.array(rare, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["cid", "n", "rare", "prefix"])
 
     return run
 
 
 def _full_sets(k: int):
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             cids, part, sets = [], [], []
             for _, s in _sets(batch, k):
-                c = fingerprint(s) if len(s) else 0
+                if not len(s) or (c := fingerprint(s)) in seen:
+                    continue
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(c)
                 for i in range(0, len(s), SET_ROW):
                     cids.append(c)
                     part.append(i // SET_ROW)
@@ -230,6 +250,9 @@ def _links(percent: int):
 
     def run(batches):
         for unit in runs(batches, GROUP):
+            once = np.unique(np.stack([unit.column("cid").to_numpy(), unit.column("part").to_numpy()]), axis=1, return_index=True)[1]
+            if len(once) < unit.num_rows:  # copies of a text that several tasks have seen
+                unit = unit.take(pa.array(np.sort(once)))
             u = _unit(unit)
             n, cid = u["n"], u["cid"]
             parts = [np.frombuffer(x.as_buffer(), dtype=U64) for x in unit.column("shingles")]
@@ -294,45 +317,66 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, cap: int
         own = profile.where("token is null").select("doc_id", F.col("n").alias("n_shingles"), "cid")
         classes = scratch.table(own.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep")), "classes")
         bloom = spark.sparkContext.broadcast(_bloom(profile))
-        prefixes = rows.select("text").mapInArrow(frugal(_prefixes(k, percent, bloom)), "cid long, n long, prefix array<long>")
-        tokens = prefixes.select("cid", "n", F.explode("prefix").alias("token"))
-        block = Window.partitionBy("token")
-        shared = tokens.withColumn("lo", F.min("cid").over(block)).withColumn("hi", F.max("cid").over(block)).where("lo < hi")
-        shared = scratch.table(shared.dropDuplicates(["token", "cid"]).select("token", "cid", "n"), "shared")
+        prefixes = rows.select("text").mapInArrow(frugal(_prefixes(k, percent, bloom)), "cid long, n long, rare int, prefix array<long>")
+        tokens = prefixes.select("cid", "n", "rare", F.posexplode("prefix").alias("at", "token")).withColumn("frequent", F.col("at") >= F.col("rare"))
+        # a shingle that no task saw twice has no large block; the members of others are spread
+        tokens = tokens.withColumn("salt", F.when(F.col("frequent"), F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int")).otherwise(-1))
+        block = Window.partitionBy("token", "salt")
+        seen = tokens.select("token", "salt", "cid", "n", "frequent").withColumn("lo", F.min("cid").over(block)).withColumn("hi", F.max("cid").over(block))
+        seen = seen.where("frequent or lo < hi").dropDuplicates(["token", "salt", "cid"])
+        seen = seen.withColumn("more", F.max((F.col("cid") != F.col("lo")) & (F.col("cid") != F.col("hi"))).over(block))
+        seen = scratch.table(seen.select("token", "cid", "n", "frequent", "lo", "hi", "more"), "seen")
+        often = seen.where("frequent")
+        common = often.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("token")
+        multi = seen.where("not frequent and more").select("token", "cid", "n").union(often.join(common, "token", "left_semi").select("token", "cid", "n"))
+        multi = scratch.table(multi, "multi")
+
+        # most blocks are of two: the pair needs no hub, and its count is known unless it meets in others too
+        two = seen.where("not frequent and not more").groupBy("lo", "hi").agg(F.min_by("n", "cid").alias("na"), F.max_by("n", "cid").alias("nb"), (F.count("*") / 2).cast("long").alias("c"))
+        two = scratch.table(two, "two")
+        each = two.select(F.explode(F.array("lo", "hi")).alias("cid"), "c").union(multi.groupBy("cid").agg(F.count("*").alias("c")))
+        shared = scratch.table(each.groupBy("cid").agg(F.sum("c").alias("shared")), "shared")
+        two = two.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")) & (F.col("c") >= least_common_of("na", "nb", percent)))
         # a text that others were edited from shares all of its shingles, an edited one misses some
-        kept = shared.groupBy("cid").agg(F.count("*").alias("shared"))
-        some = shared.join(kept, "cid").withColumn("part", F.col("shared") / (F.col("n") - rounded_up(percent * F.col("n"), 100) + 1))
-        some = scratch.table(some, "kept")
-        hubs = some.groupBy("token").agg(F.max(F.struct("part", "cid"))["cid"].alias("hub"))
-        groups = some.join(hubs, "token").groupBy("hub", "cid").agg(F.first("n").alias("n"), F.first("shared").alias("shared"))
+        part = F.col("shared") / (F.col("n") - rounded_up(percent * F.col("n"), 100) + 1)
+        multi = scratch.table(multi.join(shared, "cid").select("token", "cid", "n", part.alias("part")), "ranked")
+        hubs = multi.groupBy("token").agg(F.max(F.struct("part", "cid"))["cid"].alias("hub"))
+        groups = multi.join(hubs, "token").select("hub", "cid", "n")
+        groups = groups.union(two.select("lo", "lo", "na")).union(two.select("lo", "hi", "nb")).groupBy("hub", "cid").agg(F.first("n").alias("n"))
         maps = profile.where("map is not null").select("cid", "map").dropDuplicates(["cid"])
-        groups = scratch.table(groups.join(maps, "cid").select("hub", "cid", "n", "shared", F.col("cid").alias("comp"), "map"), "groups")
+        groups = groups.join(shared, "cid").join(maps, "cid")
+        groups = scratch.table(groups.select("hub", "cid", "n", "shared", F.col("cid").alias("comp"), "map"), "groups")
         load = F.greatest(F.lit(1.0), F.col("n") / F.lit(float(SHINGLES_A_MEMBER)))
 
         def links(units: DataFrame, name: str) -> DataFrame:
             """Links between the components of each unit's members."""
             fields = [*GROUP, "side", "cid", "n", "shared", "comp", "map"]
-            able = units.select(*fields).repartition(*[F.col(c) for c in GROUP]).sortWithinPartitions(*GROUP)
+            keys = [F.col(c) for c in GROUP]
+            tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups.count() // ROWS_A_TASK + 1)  # work follows members, not bytes
+            able = units.select(*fields).repartition(tasks, *keys).sortWithinPartitions(*GROUP)
             able = able.mapInArrow(frugal(_able(percent)), "hub long, unit_lo int, unit_hi int, side int, cid long, n long, shared long, comp long, map binary")
             able = scratch.table(able, f"able-{name}")
-            wanted = scratch.table(able.select("cid").distinct().join(classes, "cid").select(F.coalesce("rep", F.lit(_NO_ID)).alias("__id"), "cid"), f"wanted-{name}")
+            wanted = scratch.table(able.select("cid").distinct().join(classes, "cid").select(F.coalesce("rep", F.lit(_NO_ID)).alias("__id")).distinct(), f"wanted-{name}")
             keyed = rows.withColumn("__id", F.coalesce("doc_id", F.lit(_NO_ID)))
-            texts = keyed.join(broadcast_if_small(wanted.select("__id").distinct()), "__id", "left_semi").select("text")
+            texts = keyed.join(broadcast_if_small(wanted), "__id", "left_semi").select("text")
             full = texts.mapInArrow(frugal(_full_sets(k)), "cid long, part int, shingles binary")
-            full = full.join(broadcast_if_small(wanted.select("cid")), "cid", "left_semi").dropDuplicates(["cid", "part"]).drop("part")
-            both = able.join(full, "cid").select(*fields, "shingles").repartition(*[F.col(c) for c in GROUP]).sortWithinPartitions(*GROUP)
+            if able.limit(MEMBERS_SENT + 1).count() <= MEMBERS_SENT:  # the sets are shuffled once
+                both = full.join(F.broadcast(able), "cid")
+            else:
+                both = full.repartition("cid").dropDuplicates(["cid", "part"]).join(able, "cid")
+            both = both.select(*fields, "part", "shingles").repartition(tasks, *keys).sortWithinPartitions(*GROUP)
             return scratch.table(both.mapInArrow(frugal(_links(percent)), "a long, b long"), f"links-{name}").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-        sizes = groups.groupBy("hub").agg(F.ceil(F.sum(load) / F.lit(float(cap))).cast("int").alias("parts"))
-        dealt = groups.join(sizes, "hub").withColumn("every", F.col("cid") == F.col("hub"))
+        over = groups.groupBy("hub").agg(F.ceil(F.sum(load) / F.lit(float(cap))).cast("int").alias("parts")).where("parts > 1")
+        over = scratch.table(over, "over")
+        dealt = groups.join(broadcast_if_small(over), "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         part = F.pmod(F.xxhash64("cid"), F.col("parts").cast("long")).cast("int")
-        dealt = dealt.withColumn("unit_lo", F.explode(F.when(F.col("every"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))))
+        dealt = dealt.withColumn("unit_lo", F.explode(F.when(F.col("cid") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))))
         dealt = dealt.withColumn("unit_hi", F.col("unit_lo")).withColumn("side", F.lit(0))
         edges = links(dealt, "1")
         found = scratch.table(connected_components(edges, scratch, "cc1"), "comp-1")
-        over = scratch.table(sizes.where("parts > 1").select("hub"), "over")
         if over.limit(1).count():
-            large = groups.join(broadcast_if_small(over), "hub", "left_semi").drop("comp").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+            large = groups.join(broadcast_if_small(over.select("hub")), "hub", "left_semi").drop("comp").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
             mixed = large.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hub")
             large = scratch.table(large.join(mixed, "hub", "left_semi"), "large")
             again = links(pair_units(large, ["hub"], "cid", "comp", cap, load), "2")
