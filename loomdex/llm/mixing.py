@@ -18,13 +18,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ranks import running
-from .scratch import broadcast_if_small
+from .ranks import dealt, running
+from .scratch import Scratch, broadcast_if_small, fresh
 
-ROWS_A_BUCKET = 50_000
+ROWS_A_BUCKET = 20_000
 
 
 def tempered_weights(counts: list[int], alpha: float, resolution: int) -> list[int]:
@@ -83,16 +83,17 @@ def plan(spark: SparkSession, weights: list[int], blocks: list[int]) -> list[dic
     return rows
 
 
-def mix(docs: DataFrame, weights: dict | None = None, default_weight: int = 1, alpha: float = 0.5, resolution: int = 1000, block_rows: int = 4) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, default_weight: int = 1, alpha: float = 0.5, resolution: int = 1000, block_rows: int = 4, tie: Column | None = None) -> DataFrame:
     """``docs`` (doc_id, source, any others) plus mix_block long (number within the source),
     mix_phase int, mix_slot long (of the block) and mix_position long (gapless from 0).
 
     ``weights`` gives an integer for each source, ``default_weight`` for those it lacks;
     without it weights follow count ** alpha. A null source is a source of its own. Every
-    row is kept, repeated ones too; rows with the same doc_id are ordered by a hash of
-    their columns. An empty table stays empty. The driver holds one row for each source
-    (sources are assumed to be few: the plan has sources x sources rows at most).
-    Columns of ``docs`` named like the new ones are replaced.
+    row is kept, repeated ones too; rows with the same doc_id are ordered by ``tie``, which is
+    a hash of all columns if not given. An empty table stays empty. The driver holds one row
+    for each source (sources are assumed to be few: the plan has sources x sources rows at
+    most). Columns of ``docs`` named like the new ones are replaced. ``docs`` is written twice
+    on the way, in the order of a source's rows and with the result, so give it narrow.
     """
     spark = docs.sparkSession
     docs = docs.drop("mix_block", "mix_phase", "mix_slot", "mix_position")
@@ -115,11 +116,18 @@ def mix(docs: DataFrame, weights: dict | None = None, default_weight: int = 1, a
         later = [x["first"] for x in rows if x["source_no"] == r["source_no"] and x["phase"] > r["phase"]]
         data.append((names[r["source_no"]], r["phase"], r["first"], min(later, default=1 << 60), r["weight"], r["base"], r["period"], r["places"], sum(x for p, x in lack if p < r["phase"])))
     phases = spark.createDataFrame(data, schema)
-    bits = max(0, min(16, math.ceil(math.log2(max(total, 1) / ROWS_A_BUCKET)) if total > ROWS_A_BUCKET else 0))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    bucket = F.shiftright(F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"), 16 - bits)
-    ranked = docs.withColumn("__h", key).withColumn("__b", bucket)
-    ranked = running(ranked, ["source"], "__b", ["__h", "doc_id", F.xxhash64(*docs.columns)], {"__rank": F.lit(1).cast("long")})
+    along = [fresh(docs, n) for n in ("__h", "__tie", "__row")]
+    named = docs.withColumns({along[0]: key, along[1]: F.xxhash64(*docs.columns) if tie is None else tie, along[2]: F.monotonically_increasing_id()})
+    along.insert(1, "doc_id")
+    with Scratch(spark, "mixing") as scratch:
+        ranked = dealt(named, ["source", *along], total, ROWS_A_BUCKET, scratch, "ranked")
+        ranked = running(ranked, ["source"], "__b", along, {"__rank": F.lit(1).cast("long")})
+        return scratch.keep(_positions(ranked, phases, docs.columns, block_rows))
+
+
+def _positions(ranked: DataFrame, phases: DataFrame, columns: list[str], block_rows: int) -> DataFrame:
+    """The slot and position of each row from its rank within its source."""
     block = F.expr(f"__rank div {block_rows}")
     ranked = ranked.withColumn("mix_block", block)
     found = ranked.join(broadcast_if_small(phases), ranked["source"].eqNullSafe(phases["__s"]) & (F.col("mix_block") >= F.col("__first")) & (F.col("mix_block") < F.col("__until")))
@@ -127,4 +135,4 @@ def mix(docs: DataFrame, weights: dict | None = None, default_weight: int = 1, a
     slot = F.expr("__base + (mix_block - __first) div __e * __w") + F.element_at("__places", ((nth % F.col("__e")) + 1).cast("int"))
     found = found.withColumn("mix_slot", slot.cast("long"))
     position = F.col("mix_slot") * block_rows + F.col("__rank") % block_rows - F.col("__lack")
-    return found.select(*docs.columns, "mix_block", F.col("__phase").alias("mix_phase"), "mix_slot", position.cast("long").alias("mix_position"))
+    return found.select(*columns, "mix_block", F.col("__phase").alias("mix_phase"), "mix_slot", position.cast("long").alias("mix_position"))

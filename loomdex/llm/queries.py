@@ -27,8 +27,31 @@ def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def tool_turns(conversations: DataFrame) -> DataFrame:
+    """``conversations`` (conv_id, turn, role, text), whose messages are all plain, plus what
+    tools would add: every assistant turn also calls lookup or measure on its whole text, and
+    the answer stands at the same turn, or, in every seventh conversation, before its call; in
+    every fifth one calls refer to the answer of the call before. Some answers answer nothing.
+    Two of three conversations declare lookup alone, for up to 300 characters."""
+    c = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    number = F.col("conv_id")
+    name = lambda t: F.concat(F.lit("call-"), t.cast("string"))
+    said = c.where("role = 'assistant'")
+    after = F.when((number % 5 == 0) & (F.col("turn") > 2), F.struct(name(F.col("turn") - 2).alias("$ref")))
+    call = F.struct(F.struct(after.alias("after"), F.char_length("text").alias("chars"), F.col("text").alias("query")).alias("arguments"), name(F.col("turn")).alias("id"), F.when(F.col("turn") % 4 == 1, "lookup").otherwise("measure").alias("name"))
+    calls = said.select("conv_id", "turn", F.lit("assistant").alias("role"), F.to_json(F.struct(F.array(call).alias("tool_calls"))).alias("text"))
+    answer = F.to_json(F.struct(F.md5(F.col("text").cast("binary")).alias("content"), name(F.col("turn")).alias("tool_call_id")))
+    answers = said.select("conv_id", (F.col("turn") - (number % 7 == 0).cast("long")).alias("turn"), F.lit("tool"), answer)
+    lost = F.to_json(F.struct(F.concat(F.lit("lost-"), F.col("turn").cast("string")).alias("tool_call_id")))
+    stray = c.where("role = 'user' and turn % 4 = 2").select("conv_id", "turn", F.lit("tool"), lost)
+    declared = F.lit('{"tools":[{"name":"lookup","parameters":{"properties":{"chars":{"maximum":300,"type":"integer"}},"required":["query"],"type":"object"}}]}')
+    tools = c.where("conv_id % 3 != 2").select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long"), F.lit("system"), declared)
+    return c.union(calls).union(answers).union(stray).union(tools)
+
+
 def op2_chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_conversations(_table(spark, sf_dir, "conversations"))
+    """All conversations with the calls and answers of ``tool_turns``, as the table has none."""
+    return chat.format_conversations(tool_turns(_table(spark, sf_dir, "conversations")))
 
 
 def op3_html_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:

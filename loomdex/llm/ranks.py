@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 
-def spread(order: Column, low, high, buckets: int) -> Column:
-    """A bucket number that does not fall as the whole number ``order`` grows; null is -1."""
-    if low is None:
-        return F.lit(-1)
-    span = float(high) - float(low) + 1.0
-    part = F.floor((order.cast("double") - F.lit(float(low))) / F.lit(span) * F.lit(float(buckets)))
-    return F.coalesce(F.least(part.cast("int"), F.lit(buckets - 1)), F.lit(-1))
+
+def dealt(df: DataFrame, order: list, rows: int, a_bucket: int, scratch: Scratch, name: str) -> DataFrame:
+    """``df`` plus a bucket number ``__b`` that does not fall along ``order``: range partitions
+    of about ``a_bucket`` of its ``rows``, cut by sampled quantiles, so that neither outliers
+    nor ties of the leading columns fill one bucket. Written, as another run would cut anew."""
+    ranged = df.repartitionByRange(max(1, -(-rows // a_bucket)), *order)
+    return scratch.table(ranged.withColumn("__b", F.spark_partition_id()), name)
 
 
 def running(df: DataFrame, keys: list[str], bucket: str, order: list, sums: dict[str, Column]) -> DataFrame:

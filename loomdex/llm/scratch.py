@@ -1,11 +1,13 @@
 """Lineage cuts in the folder that driver and executors share.
 
 The folder comes from ``spark.checkpoint.dir``. Only a local master without that
-setting (tests) gets a temporary folder of its own.
+setting (tests) gets a temporary folder of its own, which goes when Python ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local[") and master != "local":
         raise ValueError(f"{_KEY} must name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="loomdex-")
+    folder = tempfile.mkdtemp(prefix="loomdex-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = f"file://{folder}"
     spark.conf.set(_KEY, made)
     return made
 
@@ -32,7 +36,9 @@ class Scratch:
 
     ``table`` writes a frame once, so that later steps read it instead of running
     its lineage again, and a lost executor costs one step only. ``keep`` is for the
-    result: a reliable checkpoint, which Spark removes when nothing refers to it.
+    result: a reliable checkpoint, which outlives the call. Spark removes it when nothing
+    refers to it any more where spark.cleaner.referenceTracking.cleanCheckpoints is true
+    (``loomdex.session`` sets that); otherwise it stays until its folder is emptied.
     """
 
     def __init__(self, spark: SparkSession, label: str):

@@ -19,11 +19,13 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import running, spread
+from .ranks import dealt, running
 from .scratch import Scratch
 
 RUNGS = 4096
-ROWS_A_BUCKET = 50_000
+ROWS_A_BUCKET = 20_000
+#: Groups of one row in so many at least are joined by broadcast: there are no more of them than this.
+HOT_SHARE = 10_000
 
 
 class Ladder:
@@ -95,6 +97,42 @@ def capacity_and_cuts(groups: DataFrame, n_shards: int) -> tuple[int, list[int]]
         resolution *= 64
 
 
+def described(docs: DataFrame, order: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What ``place`` needs of documents: doc_id, the columns ``keep``, size, text_crc32,
+    text_hash and __ord, their place in the order."""
+    text = F.col("text").cast("string")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), *keep,
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.coalesce(F.unhex(F.sha2(text.cast("binary"), 256)), F.lit(b"")).alias("text_hash"),
+        (F.col("doc_id") if order is None else order).cast("long").alias("__ord"),
+    )
+
+
+def place(base: DataFrame, n_shards: int, keep: tuple[str, ...], scratch: Scratch) -> DataFrame:
+    """``base``: a written table of ``described``."""
+    rows = base.count()
+    groups = base.groupBy("text_hash").agg(F.min("__ord").alias("__ord"), F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    groups = dealt(groups, ["__ord", "text_hash"], rows, ROWS_A_BUCKET, scratch, "dealt")
+    groups = running(groups, [], "__b", ["__ord", "text_hash"], {"start": F.col("bytes")})
+    groups = scratch.table(groups.select("text_hash", "start", "bytes", "n"), "groups")
+    capacity, starts = capacity_and_cuts(groups.select("start", "bytes"), n_shards)
+    shard = F.lit(0)
+    for s in starts[1:]:
+        shard = shard + (F.col("start") >= s).cast("int")
+    # a group that many rows are of would land in one task of a join by hash
+    hot = groups.where(F.col("n") * HOT_SHARE >= rows).select(F.col("text_hash").alias("__hot"), F.col("start").alias("__start"))
+    marked = base.join(F.broadcast(hot), F.col("text_hash") == F.col("__hot"), "left").drop("__hot")  # HOT_SHARE rows at most
+    few = marked.where("__start is null").drop("__start").join(groups.where(F.col("n") * HOT_SHARE < rows).select("text_hash", "start"), "text_hash")
+    placed = marked.where("__start is not null").withColumnRenamed("__start", "start").select(*base.columns, "start").union(few.select(*base.columns, "start"))
+    placed = placed.select(*base.columns, shard.cast("int").alias("shard"), F.monotonically_increasing_id().alias("__row"))
+    along = ["__ord", "doc_id", "text_hash", "__row"]
+    placed = dealt(placed, ["shard", *along], rows, ROWS_A_BUCKET, scratch, "placed")
+    out = running(placed, ["shard"], "__b", along, {"slot": F.lit(1).cast("long")})
+    return out.select("doc_id", *keep, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.lit(capacity).cast("long").alias("capacity"), "text_hash")
+
+
 def minimax_shards(docs: DataFrame, n_shards: int = 16, order: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id long, size long, text_crc32 long, law string ('bytes'), shard int, slot long,
     grown_shard int (null: this law has none), capacity long, the columns ``keep``, and
@@ -108,27 +146,4 @@ def minimax_shards(docs: DataFrame, n_shards: int = 16, order: Column | None = N
     than an even share sets the capacity.
     """
     with Scratch(docs.sparkSession, "shards") as scratch:
-        text = F.col("text").cast("string")
-        base = docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), *keep,
-            (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.coalesce(F.unhex(F.sha2(text.cast("binary"), 256)), F.lit(b"")).alias("text_hash"),
-            (F.col("doc_id") if order is None else order).cast("long").alias("__ord"),
-        )
-        base = scratch.table(base, "base")
-        low, high, rows = base.agg(F.min("__ord"), F.max("__ord"), F.count("*")).first()
-        buckets = max(1, -(-rows // ROWS_A_BUCKET))
-        bucket = spread(F.col("__ord"), low, high, buckets)
-        groups = base.groupBy("text_hash").agg(F.min("__ord").alias("__ord"), F.sum("size").alias("bytes")).withColumn("__b", bucket)
-        groups = running(groups, [], "__b", ["__ord", "text_hash"], {"start": F.col("bytes")})
-        groups = scratch.table(groups.select("text_hash", "start", "bytes"), "groups")
-        capacity, starts = capacity_and_cuts(groups.select("start", "bytes"), n_shards)
-        shard = F.lit(0)
-        for s in starts[1:]:
-            shard = shard + (F.col("start") >= s).cast("int")
-        placed = base.join(groups, "text_hash").select(*base.columns, shard.cast("int").alias("shard")).withColumn("__b", bucket)
-        placed = scratch.table(placed, "placed")
-        out = running(placed, ["shard"], "__b", ["__ord", "doc_id", "text_hash"], {"slot": F.lit(1).cast("long")})
-        out = out.select("doc_id", *keep, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.lit(capacity).cast("long").alias("capacity"), "text_hash")
-        return scratch.keep(out)
+        return scratch.keep(place(scratch.table(described(docs, order, keep), "base"), n_shards, keep, scratch))

@@ -40,7 +40,7 @@ def test_repeated_and_null_ids(spark, sf):
     rows = [(1, "a b c d e f g", "en", "s", 1), (1, "a b c d e f g", "en", "s", 1), (None, "a b c d e f g", "en", "s", 1), (None, "q r s t u v", "en", "s", 1), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (4, "A b c d e f g", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = P.drop_near_duplicates(spark, docs, sf).collect()
-    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(1, "a b c d e f g"), (2, ""), (3, "")] or sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, "q r s t u v"), (1, "a b c d e f g"), (2, ""), (3, "")]
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, "q r s t u v"), (1, "a b c d e f g"), (2, ""), (3, "")]
 
 
 def test_one_row_of_each_group_stays(spark, sf, tmp_path):
