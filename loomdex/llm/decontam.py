@@ -38,6 +38,9 @@ AROUND = "111101111"
 MIN_MATCHES = 12
 MIN_SHARE = 0.7
 MISMATCH = 3
+#: Pairs of places of one hash that are still listed one by one, and cells verified at a time.
+HEAVY = 1 << 16
+CELLS = 1 << 20
 _FILTER = 1 << 21
 _MUL = U64(0x9E3779B97F4A7C15)
 
@@ -61,15 +64,26 @@ def _masks_for(length: int) -> list[tuple[int, str]]:
     return [(i + 1, m) for i, m in enumerate(MASKS) if len(m) <= length]
 
 
+def best_runs(match: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, matches) of the best-scoring run of each row; the first one among equals."""
+    n = match.shape[1]
+    total = np.zeros((len(match), n + 1), dtype=np.int32)
+    np.cumsum(np.where(match, 1, -MISMATCH), axis=1, out=total[:, 1:])
+    low = np.minimum.accumulate(total, axis=1)
+    end = np.argmax(total - low, axis=1)
+    lowest = np.take_along_axis(low, end[:, None], axis=1)
+    place = np.arange(n + 1)
+    start = np.where((total == lowest) & (place <= end[:, None]), place, -1).max(axis=1)
+    hits = np.zeros_like(total)
+    np.cumsum(match, axis=1, out=hits[:, 1:])
+    at = np.arange(len(match))
+    return start, end, hits[at, end] - hits[at, start]
+
+
 def best_run(match: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, matches) of the best-scoring run; the first one among equals."""
-    step = np.where(match, 1, -MISMATCH)
-    total = np.concatenate([[0], np.cumsum(step)])
-    low = np.minimum.accumulate(total)
-    gain = total - low
-    end = int(np.argmax(gain))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return start, end, int(match[start:end].sum())
+    """The same for one row."""
+    start, end, matches = best_runs(match[None, :])
+    return int(start[0]), int(end[0]), int(matches[0])
 
 
 def needed(length: int) -> int:
@@ -98,34 +112,98 @@ class TestBlock:
         self.filter = np.zeros(_FILTER, dtype=bool)
         self.filter[(self.hash & U64(_FILTER - 1)).astype(np.int64)] = True
 
-    def diagonals(self, h: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Distinct (row, item, word position in the array where the item would start)."""
-        found = []
+    def diagonals(self, h: np.ndarray, row: np.ndarray):
+        """(row, item, distinct word positions where the item would start, ascending), for
+        each row and item that share a window.
+
+        A hash that stands at q places of a row and p places of an item has q * p pairs.
+        Where that is much more than the diagonals that there can be (repeated words), the
+        pairs are not listed: the differences of both sets of places come from one product
+        of Fourier transforms.
+        """
+        sparse: list[np.ndarray] = []
+        dense: dict[tuple[int, int], np.ndarray] = {}
         for tag, mask in self.tags:
             got = _masked(h, mask, tag)
             at = np.flatnonzero(self.filter[(got & U64(_FILTER - 1)).astype(np.int64)])
             at = at[row[at] == row[at + len(mask) - 1]]
             lo, hi = np.searchsorted(self.hash, got[at], "left"), np.searchsorted(self.hash, got[at], "right")
-            n = hi - lo
-            if n.sum():
-                k = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                p = np.repeat(at, n)
-                found.append(np.stack([row[p], self.item[k], p - self.place[k]], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), dtype=np.int64)
-
-    def overlaps(self, h: np.ndarray, row: np.ndarray, lo: int, hi: int):
+            at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
+            if not len(at):
+                continue
+            order = np.lexsort((at, lo, row[at]))
+            at, lo, hi = at[order], lo[order], hi[order]
+            cut = np.concatenate([[0], np.flatnonzero((np.diff(lo) != 0) | (np.diff(row[at]) != 0)) + 1, [len(at)]])
+            size = np.diff(cut)
+            heavy = size * (hi - lo)[cut[:-1]] > HEAVY
+            for g in np.flatnonzero(heavy):
+                self._spread(dense, at[cut[g] : cut[g + 1]], int(lo[cut[g]]), int(hi[cut[g]]), h, row)
+            light = ~np.repeat(heavy, size)
+            n = (hi - lo)[light]
+            k = np.repeat(lo[light], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            p = np.repeat(at[light], n)
+            sparse.append(np.unique(np.stack([row[p], self.item[k], p - self.place[k]], axis=1), axis=0))
+        rows = np.unique(np.concatenate(sparse), axis=0) if sparse else np.zeros((0, 3), dtype=np.int64)
+        cut = np.flatnonzero((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)) + 1
+        found = {(int(x[0, 0]), int(x[0, 1])): x[:, 2] for x in np.split(rows, cut) if len(x)}
+        for key, (first, hit) in dense.items():
+            found[key] = np.union1d(found.get(key, np.zeros(0, dtype=np.int64)), first + np.flatnonzero(hit))
+        for (r, k), starts in sorted(found.items()):
+            yield r, k, starts
+
+    def _spread(self, dense: dict, at: np.ndarray, lo: int, hi: int, h: np.ndarray, row: np.ndarray) -> None:
+        """Adds the diagonals of one hash at the places ``at`` of one row, for all its items."""
+        r = int(row[at[0]])
+        first, last = np.searchsorted(row, [r, r + 1])
+        for k in np.unique(self.item[lo:hi]):
+            place = self.place[lo:hi][self.item[lo:hi] == k]
+            m = len(self.items[k][1])
+            n = int(last - first) + m
+            hit = dense.setdefault((r, int(k)), (int(first) - m, np.zeros(n + 1, dtype=bool)))[1]
+            q = at - int(first)
+            if len(q) * len(place) > 32 * n:
+                width = 1 << (n + m).bit_length()
+                left, right = np.zeros(width), np.zeros(width)
+                left[q] = 1
+                right[m - place] = 1
+                both = np.fft.irfft(np.fft.rfft(left) * np.fft.rfft(right), width)
+                hit |= both[: n + 1] > 0.5
+            else:
+                few, many, sign = (place, q, -1) if len(place) < len(q) else (q, place, 1)
+                for x in few:
+                    hit[(many - x if sign < 0 else x - many) + m] = True
+
+    def overlaps(self, h: np.ndarray, row: np.ndarray, lo: int, hi: int, any_: bool = False):
         """Per (row, item) the verified overlap with most matches: (row, item index, matches,
-        length, start word in the text, start word in the item)."""
+        length, start word in the text, start word in the item), the first one among equals.
+        ``any_``: one item of each row is enough, and any verified overlap of it."""
         at = per_row(row, lo, hi)
-        best: dict[tuple[int, int], tuple] = {}
-        for r, k, p in self.diagonals(h, row):
+        out, had = [], -1
+        for r, k, starts in self.diagonals(h, row):
+            if any_ and r == had:
+                continue
             a, b = int(at[r - lo]), int(at[r - lo + 1])
             want = self.items[k][1]
-            s, e = max(0, a - int(p)), min(len(want), b - int(p))
-            i, j, m = best_run(h[p + s : p + e] == want[s:e])
-            if m >= needed(len(want)) and m > best.get((int(r), int(k)), (0,))[0]:
-                best[(int(r), int(k))] = (m, j - i, int(p) + s + i - a, s + i)
-        return [(r, k, *v) for (r, k), v in sorted(best.items())]
+            least = most = needed(len(want))
+            if not any_:
+                # no diagonal has more matches than words of the item occur in the text at all
+                most = int(np.isin(want, h[a:b]).sum()) if len(starts) > 64 else len(want)
+            best = (least - 1,)
+            span = np.arange(len(want))
+            for block in np.array_split(starts, len(starts) * len(want) // CELLS + 1):
+                word = block[:, None] + span
+                inside = (word >= a) & (word < b)
+                first, end, matches = best_runs(inside & (h[np.clip(word, a, b - 1)] == want))
+                top = int(matches.argmax())
+                if matches[top] > best[0]:
+                    i, j = int(first[top]), int(end[top])
+                    best = (int(matches[top]), j - i, int(block[top]) + i - a, i)
+                if best[0] >= most:
+                    break
+            if best[0] >= least:
+                out.append((r, k, *best))
+                had = r
+        return out
 
 
 def test_blocks(benchmark: DataFrame, max_words: int = 500_000):
@@ -152,7 +230,7 @@ def _flag(block, names: list[str]):
         for batch in batches:
             hit = np.zeros(batch.num_rows, dtype=bool)
             for lo, hi, w in words(batch.column("text"), ALNUM):
-                for r, *_ in test.overlaps(w.hash, w.row, lo, hi):
+                for r, *_ in test.overlaps(w.hash, w.row, lo, hi, any_=True):
                     hit[r] = True
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(hit)], names=names)
 
