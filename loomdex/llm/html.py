@@ -4,8 +4,11 @@ A tokenizer and a tree builder with implied tags make the element tree; visibili
 (hidden attribute, inline style, simple selectors of style elements, elements that are
 never shown) select what a reader sees; a renderer walks the tree and emits all visible
 text: blocks on lines of their own, a blank line where a margin stands, list items with
-bullets or numbers, table cells padded to columns. Both walks use explicit stacks, so any
-nesting depth is handled.
+bullets or numbers, table cells (of any number of lines, and spanning rows or columns) padded
+to columns. Both walks use explicit stacks, so any nesting depth is handled, and time grows
+linearly with the page: open elements are known by name, and where a quote or bracket has no
+end is found out once. Lists show INDENT levels of indentation at most, columns are padded to
+PAD characters at most, and a table has COLUMNS spanned columns at most; no text is cut.
 """
 
 from __future__ import annotations
@@ -21,17 +24,20 @@ from .stream import frugal
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?/][^a-zA-Z>][^>]*>|<![^>]*>|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<broken>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>|(?P<text>[^<]+|<)",
+    r"|<(?P<open>[a-zA-Z][^\s/>]*)|(?P<text>[^<]+|<)",
     re.S,
 )
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_RULE = re.compile(r"([^{}@]+)\{([^{}]*)\}")
 _SIMPLE = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)\Z")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+INDENT, PAD, COLUMNS = 32, 120, 1000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER = frozenset("head script style template noscript title meta link iframe object audio video canvas svg datalist noembed noframes area map math".split())
+NEVER = frozenset("head script style template noscript title meta link iframe object audio video canvas datalist noembed noframes area".split())
+#: Parts of svg and math that are never shown.
+UNSEEN = frozenset("desc metadata defs symbol annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table ul xmp".split()
 )
@@ -69,52 +75,105 @@ def _attributes(source: str) -> dict:
     return out
 
 
+class _TagEnds:
+    """Where start tags end: at the first > outside of quotes or, if a quote is never closed,
+    at the first > of all. A quote that leads nowhere is remembered, as every tag that comes
+    to it ends the same way."""
+
+    def __init__(self, html: str):
+        self.html, self.last, self.dead = html, {q: html.rfind(q) for q in "\"'"}, set()
+
+    def find(self, at: int) -> int:
+        """Position of the >, or -1."""
+        seen, i = [], at
+        while (m := _STOP.search(self.html, i)) is not None:
+            i, what = m.start(), m[0]
+            if what == ">":
+                return i
+            if i >= self.last[what] or i in self.dead:
+                break
+            seen.append(i)
+            i = self.html.find(what, i + 1) + 1
+        self.dead.update(seen)
+        return self.html.find(">", at)
+
+
+class _Open:
+    """The stack of open elements, with the places of each name."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def pop(self) -> None:
+        self.places[self.nodes.pop().tag].pop()
+
+    def last(self, names) -> int:
+        """Place of the innermost element of these names, 0 if there is none."""
+        return max((at[-1] for n in names if (at := self.places.get(n))), default=0)
+
+    def close(self, names, barrier) -> bool:
+        """Ends the innermost of ``names`` and all within, unless a barrier is further in."""
+        at = self.last(names)
+        if not at or at < self.last(barrier):
+            return False
+        while len(self.nodes) > at:
+            self.pop()
+        return True
+
+
 def parse(html: str) -> tuple[Node, list]:
     """(root, style rules)."""
     root, rules = Node("#root", {}), []
-    stack, at, n = [root], 0, len(html)
+    stack, ends, at, n = _Open(root), _TagEnds(html), 0, len(html)
+    last_tag, last_cdata = html.rfind(">"), html.rfind("]]>")
 
-    def close(names, barrier) -> bool:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                del stack[i:]
-                return True
-            if stack[i].tag in barrier:
-                return False
-        return False
+    def add(child) -> None:
+        stack.nodes[-1].children.append(child)
 
     while at < n:
+        if at > last_tag:  # no tag can end any more
+            comment = html.find("<!--", at)
+            rest = html[at : comment if comment >= 0 else n]
+            add(unescape(rest))
+            break
+        if html.startswith("<![CDATA[", at) and at > last_cdata:
+            at = html.find(">", at) + 1  # a comment for browsers
+            continue
         m = _TOKEN.match(html, at)
         if m is None:  # a '<' that opens nothing
-            stack[-1].children.append(html[at])
+            add(html[at])
             at += 1
             continue
         at = m.end()
         if (text := m["text"] or m["cdata"]) is not None:
-            stack[-1].children.append(unescape(text) if "&" in text and m["cdata"] is None else text)
+            add(unescape(text) if "&" in text and m["cdata"] is None else text)
             continue
         if m["close"]:
             tag = m["close"].lower()
             if tag == "br":
-                stack[-1].children.append(Node("br", {}))
-            elif not close({tag}, _SCOPE - {tag} if tag not in ("table", "html", "body") else frozenset()) and tag == "p":
-                stack[-1].children.append(Node("p", {}))
+                add(Node("br", {}))
+            elif not stack.close({tag}, _SCOPE - {tag} if tag not in ("table", "html", "body") else ()) and tag == "p":
+                add(Node("p", {}))
             continue
-        name = m["open"] or m["broken"]
-        if not name:
+        if not m["open"]:
             continue
-        tag, source = name.lower(), m["attrs"] if m["open"] else m["rest"]
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+        end = ends.find(at)
+        tag, source, at = m["open"].lower(), html[at:end], end + 1
+        if tag in ("html", "body") and stack.places.get(tag):
             continue
         if tag in CLOSES_P:
-            close({"p"}, _SCOPE)
+            stack.close({"p"}, _SCOPE)
         if tag in _ENDS:
-            while close(*_ENDS[tag]):
+            while stack.close(*_ENDS[tag]):
                 pass
-        if stack[-1].tag == "head" and tag not in NEVER and tag != "base":
+        if stack.nodes[-1].tag == "head" and tag not in NEVER and tag != "base":
             stack.pop()  # the first visible element ends the head
         node = Node(tag, _attributes(source) if source.strip(" /\n\t\r") else {})
-        stack[-1].children.append(node)
+        add(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(html, at)
             body = html[at : end.start() if end else n]
@@ -124,10 +183,8 @@ def parse(html: str) -> tuple[Node, list]:
                 node.children.append(unescape(body) if tag == "textarea" else body)
             at = html.find(">", end.end()) + 1 if end else n
             at = at or n
-        elif tag not in VOID and not source.endswith("/"):
-            stack.append(node)
-        elif tag not in VOID:
-            stack.append(node)  # HTML ignores the slash of a start tag
+        elif tag not in VOID:  # HTML ignores the slash of a start tag
+            stack.push(node)
     return root, rules
 
 
@@ -144,10 +201,38 @@ def _shows(declarations: str) -> dict:
     return out
 
 
+def _top_level(css: str):
+    """(selectors, declarations) of the rules that stand in no other block and hold none."""
+    clear, at = [], 0
+    while (start := css.find("/*", at)) >= 0:
+        clear.append(css[at:start])
+        at = css.find("*/", start + 2) + 2
+        if at < 2:
+            break
+    else:
+        clear.append(css[at:])
+    css = " ".join(clear)
+    depth = opened = after = 0
+    plain = True
+    for m in re.finditer("[{}]", css):
+        if m[0] == "{":
+            if not depth:
+                opened, plain = m.start(), True
+            plain &= not depth
+            depth += 1
+        elif depth:
+            depth -= 1
+            if not depth:
+                selectors = css[after:opened].rpartition(";")[2]
+                if plain and "@" not in selectors:
+                    yield selectors, css[opened + 1 : m.start()]
+                after = m.end()
+
+
 def _rules(css: str) -> list:
     """(tag or None, classes, ids, what it says) of rules with one compound selector."""
     out = []
-    for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/|@media[^{]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}", "", css, flags=re.S)):
+    for selectors, body in _top_level(css):
         if not (says := _shows(body)):
             continue
         for s in selectors.split(","):
@@ -158,17 +243,38 @@ def _rules(css: str) -> list:
     return out
 
 
-def visibility(node: Node, rules: list, seen: bool) -> tuple[bool, bool]:
+class Rules:
+    """Style rules by the rarest thing they ask for, so that an element meets few of them."""
+
+    def __init__(self, rules: list):
+        last: dict[tuple, tuple] = {}  # of rules with one selector the last one counts, for each property
+        for order, (tag, classes, ids, says) in enumerate(rules):
+            for name, value in says.items():
+                last[tag, frozenset(classes), frozenset(ids), name] = (order, value)
+        self.by: dict[tuple, list] = {}
+        for (tag, classes, ids, name), (order, value) in last.items():
+            key = ("#", min(ids)) if ids else (".", min(classes)) if classes else ("", tag)
+            self.by.setdefault(key, []).append((order, tag, classes, ids, {name: value}))
+
+    def __bool__(self) -> bool:
+        return bool(self.by)
+
+    def says(self, tag: str, attrs: dict) -> dict:
+        classes, ident = set(attrs.get("class", "").split()), attrs.get("id")
+        keys = [("#", ident), ("", tag), ("", None), *((".", c) for c in classes)]
+        met = [r for k in keys for r in self.by.get(k, ()) if (r[1] is None or r[1] == tag) and r[2] <= classes and (not r[3] or r[3] == {ident})]
+        out: dict = {}
+        for _, _, _, _, what in sorted(met, key=lambda r: r[0]):
+            out |= what
+        return out
+
+
+def visibility(node: Node, rules: Rules, seen: bool) -> tuple[bool, bool]:
     """(whether the element takes part at all, whether its own text is seen)."""
     a, tag = node.attrs, node.tag
     if tag in NEVER or "hidden" in a or tag == "dialog" and "open" not in a or tag == "input":
         return False, seen
-    says = {}
-    if rules:
-        classes = set(a.get("class", "").split())
-        for name, want, ids, what in rules:
-            if (name is None or name == tag) and want <= classes and (not ids or ids == {a.get("id")}):
-                says |= what
+    says = rules.says(tag, a) if rules else {}
     if "style" in a:
         says |= _shows(a["style"])
     return not says.get("none", False), says.get("seen", seen)
@@ -228,27 +334,68 @@ class _Writer:
         return "\n".join(self.lines).strip("\n")
 
 
-def _align(rows: list[list[str]]) -> list[str]:
-    width: list[int] = []
-    for row in rows:
-        for i, c in enumerate(row):
-            if i == len(width):
-                width.append(0)
-            width[i] = max(width[i], len(c))
-    return ["  ".join(c.ljust(width[i]) for i, c in enumerate(row)).rstrip() for row in rows]
-
-
-def _span(value: str) -> int:
-    return min(max(int(value), 1), 1000) if value.isdigit() else 1
+def _span(value: str, most: int) -> int:
+    value = value.strip()
+    return min(max(int(value[:9]), 1), most) if value.isascii() and value.isdigit() else 1
+
+
+class _Table:
+    """Cells at their columns: those that earlier rows hold by a rowspan are passed over."""
+
+    def __init__(self, out: _Writer):
+        self.out, self.caption = out, []
+        self.rows: list[list[tuple[int, int, list[str]]]] = []  # (column, columns, lines)
+        self.until: dict[int, int] = {}  # a column's last row that a cell from above holds
+        self.at = 0
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.at = 0
+
+    def cell(self, lines: list[str], attrs: dict) -> None:
+        if not self.rows:
+            self.row()
+        now = len(self.rows) - 1
+        while self.until.get(self.at, -1) >= now:
+            self.at += 1
+        wide = max(1, min(_span(attrs.get("colspan", "1"), COLUMNS), COLUMNS - self.at))
+        high = attrs.get("rowspan", "1").strip()
+        high = 65534 if high == "0" else _span(high, 65534)  # 0: all rows that follow
+        self.rows[-1].append((self.at, wide, lines))
+        if high > 1:
+            for c in range(self.at, self.at + wide):
+                self.until[c] = now + high - 1
+        self.at += wide
+
+    def lines(self):
+        width: dict[int, int] = {}
+        for row in self.rows:
+            for at, wide, lines in row:
+                width[at] = max(width.get(at, 0), min(PAD, max(map(len, lines), default=0)) if wide == 1 else 0)
+                width.setdefault(at + wide - 1, 0)
+        start, place = {}, 0
+        for c in range(max(width, default=-1) + 1):
+            start[c] = place
+            place += width.get(c, 0) + 2
+        for row in self.rows:
+            for i in range(max((len(lines) for _, _, lines in row), default=0)):
+                out, used = [], 0
+                for at, _, lines in row:
+                    if i < len(lines) and lines[i]:
+                        gap = max(start[at] - used, 2 if used else 0)
+                        out.append(" " * gap + lines[i])
+                        used += gap + len(lines[i])
+                yield "".join(out).rstrip()
 
 
 def render(html: str) -> str:
     """All visible text of a page."""
     root, rules = parse(html)
+    rules = Rules(rules)
     out = _Writer()
-    tables: list[dict] = []  # open tables: writer outside, rows
+    tables: list[_Table] = []  # open ones
     lists: list[list] = []  # open lists: kind, next number, indent before
-    pre = 0
+    pre = foreign = level = 0
     work: list[tuple] = [("in", c, True) for c in reversed(root.children)]
     while work:
         what, node, seen = work.pop()
@@ -258,22 +405,24 @@ def render(html: str) -> str:
                     out.text(node, pre > 0)
                 continue
             takes, seen = visibility(node, rules, seen)
-            if not takes:
-                continue
             tag = node.tag
+            if not takes or foreign and tag in UNSEEN:
+                continue
             if tag == "br":
                 out.end(True)
                 continue
             if tag == "wbr":
                 continue
-            if tag in BLOCK:
+            if tag in BLOCK or foreign and tag == "text":
                 out.block(tag in MARGIN and not (lists and tag in ("ul", "ol", "menu", "dir")))
             if tag in ("pre", "xmp", "textarea"):
                 pre += 1
+            elif tag in ("svg", "math"):
+                foreign += 1
             elif tag in ("ul", "ol", "menu", "dir"):
                 start = node.attrs.get("start", "1")
-                lists.append([tag, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1, out.indent])
-                if len(lists) > 1:
+                lists.append([tag, int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1, out.indent])
+                if 1 < len(lists) <= INDENT:
                     out.indent += "  "
             elif tag == "li":
                 kind = lists[-1] if lists else ["ul", 1, ""]
@@ -281,14 +430,16 @@ def render(html: str) -> str:
                 kind[1] += 1
                 out.mark = out.indent + mark
             elif tag == "dd" or tag == "blockquote":
-                out.indent += "  "
+                level += 1
+                if level <= INDENT:
+                    out.indent += "  "
             elif tag == "table":
-                tables.append({"out": out, "rows": [], "cells": 0})
+                tables.append(_Table(out))
             elif tag == "tr" and tables:
-                tables[-1]["rows"].append([])
+                tables[-1].row()
             elif tag in ("td", "th", "caption") and tables:
-                work.append(("out", node, out))
-                out = _Writer()
+                work.append(("out", node, (out, lists, level)))
+                out, lists, level = _Writer(), [], 0
                 work += [("in", c, seen) for c in reversed(node.children)]
                 continue
             work.append(("out", node, None))
@@ -299,31 +450,32 @@ def render(html: str) -> str:
             continue
         tag = node.tag
         if tag in ("td", "th", "caption") and tables:
-            cell = _SPACE.sub(" ", out.result()) if "\n" in out.result() else out.result()
-            out = seen  # the writer that was in use before the cell
-            rows = tables[-1]["rows"]
+            lines = [x for x in out.result().split("\n") if x.strip()]
+            out, lists, level = seen  # the writer and the lists that were in use before the cell
             if tag == "caption":
-                tables[-1]["caption"] = cell
-                continue
-            if not rows:
-                rows.append([])
-            rows[-1] += [cell, *[""] * (_span(node.attrs.get("colspan", "1")) - 1)]
+                tables[-1].caption += lines
+            else:
+                tables[-1].cell(lines, node.attrs)
             continue
         if tag == "table":
             table = tables.pop()
-            for line in [*([table["caption"]] if table.get("caption") else []), *_align(table["rows"])]:
+            for line in [*table.caption, *table.lines()]:
                 if line:
                     out._put(line)
                     out.end()
         elif tag in ("pre", "xmp", "textarea"):
             pre -= 1
+        elif tag in ("svg", "math"):
+            foreign -= 1
         elif tag in ("ul", "ol", "menu", "dir"):
             out.indent = lists.pop()[2]
         elif tag == "li":
             out.mark = None
         elif tag == "dd" or tag == "blockquote":
-            out.indent = out.indent[:-2]
-        if tag in BLOCK:
+            if level <= INDENT:
+                out.indent = out.indent[:-2]
+            level -= 1
+        if tag in BLOCK or foreign and tag == "text":
             out.block(tag in MARGIN and not (lists and tag in ("ul", "ol", "menu", "dir")))
     return out.result()
 
