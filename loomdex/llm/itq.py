@@ -19,6 +19,10 @@ Hot groups: equal vectors are merged first. Then up to PIVOTS pivots are taken f
 largest buckets, and vectors within half the threshold angle of a pivot form a ball: any
 two of them link, so they are counted by its size and never compared. Everything else is
 compared; buckets over ``cap`` are cut into units by ``blocks.pair_units``.
+
+Vectors of different lengths link with none of each other. The commonest length, and any other
+with over ``cap`` vectors, gets a model of its own; the vectors of a rarer length are few and
+are all compared.
 """
 
 from __future__ import annotations
@@ -234,6 +238,39 @@ def _near_codes(model: ItqModel, block: int = 512):
     return run
 
 
+def _least_of_component(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least one that edges (u, v) lead to."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, u, root[v])
+        np.minimum.at(low, v, root[u])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def _whole(cosine: float, block: int = 512):
+    """All vectors of one length against each other: links and least member of the component."""
+
+    def run(batches):
+        for group in runs(batches, ["d"]):
+            x = unit_vectors(group.column("embedding"), group.column("d")[0].as_py())
+            good = np.flatnonzero(~np.isnan(x[:, 0]))
+            x, cid, m, least = x[good], *(group.column(c).to_numpy(zero_copy_only=False)[good] for c in ("cid", "m", "least"))
+            links, pairs = m - 1, [(np.zeros(0, dtype=np.int64),) * 2]
+            for s in range(0, len(x), block):
+                u, v = np.nonzero(x[s : s + block] @ x.T >= cosine)
+                u, v = u[u + s != v] + s, v[u + s != v]
+                np.add.at(links, u, m[v])
+                pairs.append((u, v))
+            root = _least_of_component(len(x), *(np.concatenate(p) for p in zip(*pairs)))
+            yield pa.RecordBatch.from_arrays([pa.array(cid), group.column("least").combine_chunks().take(pa.array(good)), pa.array(links), pa.array(cid[root])], names=["cid", "least", "n_links", "comp"])
+
+    return run
+
+
 def _rerank(cosine: float, block: int = 512):
     """Per unit and member: how many vectors it links with, counted once over the tables,
     and the least member of its component within the unit."""
@@ -245,7 +282,7 @@ def _rerank(cosine: float, block: int = 512):
             keys = np.stack(unit.column("keys").to_pylist())[:, : unit.column("t")[0].as_py()]
             ball, cid, m = unit.column("ball").fill_null(-1).to_numpy(), unit.column("cid").to_numpy(), unit.column("m").to_numpy()
             a, b, same = _sides(unit.column("side").to_numpy())
-            links, root, pairs = np.zeros(n, dtype=np.int64), np.arange(n), []
+            links, pairs = np.zeros(n, dtype=np.int64), []
             for s in range(0, len(a), block):
                 i = a[s : s + block]
                 for q in range(s if same else 0, len(b), block):
@@ -261,14 +298,7 @@ def _rerank(cosine: float, block: int = 512):
                     np.add.at(links, v, m[u])
                     pairs.append((u, v))
             u, v = (np.concatenate(z) if pairs else np.zeros(0, dtype=np.int64) for z in (list(zip(*pairs)) or [[], []]))
-            while True:
-                low = root.copy()
-                np.minimum.at(low, u, root[v])
-                np.minimum.at(low, v, root[u])
-                low = low[low]
-                if (low == root).all():
-                    break
-                root = low
+            root = _least_of_component(n, u, v)
             hit = np.flatnonzero(links)
             if len(hit):
                 yield pa.RecordBatch.from_arrays([pa.array(cid[hit]), pa.array(links[hit]), pa.array(cid[root[hit]])], names=["cid", "links", "root"])
@@ -276,72 +306,79 @@ def _rerank(cosine: float, block: int = 512):
     return run
 
 
+def _of_length(merged: DataFrame, dim: int, n: int, cosine: float, recall: float, sample: int, cap: int, scratch: Scratch, name: str) -> DataFrame:
+    """(cid, least, n_links, comp) of the n vectors of one length, those without direction left out."""
+    table = lambda df, what: scratch.table(df, f"{what}-{name}")
+    some = merged.orderBy(F.xxhash64("h1"), "cid").limit(sample).select("embedding").toArrow()  # sample rows at most
+    x = unit_vectors(some.column("embedding"), dim)
+    x = x[~np.isnan(x[:, 0])]
+    if not len(x):
+        x = np.eye(dim)[:1]
+    model = fit(x, n, cosine, recall)
+    schema = "cid long, least long, m long, vector binary, code binary, keys array<long>"
+    index = table(merged.mapInArrow(frugal(_encode(model)), schema), "index")
+    slots = index.select("cid", F.posexplode("keys").alias("t", "key"))
+    hot = slots.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("cid").alias("cid")).where(F.col("n") >= BALL_AT_LEAST)
+    hot = hot.groupBy("cid").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "cid").limit(PIVOTS)
+    chosen = index.join(F.broadcast(hot), "cid").select("n", "cid", "vector").orderBy(F.desc("n"), "cid").collect()  # PIVOTS rows at most
+    least = math.cos(math.acos(cosine) / 2) + 1e-9
+    pivots: list[np.ndarray] = []
+    for r in chosen:
+        v = np.frombuffer(r["vector"], dtype=np.float64)
+        if all(v @ p < least for p in pivots):
+            pivots.append(v)
+    centre = np.array(pivots).reshape(-1, dim)
+    index = table(index.mapInArrow(frugal(_balls(centre, least)), f"{schema}, ball long"), "balls")
+
+    slots = table(index.select("cid", "ball", "code", F.posexplode("keys").alias("t", "key")), "slots")
+    units = pair_units(slots, ["t", "key"], "cid", "ball", cap)
+    order = ["t", "key", *UNIT]
+    units = units.repartition(*[F.col(c) for c in order]).sortWithinPartitions(*order).select("t", "key", *UNIT, "side", "cid", "ball", "code")
+    near = units.mapInArrow(frugal(_near_codes(model)), "t int, key long, unit_lo int, unit_hi int, side int, cid long, ball long")
+    near = table(near, "near")
+    again = near.join(index.select("cid", "m", "vector", "keys"), "cid").repartition(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    counts = again.select("t", "key", *UNIT, "side", "cid", "ball", "m", "vector", "keys").mapInArrow(frugal(_rerank(cosine)), "cid long, links long, root long")
+    counts = table(counts, "counts")
+
+    balls = index.where("ball is not null").groupBy("ball").agg(F.sum("m").alias("size"), F.min("cid").alias("head"))
+    balls = table(balls, "heads")
+    in_ball = index.select("cid", "ball").join(broadcast_if_small(balls), "ball")
+    edges = counts.select(F.col("cid").alias("u"), F.col("root").alias("v")).union(in_ball.select("cid", "head"))
+    comp = table(connected_components(edges, scratch, f"cc-{name}"), "comp")
+    total = counts.groupBy("cid").agg(F.sum("links").alias("links"))
+    full = index.select("cid", "least", "m", "ball").join(total, "cid", "left").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
+    full = full.join(broadcast_if_small(balls.select("ball", "size")), "ball", "left")
+    linked = F.coalesce("links", F.lit(0)) + F.coalesce("size", F.col("m")) - 1
+    return table(full.select("cid", "least", linked.cast("long").alias("n_links"), F.coalesce("comp", "cid").alias("comp")), "full")
+
+
 def near_duplicates(table: DataFrame, cosine: float = 0.9, recall: float = 0.95, sample: int = 20_000, cap: int = 2048) -> DataFrame:
     """(vec_id long, n_links long, component_id long, kept boolean), one row per row of
     ``table`` (vec_id, embedding: array of numbers; other columns are ignored).
 
     n_links counts the other rows linked directly; equal vectors link, also under one id.
     component_id is the smallest vec_id reachable, itself included; kept: vec_id is that.
-    Vectors that are null, zero, or hold null or non-finite components, or whose length is
-    not the commonest one, link with nothing. A null vec_id is never the smallest unless
-    all of its component are null. An empty table gives no rows.
+    Vectors that are null, empty, zero, or hold null or non-finite components link with
+    nothing, and those of different lengths do not link. A null vec_id is never the smallest
+    unless all of its component are null. An empty table gives no rows.
     """
-    spark = table.sparkSession
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    # a stable 64-bit name of the vector's value; null vectors have none
-    rows = rows.withColumn("cid", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding", F.size("embedding"))))
-    with Scratch(spark, "itq") as scratch:
-        merged = rows.where("cid is not null").groupBy("cid").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("embedding").alias("embedding"))
-        merged = scratch.table(merged, "merged")
-        lengths = merged.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-        dim = lengths[0]["d"] if lengths else 0
-        n = lengths[0]["count"] if lengths else 0
-        nothing = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-        if not dim:
-            return scratch.keep(nothing)
-        some = merged.where(F.size("embedding") == dim).orderBy(F.xxhash64("cid"), "cid").limit(sample).select("embedding").toArrow()  # sample rows at most
-        x = unit_vectors(some.column("embedding"), dim)
-        x = x[~np.isnan(x[:, 0])]
-        if not len(x):
-            x = np.eye(dim)
-        model = fit(x, n, cosine, recall)
-        schema = "cid long, least long, m long, vector binary, code binary, keys array<long>"
-        index = scratch.table(merged.mapInArrow(frugal(_encode(model)), schema), "index")
-        slots = index.select("cid", F.posexplode("keys").alias("t", "key"))
-        hot = slots.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("cid").alias("cid")).where(F.col("n") >= BALL_AT_LEAST)
-        hot = hot.groupBy("cid").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "cid").limit(PIVOTS)
-        chosen = index.join(F.broadcast(hot), "cid").select("n", "cid", "vector").orderBy(F.desc("n"), "cid").collect()  # PIVOTS rows at most
-        least = math.cos(math.acos(cosine) / 2) + 1e-9
-        pivots: list[np.ndarray] = []
-        for r in chosen:
-            v = np.frombuffer(r["vector"], dtype=np.float64)
-            if all(v @ p < least for p in pivots):
-                pivots.append(v)
-        centre = np.array(pivots).reshape(-1, dim)
-        index = scratch.table(index.mapInArrow(frugal(_balls(centre, least)), f"{schema}, ball long"), "balls")
-
-        slots = scratch.table(index.select("cid", "ball", "code", F.posexplode("keys").alias("t", "key")), "slots")
-        units = pair_units(slots, ["t", "key"], "cid", "ball", cap)
-        order = ["t", "key", *UNIT]
-        units = units.repartition(*[F.col(c) for c in order]).sortWithinPartitions(*order).select("t", "key", *UNIT, "side", "cid", "ball", "code")
-        near = units.mapInArrow(frugal(_near_codes(model)), "t int, key long, unit_lo int, unit_hi int, side int, cid long, ball long")
-        near = scratch.table(near, "near")
-        again = near.join(index.select("cid", "m", "vector", "keys"), "cid").repartition(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-        counts = again.select("t", "key", *UNIT, "side", "cid", "ball", "m", "vector", "keys").mapInArrow(frugal(_rerank(cosine)), "cid long, links long, root long")
-        counts = scratch.table(counts, "counts")
-
-        balls = index.where("ball is not null").groupBy("ball").agg(F.sum("m").alias("size"), F.min("cid").alias("head"))
-        balls = scratch.table(balls, "heads")
-        in_ball = index.select("cid", "ball").join(broadcast_if_small(balls), "ball")
-        edges = counts.select(F.col("cid").alias("u"), F.col("root").alias("v")).union(in_ball.select("cid", "head"))
-        comp = scratch.table(connected_components(edges, scratch), "comp")
-        total = counts.groupBy("cid").agg(F.sum("links").alias("links"))
-        full = index.select("cid", "least", "m", "ball").join(total, "cid", "left").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
-        full = full.join(broadcast_if_small(balls.select("ball", "size")), "ball", "left")
-        linked = F.coalesce("links", F.lit(0)) + F.coalesce("size", F.col("m")) - 1
-        full = scratch.table(full.select("cid", "least", linked.alias("n_links"), F.coalesce("comp", "cid").alias("comp")), "full")
-        named = full.join(full.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("cid", "n_links", "component_id")
-        out = rows.select("vec_id", "cid").join(named, "cid", "left")
+    # 128 bits name a vector's value; null vectors have no name
+    named = F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding", F.size("embedding")))
+    rows = rows.withColumns({"h1": named, "h2": F.when(named.isNotNull(), F.xxhash64(F.lit(7), "embedding"))})
+    with Scratch(table.sparkSession, "itq") as scratch:
+        merged = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("embedding").alias("embedding"))
+        merged = scratch.table(merged.withColumns({"d": F.size("embedding"), "cid": F.monotonically_increasing_id()}), "merged")
+        lengths = scratch.table(merged.where("d > 0").groupBy("d").agg(F.count("*").alias("n")), "lengths")
+        large = lengths.where(F.col("n") > cap).union(lengths.orderBy(F.desc("n"), "d").limit(1)).distinct().orderBy("d").collect()  # a model each
+        rest = lengths.where(~F.col("d").isin([r["d"] for r in large])).select("d")
+        few = merged.join(broadcast_if_small(rest), "d").repartition("d").sortWithinPartitions("d")
+        full = few.select("d", "cid", "least", "m", "embedding").mapInArrow(frugal(_whole(cosine)), "cid long, least long, n_links long, comp long")
+        for r in large:
+            full = full.union(_of_length(merged.where(F.col("d") == r["d"]), r["d"], r["n"], cosine, recall, sample, cap, scratch, str(r["d"])))
+        full = scratch.table(full, "all")
+        found = full.join(full.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").join(merged.select("cid", "h1", "h2"), "cid").select("h1", "h2", "n_links", "component_id")
+        out = rows.select("vec_id", "h1", "h2").join(found, ["h1", "h2"], "left")
         component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
         out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
         return scratch.keep(out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))))
