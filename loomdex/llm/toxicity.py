@@ -204,20 +204,23 @@ def _other_counts(tokens: np.ndarray):
     return run
 
 
-def _positives(model: ToxicityModel):
+def _segments(model: ToxicityModel):
+    """Of each row its class, words, scores of its maximal segments and, for class 0, scores of its words."""
+
     def run(batches):
         seen = model.seen()
         for batch in batches:
-            n, places, scores = [], [], []
+            label, n, best, scores = batch.column("y").to_pylist(), [], [], []
             for lo, hi, w in words(batch.column("text"), LETTERS, PREFIXES):
                 at, score = per_row(w.row, lo, hi), word_scores(model, seen, w)
                 for r in range(lo, hi):
                     s = score[at[r - lo] : at[r - lo + 1]]
                     p = np.flatnonzero(s)
                     n.append(len(s))
-                    places.append(p.tolist())
-                    scores.append(s[p].tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(n, pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))], names=["y", "n", "places", "scores"])
+                    best.append([x for _, _, x in maximal_segments(p, s[p])])
+                    scores.append(s[p].tolist() if label[r] == 0 else [])
+            numbers = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(n, pa.int64()), pa.array(best, numbers), pa.array(scores, numbers)], names=["y", "n", "segments", "scores"])
 
     return run
 
@@ -249,7 +252,7 @@ def _select(toxic: dict[str, np.ndarray], words_toxic: int, other: np.ndarray, w
 
 
 def _extreme_value(model: ToxicityModel, rows: list[tuple[int, int, list, list]]) -> None:
-    """Lambda and K from non-toxic rows (y, words, places, scores)."""
+    """Lambda and K from non-toxic rows (y, words, segments, scores)."""
     clean = [r for r in rows if r[0] == 0 and r[1] > 0]
     total = sum(r[1] for r in clean)
     values = np.array([s for r in clean for s in r[3]] + [float(model.scores.max()) if len(model.scores) else 1.0])
@@ -266,15 +269,14 @@ def _extreme_value(model: ToxicityModel, rows: list[tuple[int, int, list, list]]
         lo, hi = (mid, hi) if excess(mid) < 0 else (lo, mid)
     model.lam = max(hi, 0.05)
     weight = 0.0
-    for _, n, places, scores in clean:
-        best = max((s for _, _, s in maximal_segments(places, scores)), default=0.0)
-        weight += n * math.exp(-model.lam * best)
+    for _, n, segments, _ in clean:
+        weight += n * math.exp(-model.lam * max(segments, default=0.0))
     model.k = len(clean) / weight if weight else 1.0
 
 
 def _calibrate(model: ToxicityModel, rows, counts: dict[int, int]) -> None:
     """Logistic curve of ln(1 + statistic), each class weighted to its share of the labels."""
-    t = np.array([math.log1p(statistic(model, n, maximal_segments(p, s))[0]) for _, n, p, s in rows])
+    t = np.array([math.log1p(statistic(model, n, [(0, 0, s) for s in segments])[0]) for _, n, segments, _ in rows])
     y = np.array([r[0] for r in rows], dtype=np.float64)
     share = {c: counts.get(c, 0) / max((y == c).sum(), 1) for c in (0, 1)}
     weight = np.where(y == 1, share[1], share[0])
@@ -321,8 +323,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> ToxicityMo
         count[at[at >= 0]] = n[at >= 0]
         words_other = int(n[at < 0].sum())
         model = ToxicityModel(*_select(toxic, words_toxic, count, words_other))
-        got = rows.mapInArrow(frugal(_positives(model)), "y int, n long, places array<long>, scores array<double>").toArrow()
-        sample = list(zip(*(got.column(c).to_pylist() for c in ("y", "n", "places", "scores"))))
+        got = rows.mapInArrow(frugal(_segments(model)), "y int, n long, segments array<double>, scores array<double>").toArrow()  # 2 x per_class rows at most
+        sample = list(zip(*(got.column(c).to_pylist() for c in ("y", "n", "segments", "scores"))))
         _extreme_value(model, sample)
         _calibrate(model, sample, counts)
         return model
