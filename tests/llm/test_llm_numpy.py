@@ -95,18 +95,102 @@ def test_tempered_weights():
         ("", ""),
         ("just < text & more <unclosed", "just < text & more <unclosed"),
         ("<div>" * 3000 + "deep", "deep"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td>x<td><ul><li>p<li>q</ul><td>z<br>y</table>", "x  - p  z\n   - q  y"),
+        ("<table><tr><td colspan=\u00b2>a<td colspan=0>b<td rowspan=x>c</table>", "a  b  c"),
+        ("<table><tr><td>a<table><tr><td>in<td>ner<tr><td>r2</table><td>b</table>", "a        b\nin  ner\nr2"),
+        ("<math><mi>x</mi><annotation>n</annotation></math> <svg><desc>n</desc><text>s</text><text>t</text></svg><map>m</map>", "x\ns\nt\nm"),
+        ("<style>@media print{p{display:none}} /* .a{display:none} */ .b{display:none}</style><p class=b>n<p class=a>y", "y"),
+        ("<a \"'>one</a> <a title='x>y'>two</a> <![CDATA[ c <b>", "one two"),
     ],
 )
 def test_render(page, want):
     assert html.render(page) == want
 
 
+@pytest.mark.parametrize(
+    "part",
+    ["<div>", "<ul>", "<ul><li>x", "</i>", '<a "', "<a \"'>", "<a '>", "<![CDATA[", "<![CDATA[>", "<!-", "<style>", "/*", "@media ", "a{", "<p><table><tr><td>", "<td rowspan=9 colspan=1000>x", "<table><tr><td>", "<blockquote>x", "<b><p>", "&", "<svg>", "<style>p{display:none}</style><p class=c>"],
+)
+def test_time_grows_with_the_page(part):
+    import time
+
+    took = []
+    for size in (100_000, 400_000):
+        page = part * (size // len(part))
+        t = time.perf_counter()
+        html.render(page)
+        html.render("<style>" + page)
+        took.append(time.perf_counter() - t)
+    assert took[1] < 1.0 or took[1] < 10 * took[0], took
+
+
+def test_visible_words_against_the_standard_parser():
+    """The words of well-formed pages, by the standard library's tokenizer."""
+    from html.parser import HTMLParser
+
+    import pyarrow.parquet as pq
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.out = [], []
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            gone = tag in html.NEVER or "hidden" in a or "none" in (a.get("style") or "")
+            if tag not in html.VOID:
+                self.open.append((tag, gone))
+            self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            while any(t == tag for t, _ in self.open) and self.open.pop()[0] != tag:
+                pass
+            self.out.append(" ")
+
+        def handle_data(self, data):
+            if not any(g for _, g in self.open):
+                self.out.append(data)
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist()
+    alike = 0
+    for page in pages:
+        if "<style" in page:
+            continue
+        w = Words()
+        w.feed(page)
+        w.close()
+        letters = lambda t: re.findall(r"[^\W\d_]+", t)
+        alike += letters("".join(w.out)) == letters(html.render(page))
+    assert alike >= 0.9 * sum("<style" not in p for p in pages) and alike
+
+
+
 def test_schema_and_references():
     schema = {"type": "object", "properties": {"x": {"type": "integer", "minimum": 1}, "y": {"enum": ["a"]}}, "required": ["x"], "additionalProperties": False}
     assert chat.problems({"x": 1, "y": "a"}, schema) == [] and chat.problems({"x": {"$ref": "c"}}, schema) == []
     assert len(chat.problems({"y": "b", "z": 0}, schema)) == 3 and chat.problems({"x": True}, schema) == ["$.x: not integer"]
     assert chat.references({"a": [{"$ref": "i"}], "b": {"$ref": "j"}}) in (["i", "j"], ["j", "i"])
-    assert chat.parse_message("user", "{not json", {})["json"] == '{"content":"{not json","role":"user"}'
+    assert chat.parse_message("user", "{not json")["json"] == '{"content":"{not json","role":"user"}'
+
+
+def test_strict_json():
+    bad = ['{"tool_calls":[{"id":"a","arguments":NaN}]}', '{"tool_calls":[{"id":"a","arguments":1e999}]}', '{"tool_calls":' + "[" * 100_000, '{"tool_call_id":"x","content":' + "[" * 900 + "]" * 900 + "}"]
+    for text in bad[:3]:
+        assert chat.parse_message("assistant", text)["json"] == chat.canonical({"content": text, "role": "assistant"})
+    assert "NaN" not in chat.parse_message("a", bad[0])["calls"] and chat.parse_message("a", bad[3])["json"]
+    odd = chat.parse_message("assistant", '{"tool_calls":[{"id":"\\ud800","name":"n\\udc00","arguments":{"x":"\\ud83d\\ude00 \\udfff"}}]}')
+    assert odd["calls"][0]["id"] == "\ufffd" and "\U0001f600 \ufffd" in odd["json"]
+    odd["json"].encode()
+
+
+def test_topological_chain():
+    n = 10_000
+    p = np.arange(n - 1)
+    got = {a: (b, c) for a, b, c in chat.topological(p, p + 1, n - p, n - p - 1)}
+    assert got[n - 1] == (n, n - 1) and len(got) == n
+    cycle = {a: b for a, b, _ in chat.topological(np.array([1, 2, 2]), np.array([2, 1, 3]), np.array([5, 6, 6]), np.array([6, 5, 7]))}
+    assert cycle == {1: None, 2: None, 3: None}
 
 
 @pytest.mark.parametrize("shared", [0.0, 0.25, 0.5, 0.72])
@@ -138,3 +222,51 @@ def test_short_items_have_a_seed_for_all_that_is_verified(n):
             text = np.where(match, item, np.uint64(7) + np.arange(n, dtype=np.uint64))[cut:]
             if len(text) and decontam.best_run(match[cut:])[2] >= decontam.needed(n):
                 assert block.overlaps(text, np.zeros(len(text), dtype=np.int64), 0, 1), (n, match, cut)
+
+
+def brute_overlaps(items, texts):
+    out = {}
+    for r, text in enumerate(texts):
+        for k, want in enumerate(items):
+            best = None
+            for d in range(-len(want) + 1, len(text)):
+                s, e = max(0, -d), min(len(want), len(text) - d)
+                match = [text[d + i] == want[i] for i in range(s, e)]
+                run, top = (0, 0, 0), 0
+                for i in range(len(match)):
+                    score = 0
+                    for j in range(i, len(match)):
+                        score += 1 if match[j] else -decontam.MISMATCH
+                        if score > top:
+                            top, run = score, (i, j + 1, sum(match[i : j + 1]))
+                if best is None or run[2] > best:
+                    best = run[2]
+            if best is not None and best >= decontam.needed(len(want)):
+                out[(r, k)] = best
+    return out
+
+
+@pytest.mark.parametrize("heavy", [0, 20, 1 << 16])
+def test_repeated_words_against_brute_force(monkeypatch, heavy):
+    monkeypatch.setattr(decontam, "HEAVY", heavy)
+    rnd = random.Random(heavy)
+    items = [["a"] * 20, ["a", "b"] * 9, ["a"] * 12 + ["c"] + ["a"] * 8, [rnd.choice("abcd") for _ in range(16)]]
+    texts = [["a"] * 45, ["b", "a"] * 20 + ["c"] * 5, ["x"] * 30, ["a"] * 9 + ["c"] + ["a"] * 20, [rnd.choice("ab") for _ in range(50)], items[3] + ["a"] * 20, ["a"]]
+    lex = lambda t: np.concatenate([w.hash for _, _, w in lexer.words(pa.array([" ".join(t)]), ALNUM)])
+    block = decontam.TestBlock([(k, lex(t)) for k, t in enumerate(items)])
+    h, row = np.concatenate([lex(t) for t in texts]), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    got = {(r, k): m for r, k, m, *_ in block.overlaps(h, row, 0, len(texts))}
+    want = brute_overlaps(items, texts)
+    assert all(want[key] == m for key, m in got.items()) and got
+    assert {key for key in want if key not in got} <= {key for key, m in want.items() if m < 16}  # seeds have six words in thirteen
+    assert {r for r, *_ in block.overlaps(h, row, 0, len(texts), any_=True)} == {r for r, _ in got}
+
+
+def test_repeated_words_take_little(monkeypatch):
+    import time
+
+    block = decontam.TestBlock([(1, np.full(100, 7, dtype=np.uint64)), (2, np.concatenate([np.full(99, 7), [8]]).astype(np.uint64))])
+    h = np.full(300_000, 7, dtype=np.uint64)
+    t = time.perf_counter()
+    got = block.overlaps(h, np.zeros(len(h), dtype=np.int64), 0, 1)
+    assert [(k, m) for _, k, m, *_ in got] == [(0, 100), (1, 99)] and time.perf_counter() - t < 20

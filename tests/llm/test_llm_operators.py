@@ -252,6 +252,68 @@ def test_html(spark):
     assert sorted((r["page_id"], r["text"]) for r in html.extract(t).collect() if r["page_id"] != 2) == [(1, "a"), (1, "a"), (3, "")]
 
 
+def brute_links(rows, cosine=0.9):
+    """(vec_id, n_links, component_id) by comparing all pairs."""
+    def unit(v):
+        x = np.array([np.nan if c is None else c for c in v], dtype=float) if v else np.zeros(0)
+        return x / np.linalg.norm(x) if len(x) and np.isfinite(x).all() and x.any() else None
+
+    u = [unit(v) for _, v in rows]
+    near = [[i != j and u[i] is not None and u[j] is not None and len(u[i]) == len(u[j]) and u[i] @ u[j] >= cosine for j in range(len(u))] for i in range(len(u))]
+    root = list(range(len(u)))
+    for _ in root:
+        root = [min([root[i]] + [root[j] for j in range(len(u)) if near[i][j]]) for i in range(len(u))]
+    least = defaultdict(list)
+    for i, r in enumerate(rows):
+        least[root[i]].append(r[0])
+    return Counter((r[0], sum(near[i]), min(least[root[i]])) for i, r in enumerate(rows))
+
+
+def test_itq_lengths(spark):
+    """Vectors link with those of their own length, whichever length is the commonest."""
+    g = np.random.default_rng(8)
+    rows = [g.normal(size=8).tolist() for _ in range(30)] + [[1.0, 0, 0], [1.0, 0.01, 0], [0.0, 0, 1], [1.0, 0, 0, 0, 0], [1.0] * 5, [1.0, 1, 1, 1, 0.9], [2.0], [3.0], [-1.0], [], None, [0.0, 0.0], [float("nan"), 1.0], [None, 1.0], [2.0, 0.0], [1.0, 0.0], [1.0, -0.0]]
+    rows = list(enumerate([v if v is None else [c if c is None else float(c) for c in v] for v in rows]))
+    got = itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter(tuple(r)[:3] for r in got) == brute_links(rows) and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+
+
+@pytest.mark.parametrize("shared", [0.0, 0.6, 0.8, 0.9])
+def test_itq_recall_on_anisotropic_tables(spark, shared):
+    """Links found against brute force, with a common direction in all vectors."""
+    g = np.random.default_rng(int(shared * 10))
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    x = unit(np.sqrt(shared) * np.eye(48)[0] + np.sqrt(1 - shared) * unit(g.normal(size=(700, 48))))
+    x = np.concatenate([x, unit(x[:300] + 0.45 * np.sqrt(1 - shared) * unit(g.normal(size=(300, 48))))])
+    near = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    got = {r["vec_id"]: r["n_links"] for r in itq.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    want = near.sum(axis=1)
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.95 * want.sum() and want.sum() > 300
+
+
+def test_chat_rows_of_their_own(spark):
+    """Nulls and repeated rows are messages of their own, whatever their values share."""
+    result = '{"tool_call_id":"a","content":"9"}'
+    call = '{"tool_calls":[{"id":"a","name":"f","arguments":{}}]}'
+    rows = [(1, None, "tool", result), (None, 1, "tool", result), (1, 0, None, "x"), (1, 0, "x", None), (1, 5, "assistant", call), (1, 5, "assistant", call), (1, None, "tool", result)]
+    got = {r["conv_id"]: r for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert (got[1]["n_messages"], got[1]["n_linked"], got[1]["n_orphans"], got[1]["n_calls"]) == (6, 2, 0, 2)
+    assert (got[None]["n_messages"], got[None]["n_linked"], got[None]["n_orphans"]) == (1, 0, 1)
+
+
+@pytest.mark.parametrize("local", [200_000, 1])
+def test_chat_declared_tools_and_chains(spark, local):
+    """Schemas come from the conversation; chains against the turns are turned round, by either way."""
+    call = lambda i, args, name="add": json.dumps({"tool_calls": [{"id": i, "name": name, "arguments": args}]})
+    schema = {"type": "object", "properties": {"x": {"type": "integer"}}, "required": ["x"]}
+    rows = [(1, 9, "system", json.dumps({"tools": [{"function": {"name": "add", "parameters": schema}}, {"name": "add", "parameters": {"enum": []}}, 5]}))]
+    rows += [(1, 0, "assistant", call("a", {"x": 1})), (1, 1, "assistant", call("b", {})), (1, 2, "assistant", call("c", {"x": 1}, "other")), (2, 0, "assistant", call("a", {}, "other"))]
+    rows += [(3, 10 - i, "assistant", call(f"c{i}", {"$ref": f"c{i - 1}"} if i else {})) for i in range(6)] + [(4, 0, "assistant", call("s", {"$ref": "s"})), (4, 1, "tool", "plain")]
+    got = {r["conv_id"]: r for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), local=local).collect()}
+    assert {k: (r["n_calls"], r["n_invalid"], r["n_cyclic"]) for k, r in got.items()} == {1: (3, 2, 0), 2: (1, 0, 0), 3: (6, 0, 0), 4: (1, 0, 0)}
+    assert [m["tool_calls"][0]["id"] for m in json.loads(got[3]["json"])["messages"]] == [f"c{i}" for i in range(6)]
+
+
 def test_chat(spark):
     call = lambda i, args: json.dumps({"content": None, "tool_calls": [{"id": i, "name": "add", "arguments": args}]})
     rows = [(1, 0, "user", "hi"), (1, 1, "tool", '{"tool_call_id":"b","content":"9"}'), (1, 2, "tool", '{"tool_call_id":"a","content":"7"}'), (1, 3, "assistant", call("b", {"x": {"$ref": "a"}, "y": 1})), (1, 4, "assistant", call("a", '{"y":2,"x":"no"}')), (1, 5, "tool", '{"tool_call_id":"zz","content":"?"}')]
