@@ -28,7 +28,7 @@ def lines(text: Column) -> Column:
 
 def regex_column(line: Column, pattern: str) -> Column:
     """1-based byte column of the leftmost match, zero-width ones included."""
-    return F.octet_length(F.regexp_extract(line, f"(?s)^(.*?)(?:{pattern})", 1)) + 1
+    return F.octet_length(F.regexp_extract(line, f"^((?s:.*?))(?:{pattern})", 1)) + 1
 
 
 def literal_column(line: Column, pattern: str) -> Column:

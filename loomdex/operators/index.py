@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,27 +14,97 @@ from ..functions.trigrams import encode, of_bytes, postings
 from ..plans.seeds import Condition, literals
 
 REBUILD_AT = 0.25
+#: Trigrams of a literal that a search looks up, the rarest ones.
+PROBES = 3
+#: Bytes and rows of Parquet pages of the documents: about what a candidate costs to read.
+PAGE, PAGE_ROWS = 1 << 16, 64
+
+
+class Frequency:
+    """Document frequency of each trigram on the driver: at most 2 ** 24 entries, whatever
+    the corpus."""
+
+    def __init__(self, table: DataFrame):
+        got = table.orderBy("trigram").toArrow()
+        self.trigram = got.column("trigram").to_numpy()
+        self.docs = got.column("docs").to_numpy()
+
+    def of(self, trigram: int) -> int:
+        at = int(np.searchsorted(self.trigram, trigram))
+        return int(self.docs[at]) if at < len(self.trigram) and self.trigram[at] == trigram else 0
+
+
+_frequency: dict[str, tuple[str, Frequency]] = {}
 
 
 @dataclass
 class Index:
-    """docs (without contents a search prunes them) and postings (trigram, doc_id)."""
+    """docs (without contents a search prunes them) and postings (trigram, doc_id). An index
+    on disk knows its ``path``; its documents are sorted by doc_id (``ranged``)."""
 
     docs: DataFrame
     postings: DataFrame
-
-
-def build(docs: DataFrame, path: str, files: int | None = None) -> None:
-    """Write an index. Postings are ranged and sorted by trigram, so a lookup reads the row
-    groups of its trigrams only; docs keep their order and are pruned by column."""
-    pairs = postings(docs)
-    ranged = pairs.repartitionByRange(files, "trigram") if files else pairs.repartitionByRange("trigram")
-    ranged.sortWithinPartitions("trigram", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    docs.write.mode("overwrite").parquet(f"{path}/docs")
+    path: str | None = None
+    version: str | None = None
+
+    @property
+    def ranged(self) -> bool:
+        return self.path is not None
+
+    def frequency(self) -> Frequency | None:
+        """Read once for each version of an index."""
+        if self.version is None:
+            return None
+        found = _frequency.get(self.path)
+        if found is None or found[0] != self.version:
+            found = _frequency[self.path] = (self.version, Frequency(self.docs.sparkSession.read.parquet(f"{self.path}/frequency")))
+        return found[1]
+
+
+META = "version string, format int, built_secs long, docs long, bytes long, postings long, trigrams long"
+FORMAT = 1
+
+
+def metadata(spark: SparkSession, path: str) -> dict | None:
+    """The record that the last build wrote, or None."""
+    try:
+        row = spark.read.schema(META).json(f"{path}/meta").first()
+    except AnalysisException:
+        return None
+    if row is not None and row["format"] != FORMAT:
+        raise ValueError(f"index format {row['format']} is not {FORMAT}")
+    return row.asDict() if row is not None else None
+
+
+def build(docs: DataFrame, path: str, files: int | None = None, now: int = 0) -> dict:
+    """Write an index: docs sorted by doc_id in small pages, postings ranged and sorted by
+    (trigram, doc_id), so that neither a lookup nor a frequent trigram is one task's work,
+    the document frequencies and, last, the metadata, which it returns."""
+    spark = docs.sparkSession
+    docs.repartitionByRange(*([files] if files else []), "doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").option("parquet.page.size", PAGE).option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{path}/docs")
+    written = spark.read.parquet(f"{path}/docs")
+    postings(written).write.mode("overwrite").parquet(f"{path}/pairs")  # extracted once, though ranging reads it twice
+    pairs = spark.read.schema("trigram int, doc_id long").parquet(f"{path}/pairs")
+    pairs.repartitionByRange(*([files] if files else []), "trigram", "doc_id").sortWithinPartitions("trigram", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    document_frequency(pairs).write.mode("overwrite").parquet(f"{path}/frequency")
+    remove(spark, f"{path}/pairs")
+    frequency = spark.read.parquet(f"{path}/frequency").agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("postings"), F.count("*").alias("trigrams"))
+    size = F.col("size") if "size" in written.columns else F.octet_length(F.col("contents").cast("binary"))
+    stats = written.agg(F.count("*").alias("docs"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
+    meta = stats.crossJoin(frequency).select(F.lit(uuid.uuid4().hex).alias("version"), F.lit(FORMAT).alias("format"), F.lit(now).cast("long").alias("built_secs"), "docs", "bytes", "postings", "trigrams")  # one row each
+    meta.write.mode("overwrite").json(f"{path}/meta")
+    return metadata(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"))
+    """An index that ``build`` wrote, without its delta."""
+    meta = metadata(spark, path)
+    return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"), path if meta else None, meta["version"] if meta else None)
 
 
 def _met(condition: Condition, flag: dict[bytes, Column]) -> Column:
@@ -44,18 +117,32 @@ def _met(condition: Condition, flag: dict[bytes, Column]) -> Column:
     return out
 
 
-def candidates(index: DataFrame, condition: Condition) -> DataFrame:
+def candidates(index: DataFrame, condition: Condition, frequency: Frequency | None = None) -> DataFrame | None:
     """doc_id of the documents that may hold what a seed condition asks for: one scan of the
-    wanted postings, one grouping with map-side combine."""
+    wanted postings, one grouping with map-side combine. With ``frequency`` only the PROBES
+    rarest trigrams of each literal are read, and None means that there are no candidates."""
     grams = {s: [int(g) for g in of_bytes(s)] for s in set(literals(condition))}
+    if frequency is not None:
+        grams = {s: sorted(gs, key=lambda g: (frequency.of(g), g))[:PROBES] for s, gs in grams.items()}
+        if not _possible(condition, {s: frequency.of(gs[0]) > 0 for s, gs in grams.items()}):
+            return None
+        grams = {s: [g for i, g in enumerate(gs) if not i or frequency.of(g) < 64 * frequency.of(gs[0])] for s, gs in grams.items()}
     wanted = sorted({g for gs in grams.values() for g in gs})
     rows = index.where(F.col("trigram").isin(wanted))
+    if len(wanted) == 1:
+        return rows.select("doc_id")  # each pair is there once
     names = {s: f"s{i}" for i, s in enumerate(grams)}
     counted = rows.groupBy("doc_id").agg(*[F.count_if(F.col("trigram").isin(gs)).alias(names[s]) for s, gs in grams.items()])
     flag = {s: F.col(names[s]) >= len(gs) for s, gs in grams.items()}
     return counted.where(_met(condition, flag)).select("doc_id")
 
 
+def _possible(condition: Condition, known: dict[bytes, bool]) -> bool:
+    if isinstance(condition, bytes):
+        return known[condition]
+    return (all if condition[0] == "and" else any)(_possible(p, known) for p in condition[1])
+
+
 def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("trigram").agg(F.count("*").alias("docs"))
 
@@ -84,9 +171,50 @@ def overlay(base: DataFrame, delta: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def overlay_postings(index: Index, delta: DataFrame, removed: DataFrame) -> Index:
-    docs = overlay(index.docs, delta, removed)
-    base = index.postings.join(docs.select("doc_id"), "doc_id", "left_semi")
-    return Index(docs, base.select("trigram", "doc_id").union(postings(delta)))
+    """Base postings of the documents that stay, and the delta's own: a replaced document's
+    old postings are gone even where its doc_id stays the same."""
+    gone = removed.select("relative_path").union(delta.select("relative_path")).distinct()
+    stay = index.docs.join(gone, "relative_path", "left_anti")
+    base = index.postings.join(stay.select("doc_id"), "doc_id", "left_semi")
+    return Index(overlay(index.docs, delta, removed), base.select("trigram", "doc_id").union(postings(delta)))
+
+
+def write_delta(delta: DataFrame, removed: DataFrame, path: str) -> None:
+    """The changes against the base as files of the index; a new delta takes the old one's place."""
+    delta.write.mode("overwrite").parquet(f"{path}/delta/docs")
+    removed.select("relative_path").distinct().write.mode("overwrite").parquet(f"{path}/delta/removed")
+
+
+def remove_delta(spark: SparkSession, path: str) -> None:
+    remove(spark, f"{path}/delta")
+
+
+def load_current(spark: SparkSession, path: str) -> Index:
+    """The base with its delta laid over it, if there is one."""
+    base = load(spark, path)
+    try:
+        delta, removed = spark.read.parquet(f"{path}/delta/docs"), spark.read.parquet(f"{path}/delta/removed")
+    except AnalysisException:
+        return base
+    return overlay_postings(base, delta, removed)
+
+
+def apply_changes(spark: SparkSession, path: str, scan: DataFrame, now: int = 0) -> dict:
+    """Bring an index up to ``scan`` (its documents' columns, with size, modified_unix_secs
+    and hash): what differs from the base becomes its delta, or, from REBUILD_AT on, all of
+    ``scan`` a new base without a delta. Returns changed, base_docs, ratio and rebuild."""
+    base = spark.read.parquet(f"{path}/docs")
+    kinds = classify_changes(base, scan)
+    what = change_ratio(kinds).first().asDict()
+    if what["rebuild"]:
+        scan.write.mode("overwrite").parquet(f"{path}/next")  # scan may read what build overwrites
+        build(spark.read.parquet(f"{path}/next"), path, now=now)
+        remove(spark, f"{path}/next")
+        remove_delta(spark, path)
+    else:
+        new = kinds.where("change in ('added', 'modified')").select("relative_path")
+        write_delta(scan.join(new, "relative_path", "left_semi").select(*base.columns), kinds.where("change = 'removed'"), path)
+    return what
 
 
 def latest(log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,4 +229,7 @@ def trigrams_of(text: str) -> list[int]:
     return [int(t) for t in of_bytes(text.encode())]
 
 
-__all__ = ["Index", "build", "candidates", "change_ratio", "classify_changes", "document_frequency", "encode", "latest", "load", "overlay", "overlay_postings", "trigrams_of"]
+__all__ = [
+    "Index", "apply_changes", "build", "candidates", "change_ratio", "classify_changes", "document_frequency", "encode", "latest", "load", "load_current",
+    "metadata", "overlay", "overlay_postings", "remove_delta", "trigrams_of", "write_delta",
+]

@@ -11,9 +11,14 @@ from ..functions.text import ascii_lower, lines, literal_column, regex_column
 from ..plans.globs import to_regex
 from ..plans.planner import plan, route
 from ..plans.request import SearchRequest
-from ..plans.seeds import check_dialect
+from ..plans.seeds import check_dialect, named_groups
 from .index import Index, candidates
 
+#: Only a newline ends a line; classes and word boundaries know all letters; case is that of A-Z.
+DIALECT = "(?dU-u)"
+#: Candidates up to this number are looked up by ranges of doc_id instead of a join, and how many ranges.
+LOOKUP, RANGES = 4096, 64
+
 
 def _any_of(parts: list[Column]) -> Column:
     out = parts[0]
@@ -56,8 +61,8 @@ def _matcher(request: SearchRequest) -> tuple[Column, Column]:
     pattern = re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", request.pattern) if request.effective_kind == "literal" else request.pattern
     if request.effective_kind == "regex":
         check_dialect(pattern)
-    if request.case == "insensitive":
-        pattern = f"(?i:{pattern})"
+        pattern = named_groups(pattern, "(?<")
+    pattern = f"{DIALECT}{'(?i)' if request.case == 'insensitive' else ''}(?:{pattern})"
     return line.rlike(pattern), regex_column(line, pattern)
 
 
@@ -78,14 +83,34 @@ def limited(hits: DataFrame, request: SearchRequest) -> DataFrame:
     return hits.orderBy("relative_path", "line_number").limit(request.max_results)
 
 
-def candidate_docs(index: Index, request: SearchRequest, engine: str | None = None) -> DataFrame:
-    """Documents to verify: path filters, and the index's candidates where it can serve."""
+def _spans(ids: list[int], most: int) -> list[tuple[int, int]]:
+    """At most so many ranges that hold sorted ids, cut at the widest gaps."""
+    gaps = sorted(range(1, len(ids)), key=lambda i: ids[i - 1] - ids[i])[: most - 1]
+    cuts = [0, *sorted(gaps), len(ids)]
+    return [(ids[a], ids[b - 1]) for a, b in zip(cuts, cuts[1:])]
+
+
+def candidate_docs(index: Index, request: SearchRequest, engine: str | None = None, probe: bool = True) -> DataFrame:
+    """Documents to verify: path filters, and the index's candidates where it can serve. A
+    few candidates are looked up by ranges of doc_id, which Parquet prunes pages by (the
+    documents of an index are sorted); more are joined. ``probe``: the rarest trigrams of
+    each literal are enough; otherwise the candidates hold all of them."""
     docs = index.docs.where(path_predicate(request))
     found = plan(request)
     engine = engine or route(request, found, None, True)[0]
-    if engine == "indexed" and found.condition is not None:
-        return docs.join(candidates(index.postings, found.condition), "doc_id", "left_semi")
-    return docs
+    if engine != "indexed" or found.condition is None:
+        return docs
+    wanted = candidates(index.postings, found.condition, index.frequency() if probe else None)
+    if wanted is None:
+        return docs.where(F.lit(False))
+    if not index.ranged:
+        return docs.join(wanted, "doc_id", "left_semi")
+    ids = sorted(r[0] for r in wanted.limit(LOOKUP + 1).collect())
+    if not ids:
+        return docs.where(F.lit(False))
+    if len(ids) > LOOKUP:
+        return docs.join(wanted, "doc_id", "left_semi")
+    return docs.where(_any_of([F.col("doc_id").between(a, b) for a, b in _spans(ids, RANGES)]) & F.col("doc_id").isin(ids))
 
 
 def search(index: Index, request: SearchRequest, engine: str | None = None) -> DataFrame:
@@ -107,7 +132,7 @@ def summary(hits: DataFrame) -> DataFrame:
 def metrics(index: Index, request: SearchRequest, engine: str) -> DataFrame:
     """candidate_docs, verified_docs and bytes_scanned: of matched files with the index, of all
     verified ones in a scan."""
-    docs = candidate_docs(index, request.checked(), engine)
+    docs = candidate_docs(index, request.checked(), engine, probe=False)
     hit = verify(docs, request).select("relative_path").distinct().withColumn("hit", F.lit(True))
     joined = docs.select("relative_path", "size").join(hit, "relative_path", "left")
     size = F.when(F.col("hit") | F.lit(engine == "direct_scan"), F.col("size")).otherwise(0)
