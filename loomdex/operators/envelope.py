@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans.planner import plan, route
 from ..plans.request import SearchRequest
@@ -33,8 +34,9 @@ def envelope(index: Index, request: SearchRequest, limit: int | None = None, cat
     return {"version": "1", "strategy": engine, "fallback_used": found.strategy == "direct_scan", "routing_reason": found.reason or reason, "counts": counts, "results": [r.asDict() for r in rows[:n]], "truncated": len(rows) > n, "cache": "miss" if engine == "indexed" else "bypass"}
 
 
-def ordered_paths(hits: DataFrame) -> list[str]:
-    """Distinct paths in order of their first hit."""
-    from pyspark.sql import functions as F
-
-    return [r[0] for r in hits.groupBy("relative_path").agg(F.min("line_number")).orderBy("relative_path").limit(HARD_LIMIT).collect()]
+def ordered_paths(hits: DataFrame, limit: int = HARD_LIMIT) -> list[str]:
+    """Distinct paths in order of their first hit, the first ``limit`` of them. Hits come in
+    the order of path and line unless they have a column ``ordinal``."""
+    first = F.min("ordinal" if "ordinal" in hits.columns else "line_number").alias("first")
+    order = ["first", "relative_path"] if "ordinal" in hits.columns else ["relative_path"]
+    return [r[0] for r in hits.groupBy("relative_path").agg(first).orderBy(*order).limit(limit).collect()]

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.running import running_sum
+
 JOURNAL = 256
+#: Changed paths of a journal that are broadcast; its batches are few, the paths of one need not be.
+JOURNAL_ROWS = 200_000
 
 
 def newest_batches(journal: DataFrame, n: int = JOURNAL) -> DataFrame:
@@ -27,9 +31,15 @@ def check(requests: DataFrame, journal: DataFrame, generation: Column, epoch: Co
     base = requests.crossJoin(F.broadcast(first)).withColumn("generation_", generation).withColumn("epoch_", epoch)  # first is one row
     order = Window.partitionBy("generation").orderBy("path") if "ordinal" not in journal.columns else None
     seen = journal.withColumn("ordinal", F.row_number().over(order)) if order is not None else journal
-    hits = base.join(F.broadcast(seen), F.col("generation") > F.col("recorded_generation"))  # the journal keeps few batches
-    kind = F.when(F.array_contains("matched_paths", F.col("path")), "changed_matched_path").when(in_scope, "changed_search_scope")
-    hits = hits.withColumn("why", kind).where("why is not null").groupBy("request_id").agg(F.min(F.struct("generation", "ordinal", "why", "path")).alias("c"))
+    seen = seen.select("generation", "ordinal", "path")
+    newer = F.col("generation") > F.col("recorded_generation")
+    # the paths that a request has matched are joined by path; only changed paths of a request's
+    # scope are left to compare, each distinct change once
+    matched = base.select("request_id", "recorded_generation", F.explode("matched_paths").alias("path")).distinct().join(seen, "path").where(newer)
+    matched = matched.select("request_id", F.struct("generation", "ordinal", F.lit("changed_matched_path").alias("why"), "path").alias("c"))
+    scoped = base.join(seen.hint("broadcast") if seen.limit(JOURNAL_ROWS + 1).count() <= JOURNAL_ROWS else seen, newer & in_scope & ~F.array_contains("matched_paths", F.col("path")))
+    scoped = scoped.select("request_id", F.struct("generation", "ordinal", F.lit("changed_search_scope").alias("why"), "path").alias("c"))
+    hits = matched.union(scoped).groupBy("request_id").agg(F.min("c").alias("c"))
     j = base.join(hits, "request_id", "left")
     why = (
         F.when(F.col("epoch_") != F.col("recorded_epoch"), "context_invalidated")
@@ -45,9 +55,10 @@ def check(requests: DataFrame, journal: DataFrame, generation: Column, epoch: Co
 
 
 def epochs(events: DataFrame) -> DataFrame:
-    """``events`` plus epoch: how many session starts and compactions came so far, of all sessions."""
-    w = Window.orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn("epoch", F.count_if(F.col("event").isin("session_start", "pre_compact")).over(w))
+    """``events`` plus epoch: how many session starts and compactions came so far, of all
+    sessions. Counted by hour first, so no task sees more than an hour's events."""
+    starts = F.when(F.col("event").isin("session_start", "pre_compact"), 1).otherwise(0).cast("long")
+    return running_sum(events, F.date_trunc("hour", "ts"), ["ts", "seq"], starts, "epoch")
 
 
 def search_memo(uses: DataFrame, n: int = 256) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import line_range, sha256
 from .frecency import restore as restore_scores
 
+# The headers of a brief.
 HEADERS = ("## Goal", "## Current hypothesis", "## Established facts", "## Ruled out", "## Open questions", "## Next planned action")
 
 
@@ -99,21 +100,38 @@ def hydration(files: DataFrame, searches: DataFrame, snapshot_id: str, budget_to
     text = F.concat(F.lit(f"# Hydration payload\n\n- snapshot_id: {snapshot_id}\n\n## Working Set\n"), "f", F.lit("\n\n## Searches\n"), "s", F.lit("\n"))
     out = f.crossJoin(s).select(text.alias("payload"))  # one row each
     most = max(budget_tokens * 4, 512)
-    cut = F.concat(F.substring("payload", 1, most), F.lit("\n\n[truncated to hydration budget]\n"))
+    raw = F.encode("payload", "UTF-8")
+    heads = [F.substring(raw, 1, most - i).cast("string") for i in range(4)]  # one of them ends with a whole character
+    cut = F.concat(F.coalesce(*[F.when(F.is_valid_utf8(h), h) for h in heads]), F.lit("\n\n[truncated to hydration budget]\n"))
     out = out.select(F.when(F.octet_length("payload") > most, cut).otherwise(F.col("payload")).alias("payload"))
     return out.withColumn("token_estimate", F.ceil(F.octet_length("payload") / F.lit(4.0)))
 
 
-def brief(log: DataFrame, goal: str = "Continue the captured session.") -> DataFrame:
-    """One row: a brief with the first 12 actions as cited facts."""
+BRIEF_FACTS = 12
+
+
+def briefs(log: DataFrame, goal: str = "Continue the captured session.") -> DataFrame:
+    """session_id and markdown: a brief of each session with its first BRIEF_FACTS actions as
+    cited facts."""
     ident = F.concat(F.lit(" [action_log:"), F.col("entry_id").cast("string"), F.lit("]"))
     query = F.coalesce(F.get_json_object("payload", "$.query"), F.lit("unknown query"))
     path = F.coalesce(F.get_json_object("payload", "$.path"), F.lit("unknown path"))
     fact = F.when(F.col("kind") == "search", F.concat(F.lit("- Ran search `"), query, F.lit("`"), ident)).when(F.col("kind") == "memo_check", F.concat(F.lit("- Checked freshness of `"), path, F.lit("`"), ident)).otherwise(F.concat(F.lit("- Recorded "), "kind", ident))
-    first = log.orderBy("entry_id").limit(12).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("entry_id", fact.alias("t")))), lambda x: x["t"]), "\n").alias("facts"))
-    facts = F.when(F.col("facts") == "", "(none captured)").otherwise(F.col("facts"))
-    body = F.concat(F.lit(f"## Goal\n{goal}\n\n## Current hypothesis\n(none)\n\n## Established facts\n"), facts, F.lit("\n\n## Ruled out\n(none identified)\n\n## Open questions\n- What should be verified first?\n\n## Next planned action\nCheck one captured fact before editing.\n"))
-    return first.select(body.alias("markdown"))
+    nth = F.row_number().over(Window.partitionBy("session_id").orderBy("entry_id"))
+    first = log.select("session_id", "entry_id", fact.alias("t")).withColumn("nth", nth).where(F.col("nth") <= BRIEF_FACTS)
+    facts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "t"))), lambda x: x["t"]), "\n")
+    return first.groupBy("session_id").agg(facts.alias("facts")).select("session_id", _brief(F.col("facts"), goal).alias("markdown"))
+
+
+def _brief(facts: Column, goal: str) -> Column:
+    return F.concat(F.lit(f"## Goal\n{goal}\n\n## Current hypothesis\n(none)\n\n## Established facts\n"), facts, F.lit("\n\n## Ruled out\n(none identified)\n\n## Open questions\n- What should be verified first?\n\n## Next planned action\nCheck one captured fact before editing.\n"))
+
+
+def brief(log: DataFrame, goal: str = "Continue the captured session.") -> DataFrame:
+    """One row: the brief of a log, whatever its sessions; without actions it says so."""
+    one = briefs(log.withColumn("session_id", F.lit("")), goal).select("markdown")
+    none = log.sparkSession.range(1).select(_brief(F.lit("(none captured)"), goal).alias("none"))
+    return none.join(one, F.lit(True), "left").select(F.coalesce("markdown", "none").alias("markdown"))  # one row each
 
 
 def brief_problems(briefs: DataFrame, log: DataFrame) -> DataFrame:
@@ -145,6 +163,7 @@ def import_id(wanted: str, taken: list[str]) -> str:
     return name
 
 
+# Names by which harnesses are called.
 _HARNESS = {"claude": "claude_code", "claude_code": "claude_code", "claudecode": "claude_code", "codex": "codex", "codex_cli": "codex"}
 
 
@@ -153,3 +172,16 @@ def normalize_harness(value: str) -> str:
     if name not in _HARNESS:
         raise ValueError(f"unsupported harness {value}")
     return _HARNESS[name]
+
+
+# How the harnesses are shown and how each is told to resume a snapshot.
+_SHOWN = {"claude_code": "Claude", "codex": "Codex"}
+_RESUME = {"claude_code": "/", "codex": "$"}
+
+
+def handoff_block(source: str | None, target: str, session_id: str, snapshot_id: str, brief: str, tool: str = "loomdex") -> str:
+    """What a user pastes into another harness to go on with a session."""
+    head = [f"{tool} handoff ready", ""]
+    about = {"From": _SHOWN.get(source, "unknown"), "To": _SHOWN[target], "Session": session_id, "Snapshot": snapshot_id, "Brief": brief}
+    tail = ["", f"In {_SHOWN[target]}, paste:", f"  {_RESUME[target]}{tool} resume {snapshot_id}"]
+    return "\n".join([*head, *(f"{k}: {v}" for k, v in about.items()), *tail])

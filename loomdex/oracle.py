@@ -68,7 +68,7 @@ _COUNTS = " UNION ALL ".join(
 )
 _VERSIONS = """d AS (SELECT doc_id, source || '/' || lang || '/doc_' || doc_id || '.txt' AS relative_path, doc_id % 10 AS k, text FROM documents),
   kinds AS (SELECT relative_path, CASE k WHEN 1 THEN 'added' WHEN 2 THEN 'removed' WHEN 3 THEN 'modified' ELSE 'same' END AS change FROM d)"""
-_LOG = """log AS (SELECT conv_id * 1000 + turn AS entry_id, conv_id::VARCHAR AS session_id, turn AS ts, CASE WHEN role = 'user' THEN 'search' ELSE 'read' END AS kind, left(text, 12) AS query, 'f/' || (turn % 3) AS path, md5(text) AS sha FROM conversations)"""
+_LOG = """log AS (SELECT conv_id * 1000 + turn AS entry_id, conv_id::VARCHAR AS session_id, turn AS ts, CASE WHEN role = 'user' THEN 'search' ELSE 'read' END AS kind, text AS query, 'f/' || (turn % 3) AS path, md5(text) AS sha FROM conversations)"""
 _FILES = f"""{_LOG}, files AS (SELECT session_id, path, arg_min(sha, entry_id) AS sha, arg_min(ts, entry_id) AS last_read_at FROM log WHERE kind = 'read' GROUP BY 1, 2)"""
 
 
@@ -137,22 +137,24 @@ SQL: dict[str, str] = {
     "memo_session_totals": f"WITH {_lives(43200)}, r AS (SELECT session_id, life, count(*) AS a, count(*) FILTER (redundant) AS b, sum(tokens_saved)::BIGINT AS c FROM reads GROUP BY 1, 2), c AS (SELECT session_id, life, count(*) FILTER (event = 'pre_compact') AS compaction_count FROM segs GROUP BY 1, 2) SELECT session_id, life, coalesce(a, 0) AS total_reads, coalesce(b, 0) AS redundant_reads_prevented, coalesce(c.compaction_count, 0) AS compaction_count, coalesce(r.c, 0) AS tokens_saved FROM c LEFT JOIN r USING (session_id, life)",
     "memo_idle_sessions": f"WITH {_EVENTS} SELECT session_id, max(floor(epoch(ts)))::BIGINT AS last_activity, epoch(TIMESTAMP '2024-01-30 20:00:00') - floor(epoch(max(ts))) > 600 AS idle FROM ev GROUP BY 1",
     "memo_check_recommendation": f"WITH {_TRACKED}, disk AS (SELECT path, arg_max(content_hash, seq) AS h, arg_max(tokens, seq) AS t FROM ev GROUP BY path), j AS (SELECT k.*, d.t, d.h IS NULL OR d.h <> k.content_hash AS stale FROM tracked k LEFT JOIN disk d USING (path)) SELECT session_id, path, CASE WHEN stale THEN 'stale' ELSE 'fresh' END AS status, CASE WHEN NOT stale THEN 'skip_reread' WHEN t IS NOT NULL AND tokens > 0 AND abs(t - tokens) / tokens < 0.10 THEN 'reread_with_diff' ELSE 'reread' END AS recommendation, tokens AS tokens_at_last_read, CASE WHEN stale THEN t END AS current_tokens FROM j",
-    "memo_broadcast": f"WITH {_TRACKED} SELECT session_id, path, 'edit' AS event FROM tracked WHERE path IN (SELECT path FROM ev WHERE event = 'edit' AND seq % 7 = 0)",
+    "memo_broadcast": f"WITH {_TRACKED} SELECT session_id, path, 'edit' AS event FROM tracked WHERE path IN (SELECT path FROM ev WHERE event = 'edit')",
     "memo_stream": f"WITH {_lives(43200)}, n AS (SELECT session_id, max(life) AS life FROM lives GROUP BY 1), r AS (SELECT session_id, life, count(*) AS a, count(*) FILTER (redundant) AS b, sum(tokens_saved)::BIGINT AS c FROM reads GROUP BY 1, 2), k AS (SELECT session_id, life, count(*) FILTER (event = 'pre_compact') AS m FROM segs GROUP BY 1, 2) SELECT n.session_id, n.life, coalesce(a, 0) AS total_reads, coalesce(b, 0) AS redundant_reads_prevented, coalesce(r.c, 0) AS tokens_saved, coalesce(m, 0) AS compaction_count FROM n LEFT JOIN r USING (session_id, life) LEFT JOIN k USING (session_id, life)",
     "search_epochs": f"WITH {_EVENTS}, e AS (SELECT session_id, count(*) FILTER (event IN ('session_start', 'pre_compact')) OVER (ORDER BY ts, seq) AS epoch FROM ev) SELECT session_id, max(epoch) AS epoch FROM e GROUP BY 1",
-    "reuse_check": f"WITH {_EVENTS}, edits AS (SELECT row_number() OVER (ORDER BY ts, seq) AS generation, path FROM ev WHERE event = 'edit'), journal AS (SELECT * FROM edits ORDER BY generation DESC LIMIT 64), g AS (SELECT max(generation) AS g FROM edits), q AS (SELECT seq AS request_id, g.g - seq % 90 + CASE WHEN seq % 17 = 0 THEN 200 ELSE 0 END AS rec, (seq % 11 = 0)::INT AS ep, path, left(path, 4) AS scope, g.g AS cur FROM ev, g WHERE event = 'read'), hit AS (SELECT request_id, min({{'g': j.generation, 'w': CASE WHEN j.path = q.path THEN 'changed_matched_path' ELSE 'changed_search_scope' END, 'p': j.path}}) AS c FROM q JOIN journal j ON j.generation > q.rec AND (j.path = q.path OR starts_with(j.path, q.scope)) GROUP BY 1), o AS (SELECT q.request_id, CASE WHEN ep <> 0 THEN 'context_invalidated' WHEN cur < rec THEN 'generation_reset' WHEN cur = rec THEN 'unchanged' WHEN (SELECT min(generation) FROM journal) > rec + 1 THEN 'journal_overflow' WHEN c IS NOT NULL THEN c.w ELSE 'unchanged' END AS reason, c.p AS p FROM q LEFT JOIN hit USING (request_id)) SELECT request_id, reason = 'unchanged' AS fresh, reason, CASE WHEN starts_with(reason, 'changed') THEN p END AS changed_path FROM o",
+    "reuse_check": f"WITH {_EVENTS}, edits AS (SELECT row_number() OVER (ORDER BY ts, seq) AS generation, path FROM ev WHERE event = 'edit'), journal AS (SELECT * FROM edits ORDER BY generation DESC LIMIT 256), g AS (SELECT max(generation) AS g FROM edits), q AS (SELECT seq AS request_id, g.g - seq % 90 + CASE WHEN seq % 17 = 0 THEN 200 ELSE 0 END AS rec, (seq % 11 = 0)::INT AS ep, path, left(path, 4) AS scope, g.g AS cur FROM ev, g WHERE event = 'read'), hit AS (SELECT request_id, min({{'g': j.generation, 'w': CASE WHEN j.path = q.path THEN 'changed_matched_path' ELSE 'changed_search_scope' END, 'p': j.path}}) AS c FROM q JOIN journal j ON j.generation > q.rec AND (j.path = q.path OR starts_with(j.path, q.scope)) GROUP BY 1), o AS (SELECT q.request_id, CASE WHEN ep <> 0 THEN 'context_invalidated' WHEN cur < rec THEN 'generation_reset' WHEN cur = rec THEN 'unchanged' WHEN (SELECT min(generation) FROM journal) > rec + 1 THEN 'journal_overflow' WHEN c IS NOT NULL THEN c.w ELSE 'unchanged' END AS reason, c.p AS p FROM q LEFT JOIN hit USING (request_id)) SELECT request_id, reason = 'unchanged' AS fresh, reason, CASE WHEN starts_with(reason, 'changed') THEN p END AS changed_path FROM o",
     "context_terms": f"WITH w AS (SELECT item_id, list_filter(string_split_regex({_LOW.format('text')}, '[^a-z0-9_]+'), lambda x: len(x) >= 3 AND x NOT IN ({_STOP})) AS w FROM benchmark), u AS (SELECT item_id, unnest(w) AS term, unnest(range(len(w))) AS p FROM w), f AS (SELECT item_id, term, min(p) AS p FROM u GROUP BY 1, 2) SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY p) - 1)::INTEGER AS n, term FROM f",
     "context_pack_rank": _pack(),
     "working_set": f"WITH {_FILES} SELECT * FROM files",
     "searches_run": f"WITH {_LOG} SELECT session_id, 'action-' || entry_id AS search_id, query, 'search' AS search_kind FROM log WHERE kind = 'search'",
     "snapshot_diff": f"WITH {_FILES}, a AS (SELECT path, max(sha) AS x FROM files WHERE session_id::BIGINT % 2 = 0 GROUP BY 1), b AS (SELECT path, max(sha) AS y FROM files WHERE session_id::BIGINT % 2 = 1 GROUP BY 1) SELECT path, CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (path) WHERE x IS DISTINCT FROM y",
-    "snapshot_diff_searches": f"WITH {_LOG}, a AS (SELECT DISTINCT left(query, 3) AS search_id FROM log WHERE kind = 'search' AND session_id::BIGINT % 2 = 0), b AS (SELECT DISTINCT left(query, 3) AS search_id FROM log WHERE kind = 'search' AND session_id::BIGINT % 2 = 1) SELECT search_id, 'added' AS change FROM (FROM b EXCEPT FROM a) UNION ALL SELECT search_id, 'removed' FROM (FROM a EXCEPT FROM b)",
+    "snapshot_diff_searches": f"WITH {_LOG}, a AS (SELECT DISTINCT query AS search_id FROM log WHERE kind = 'search' AND session_id::BIGINT % 2 = 0), b AS (SELECT DISTINCT query AS search_id FROM log WHERE kind = 'search' AND session_id::BIGINT % 2 = 1) SELECT search_id, 'added' AS change FROM (FROM b EXCEPT FROM a) UNION ALL SELECT search_id, 'removed' FROM (FROM a EXCEPT FROM b)",
     "sessions_newest_open": "SELECT conv_id::VARCHAR AS session_id, 'open' AS status, max(turn) AS updated_at FROM conversations GROUP BY conv_id HAVING count(*) % 2 = 0 ORDER BY updated_at DESC, session_id LIMIT 1",
     "pinned_snippets": "WITH d AS (SELECT source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, 2::INTEGER AS line_start, (doc_id % 3 + 2)::INTEGER AS line_end, string_split_regex(text, '\\r?\\n') AS p FROM documents), l AS (SELECT path, line_start, line_end, coalesce(array_to_string((CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END)[line_start:line_end], chr(10)), '') AS content FROM d) SELECT *, sha256(content) AS sha FROM l",
-    "session_brief": None,
+    "binary_sniff": "WITH b AS (SELECT doc_id, doc_id % 4 AS k, least(4096, strlen(text) + 1) AS n, list_transform(regexp_extract_all(left(hex(encode(text)) || 'FF', 8192), '..'), lambda h: (instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1) AS b FROM documents), c AS (SELECT *, len(list_filter(b, lambda x: (x >= 32 AND x <= 126) OR x IN (9, 10, 13))) AS t, len(list_filter(b, lambda x: x <= 8 OR x IN (11, 12) OR (x >= 14 AND x <= 31))) AS c FROM b) SELECT doc_id, CASE k WHEN 2 THEN true WHEN 1 THEN c * 200 >= n OR (c > 0 AND t / n < 0.95) OR t / n < 0.85 ELSE false END AS is_binary, k <> 1 AS valid FROM c",
+    "pack_checksums": f"WITH {_DOCS} SELECT relative_path AS path, sha256(text) AS sha256, sha256('x') AS found FROM docs WHERE doc_id % 5 = 0 AND text <> 'x'",
+    "session_brief": f"WITH {_LOG}, f AS (SELECT session_id, entry_id, CASE kind WHEN 'search' THEN '- Ran search `' || query || '`' ELSE '- Recorded ' || kind END || ' [action_log:' || entry_id || ']' AS t FROM log QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY entry_id) <= 12), m AS (SELECT session_id, '## Goal' || chr(10) || 'Continue' || chr(10, 10) || '## Current hypothesis' || chr(10) || '(none)' || chr(10, 10) || '## Established facts' || chr(10) || string_agg(t, chr(10) ORDER BY entry_id) || chr(10, 10) || '## Ruled out' || chr(10) || '(none identified)' || chr(10, 10) || '## Open questions' || chr(10) || '- What should be verified first?' || chr(10, 10) || '## Next planned action' || chr(10) || 'Check one captured fact before editing.' || chr(10) AS markdown FROM f GROUP BY 1) SELECT session_id, markdown, strlen(markdown)::INTEGER AS bytes FROM m".replace("chr(10, 10)", "chr(10) || chr(10)"),
     "bench_percentiles": "WITH r AS (SELECT l_returnflag, l_linestatus, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice) - 1 AS r, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS n FROM lineitem) SELECT l_returnflag, l_linestatus, round(max(v) FILTER (r = floor(0.5 * (n - 1) + 0.5)), 6) AS p50, round(max(v) FILTER (r = floor(0.95 * (n - 1) + 0.5)), 6) AS p95, round(max(v) FILTER (r = floor(0.99 * (n - 1) + 0.5)), 6) AS p99, round(avg(v), 6) AS mean, round(min(v), 6) AS min, round(max(v), 6) AS max FROM r GROUP BY 1, 2",
     "bench_result_diff": f"WITH {_DOCS}, {_LINES}, a AS (SELECT DISTINCT relative_path, line_number::INTEGER AS line_number FROM lines WHERE contains(line_text, 'license')), b AS (SELECT DISTINCT relative_path, line_number::INTEGER AS line_number FROM lines WHERE contains({_LOW.format('line_text')}, 'licensed')) SELECT *, 'left' AS side FROM (FROM a EXCEPT FROM b) UNION ALL SELECT *, 'right' FROM (FROM b EXCEPT FROM a)",
-    "ir_metrics": "WITH j AS (SELECT source AS scenario, doc_id::VARCHAR AS path, doc_id, CASE WHEN toxic = 1 THEN 'bad' WHEN quality = 1 AND doc_id % 2 = 0 THEN 'required' WHEN quality = 1 THEN 'helpful' END AS label FROM documents JOIN labels USING (doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY doc_id) AS rank FROM j QUALIFY rank <= 8), w AS (SELECT scenario, count(*) AS wanted FROM j WHERE label IN ('required', 'helpful') GROUP BY 1) SELECT scenario, bool_or(rank = 1 AND coalesce(label = 'required', false)) AS hit_at_1, bool_or(rank <= 4 AND coalesce(label = 'required', false)) AS hit_at_4, round(coalesce(1.0::DOUBLE / min(rank) FILTER (label = 'required'), 0), 6) AS mrr, round(count(*) FILTER (label IN ('required', 'helpful')) / greatest(coalesce(any_value(wanted), 0), 1), 6) AS coverage, round(count(*) FILTER (label IN ('required', 'helpful')) / count(*), 6) AS precision, bool_or(rank = 1 AND coalesce(label = 'bad', false)) AS misleading_top1 FROM r LEFT JOIN w USING (scenario) GROUP BY scenario",
+    "ir_metrics": "WITH j AS (SELECT source AS scenario, doc_id::VARCHAR AS path, doc_id, CASE WHEN toxic = 1 THEN 'bad' WHEN quality = 1 AND doc_id % 2 = 0 THEN 'required' WHEN quality = 1 THEN 'helpful' END AS label FROM documents JOIN labels USING (doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY doc_id) AS rank FROM j), w AS (SELECT scenario, count(*) AS wanted FROM j WHERE label IN ('required', 'helpful') GROUP BY 1) SELECT scenario, bool_or(rank = 1 AND coalesce(label = 'required', false)) AS hit_at_1, bool_or(rank <= 4 AND coalesce(label = 'required', false)) AS hit_at_4, round(coalesce(1.0::DOUBLE / min(rank) FILTER (label = 'required'), 0), 6) AS mrr, round(count(*) FILTER (label IN ('required', 'helpful')) / greatest(coalesce(any_value(wanted), 0), 1), 6) AS coverage, round(count(*) FILTER (label IN ('required', 'helpful')) / count(*), 6) AS precision, bool_or(rank = 1 AND coalesce(label = 'bad', false)) AS misleading_top1 FROM r LEFT JOIN w USING (scenario) GROUP BY scenario",
     "reusable_searches": f"WITH {_EVENTS}, s AS (SELECT session_id, seq AS turn, path AS key, lag(seq) OVER (PARTITION BY session_id, path ORDER BY seq) AS previous_turn FROM ev WHERE event = 'read') SELECT session_id, turn, key, previous_turn, NOT EXISTS (SELECT 1 FROM ev e WHERE e.event = 'edit' AND e.session_id = s.session_id AND e.path = s.key AND e.seq > s.previous_turn AND e.seq < s.turn) AS reusable FROM s WHERE previous_turn IS NOT NULL",
     "token_estimates": "SELECT doc_id, ceil(strlen(text) / 3.5)::BIGINT AS read_tokens, greatest(1, ceil(length(text) / 4.0))::BIGINT AS pack_tokens, ceil(strlen(text) / 4.0)::BIGINT AS hydration_tokens FROM documents",
     "preview_trim": f"SELECT doc_id, CASE WHEN length(regexp_replace(text, '[\\r\\n]+$', '')) <= 40 THEN regexp_replace(text, '[\\r\\n]+$', '') ELSE left(regexp_replace(text, '[\\r\\n]+$', ''), 39) || '…' END AS preview, CASE WHEN length(text) <= 21 THEN text ELSE left(text, 10) || '…' || right(text, 10) END AS middle, regexp_replace(regexp_replace({_LOW.format('text')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, {_size(['KB', 'MB', 'GB'])} AS size, {_size(['KiB', 'MiB', 'GiB', 'TiB'])} AS isize, format('{{:,}}', strlen(text)) AS bytes, CASE WHEN n_chars >= 1000 THEN ((n_chars + 5) // 10) // 100 || '.' || lpad((((n_chars + 5) // 10) % 100)::VARCHAR, 2, '0') || ' s' ELSE n_chars || ' ms' END AS duration FROM documents",
@@ -161,7 +163,7 @@ SQL: dict[str, str] = {
     "pick_tokens": "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{3,}')) AS token FROM documents), f AS (SELECT token, count(*) AS docs FROM t WHERE length(token) <= 64 GROUP BY 1) SELECT * FROM (SELECT 'selective' AS band, token, docs FROM f WHERE docs BETWEEN 1 AND 3 AND length(token) >= 6 ORDER BY docs DESC, token LIMIT 1) UNION ALL SELECT * FROM (SELECT 'moderate', token, docs FROM f WHERE docs BETWEEN 5 AND 50 ORDER BY docs DESC, token LIMIT 1) UNION ALL SELECT * FROM (SELECT 'high', token, docs FROM f WHERE docs >= 100 ORDER BY docs DESC, token LIMIT 1)",
     "hook_events": "SELECT event_id, user_id::VARCHAR AS session_id, CASE WHEN event_type IN ('view', 'signup', 'error') THEN 'read' WHEN event_type = 'purchase' THEN 'edit' END AS kind, coalesce(json_extract_string(props, '$.k'), CASE WHEN event_type = 'error' THEN 'src/' || user_id || ' x.rs' END) AS path, CASE WHEN event_type = 'error' THEN 'src/' || user_id || ' x.rs' END AS shell_path, floor(value)::BIGINT AS tokens FROM events",
     "change_coalesce": "WITH e AS (SELECT json_extract_string(props, '$.k') AS path, event_type = 'error' AS d, ts FROM events), s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS st FROM e), g AS (SELECT *, sum(st) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM s) SELECT path, floor(epoch(min(ts)))::BIGINT AS start, bool_or(d) AS deleted, count(*) AS events FROM g GROUP BY path, g",
-    "search_memo": f"WITH {_EVENTS}, p AS (SELECT session_id, path AS key, min(seq) AS first_use, max(seq) AS last_use FROM ev WHERE event = 'read' AND path IS NOT NULL GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY first_use, key) AS i, row_number() OVER (PARTITION BY session_id ORDER BY last_use DESC, key) AS r FROM p) SELECT session_id, printf('search-%06d', i) AS search_id, key, last_use FROM n WHERE r <= 25",
+    "search_memo": f"WITH {_EVENTS}, p AS (SELECT session_id, path AS key, min(seq) AS first_use, max(seq) AS last_use FROM ev WHERE event = 'read' AND path IS NOT NULL GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY first_use, key) AS i, row_number() OVER (PARTITION BY session_id ORDER BY last_use DESC, key) AS r FROM p) SELECT session_id, printf('search-%06d', i) AS search_id, key, last_use FROM n WHERE r <= 256",
     "change_renames": f"WITH {_EVENTS}, r AS (SELECT path, CASE event WHEN 'edit' THEN 'deleted' WHEN 'pre_compact' THEN 'deleted' ELSE 'changed' END AS kind FROM ev UNION ALL SELECT path || '.new', 'created' FROM ev WHERE event = 'edit') SELECT path, kind, count(*) AS events FROM r GROUP BY 1, 2",
     "replay_totals": f"WITH {_lives(43200)}, t AS (SELECT sum(CASE WHEN redundant THEN known_tokens ELSE 0 END)::BIGINT AS eligible, sum(tokens_saved)::BIGINT AS saved, count(*) FILTER (redundant AND tokens_saved = 0) AS false_negatives FROM reads) SELECT *, round(CASE WHEN eligible > 0 THEN saved / eligible ELSE 0 END, 6)::DOUBLE AS saved_ratio FROM t",
     "verdict_counts": "SELECT l_returnflag, CASE WHEN l_tax >= 0.08 THEN 'hurts' WHEN l_linestatus = 'O' AND (l_discount * 2 > 0.15 OR l_linenumber - 3 >= 1) THEN 'helps' WHEN l_linestatus <> 'O' AND l_quantity > 25 THEN 'hurts' ELSE 'neutral' END AS verdict, count(*) AS runs FROM lineitem GROUP BY 1, 2",

@@ -57,11 +57,11 @@ def repo_category(spark, sf_dir):
 
 
 def binary_sniff(spark, sf_dir):
-    """Texts without their first byte, so that some are no valid UTF-8."""
+    """Whole texts as they are, with a byte at the end that is no UTF-8, after a zero byte, and after control bytes."""
     d = _t(spark, sf_dir, "documents")
-    raw = F.col("text").cast("binary")
-    cut = F.substring(raw, 2, F.octet_length(raw))
-    return d.select("doc_id", tree.looks_binary(cut).alias("is_binary"), F.is_valid_utf8(cut.cast("string")).alias("valid"))
+    raw, kind = F.col("text").cast("binary"), F.col("doc_id") % 4
+    raw = F.when(kind == 1, F.concat(raw, F.unhex(F.lit("FF")))).when(kind == 2, F.concat(F.unhex(F.lit("00")), raw)).when(kind == 3, F.concat(F.unhex(F.lit("0101")), raw)).otherwise(raw)
+    return d.select("doc_id", tree.looks_binary(raw).alias("is_binary"), F.is_valid_utf8(raw.cast("string")).alias("valid"))
 
 
 def hidden_paths(spark, sf_dir):
@@ -230,7 +230,7 @@ def search_epochs(spark, sf_dir):
 def reuse_check(spark, sf_dir):
     e = corpora.memo_events(spark, sf_dir)
     edits = e.where("event = 'edit'").withColumn("generation", F.row_number().over(Window.orderBy("ts", "seq")).cast("long")).select("seq", "generation", "path")
-    journal = reuse.newest_batches(edits.select("generation", "path"), 64).withColumn("ordinal", F.lit(1))
+    journal = reuse.newest_batches(edits.select("generation", "path")).withColumn("ordinal", F.lit(1))
     n = edits.agg(F.max("generation").alias("g"))
     requests = e.where("event = 'read'").crossJoin(F.broadcast(n)).select(  # n is one row
         F.col("seq").alias("request_id"), (F.col("g") - F.col("seq") % 90 + F.when(F.col("seq") % 17 == 0, 200).otherwise(0)).alias("recorded_generation"), (F.col("seq") % 11 == 0).cast("long").alias("recorded_epoch"),
@@ -258,7 +258,7 @@ def context_pack_budget(spark, sf_dir):
 def _log(spark, sf_dir) -> DataFrame:
     """Conversations as an action log: a user's turn searches, any other one reads."""
     c = _t(spark, sf_dir, "conversations")
-    payload = F.when(F.col("role") == "user", F.to_json(F.struct(F.substring("text", 1, 12).alias("query")))).otherwise(F.to_json(F.struct(F.concat(F.lit("f/"), F.col("turn") % 3).alias("path"), F.md5(F.col("text").cast("binary")).alias("sha"))))
+    payload = F.when(F.col("role") == "user", F.to_json(F.struct(F.col("text").alias("query")))).otherwise(F.to_json(F.struct(F.concat(F.lit("f/"), F.col("turn") % 3).alias("path"), F.md5(F.col("text").cast("binary")).alias("sha"))))
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("entry_id"), F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("ts"), F.when(F.col("role") == "user", "search").otherwise("read").alias("kind"), payload.alias("payload"))
 
 
@@ -277,7 +277,7 @@ def snapshot_diff(spark, sf_dir):
 
 
 def snapshot_diff_searches(spark, sf_dir):
-    s = sessions.searches_run(_log(spark, sf_dir)).withColumn("search_id", F.substring("query", 1, 3))
+    s = sessions.searches_run(_log(spark, sf_dir)).withColumn("search_id", F.col("query"))
     n = F.col("session_id").cast("long") % 2
     return sessions.diff_searches(s.where(n == 0), s.where(n == 1))
 
@@ -295,15 +295,14 @@ def pinned_snippets(spark, sf_dir):
 
 
 def pack_checksums(spark, sf_dir):
-    docs = corpora.documents(spark, sf_dir).select(F.col("relative_path").alias("path"), F.col("contents").cast("binary").alias("contents"))
-    changed = docs.withColumn("contents", F.when(F.crc32(F.col("path").cast("binary")) % 5 == 0, F.lit(b"x")).otherwise(F.col("contents")))
+    docs = corpora.documents(spark, sf_dir).select("doc_id", F.col("relative_path").alias("path"), F.col("contents").cast("binary").alias("contents"))
+    changed = docs.withColumn("contents", F.when(F.col("doc_id") % 5 == 0, F.lit(b"x")).otherwise(F.col("contents")))
     return sessions.mismatches(sessions.checksums(docs), changed)
 
 
 def session_brief(spark, sf_dir):
-    log = _log(spark, sf_dir).where("session_id = '1'")
-    b = sessions.brief(log, "Continue")
-    return b.select("markdown", F.octet_length("markdown").alias("bytes"))
+    b = sessions.briefs(_log(spark, sf_dir), "Continue")
+    return b.select("session_id", "markdown", F.octet_length("markdown").alias("bytes"))
 
 
 def bench_percentiles(spark, sf_dir):
@@ -320,7 +319,7 @@ def bench_result_diff(spark, sf_dir):
 def ir_metrics(spark, sf_dir):
     d, l = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
     j = d.join(l, "doc_id").select(F.col("source").alias("scenario"), F.col("doc_id").cast("string").alias("path"), "doc_id", "quality", "toxic")
-    ranked = j.withColumn("rank", F.row_number().over(Window.partitionBy("scenario").orderBy("doc_id"))).where("rank <= 8").select("scenario", "rank", "path")
+    ranked = j.withColumn("rank", F.row_number().over(Window.partitionBy("scenario").orderBy("doc_id"))).select("scenario", "rank", "path")
     label = F.expr("CASE WHEN toxic = 1 THEN 'bad' WHEN quality = 1 AND doc_id % 2 = 0 THEN 'required' WHEN quality = 1 THEN 'helpful' END")
     oracle = j.select("scenario", "path", label.alias("label")).where("label is not null")
     return _rounded(analytics.retrieval(ranked, oracle), "mrr", "coverage", "precision")
@@ -379,7 +378,7 @@ def change_coalesce(spark, sf_dir):
 
 def search_memo(spark, sf_dir):
     e = corpora.memo_events(spark, sf_dir)
-    return reuse.search_memo(e.where("event = 'read' and path is not null").select("session_id", "seq", F.col("path").alias("key")), 25)
+    return reuse.search_memo(e.where("event = 'read' and path is not null").select("session_id", "seq", F.col("path").alias("key")))
 
 
 def change_renames(spark, sf_dir):
