@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ def searchable(path: Column, include_hidden: bool = False) -> Column:
     return top & ~rest
 
 
+# From these shares of control and text bytes on a file counts as binary.
 def _suspicious(contents: pd.Series) -> pd.Series:
     def one(raw: bytes) -> bool:
         b = np.frombuffer(raw[:4096], dtype=np.uint8)
@@ -78,10 +80,10 @@ def _is_searchable(parts: list[str], include_hidden: bool) -> bool:
 
 
 def _unlisted(spark: SparkSession, root: str, include_hidden: bool) -> DataFrame:
-    """Files that Spark's sources pass over because a name starts with . or _. They are listed
-    and read through the file system's own interface, on the driver."""
-    jvm, rows = spark._jvm, []
-    top = jvm.org.apache.hadoop.fs.Path(root)
+    """Names of files that Spark's sources pass over because a name starts with . or _, from
+    a listing on the driver; tasks read them."""
+    rows = []
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
     base = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/"
     found = fs.listFiles(top, True)
@@ -90,27 +92,75 @@ def _unlisted(spark: SparkSession, root: str, include_hidden: bool) -> DataFrame
         path = f.getPath().toUri().getPath()[len(base) :]
         parts = path.split("/")
         if parts[0] != ".git" and any(p[0] in "._" for p in parts) and _is_searchable(parts, include_hidden):
-            stream = fs.open(f.getPath())
-            raw = jvm.org.apache.commons.io.IOUtils.toByteArray(stream)
-            stream.close()
-            rows.append((path, f.getModificationTime() // 1000, f.getLen(), bytearray(raw)))
-    return spark.createDataFrame(rows, "relative_path string, modified_unix_secs long, length long, contents binary")
+            rows.append((path, f.getModificationTime() // 1000, f.getLen(), f.getPath().toString()))
+    return spark.createDataFrame(rows, "relative_path string, modified_unix_secs long, length long, uri string")
 
 
-def scan_tree(spark: SparkSession, root: str, include_hidden: bool = False, include_binary: bool = False, max_file_size: int | None = None, ignore_files: tuple[str, ...] = (".gitignore", ".ignore")) -> DataFrame:
-    """The documents of a tree: relative_path, file_name, extension, size, modified_unix_secs,
-    hash, contents, skipped_binary (those rows have null contents and still count as tracked)."""
+def _read(batches):
+    from pyarrow.fs import FileSystem
+
+    for batch in batches:
+        contents = []
+        for uri in batch.column("uri").to_pylist():
+            fs, path = FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
+            with fs.open_input_stream(path, compression=None) as stream:
+                contents.append(stream.read())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names[:-1]), pa.array(contents, pa.binary())], names=[*batch.schema.names[:-1], "contents"])
+
+
+def _files(spark: SparkSession, root: str, include_hidden: bool, max_file_size: int | None) -> DataFrame:
+    """relative_path, modified_unix_secs and contents, null for files over the size cap, which are never read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://")[-1] + "/"
-    listed = raw.select(F.expr(f"substring(path, locate({_sql(base)}, path) + {len(base)})").alias("relative_path"), F.unix_timestamp("modificationTime").alias("modified_unix_secs"), "length", F.col("content").alias("contents"))
-    files = listed.unionByName(_unlisted(spark, root, include_hidden))
-    rules = files.where(F.element_at(F.split("relative_path", "/"), -1).isin(*ignore_files)).select("relative_path", F.decode("contents", "UTF-8").alias("text")).collect()  # ignore files only
+    cap = (1 << 63) - 1 if max_file_size is None else max_file_size
+    path = F.expr(f"substring(path, locate({_sql(base)}, path) + {len(base)})").alias("relative_path")
+    seen = [path, F.unix_timestamp("modificationTime").alias("modified_unix_secs")]
+    shape = "relative_path string, modified_unix_secs long, contents binary"
+    none = F.lit(None).cast("binary").alias("contents")
+    hidden = _unlisted(spark, root, include_hidden)
+    read = hidden.where(F.col("length") <= cap).select("relative_path", "modified_unix_secs", "uri").mapInArrow(_read, shape)
+    out = raw.where(F.col("length") <= cap).select(*seen, F.col("content").alias("contents")).union(read)
+    if max_file_size is not None:
+        out = out.union(raw.where(F.col("length") > cap).select(*seen, none)).union(hidden.where(F.col("length") > cap).select("relative_path", "modified_unix_secs", none))
+    return out
+
+
+def _excludes(spark: SparkSession, root: str, more: tuple[str, ...]) -> list[tuple[str, str]]:
+    """Rules of a tree as a whole: .git/info/exclude and any files that the caller names."""
+    out = []
+    for name in (*more, f"{root.rstrip('/')}/.git/info/exclude"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            stream = fs.open(path)
+            out.append(("", bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")))  # a file of rules
+            stream.close()
+    return out
+
+
+def scan_tree(spark: SparkSession, root: str, include_hidden: bool = False, include_binary: bool = False, max_file_size: int | None = None, ignore_files: tuple[str, ...] = (".gitignore", ".ignore"), excludes: tuple[str, ...] = ()) -> DataFrame:
+    """The documents of a tree: relative_path, file_name, extension, size, modified_unix_secs,
+    hash, contents, skipped_binary (those rows have null contents and still count as tracked).
+    ``excludes``: files of ignore rules for the whole tree, such as a user's global ones; those
+    of .git/info/exclude come after them and before the tree's own. Files over
+    ``max_file_size`` bytes are tracked and never read."""
+    files = _files(spark, root, include_hidden, max_file_size)
+    rules = files.where(F.element_at(F.split("relative_path", "/"), -1).isin(*ignore_files) & F.col("contents").isNotNull()).select("relative_path", F.decode("contents", "UTF-8").alias("text")).collect()  # ignore files only
     ordered = sorted(((r["relative_path"].rpartition("/")[0], r["text"]) for r in rules), key=lambda r: (r[0].count("/") + bool(r[0]), r[0]))
+    ordered = _excludes(spark, root, excludes) + ordered
     kept = files.where(searchable(F.col("relative_path"), include_hidden) & ~ignored(F.col("relative_path"), ordered))
-    if max_file_size is not None:
-        kept = kept.withColumn("contents", F.when(F.col("length") <= max_file_size, F.col("contents")))
     binary = F.lit(False) if include_binary else F.coalesce(looks_binary(F.col("contents")), F.lit(False))
-    return describe(kept.drop("length").withColumn("skipped_binary", binary)).withColumn("contents", F.when(~F.col("skipped_binary"), F.col("contents")))
+    return describe(kept.withColumn("skipped_binary", binary)).withColumn("contents", F.when(~F.col("skipped_binary"), F.col("contents")))
+
+
+def scan_file(spark: SparkSession, path: str, include_binary: bool = False) -> DataFrame:
+    """One file as a document, whatever ignore and hidden rules say."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = top.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(top)
+    row = (top.getName(), status.getModificationTime() // 1000, status.getPath().toString())
+    one = spark.createDataFrame([row], "relative_path string, modified_unix_secs long, uri string").mapInArrow(_read, "relative_path string, modified_unix_secs long, contents binary")
+    binary = F.lit(False) if include_binary else F.coalesce(looks_binary(F.col("contents")), F.lit(False))
+    return describe(one.withColumn("skipped_binary", binary)).withColumn("contents", F.when(~F.col("skipped_binary"), F.col("contents")))
 
 
 def _sql(text: str) -> str:
