@@ -8,6 +8,7 @@ from loomdex.sources.ignore import rule
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 
 def test_trigrams():
@@ -78,3 +79,30 @@ def test_shell_words():
     assert hooks.split_words("cat 'a") is None
     assert hooks.read_path("head -n 5 x.rs") == "x.rs" and hooks.read_path("sed -n '1,5p' y.rs") == "y.rs" and hooks.read_path("tail -- z") == "z"
     assert hooks.read_path("printf x\ncat q") == "q" and hooks.read_path("ls a") is None and hooks.read_path(None) is None
+
+
+def test_shell_operands():
+    assert hooks.read_path("head -- -n x") == "-n" and hooks.read_path("head -n -- x") == "x" and hooks.read_path("sed -e s/a/b/ one two") == "two" and hooks.read_path("cat -- a") == "a"
+    assert hooks.read_path("head -n") is None and hooks.read_path("cat 'a b") is None and hooks.read_path("  \n") is None and hooks.read_path("tail -c 5 - f") == "f"
+    assert hooks.split_words("a '' b") == ["a", "b"] and hooks.split_words("x\\") is None and hooks.split_words("p'q'\"r s\"t") == ["pqr st"]
+
+
+def test_payloads(spark):
+    import json
+
+    rows = [
+        {"tool_name": "Bash", "tool_input": {"command": ["bash", "-lc", "cat 'a b.txt'"]}},
+        {"tool": "View", "path": "p"},
+        {"tool": {"name": "Write"}, "tool_response": "12345678"},
+        {"name": "x", "result": {"parsed_cmd": [{"type": "list"}, {"type": "READ"}, {"type": "read", "path": "q"}]}},
+        {"tool_name": "mcp__fs__open_file", "command": ["ls"], "tokens": 7, "session": {"id": "s"}},
+        {"tool_name": "Bash", "command": "[ -f x ] && cat y", "tokens": "7"},
+    ]
+    texts = [json.dumps(r) for r in rows] + ["not json", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, p string")
+    p = F.col("p")
+    got = df.select("i", hooks.event_kind(p), hooks.path(p), hooks.tokens(p), hooks.session_id(p), hooks.command(p)).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [
+        ("read", "a b.txt", None, None, "cat 'a b.txt'"), ("read", "p", None, None, None), ("edit", None, 3, None, None), ("read", "q", None, None, None),
+        ("read", None, 7, "s", None), (None, None, None, None, "[ -f x ] && cat y"), (None, None, None, None, None), (None, None, None, None, None),
+    ]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomdex.functions import text
 from loomdex.operators import analytics, envelope, frecency, index as ix, memo, pack, reuse, search as se, sessions
+from loomdex.plans import seeds
 from loomdex.plans.request import SearchRequest
 from loomdex.sources import tree
 from loomdex.streaming import changes
@@ -57,6 +58,69 @@ def test_index_equals_scan_on_random_patterns(spark, parts):
     assert sorted(map(tuple, se.search(i, r, "indexed").collect())) == sorted(map(tuple, se.search(i, r, "direct_scan").collect()))
 
 
+JAVA_ONLY = [r"[a-z&&[^b]]xyz", r"[a[bc]]xyz", r"\0101abcd", r"\Qa.b\E", r"abcd\z", r"\p{Lu}bcd", r"(?x) a b c d", r"a(?i)BCD", r"x{2}yz+", r"\R?abcd", r"[^\W\d]+xyz"]
+
+
+def test_seeds_of_java_syntax(spark):
+    """Index and scan agree where Java and Python read a pattern differently, and on generated ones."""
+    import random
+
+    rnd = random.Random(4)
+    atom = lambda: rnd.choice(["abc", "xyz", "bcd", ".", "[a-c]", "[a[b]]", "[x&&[^y]]", r"\w", r"\0141", r"\x61", "é", "(?:abc|xyz)", "(bcd)?", r"\Qabc\E", "(?i:ABC)", r"\babc", "z{2}", "a++", "&", "-"])
+    patterns = JAVA_ONLY + ["".join(atom() for _ in range(rnd.randint(1, 4))) for _ in range(1000)]
+    words = ["axyz", "Aabcd", "a.b", "abcd", "Xbcd", "aBCD", "xxyzz", "éxyz", "abcxyz", "bcd", "ABCxyz", "a&abc-xyz", "zzabc", "aaxyzbcd", "bxyz", "q\rabc", "abc\u2028xyz"]
+    texts = words + [a + rnd.choice(["", " ", "&", "-"]) + b for a in words for b in words]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").toPandas()
+    jvm = spark._jvm.java.util.regex.Pattern
+    grams = {i: t.encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))) for i, t in zip(rows["doc_id"], rows["text"])}
+
+    def meets(condition, raw):
+        if condition is None:
+            return True
+        return condition in raw if isinstance(condition, bytes) else (all if condition[0] == "and" else any)(meets(c, raw) for c in condition[1])
+
+    pruned = 0
+    for p in patterns:
+        found = seeds.of_regex(p)
+        if found is None:
+            continue
+        pruned += 1
+        java = jvm.compile(se.DIALECT + "(?:" + p + ")")
+        for i, t in zip(rows["doc_id"], rows["text"]):
+            if not meets(found, grams[i]):
+                assert not java.matcher(t).find(), (p, t)
+        if pruned > 120:
+            break
+    assert pruned > 50 and all(seeds.of_regex(p) is None for p in JAVA_ONLY[:8])
+
+
+def test_dialect(spark):
+    i = live(spark, [(1, "a", "bz\rqq"), (2, "b", "caf\u00e9s x"), (3, "c", "x\u2028y"), (4, "d", "K and \u212a")])
+    found = lambda p, **k: sorted(r[0] for r in se.search(i, SearchRequest(pattern=p, kind="regex", **k)).collect())
+    assert found("bz.qq") == ["a"] and found("x.y") == ["c"] and found(r"caf\b") == [] and found(r"^\w+ x$") == ["b"]
+    assert found("^k AND", case="insensitive") == ["d"] and found("\u212a", case="insensitive") == ["d"] and found("zk", case="insensitive") == []
+
+
+def test_index_on_disk(spark, tmp_path):
+    """Pages of the documents are pruned, probes lose nothing, changes become a delta or a rebuild."""
+    rows = [(n, f"d{n % 7}/f{n:04}.txt", f"common text number{n:05} " + "filler words here " * 40 + ("needle" if n % 500 == 3 else "")) for n in range(2000)]
+    given = docs(spark, rows).withColumns({"modified_unix_secs": F.lit(0).cast("long"), "hash": text.sha256(F.col("contents"))})
+    path = str(tmp_path / "index")
+    meta = ix.build(given.repartition(3), path, now=5)
+    assert (meta["docs"], meta["built_secs"]) == (2000, 5) and meta["postings"] > 2000
+    i = ix.load(spark, path)
+    for r in (SearchRequest(pattern="needle"), SearchRequest(pattern="number00777"), SearchRequest(pattern="common"), SearchRequest(pattern="zzzz"), SearchRequest(pattern="needle|number00001", kind="regex")):
+        assert sorted(map(tuple, se.search(i, r, "indexed").collect())) == sorted(map(tuple, se.search(i, r, "direct_scan").collect())), r
+    some = given.withColumn("contents", F.when(F.col("doc_id") == 5, "replaced needle").otherwise(F.col("contents"))).withColumn("hash", text.sha256(F.col("contents"))).where("doc_id != 3")
+    assert not ix.apply_changes(spark, path, some)["rebuild"]
+    live_ = ix.load_current(spark, path)
+    assert sorted(r[0] for r in se.search(live_, SearchRequest(pattern="needle")).collect()) == ["d2/f1003.txt", "d5/f0005.txt", "d5/f1503.txt", "d6/f0503.txt"]
+    assert live_.postings.where("doc_id = 5").count() == len(ix.trigrams_of("replaced needle"))
+    many = some.withColumn("contents", F.concat("contents", F.lit(" more"))).withColumn("hash", text.sha256(F.col("contents")))
+    assert ix.apply_changes(spark, path, many)["rebuild"] and ix.load_current(spark, path).ranged
+    assert se.search(ix.load_current(spark, path), SearchRequest(pattern="here  more")).count() + se.search(ix.load_current(spark, path), SearchRequest(pattern="needle more")).count() == 1999
+
+
 def test_limits_and_envelope(spark):
     i = live(spark, [(n, f"f{n:02}.txt", "needle\nneedle\n") for n in range(20)])
     assert se.search(i, SearchRequest(pattern="needle", max_results=1)).count() == 1
@@ -183,3 +247,107 @@ def test_memo_broadcast_sends_every_edit(spark, sf):
     edited = {r["path"] for r in e.where("event = 'edit'").select("path").collect()}
     want = sorted((r["session_id"], r["path"]) for r in memo.tracked(e, 30 * 86400).select("session_id", "path").collect() if r["path"] in edited)
     assert sorted((r["session_id"], r["path"]) for r in queries.memo_broadcast(spark, sf).collect()) == want and want
+
+
+def test_tools(spark, tmp_path):
+    """The tool surface end to end: indexing, searching, reuse, sessions, snapshots, handoff."""
+    from loomdex.operators.tools import SCHEMAS, Workspace
+
+    tree_ = tmp_path / "tree"
+    (tree_ / "src").mkdir(parents=True)
+    (tree_ / "src" / "a.rs").write_text("fn alpha() {}\nneedle\n")
+    (tree_ / "src" / "b.rs").write_text("fn beta() {}\n")
+
+    def scan():
+        found = tree.scan_tree(spark, str(tree_))
+        return found.withColumn("doc_id", F.xxhash64("relative_path"))
+
+    w = Workspace(spark, str(tmp_path / "work"), scan, clock=lambda: 1000.0)
+    assert len(SCHEMAS) == 19 and all(hasattr(w, n) for n in SCHEMAS)
+    code = lambda r: r["error"]["code"]
+    assert code(w.call("nope")) == "INVALID_QUERY" and code(w.call("find_files")) == "INVALID_QUERY" and code(w.call("find_files", {"query": "a", "limit": 0})) == "INVALID_QUERY"
+    assert code(w.call("find_files", {"query": "a", "x": 1})) == "INVALID_QUERY" and code(w.call("search_content", {"query": "a", "mode": "glob"})) == "INVALID_QUERY"
+    assert code(w.call("search_content", {"query": "alpha"})) == "INDEX_UNAVAILABLE"
+    assert w.call("index_status")["result"] == {"exists": False, "healthy": False}
+    assert w.call("reindex")["result"]["docs"] == 2
+    w.call("session_open", {"session_id": "s1", "goal": "g"})
+    found = w.call("search_content", {"query": "needle"})["result"]
+    assert [r["relative_path"] for r in found["results"]] == ["src/a.rs"] and not found["reused"]
+    assert w.call("search_content", {"query": "needle"})["result"]["reused"]
+    assert not w.call("search_content", {"query": "needle", "force_refresh": True})["result"]["reused"]
+    (tree_ / "src" / "a.rs").write_text("fn alpha() {}\nneedle needle\n")
+    assert w.call("reindex")["result"]["rebuild"] and not w.call("search_content", {"query": "needle"})["result"]["reused"]
+    assert w.call("find_files", {"query": "B.RS"})["result"]["results"] == [{"relative_path": "src/b.rs"}]
+    assert w.call("search_path_and_content", {"path_query": "src/*.rs", "content_query": "fn [ab]", "mode": "regex"})["result"]["counts"]["files_with_matches"] == 2
+    assert w.call("context_pack", {"goal": "fix needle"})["result"]["items"][0]["path"] == "src/a.rs"
+    disk = {r["relative_path"]: (r["hash"], r["size"]) for r in scan().collect()}
+    w.observe("s1", "read", "src/b.rs", disk["src/b.rs"][0], 4)
+    w.observe("s1", "read", "src/a.rs", "old", 9)
+    status = w.call("memo_status", {"files": ["src/b.rs", "src/a.rs", "zz"]})["result"]
+    assert [r["recommendation"] for r in status] == ["skip_reread", "reread_with_diff" if abs(-(-disk["src/a.rs"][1] * 2 // 7) - 9) < 0.9 else "reread", "reread"] and status[2]["status"] == "unknown"
+    assert w.call("memo_check", {"path": "src/b.rs"})["result"]["status"] == "fresh" and w.call("memo_session")["result"]["total_reads"] == 2
+    one = w.call("session_snapshot", {"pinned_snippet_paths": [{"path": "src/a.rs", "line_start": 1, "line_end": 1}], "source_harness": "claude"})["result"]
+    w.call("search_content", {"query": "beta"})
+    two = w.call("session_snapshot")["result"]
+    assert one["source_harness"] == "claude_code" and two["searches"] == one["searches"] + 1
+    diff = w.call("session_snapshot_diff", {"snapshot_a": one["snapshot_id"], "snapshot_b": two["snapshot_id"]})["result"]
+    assert any(c["change"] == "added" for c in diff["searches"]) and {"path": "src/a.rs", "change": "removed"} in diff["files"]
+    resumed = w.call("session_resume", {"snapshot_id": one["snapshot_id"], "budget_tokens": 1})["result"]
+    assert "src/a.rs" in resumed["primed"] and resumed["token_estimate"] <= 140
+    block = w.call("session_handoff", {"target_harness": "codex", "source_harness": "claude-code"})["result"]["block"]
+    assert "In Codex, paste:" in block and "From: Claude" in block and code(w.call("session_handoff", {"target_harness": "vi"})) == "INVALID_QUERY"
+    assert {s["snapshot_id"] for s in w.call("session_snapshot_list")["result"]} >= {one["snapshot_id"], two["snapshot_id"]}
+    assert w.call("session_close", {"status": "abandoned"})["result"]["status"] == "abandoned" and [s["session_id"] for s in w.call("session_list")["result"]] == ["s1"]
+    assert code(w.call("session_snapshot_get", {"snapshot_id": "none"})) == "INVALID_QUERY" and w.call("index_status")["result"]["generation"] == 2
+
+
+def test_git_state(spark, tmp_path):
+    import subprocess
+
+    from loomdex.sources import git
+
+    assert git.state(str(tmp_path / "none")) == git.GitState()
+    run = lambda *a: subprocess.run(["git", *a], cwd=tmp_path, check=True, capture_output=True)
+    run("init", "-q")
+    (tmp_path / "a.txt").write_text("1\n2\n")
+    run("add", ".")
+    run("-c", "user.name=n", "-c", "user.email=e@e", "commit", "-q", "-m", "m")
+    (tmp_path / "a.txt").write_text("1\n3\n4\n")
+    s = git.state(str(tmp_path))
+    assert len(s.commit) == 40 and s.dirty_files == ["a.txt"] and s.hunk_summary == {"a.txt": 3}
+    rows = spark.createDataFrame([("3\t4\ta/b",), ("-\t-\timg",), ("junk",), ("1\t0\ta/b",)], "value string")
+    assert {r["path"]: r["lines"] for r in git.changed_lines(rows).collect()} == {"a/b": 8, "img": 0}
+
+
+def test_hydration_by_bytes(spark):
+    files = spark.createDataFrame([("s", "é" * 700, "x", 1)], "session_id string, path string, sha string, last_read_at long")
+    ran = spark.createDataFrame([], "session_id string, search_id string, query string, search_kind string, result_paths array<string>, entry_id long")
+    for budget in (200, 201, 300):
+        text_ = sessions.hydration(files, ran, "one", budget).first()["payload"]
+        body = text_.removesuffix("\n\n[truncated to hydration budget]\n")
+        assert body != text_ and budget * 4 - 4 < max(len(body.encode()), 509) <= max(budget * 4, 512)
+
+
+def test_percentiles_exact(spark):
+    import random
+
+    rnd = random.Random(1)
+    rows = [(g, v) for g, n in (("a", 3000), ("b", 1), ("c", 700), (None, 5)) for v in [rnd.choice([rnd.random(), 0.5]) for _ in range(n)]]
+    got = analytics.percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()
+    for r in got:
+        v = sorted(x for g, x in rows if g == r["g"])
+        at = lambda p: v[int(p * (len(v) - 1) + 0.5)]
+        assert (r["p50"], r["p95"], r["p99"], r["min"], r["max"]) == (at(0.5), at(0.95), at(0.99), v[0], v[-1]) and abs(r["mean"] - sum(v) / len(v)) < 1e-9
+    assert len(got) == 4
+
+
+def test_scan_caps_excludes_and_one_file(spark, tmp_path):
+    for p, c in {"big.txt": "x" * 100, "small.txt": "y", ".github/w.yml": "z" * 100, "_init.py": "q", "gone.log": "l", ".git/info/exclude": "*.log\n", "own.tmp": "t"}.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(c)
+    rules = tmp_path.parent / f"{tmp_path.name}-global"
+    rules.write_text("*.tmp\n")
+    rows = {r["relative_path"]: r["contents"] for r in tree.scan_tree(spark, str(tmp_path), max_file_size=50, excludes=(str(rules),)).collect()}
+    assert {k: v is None for k, v in rows.items()} == {"big.txt": True, "small.txt": False, ".github/w.yml": True, "_init.py": False}
+    one = tree.scan_file(spark, str(tmp_path / "gone.log")).first()
+    assert (one["relative_path"], bytes(one["contents"]), one["extension"]) == ("gone.log", b"l", "log")
