@@ -44,25 +44,25 @@ FROM ranked r JOIN placed p ON r.source IS NOT DISTINCT FROM p.source AND r.r //
 _CHAT = r"""
 WITH said AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
 plain AS (
-  SELECT conv_id, turn AS at, 0 AS depth, turn, role, to_json({'content': text, 'role': role})::VARCHAR AS json, 0 AS calls, 0 AS invalid, 0 AS linked, 0 AS orphans FROM conversations
+  SELECT conv_id, turn AS pos, 0 AS depth, turn, role, to_json({'content': text, 'role': role})::VARCHAR AS json, 0 AS calls, 0 AS invalid, 0 AS linked, 0 AS orphans FROM conversations
 ), called AS (
-  SELECT conv_id, turn AS at, 0 AS depth, turn, 'assistant' AS role,
+  SELECT conv_id, turn AS pos, 0 AS depth, turn, 'assistant' AS role,
          '{"content":null,"role":"assistant","tool_calls":[{"arguments":{' || CASE WHEN conv_id % 5 = 0 AND turn > 2 THEN '"after":{"$ref":"call-' || (turn - 2) || '"},' ELSE '' END
          || '"chars":' || length(text) || ',"query":' || to_json(text)::VARCHAR || '},"id":"call-' || turn || '","name":"' || CASE WHEN turn % 4 = 1 THEN 'lookup' ELSE 'measure' END || '"}]}' AS json,
          1 AS calls, CASE WHEN conv_id % 3 = 2 THEN 0 WHEN turn % 4 <> 1 OR length(text) > 300 THEN 1 ELSE 0 END AS invalid, 0 AS linked, 0 AS orphans FROM said
 ), answered AS (
-  SELECT conv_id, turn AS at, 1 AS depth, turn - (conv_id % 7 = 0)::BIGINT AS turn, 'tool' AS role,
+  SELECT conv_id, turn AS pos, 1 AS depth, turn - (conv_id % 7 = 0)::BIGINT AS turn, 'tool' AS role,
          '{"content":"' || md5(text) || '","role":"tool","tool_call_id":"call-' || turn || '"}' AS json, 0 AS calls, 0 AS invalid, 1 AS linked, 0 AS orphans FROM said
 ), stray AS (
-  SELECT conv_id, turn AS at, 0 AS depth, turn, 'tool' AS role, '{"content":null,"role":"tool","tool_call_id":"lost-' || turn || '"}' AS json, 0, 0, 0, 1
+  SELECT conv_id, turn AS pos, 0 AS depth, turn, 'tool' AS role, '{"content":null,"role":"tool","tool_call_id":"lost-' || turn || '"}' AS json, 0, 0, 0, 1
   FROM conversations WHERE role = 'user' AND turn % 4 = 2
 ), declared AS (
-  SELECT DISTINCT conv_id, -1::BIGINT AS at, 0 AS depth, -1::BIGINT AS turn, 'system' AS role,
+  SELECT DISTINCT conv_id, -1::BIGINT AS pos, 0 AS depth, -1::BIGINT AS turn, 'system' AS role,
          '{"content":null,"role":"system","tools":[{"name":"lookup","parameters":{"properties":{"chars":{"maximum":300,"type":"integer"}},"required":["query"],"type":"object"}}]}' AS json, 0, 0, 0, 0
   FROM conversations WHERE conv_id % 3 <> 2
 ), m AS (FROM plain UNION ALL FROM called UNION ALL FROM answered UNION ALL FROM stray UNION ALL FROM declared)
 SELECT conv_id, 0::INTEGER AS part, count(*) AS n_messages, sum(calls)::BIGINT AS n_calls, sum(invalid)::BIGINT AS n_invalid, sum(linked)::BIGINT AS n_linked, sum(orphans)::BIGINT AS n_orphans, 0::BIGINT AS n_cyclic,
-       '{"conv_id":' || conv_id || ',"messages":[' || string_agg(json, ',' ORDER BY at, depth, turn, role, sha256(json)) || '],"part":0}' AS json
+       '{"conv_id":' || conv_id || ',"messages":[' || string_agg(json, ',' ORDER BY pos, depth, turn, role, sha256(json)) || '],"part":0}' AS json
 FROM m GROUP BY conv_id
 """
 
