@@ -68,6 +68,14 @@ _COUNTS = " UNION ALL ".join(
 )
 _VERSIONS = """d AS (SELECT doc_id, source || '/' || lang || '/doc_' || doc_id || '.txt' AS relative_path, doc_id % 10 AS k, text FROM documents),
   kinds AS (SELECT relative_path, CASE k WHEN 1 THEN 'added' WHEN 2 THEN 'removed' WHEN 3 THEN 'modified' ELSE 'same' END AS change FROM d)"""
+
+
+def _now(every: int) -> str:
+    """Documents after the changes of ``queries._versions``, and their trigrams."""
+    return f"""now AS (SELECT doc_id, CASE doc_id % {every} WHEN 3 THEN text || chr(10) || 'replacement_token' ELSE text END AS text FROM documents WHERE doc_id % {every} <> 2),
+      {_GRAMS.replace('FROM documents', 'FROM now')}"""
+
+
 _LOG = """log AS (SELECT conv_id * 1000 + turn AS entry_id, conv_id::VARCHAR AS session_id, turn AS ts, CASE WHEN role = 'user' THEN 'search' ELSE 'read' END AS kind, text AS query, 'f/' || (turn % 3) AS path, md5(text) AS sha FROM conversations)"""
 _FILES = f"""{_LOG}, files AS (SELECT session_id, path, arg_min(sha, entry_id) AS sha, arg_min(ts, entry_id) AS last_read_at FROM log WHERE kind = 'read' GROUP BY 1, 2)"""
 
@@ -97,6 +105,23 @@ def _pack() -> str:
     FROM signals s LEFT JOIN shown ON shown.path = s.path GROUP BY s.path"""
 
 
+def _review() -> str:
+    hits, paths = [], []
+    for n, t in enumerate(("review", "tests", "license", "src1", "error")):
+        score = 12.0 if t == "error" else 4.0
+        hits.append(f"(SELECT {n} AS term, {score} AS s, relative_path AS path, line_number FROM lines WHERE contains({_LOW.format('line_text')}, '{t}') ORDER BY relative_path, line_number LIMIT 20)")
+        paths.append(f"(SELECT relative_path AS path FROM docs WHERE contains({_LOW.format('relative_path')}, '{t}') ORDER BY relative_path LIMIT 20)")
+    docs = _DOCS.replace("SELECT doc_id, source ||", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'tests/' ELSE '' END || source ||")
+    return f"""WITH {docs}, {_LINES}, h AS ({' UNION ALL '.join(hits)}), p AS ({' UNION ALL '.join(paths)}),
+    signals AS (SELECT DISTINCT path, term, s, 'content_match' AS reason FROM h UNION ALL SELECT path, 0, 2.0, 'path_match' FROM p
+      UNION ALL SELECT path, 0, 4.0, 'test_adjacent' FROM p WHERE starts_with(path, 'tests/') UNION ALL SELECT 'src2/en/doc_2.txt', 0, 12.0, 'changed_file'
+      UNION ALL SELECT DISTINCT path, 0, 5.0, 'test_adjacent' FROM (FROM (SELECT path FROM h) UNION ALL FROM p) WHERE starts_with(path, 'tests/')),
+    shown AS (SELECT path, least(3, count(*)) AS n FROM (SELECT path, term, row_number() OVER (PARTITION BY path, term ORDER BY line_number) AS k FROM h) WHERE k <= 2 GROUP BY path)
+    SELECT s.path, round(sum(s), 1)::DOUBLE AS score, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons,
+      coalesce(any_value(n), CASE WHEN bool_or(reason = 'path_match') AND starts_with(s.path, 'tests/') THEN 1 ELSE 0 END)::INTEGER AS n_snippets
+    FROM signals s LEFT JOIN shown ON shown.path = s.path GROUP BY s.path"""
+
+
 SQL: dict[str, str] = {
     "literal_search": _literal("ement") + _ALL,
     "literal_search_ci": _hits(f"contains({_LOW.format('line_text')}, 'the')", "(?i:the)") + _ALL,
@@ -127,6 +152,10 @@ SQL: dict[str, str] = {
     "index_change_classify": f"WITH {_VERSIONS} SELECT * FROM kinds",
     "index_change_ratio": f"WITH {_VERSIONS}, n AS (SELECT sum(CASE change WHEN 'modified' THEN 2 WHEN 'same' THEN 0 ELSE 1 END)::BIGINT AS changed, count(*) FILTER (change <> 'added') AS base_docs FROM kinds) SELECT changed, base_docs, changed / base_docs AS ratio, changed / base_docs >= 0.25 AS rebuild FROM n",
     "index_overlay_search": f"WITH {_VERSIONS} SELECT relative_path, len(string_split_regex(text, '\\r?\\n'))::INTEGER + 1 AS line_number, 1::INTEGER AS \"column\", 'replacement_token' AS line_text FROM d WHERE k = 3",
+    "overlay_document_frequency": f"WITH {_now(40)} SELECT trigram::INTEGER AS trigram, count(*) AS docs FROM grams GROUP BY trigram",
+    "index_apply_changes": f"WITH {_now(40)} SELECT (SELECT sum(CASE doc_id % 40 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END)::BIGINT FROM documents) AS changed, false AS rebuild, count(*) AS docs, sum(strlen(text))::BIGINT AS bytes FROM now",
+    "index_rebuild": f"WITH {_now(10)} SELECT true AS rebuild, (SELECT count(*) FROM now) AS docs, (SELECT sum(strlen(text))::BIGINT FROM now) AS bytes, count(*) AS postings, count(DISTINCT trigram) AS trigrams FROM grams",
+    "context_pack_review": _review(),
     "change_log_latest": "SELECT json_extract_string(props, '$.k') AS relative_path, CASE WHEN event_type <> 'error' THEN user_id END AS doc_id FROM events QUALIFY row_number() OVER (PARTITION BY json_extract_string(props, '$.k') ORDER BY event_id DESC) = 1",
     "frecency_scores": f"WITH {_ACCESS} SELECT path, round(score, 6) AS score, last_access_secs, result_count, select_count FROM raw",
     "frecency_top": f"WITH {_ACCESS} SELECT path, round(score, 6) AS score FROM raw ORDER BY raw.score DESC, path LIMIT 20",

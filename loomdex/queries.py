@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +21,7 @@ from .streaming.memo import memo_totals
 NOW = 1_706_745_600  # 2024-02-01, after the last event
 IDLE = 43_200
 PACK_GOAL = "Fix the license error for onion and heit documents"
+REVIEW_GOAL = "Review tests of license and src1 error"
 _built: dict[str, str] = {}
 
 
@@ -109,10 +111,10 @@ def session_rollup(spark, sf_dir):
     return analytics.session_rollup(rows)
 
 
-def _versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Base and scan of a changing tree: every tenth document was removed, added or edited."""
+def _versions(spark, sf_dir, every: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Base and scan of a changing tree: one document in so many was removed, added or edited."""
     d = corpora.documents(spark, sf_dir)
-    kind = F.col("doc_id") % 10
+    kind = F.col("doc_id") % every
     base = d.where(kind != 1)
     now = d.where(kind != 2).withColumn("contents", F.when(kind == 3, F.concat("contents", F.lit("\nreplacement_token"))).otherwise(F.col("contents")))
     describe = lambda x: x.withColumns({"size": F.octet_length("contents").cast("long"), "modified_unix_secs": F.lit(0).cast("long"), "hash": text.sha256(F.col("contents"))})
@@ -138,6 +140,35 @@ def index_overlay_search(spark, sf_dir):
     return se.search(live, SearchRequest(pattern="replacement_token"))
 
 
+def _changed(spark, sf_dir, every: int) -> tuple[str, dict]:
+    """An index of the old versions brought up to the new ones: its path and what was done."""
+    path = f"{storage_root(spark)}/changing-{every}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    base, now = _versions(spark, sf_dir, every)
+    ix.build(base, path)
+    ix.remove_delta(spark, path)
+    return path, ix.apply_changes(spark, path, now)
+
+
+def overlay_document_frequency(spark, sf_dir):
+    """Document frequencies of base and delta together: no posting of an old version is left."""
+    path, _ = _changed(spark, sf_dir, 40)
+    return ix.document_frequency(ix.load_current(spark, path).postings)
+
+
+def index_apply_changes(spark, sf_dir):
+    path, what = _changed(spark, sf_dir, 40)
+    docs = ix.load_current(spark, path).docs
+    size = docs.agg(F.count("*").alias("docs"), F.sum("size").cast("long").alias("bytes"))
+    return size.select(F.lit(what["changed"]).cast("long").alias("changed"), F.lit(what["rebuild"]).alias("rebuild"), "docs", "bytes")
+
+
+def index_rebuild(spark, sf_dir):
+    """From a quarter on a new base is built: its metadata."""
+    path, what = _changed(spark, sf_dir, 10)
+    m = ix.metadata(spark, path)
+    return spark.createDataFrame([(what["rebuild"], m["docs"], m["bytes"], m["postings"], m["trigrams"])], "rebuild boolean, docs long, bytes long, postings long, trigrams long")
+
+
 def change_log_latest(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     log = e.select(F.col("event_id").alias("batch"), F.get_json_object("props", "$.k").alias("relative_path"), (F.col("event_type") == "error").alias("deleted"), F.col("user_id").alias("doc_id"))
@@ -210,15 +241,15 @@ def memo_stream(spark, sf_dir):
     e = corpora.memo_events(spark, sf_dir)
     root = f"{storage_root(spark)}/memo-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
     e.write.mode("overwrite").parquet(f"{root}/in")
-    out: list[DataFrame] = []
+    run = uuid.uuid4().hex  # batches of another run are never read again
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{root}/out-{run}/batch={number}")
 
-    checkpoint = f"{root}/checkpoint-{len(_built)}-{hashlib.sha256(str(id(out)).encode()).hexdigest()[:8]}"
+    checkpoint = f"{root}/checkpoint-{run}"
     q = memo_totals(spark.readStream.schema(e.schema).parquet(f"{root}/in"), IDLE).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
-    done = spark.read.parquet(f"{root}/out")
+    done = spark.read.parquet(f"{root}/out-{run}")
     newest = done.groupBy("session_id").agg(F.max_by(F.struct("life", "total_reads", "redundant_reads_prevented", "tokens_saved", "compaction_count"), "seq").alias("s"))
     return newest.select("session_id", "s.*")
 
@@ -249,6 +280,14 @@ def context_pack_rank(spark, sf_dir):
     return r.select("path", text.round_score(F.col("score")).alias("score"), F.array_join("reasons", ",").alias("reasons"), F.size("snippets").alias("n_snippets"))
 
 
+def context_pack_review(spark, sf_dir):
+    """A review over a tree of which every fifth document is a test."""
+    i = index(spark, sf_dir)
+    path = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("tests/"), "relative_path")).otherwise(F.col("relative_path"))
+    r = pack.rank(ix.Index(i.docs.withColumn("relative_path", path), i.postings), REVIEW_GOAL, "review", ("src2/en/doc_2.txt",))
+    return r.select("path", text.round_score(F.col("score")).alias("score"), F.array_join("reasons", ",").alias("reasons"), F.size("snippets").alias("n_snippets"))
+
+
 def context_pack_budget(spark, sf_dir):
     p = pack.pack(index(spark, sf_dir), PACK_GOAL, "bugfix", 300, 6)
     rows = [(i, x["path"], x["score"], len(x["snippets"]), p["estimated_tokens"], p["truncated"]) for i, x in enumerate(p["items"])]
@@ -438,8 +477,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         f.__name__: f
         for f in (
             scan_repo_stats, language_histogram, repo_category, binary_sniff, hidden_paths, trigram_df, trigram_postings_topn, total_postings, candidate_counts, search_summary, grouped_hits,
-            session_rollup, index_change_classify, index_change_ratio, index_overlay_search, change_log_latest, frecency_scores, frecency_top, frecency_rerank, frecency_restore, query_ring_buffer,
-            memo_redundant_reads, memo_session_totals, memo_idle_sessions, memo_check_recommendation, memo_broadcast, memo_stream, search_epochs, reuse_check, context_terms, context_pack_rank,
+            session_rollup, index_change_classify, index_change_ratio, index_overlay_search, overlay_document_frequency, index_apply_changes, index_rebuild, change_log_latest, frecency_scores, frecency_top, frecency_rerank, frecency_restore, query_ring_buffer,
+            memo_redundant_reads, memo_session_totals, memo_idle_sessions, memo_check_recommendation, memo_broadcast, memo_stream, search_epochs, reuse_check, context_terms, context_pack_rank, context_pack_review,
             context_pack_budget, working_set, searches_run, snapshot_diff, snapshot_diff_searches, sessions_newest_open, pinned_snippets, pack_checksums, session_brief, bench_percentiles,
             bench_result_diff, ir_metrics, reusable_searches, token_estimates, preview_trim, path_heuristics, token_frequency, pick_tokens, hook_events, change_coalesce,
             search_memo, change_renames, replay_totals, verdict_counts, session_upsert, session_resume,

@@ -125,6 +125,15 @@ def _files(spark: SparkSession, root: str, include_hidden: bool, max_file_size:
     return out
 
 
+def listing(spark: SparkSession, root: str, include_hidden: bool = False) -> DataFrame:
+    """relative_path, modified_unix_secs and length of a tree's files; no contents are read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = root.rstrip("/").split("://")[-1] + "/"
+    path = F.expr(f"substring(path, locate({_sql(base)}, path) + {len(base)})").alias("relative_path")
+    seen = raw.select(path, F.unix_timestamp("modificationTime").alias("modified_unix_secs"), "length")
+    return seen.union(_unlisted(spark, root, include_hidden).drop("uri")).where(searchable(F.col("relative_path"), include_hidden))
+
+
 def _excludes(spark: SparkSession, root: str, more: tuple[str, ...]) -> list[tuple[str, str]]:
     """Rules of a tree as a whole: .git/info/exclude and any files that the caller names."""
     out = []

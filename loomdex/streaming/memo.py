@@ -1,4 +1,9 @@
-"""Memo counters as a stream: the batch operators' state machine, event by event."""
+"""Memo counters as a stream: the batch operators' state machine, event by event.
+
+The fold depends on each event before, so it runs in Python, a session's batch at a time. A
+session that stays idle ends by an event-time timer: what it tracked is dropped and only the
+number of its lives is kept, and that, too, goes after ``FORGET_SECONDS``.
+"""
 
 from __future__ import annotations
 
@@ -8,46 +13,63 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.memo import IDLE_SECONDS
 
+FORGET_SECONDS = 30 * 86400
 _OUT = "session_id long, life long, total_reads long, redundant_reads_prevented long, tokens_saved long, compaction_count long, seq long"
 _STATE = "life long, last double, ended boolean, reads long, redundant long, saved long, compactions long, paths array<string>, hashes array<long>, tokens array<long>, stale array<boolean>"
 
 
-def _advance(idle_seconds: int):
+def _wake(state: GroupState, at: float) -> None:
+    state.setTimeoutTimestamp(max(int(at * 1000), state.getCurrentWatermarkMs() + 1))
+
+
+def _advance(idle_seconds: int, forget_seconds: int):
     def run(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            life, last, ended = state.get[:3]
+            if ended and state.getCurrentWatermarkMs() >= (last + forget_seconds) * 1000:
+                state.remove()
+            else:
+                state.update((life, last, True, 0, 0, 0, 0, [], [], [], []))
+                _wake(state, last + forget_seconds)
+            return
         life, last, ended, reads, redundant, saved, compactions, files = 0, None, False, 0, 0, 0, 0, {}
         if state.exists:
             life, last, ended, reads, redundant, saved, compactions, p, h, t, s = state.get
             files = {a: [b, c, d] for a, b, c, d in zip(p, h, t, s)}
         rows = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable")
         seq = 0
-        for r in rows.itertuples(index=False):
-            now, seq = r.ts.timestamp(), int(r.seq)
+        columns = ("ts", "seq", "event", "path", "content_hash", "tokens")
+        for ts, seq, event, path, content_hash, tokens in zip(*(rows[c].tolist() for c in columns)):
+            now = ts.timestamp()
             if ended or last is not None and int(now) - int(last) > idle_seconds:
                 life, ended, reads, redundant, saved, compactions, files = life + 1, False, 0, 0, 0, 0, {}
             last = now
-            if r.event == "session_end":
+            if event == "session_end":
                 ended = True
-            elif r.event == "pre_compact":
+            elif event == "pre_compact":
                 compactions, files = compactions + 1, {}
-            elif r.event == "edit" and r.path in files:
-                files[r.path][2] = True
-            elif r.event == "read" and isinstance(r.path, str):
-                observed, value = 0 if pd.isna(r.tokens) else int(r.tokens), None if pd.isna(r.content_hash) else int(r.content_hash)
+            elif event == "edit" and path in files:
+                files[path][2] = True
+            elif event == "read" and isinstance(path, str):
+                observed, value = 0 if pd.isna(tokens) else int(tokens), None if pd.isna(content_hash) else int(content_hash)
                 reads += 1
-                f = files.get(r.path)
+                f = files.get(path)
                 if f and not f[2] and f[0] == value:
                     f[1] = observed or f[1]
                     redundant, saved = redundant + 1, saved + f[1]
                 else:
-                    files[r.path] = [value, max(observed, f[1] if f else 0), False]
+                    files[path] = [value, max(observed, f[1] if f else 0), False]
         cells = [list(x) for x in zip(*((a, *b) for a, b in files.items()))] or [[], [], [], []]
         state.update((life, last, ended, reads, redundant, saved, compactions, *cells))
+        _wake(state, last + idle_seconds + 1)
         yield pd.DataFrame([[key[0], life, reads, redundant, saved, compactions, seq]], columns=[c.split()[0] for c in _OUT.split(", ")])
 
     return run
 
 
-def memo_totals(events: DataFrame, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
+def memo_totals(events: DataFrame, idle_seconds: int = IDLE_SECONDS, forget_seconds: int = FORGET_SECONDS, late: str = "10 minutes") -> DataFrame:
     """Counters of each session's current life after every batch, out of a stream of events
-    (session_id, seq, ts, event, path, content_hash, tokens). Output mode update."""
-    return events.groupBy("session_id").applyInPandasWithState(_advance(idle_seconds), _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    (session_id, seq, ts, event, path, content_hash, tokens). Output mode update. Events that
+    are later than ``late`` behind the newest are left out, as their session may have ended."""
+    run = _advance(idle_seconds, forget_seconds)
+    return events.withWatermark("ts", late).groupBy("session_id").applyInPandasWithState(run, _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
