@@ -13,44 +13,35 @@ def percentile(sorted_values: Column, p: float) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.element_at(sorted_values, at))
 
 
-#: Parts that a group's values are cut into before ranks are taken in the parts that matter.
-PARTS = 256
+#: The sketch's rank error is a group's rows divided by this.
+ACCURACY = 10_000
 
 
 def percentiles(samples: DataFrame, keys: list[str], value: str, ps: dict[str, float] | None = None) -> DataFrame:
-    """Exact nearest-rank percentiles, mean, min and max of each group. Sketched quantiles cut
-    a group's values into PARTS; the parts are counted exactly, and only rows of the parts
-    that hold a wanted rank are ordered, a part a task. A part of one value needs no order."""
+    """Exact nearest-rank percentiles, mean, min and max of each group. A sketch bounds each
+    wanted value from below and above; rows below are counted, and only the distinct values
+    between the bounds, a few in ACCURACY of a group's rows, are put in order."""
     ps = ps or {"p50": 0.5, "p95": 0.95, "p99": 0.99}
-    names = [f"__k{i}" for i in range(len(keys))]
+    names, slack = [f"__k{i}" for i in range(len(keys))], 4 / ACCURACY
     rows = samples.where(F.col(value).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(value).alias("__v"))
-    cuts = rows.groupBy(*names).agg(F.percentile_approx("__v", [i / PARTS for i in range(1, PARTS)], 4 * PARTS).alias("__cuts"))
-    cuts = cuts.select(*[F.col(n).alias(f"{n}_") for n in names], "__cuts")
-    same = [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names]
-    # the first cut that is no less than the value, by halves: a value has one part only
-    part = F.lit(0)
-    width = PARTS
-    while width > 1:
-        width //= 2
-        probe = F.get("__cuts", part + (width - 1))
-        part = part + F.when(probe < F.col("__v"), width).otherwise(0)
-    parted = rows.join(cuts, same if same else F.lit(True)).select(*names, "__v", part.alias("__p"))
-    counted = parted.groupBy(*names, "__p").agg(F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__v").alias("__s"))
-    group = Window.partitionBy(*names)
-    counted = counted.withColumn("__o", F.coalesce(F.sum("__n").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__all", F.sum("__n").over(group))  # PARTS rows a group
-    wanted = counted.withColumn("__r", F.explode(F.array([F.struct(F.lit(n).alias("name"), F.floor(F.lit(p) * (F.col("__all") - 1) + 0.5).alias("rank")) for n, p in ps.items()])))
-    wanted = wanted.where((F.col("__r.rank") >= F.col("__o")) & (F.col("__r.rank") < F.col("__o") + F.col("__n")))
-    wanted = wanted.select(*[F.col(n).alias(f"{n}_") for n in names], F.col("__p").alias("__p_"), F.col("__r.name").alias("__name"), (F.col("__r.rank") - F.col("__o")).alias("__at"), "__lo", "__hi")
-    inside = Window.partitionBy(*names, "__p").orderBy("__v")
-    needed = wanted.where("__lo != __hi").select(*[f"{n}_" for n in names], "__p_").distinct()
-    ranked = parted.join(needed, [*same, F.col("__p") == F.col("__p_")], "left_semi").withColumn("__at", F.row_number().over(inside) - 1)
-    ranked = ranked.select(*[F.col(n).alias(f"{n}_") for n in names], F.col("__p").alias("__p_"), "__at", F.col("__v").alias("__exact"))
-    on = [F.col(f"w.{n}_").eqNullSafe(F.col(f"x.{n}_")) for n in names] + [F.col("w.__p_") == F.col("x.__p_"), F.col("w.__at") == F.col("x.__at")]
-    found = wanted.alias("w").join(ranked.alias("x"), on, "left").select(*[F.col(f"w.{n}_").alias(n) for n in names], "__name", F.coalesce("__exact", "__lo").alias("__value"))
-    found = found.groupBy(*names).agg(*[F.max(F.when(F.col("__name") == n, F.col("__value"))).alias(n) for n in ps])
-    about = counted.groupBy(*names).agg((F.sum("__s") / F.sum("__n")).alias("mean"), F.min("__lo").alias("min"), F.max("__hi").alias("max"))
+    near = [x for p in ps.values() for x in (max(p - slack, 0.0), min(p + slack, 1.0))]
+    about = rows.groupBy(*names).agg(F.percentile_approx("__v", near, ACCURACY).alias("__q"), F.count("*").alias("__n"), F.avg("__v").alias("mean"), F.min("__v").alias("min"), F.max("__v").alias("max"))
+    few = F.col("__n") <= 4 * ACCURACY  # a rank is less than the slack: all values are put in order
+    wanted = F.array(*[
+        F.struct(F.lit(n).alias("name"), F.floor(F.lit(p) * (F.col("__n") - 1) + 0.5).alias("rank"), F.when(few, F.col("min")).otherwise(F.get("__q", 2 * i)).alias("lo"), F.when(few, F.col("max")).otherwise(F.get("__q", 2 * i + 1)).alias("hi"))
+        for i, (n, p) in enumerate(ps.items())
+    ])
+    about = about.withColumn("__w", wanted).drop("__q", "__n")
+    bounds = about.select(*[F.col(n).alias(f"{n}_") for n in names], "__w")
+    met = rows.join(bounds, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names] if names else F.lit(True))
+    met = met.select(*names, "__v", F.explode(F.filter("__w", lambda w: F.col("__v") <= w["hi"])).alias("__w"))
+    # all that is below the bounds counts as one value
+    met = met.withColumn("__v", F.when(F.col("__v") >= F.col("__w.lo"), F.col("__v"))).groupBy(*names, "__w", "__v").agg(F.count("*").alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy(*names, "__w").orderBy(F.col("__v").asc_nulls_first()))
+    found = met.withColumn("__upto", before).where((F.col("__w.rank") < F.col("__upto")) & (F.col("__w.rank") >= F.col("__upto") - F.col("__c")))
+    found = found.groupBy(*names).agg(*[F.max(F.when(F.col("__w.name") == n, F.col("__v"))).alias(n) for n in ps])
     on = [F.col(f"f.{n}").eqNullSafe(F.col(f"a.{n}")) for n in names]
-    joined = found.alias("f").join(about.alias("a"), on if on else F.lit(True))
+    joined = found.alias("f").join(about.drop("__w").alias("a"), on if on else F.lit(True))
     return joined.select(*[F.col(f"f.{n}").alias(k) for n, k in zip(names, keys)], *[F.col(f"f.{n}") for n in ps], "mean", "min", "max")
 
 

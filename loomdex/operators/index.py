@@ -14,8 +14,9 @@ from ..functions.trigrams import encode, of_bytes, postings
 from ..plans.seeds import Condition, literals
 
 REBUILD_AT = 0.25
-#: Trigrams of a literal that a search looks up, the rarest ones.
-PROBES = 3
+#: Trigrams of a literal that a search looks up: the rarest ones, and no one that so many times
+#: as many documents have as the rarest.
+PROBES, SPREAD = 16, 8
 #: Bytes and rows of Parquet pages of the documents: about what a candidate costs to read.
 PAGE, PAGE_ROWS = 1 << 16, 64
 
@@ -126,7 +127,7 @@ def candidates(index: DataFrame, condition: Condition, frequency: Frequency | No
         grams = {s: sorted(gs, key=lambda g: (frequency.of(g), g))[:PROBES] for s, gs in grams.items()}
         if not _possible(condition, {s: frequency.of(gs[0]) > 0 for s, gs in grams.items()}):
             return None
-        grams = {s: [g for i, g in enumerate(gs) if not i or frequency.of(g) < 64 * frequency.of(gs[0])] for s, gs in grams.items()}
+        grams = {s: [g for g in gs if frequency.of(g) <= SPREAD * frequency.of(gs[0])] for s, gs in grams.items()}
     wanted = sorted({g for gs in grams.values() for g in gs})
     rows = index.where(F.col("trigram").isin(wanted))
     if len(wanted) == 1:
@@ -137,6 +138,13 @@ def candidates(index: DataFrame, condition: Condition, frequency: Frequency | No
     return counted.where(_met(condition, flag)).select("doc_id")
 
 
+def most(condition: Condition, frequency: Frequency) -> int:
+    """A bound on the candidates of a condition."""
+    if isinstance(condition, bytes):
+        return min(frequency.of(int(g)) for g in of_bytes(condition))
+    return (min if condition[0] == "and" else sum)(most(p, frequency) for p in condition[1])
+
+
 def _possible(condition: Condition, known: dict[bytes, bool]) -> bool:
     if isinstance(condition, bytes):
         return known[condition]

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.running import running_sum
 
 JOURNAL = 256
-#: Changed paths of a journal that are broadcast; its batches are few, the paths of one need not be.
-JOURNAL_ROWS = 200_000
 
 
 def newest_batches(journal: DataFrame, n: int = JOURNAL) -> DataFrame:
@@ -37,7 +35,7 @@ def check(requests: DataFrame, journal: DataFrame, generation: Column, epoch: Co
     # scope are left to compare, each distinct change once
     matched = base.select("request_id", "recorded_generation", F.explode("matched_paths").alias("path")).distinct().join(seen, "path").where(newer)
     matched = matched.select("request_id", F.struct("generation", "ordinal", F.lit("changed_matched_path").alias("why"), "path").alias("c"))
-    scoped = base.join(seen.hint("broadcast") if seen.limit(JOURNAL_ROWS + 1).count() <= JOURNAL_ROWS else seen, newer & in_scope & ~F.array_contains("matched_paths", F.col("path")))
+    scoped = base.join(seen, newer & in_scope & ~F.array_contains("matched_paths", F.col("path")))  # broadcast where the planner finds it small
     scoped = scoped.select("request_id", F.struct("generation", "ordinal", F.lit("changed_search_scope").alias("why"), "path").alias("c"))
     hits = matched.union(scoped).groupBy("request_id").agg(F.min("c").alias("c"))
     j = base.join(hits, "request_id", "left")

@@ -12,12 +12,13 @@ from ..plans.globs import to_regex
 from ..plans.planner import plan, route
 from ..plans.request import SearchRequest
 from ..plans.seeds import check_dialect, named_groups
-from .index import Index, candidates
+from .index import Index, candidates, most
 
 #: Only a newline ends a line; classes and word boundaries know all letters; case is that of A-Z.
 DIALECT = "(?dU-u)"
-#: Candidates up to this number are looked up by ranges of doc_id instead of a join, and how many ranges.
-LOOKUP, RANGES = 4096, 64
+#: Where there can be no more candidates than this they are looked up by ranges of doc_id, so
+#: many at most, instead of a join.
+LOOKUP, RANGES = 1024, 64
 
 
 def _any_of(parts: list[Column]) -> Column:
@@ -100,17 +101,17 @@ def candidate_docs(index: Index, request: SearchRequest, engine: str | None = No
     engine = engine or route(request, found, None, True)[0]
     if engine != "indexed" or found.condition is None:
         return docs
-    wanted = candidates(index.postings, found.condition, index.frequency() if probe else None)
+    frequency = index.frequency() if probe else None
+    wanted = candidates(index.postings, found.condition, frequency)
     if wanted is None:
         return docs.where(F.lit(False))
-    if not index.ranged:
+    if frequency is None or most(found.condition, frequency) > LOOKUP:
         return docs.join(wanted, "doc_id", "left_semi")
-    ids = sorted(r[0] for r in wanted.limit(LOOKUP + 1).collect())
+    ids = sorted(r[0] for r in wanted.collect())  # LOOKUP rows at most
     if not ids:
         return docs.where(F.lit(False))
-    if len(ids) > LOOKUP:
-        return docs.join(wanted, "doc_id", "left_semi")
-    return docs.where(_any_of([F.col("doc_id").between(a, b) for a, b in _spans(ids, RANGES)]) & F.col("doc_id").isin(ids))
+    spans = " OR ".join(f"doc_id BETWEEN {a} AND {b}" for a, b in _spans(ids, RANGES))
+    return docs.where(F.expr(f"({spans}) AND doc_id IN ({', '.join(map(str, ids))})"))
 
 
 def search(index: Index, request: SearchRequest, engine: str | None = None) -> DataFrame:
