@@ -270,3 +270,107 @@ def test_repeated_words_take_little(monkeypatch):
     t = time.perf_counter()
     got = block.overlaps(h, np.zeros(len(h), dtype=np.int64), 0, 1)
     assert [(k, m) for _, k, m, *_ in got] == [(0, 100), (1, 99)] and time.perf_counter() - t < 20
+
+
+def test_discriminant_against_plain_densities():
+    """Scores from the cached factors against log-densities solved row by row."""
+    from loomdex.llm import quality
+
+    g = np.random.default_rng(3)
+    x = np.concatenate([g.normal(size=(60, 5)) * [1, 2, 3, 1, 1], g.normal(size=(40, 5)) + 1]) * [1, 10, 0.1, 5, 1]
+    y = np.array([0] * 60 + [1] * 40)
+    for alpha, gamma in ((0.0, 0.01), (0.3, 0.2)):
+        model = quality.discriminant(x, y, alpha, gamma)
+        z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -8, 8)
+        cov = []
+        for c in (0, 1):
+            part = z[y == c] - z[y == c].mean(axis=0)
+            cov.append(sum(np.outer(r, r) for r in part) / len(part))
+        pooled = 0.6 * cov[0] + 0.4 * cov[1]
+        want = []
+        for row in z:
+            density = []
+            for c in (0, 1):
+                s = (1 - alpha) * cov[c] + alpha * pooled
+                s = (1 - gamma) * s + gamma * np.trace(s) / 5 * np.eye(5) + 1e-6 * np.eye(5)
+                d = row - z[y == c].mean(axis=0)
+                density.append(-0.5 * d @ np.linalg.solve(s, d) - 0.5 * np.linalg.slogdet(s)[1])
+            want.append(density[1] - density[0])
+        assert np.allclose(model.difference(x), want, atol=1e-8)
+        model.slope, model.bias = 0.7, -0.2
+        assert np.allclose(model.score(x), 1 / (1 + np.exp(-(0.7 * np.array(want) - 0.2))))
+
+
+def test_toxicity_parts_against_brute_force():
+    """Token choice by strings, lambda and K by their definitions, scores by all segments."""
+    import math
+
+    rnd = random.Random(9)
+    bad, good = ["scumbag", "scummy", "idiot", "idiotic", "trash"], ["table", "chair", "river", "mount", "scuba", "ideal", "light"]
+    text = lambda y: [rnd.choice(bad if y and rnd.random() < 0.3 else good) for _ in range(rnd.randint(5, 40))]
+    docs = [(1, text(1)) for _ in range(30)] + [(0, text(0)) for _ in range(30)]
+    hashes = {}
+
+    def lex(words_):
+        (_, _, w), = lexer.words(pa.array([" ".join(words_)]), LETTERS, toxicity.PREFIXES)
+        for i, word in enumerate(words_):
+            hashes[word, 99] = int(w.hash[i])
+            hashes.update({(word[:p], p): int(w.prefix[p][i]) for p in toxicity.PREFIXES if p < len(word)})
+        return w
+
+    columns = {c: [] for c in toxicity._COUNTS}
+    count = {0: {}, 1: {}}
+    seen, ups, total = {}, {}, {0: 0, 1: 0}
+    for y, words_ in docs:
+        lex(words_)
+        total[y] += len(words_)
+        mine = {}
+        for word in words_:
+            for token in [(word, 99)] + [(word[:p], p) for p in toxicity.PREFIXES if p < len(word)]:
+                mine[token] = mine.get(token, 0) + 1
+                ups[token] = [(token[0][:p], p) for p in toxicity.PREFIXES if p < len(token[0]) and p < token[1]]
+        for token, n in mine.items():
+            count[y][token] = count[y].get(token, 0) + min(n, toxicity.BURST)
+            if y:
+                seen[token] = seen.get(token, 0) + 1
+    tokens = sorted((t for t in seen if seen[t] >= toxicity.MIN_DOCS), key=lambda t: hashes[t])
+    for t in tokens:
+        columns["h"].append(hashes[t])
+        columns["level"].append(t[1])
+        columns["n"].append(count[1][t])
+        columns["docs"].append(seen[t])
+        for p in toxicity.PREFIXES:
+            columns[f"up{p}"].append(next((hashes[u] for u in ups[t] if u[1] == p), 0))
+    given = {c: np.array(v, dtype=np.uint64).view(np.int64) if c in ("h", *toxicity._COUNTS[4:]) else np.array(v, dtype=np.int64) for c, v in columns.items()}
+    got = toxicity._select(given, total[1], np.array([count[0].get(t, 0) for t in tokens], dtype=float), total[0])
+    n, expected, left, want = {t: float(count[1][t]) for t in tokens}, {t: count[0].get(t, 0) * total[1] / total[0] for t in tokens}, {t: float(seen[t]) for t in tokens}, {}
+    for t in sorted(tokens, key=lambda t: -t[1]):
+        if left[t] < toxicity.MIN_DOCS or n[t] <= expected[t]:
+            continue
+        s = math.log((n[t] + toxicity.PRIOR) / (expected[t] + toxicity.PRIOR)) - 1 / math.sqrt(left[t] + toxicity.PRIOR)
+        if s >= toxicity.MIN_SCORE:
+            want[hashes[t]] = s
+            for u in ups[t]:
+                if u in n:
+                    n[u], expected[u] = n[u] - n[t], max(0.0, expected[u] - expected[t])
+                    left[u] = min(left[u], n[u])
+    assert dict(zip(got[0].tolist(), got[1].tolist())) == pytest.approx(want) and want
+
+    model = toxicity.ToxicityModel(*got)
+    rows = []
+    for y, words_ in docs:
+        w = lex(words_)
+        s = toxicity.word_scores(model, model.seen(), w)
+        p = np.flatnonzero(s)
+        rows.append((y, len(w), [x for _, _, x in toxicity.maximal_segments(p, s[p])], s[p].tolist() if not y else []))
+        whole = np.where(s > 0, s, -toxicity.DRIFT)
+        best = max([whole[i:j].sum() for i in range(len(s)) for j in range(i + 1, len(s) + 1)])
+        assert max(rows[-1][2], default=0.0) == pytest.approx(max(best, 0.0))
+    toxicity._extreme_value(model, rows)
+    clean = [r for r in rows if not r[0]]
+    assert model.k == pytest.approx(len(clean) / sum(r[1] * math.exp(-model.lam * max(r[2], default=0.0)) for r in clean))
+    toxicity._calibrate(model, rows, {0: 30, 1: 30})
+    t = [sum(max(0.0, model.lam * s - math.log(model.k * n)) for s in seg) for _, n, seg, _ in rows]
+    score = [toxicity.probability(model, x) for x in t]
+    assert t == pytest.approx([toxicity.statistic(model, n, [(0, 0, s) for s in seg])[0] for _, n, seg, _ in rows])
+    assert np.mean(score[:30]) > 0.6 > 0.4 > np.mean(score[30:])

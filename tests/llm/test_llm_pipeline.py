@@ -1,11 +1,34 @@
 """Each stage against what it promises on its own input."""
 
+import hashlib
 import os
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from loomdex.llm import decontam, jaccard, mixing
+from loomdex.llm import decontam, mixing
+from test_llm_operators import brute_components
+
+
+def plain_mixture(rows, block=4):
+    """doc_ids in the order of a schedule walked slot by slot."""
+    by = {}
+    for d, s in sorted(rows, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+        by.setdefault(s, []).append(d)
+    names = sorted(by, key=lambda s: (s is not None, s))
+    weight = dict(zip(names, mixing.tempered_weights([len(by[s]) for s in names], 0.5, 1000)))
+    blocks = {s: [by[s][i : i + block] for i in range(0, len(by[s]), block)] for s in names}
+    out, active = [], list(names)
+    while active:
+        total, had, t = sum(weight[s] for s in active), dict.fromkeys(active, 0), 0
+        while all(blocks[s] for s in active):
+            ready = [(-(-(had[s] + 1) * total // weight[s]), names.index(s), s) for s in active if had[s] * total // weight[s] <= t]
+            s = min(ready)[2]
+            out += blocks[s].pop(0)
+            had[s] += 1
+            t += 1
+        active = [s for s in active if blocks[s]]
+    return out
 
 
 def test_stages(spark, tmp_path, sf):
@@ -22,18 +45,33 @@ def test_stages(spark, tmp_path, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     kept = toxic.join(labels, "doc_id").where("toxic = 0").count()
     assert kept >= 0.97 * labels.where("toxic = 0").count()
-    groups = jaccard.jaccard_components(toxic).where("doc_id = component_id")
-    assert sorted(r[0] for r in groups.collect()) == sorted(r[0] for r in unique.select("doc_id").collect())
+    rows = [tuple(r) for r in toxic.select("doc_id", "text", "source").collect()]
+    first = {component for _, n, component in brute_components(rows) if n} | {i for i, n, _ in brute_components(rows) if not n}
+    assert sorted(first) == sorted(r[0] for r in unique.select("doc_id").collect())
     found = decontam.overlaps(unique, spark.read.parquet(f"{sf}/benchmark.parquet")).select("doc_id").distinct()
     assert unique.count() - clean.count() == found.count() and clean.join(found, "doc_id").count() == 0
-    order = mixing.mix(clean).orderBy("mix_position").select("doc_id").collect()
+    order = plain_mixture([tuple(r) for r in clean.select("doc_id", "source").collect()])
+    assert order == [r[0] for r in mixing.mix(clean).orderBy("mix_position").select("doc_id").collect()]
     files = sorted(f for f in os.listdir(tmp_path / "mixing") if f.endswith(".parquet"))
-    assert [r[0] for f in files for r in spark.read.parquet(str(tmp_path / "mixing" / f)).select("doc_id").collect()] == [r[0] for r in order]
-    place = {r[0]: i for i, r in enumerate(order)}
+    assert [r[0] for f in files for r in spark.read.parquet(str(tmp_path / "mixing" / f)).select("doc_id").collect()] == order
+    place = {d: i for i, d in enumerate(order)}
     rows = sorted((r["shard"], r["slot"], place[r["doc_id"]]) for r in sharded.collect())
     assert [p for _, _, p in rows] == sorted(p for _, _, p in rows) and len(rows) == mixed.count()
     sizes = sharded.groupBy("shard").agg(F.sum(F.octet_length("text") + 1).alias("n"), F.max("slot").alias("s"), F.count("*").alias("c")).collect()
     assert all(r["s"] == r["c"] - 1 for r in sizes) and len(sizes) <= 16
+    groups, at = [], {}
+    for r in sorted(mixed.select("doc_id", "text").collect(), key=lambda r: place[r["doc_id"]]):  # texts are groups at their first place
+        at.setdefault(r["text"], len(groups)) == len(groups) and groups.append(0)
+        groups[at[r["text"]]] += len((r["text"] or "").encode()) + 1
+
+    def shards_at(capacity):
+        used, n = 0, 1
+        for g in groups:
+            used, n = (used + g, n) if used + g <= capacity else (g, n + 1)
+        return n
+
+    low = next(c for c in range(max(groups), sum(groups) + 1) if shards_at(c) <= 16)
+    assert max(r["n"] for r in sizes) <= low and shards_at(low - 1) > 16 or low == max(groups)
 
 
 def test_repeated_and_null_ids(spark, sf):
