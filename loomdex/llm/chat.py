@@ -10,11 +10,11 @@ surrogates, which UTF-8 cannot hold, become U+FFFD.
 * Results are hash-joined to calls on (conv_id, call id). The first call of an id counts;
   results without a call are orphans.
 * Order: a result comes after its call, and a call whose arguments hold {"$ref": id} after
-  what it refers to. Messages keep their turns otherwise. This needs work only in connected
-  groups of edges of which one runs against the turns: groups of up to LOCAL edges are sorted
-  topologically in one task each, larger ones by Kahn's rounds over all of them at once (one
-  round for each step of the longest chain). Messages on or behind a cycle keep their turns
-  and are counted.
+  what it refers to. Messages keep their turns otherwise. This needs work only in conversations
+  with an edge against the turns: those of up to LOCAL edges are sorted topologically in one
+  task each, larger ones by their connected groups, and groups of more edges by Kahn's rounds
+  over all of them at once (one round for each step of the longest chain). Messages on or
+  behind a cycle keep their turns and are counted.
 * Arguments are validated against the tool's JSON Schema (type, properties, required,
   additionalProperties, items, enum, minimum, maximum, minLength, maxLength): calls are
   hash-joined to the declarations of their conversation on (conv_id, name).
@@ -250,20 +250,31 @@ def _rounds(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _levels(edges: DataFrame, scratch: Scratch, local: int) -> DataFrame:
-    """(node, at, depth) of the nodes in connected groups of edges (parent, child,
-    parent_turn, child_turn) of which one at least runs against the turns."""
-    comp = connected_components(edges.select(F.col("parent").alias("u"), F.col("child").alias("v")), scratch, "groups")
-    placed = scratch.table(edges.join(comp.withColumnRenamed("node", "child"), "child"), "placed")
-    groups = placed.groupBy("comp").agg(F.count("*").alias("n"), F.bool_or(F.col("parent_turn") >= F.col("child_turn")).alias("turned")).where("turned")
-    groups = scratch.table(groups.select("comp", "n"), "turned")
-    small = placed.join(groups.where(F.col("n") <= local).select("comp"), "comp").repartition("comp").sortWithinPartitions("comp")
-    out = small.select("comp", "parent", "child", "parent_turn", "child_turn").mapInArrow(frugal(_sorted_groups), "node long, at long, depth long")
-    large = groups.where(F.col("n") > local).select("comp")
+    """(node, at, depth) of the nodes of groups of edges (conv, parent, child, parent_turn,
+    child_turn) of which one at least runs against the turns. A group is a conversation (by a
+    hash; two that share it do no harm) or, in one of over ``local`` edges, what is connected."""
+    turned = F.bool_or(F.col("parent_turn") >= F.col("child_turn")).alias("turned")
+    fields = ["comp", "parent", "child", "parent_turn", "child_turn"]
+    groups = scratch.table(edges.groupBy("conv").agg(F.count("*").alias("n"), turned).where("turned"), "turned")
+    small = edges.join(groups.where(F.col("n") <= local).select("conv"), "conv").withColumnRenamed("conv", "comp").select(*fields)
+    over = groups.where(F.col("n") > local).select("conv")
+    if not over.limit(1).count():
+        return _sorted(small)
+    hot = scratch.table(edges.join(broadcast_if_small(over), "conv"), "hot")
+    comp = connected_components(hot.select(F.col("parent").alias("u"), F.col("child").alias("v")), scratch, "groups")
+    placed = scratch.table(hot.join(comp.withColumnRenamed("node", "child"), "child").select(*fields), "placed")
+    parts = scratch.table(placed.groupBy("comp").agg(F.count("*").alias("n"), turned).where("turned"), "parts")
+    out = _sorted(small.union(placed.join(parts.where(F.col("n") <= local).select("comp"), "comp").select(*fields)))
+    large = parts.where(F.col("n") > local).select("comp")
     if large.limit(1).count():
         out = out.union(_rounds(scratch.table(placed.join(large, "comp").drop("comp"), "large"), scratch))
     return out
 
 
+def _sorted(edges: DataFrame) -> DataFrame:
+    return edges.repartition("comp").sortWithinPartitions("comp").mapInArrow(frugal(_sorted_groups), "node long, at long, depth long")
+
+
 def format_conversations(messages: DataFrame, tools: dict[str, dict] | None = None, part_rows: int = 256, local: int = LOCAL) -> DataFrame:
     """conv_id, part int, n_messages, n_calls, n_invalid, n_linked, n_orphans, n_cyclic (all
     long) and json: {"conv_id", "messages": [...], "part"} in canonical form.
@@ -303,11 +314,11 @@ def format_conversations(messages: DataFrame, tools: dict[str, dict] | None = No
         first = scratch.table(first, "first")
         results = parsed.where("result is not null").select("conv_id", *order, "node", "result")
         tied = scratch.table(results.join(first, results["conv_id"].eqNullSafe(first["cc"]) & (results["result"] == first["ci"]), "left"), "tied")
-        to_call = tied.where("call_node is not null and call_node != node").select(F.col("call_node").alias("parent"), F.col("node").alias("child"), F.col("call_turn").alias("parent_turn"), F.col("turn").alias("child_turn"))
+        to_call = tied.where("call_node is not null and call_node != node").select(F.xxhash64("conv_id").alias("conv"), F.col("call_node").alias("parent"), F.col("node").alias("child"), F.col("call_turn").alias("parent_turn"), F.col("turn").alias("child_turn"))
         refs = calls.select("conv_id", "turn", "node", F.explode("refs").alias("ref"))
         answers = tied.where("call_node is not null").groupBy("conv_id", "result").agg(F.min(F.struct("turn", "role", "text", "node")).alias("a"))
         target = first.join(answers, first["cc"].eqNullSafe(answers["conv_id"]) & (first["ci"] == answers["result"]), "left").select("cc", "ci", F.coalesce("a.node", "call_node").alias("parent"), F.coalesce("a.turn", "call_turn").alias("parent_turn"))
-        to_ref = refs.join(target, refs["conv_id"].eqNullSafe(target["cc"]) & (refs["ref"] == target["ci"])).where("parent != node").select("parent", F.col("node").alias("child"), "parent_turn", F.col("turn").alias("child_turn"))
+        to_ref = refs.join(target, refs["conv_id"].eqNullSafe(target["cc"]) & (refs["ref"] == target["ci"])).where("parent != node").select(F.xxhash64("conv_id").alias("conv"), "parent", F.col("node").alias("child"), "parent_turn", F.col("turn").alias("child_turn"))
         edges = scratch.table(to_call.union(to_ref).distinct(), "edges")
         out = parsed.join(tied.select("node", F.col("call_node").isNotNull().alias("linked")), "node", "left").join(invalid, "node", "left")
         if edges.where("parent_turn >= child_turn").limit(1).count():
