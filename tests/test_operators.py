@@ -351,3 +351,53 @@ def test_scan_caps_excludes_and_one_file(spark, tmp_path):
     assert {k: v is None for k, v in rows.items()} == {"big.txt": True, "small.txt": False, ".github/w.yml": True, "_init.py": False}
     one = tree.scan_file(spark, str(tmp_path / "gone.log")).first()
     assert (one["relative_path"], bytes(one["contents"]), one["extension"]) == ("gone.log", b"l", "log")
+
+
+def test_watch(spark, tmp_path):
+    """Ticks bring an index up to date, and only what an index would hold counts."""
+    import time
+
+    from loomdex.streaming import watch
+
+    tree_ = tmp_path / "tree"
+    tree_.mkdir()
+    for n in range(8):
+        (tree_ / f"f{n}.txt").write_text(f"text number {n} here")
+    scan = lambda: tree.scan_tree(spark, str(tree_)).withColumn("doc_id", F.xxhash64("relative_path"))
+    path = str(tmp_path / "index")
+    ix.build(scan(), path)
+    (tree_ / "f3.txt").write_text("now it holds a needle")
+    (tree_ / ".hidden").write_text("needle")
+    told = []
+    q = watch.watch(spark, lambda: tree.listing(spark, str(tree_)), scan, path, str(tmp_path / "checkpoint"), told=lambda n, what: told.append(what)).start()
+    try:
+        until = time.time() + 90
+        while not told and time.time() < until and q.isActive:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert told and told[0]["changed"] == 2 and told[0]["rebuild"]
+    assert [r[0] for r in se.search(ix.load_current(spark, path), SearchRequest(pattern="needle")).select("relative_path").collect()] == ["f3.txt"]
+    events = spark.createDataFrame([("a.rs", "created"), ("../x", "created"), ("idx/docs", "changed"), (".venv/y", "changed"), ("b.log", "deleted"), (".gitignore", "changed")], "path string, kind string")
+    assert sorted(r["path"] for r in watch.relevant(events, "idx", [("", "*.log")]).collect()) == [".gitignore", "a.rs"]
+
+
+def test_idle_sessions_start_anew_in_a_stream(spark, tmp_path):
+    """A later batch after an idle gap, with a timer in between, is the session's next life."""
+    from loomdex.streaming.memo import memo_totals
+
+    first = events(spark, [(1, 0, "read", "a", 1, 100), (1, 1, "read", "a", 1, 0), (2, 0, "read", "b", 1, 7)])
+    first.write.parquet(str(tmp_path / "in"))
+    out, run = [], dict(checkpointLocation=str(tmp_path / "checkpoint"))
+
+    def step():
+        q = memo_totals(spark.readStream.schema(first.schema).parquet(str(tmp_path / "in")), 600).writeStream.foreachBatch(lambda b, n: out.append([tuple(r)[:6] for r in b.collect()])).options(**run).outputMode("update").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    step()
+    events(spark, [(2, 90_000, "read", "b", 1, 7)]).write.mode("append").parquet(str(tmp_path / "in"))
+    step()
+    events(spark, [(1, 90_100, "read", "a", 1, 100), (2, 90_050, "read", "b", 1, 7)]).write.mode("append").parquet(str(tmp_path / "in"))
+    step()
+    rows = [r for batch in out for r in batch]
+    assert (1, 0, 2, 1, 100, 0) in rows and (1, 1, 1, 0, 0, 0) in rows and (2, 1, 2, 1, 7, 0) in rows
