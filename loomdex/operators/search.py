@@ -19,6 +19,8 @@ DIALECT = "(?dU-u)"
 #: Where there can be no more candidates than this they are looked up by ranges of doc_id, so
 #: many at most, instead of a join.
 LOOKUP, RANGES = 1024, 64
+#: Candidates up to this bound (8 bytes each) are broadcast.
+SENT = 1_000_000
 
 
 def _any_of(parts: list[Column]) -> Column:
@@ -105,8 +107,9 @@ def candidate_docs(index: Index, request: SearchRequest, engine: str | None = No
     wanted = candidates(index.postings, found.condition, frequency)
     if wanted is None:
         return docs.where(F.lit(False))
-    if frequency is None or most(found.condition, frequency) > LOOKUP:
-        return docs.join(wanted, "doc_id", "left_semi")
+    bound = most(found.condition, frequency) if frequency else None
+    if bound is None or bound > LOOKUP:
+        return docs.join(F.broadcast(wanted) if bound is not None and bound <= SENT else wanted, "doc_id", "left_semi")
     ids = sorted(r[0] for r in wanted.collect())  # LOOKUP rows at most
     if not ids:
         return docs.where(F.lit(False))
