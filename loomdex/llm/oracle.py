@@ -1,7 +1,7 @@
 """DuckDB SQL for the operators that SQL can express.
 
-Operators 4 and 8 fit models and operator 3 walks trees; their tests use held-out labels
-and brute force instead.
+Operators 4 and 8 fit models, operator 3 walks trees and operator 12 merges by rank; their
+tests use held-out labels, brute force and another encoder instead.
 """
 
 _MIX = r"""
@@ -189,6 +189,66 @@ WITH RECURSIVE w AS (
 SELECT n.doc_id, n.n AS n_shingles, (SELECT min(y) FROM reach r WHERE r.x = n.doc_id) AS component_id FROM n
 """
 
+_CRC_TABLE = r"""
+table_(i, v) AS (
+  SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) FROM range(256) r(i)
+), steps AS (
+  SELECT list(v ORDER BY i) AS v FROM table_
+)"""
+
+_TRIE = rf"""
+WITH {_CRC_TABLE}, digits AS (
+  SELECT conv_id, v, list_prepend(4294967295::BIGINT, list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)) AS bytes
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), steps
+), h AS (
+  SELECT conv_id, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, v[xor(a & 255, x) + 1])), 4294967295) % 9 AS h FROM digits
+), said AS (
+  SELECT conv_id, list([coalesce(role, ''), coalesce(text, '')] ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(from_hex(sha256(coalesce(role, ''))) || from_hex(sha256(coalesce(text, ''))))) AS w FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), r AS (
+  SELECT s.conv_id, list_concat(coalesce(b.w, [])[1:h.h], s.w[h.h + 1:]) AS w FROM said s JOIN h USING (conv_id) LEFT JOIN said b ON b.conv_id = s.conv_id - s.conv_id % 5
+), p AS (
+  SELECT conv_id, unnest(range(len(w) + 1)) AS depth, w FROM r
+), node AS (
+  SELECT depth, w[1:depth] AS w, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(w) = depth), '')) AS ends_sha256,
+         (count(*) - 1) * coalesce(strlen(w[1:depth][-1][2]), 0) AS saved
+  FROM p GROUP BY depth, w[1:depth]
+), kids AS (
+  SELECT a.depth, a.w, count(b.w) AS n_children FROM node a LEFT JOIN node b ON b.depth = a.depth + 1 AND b.w[1:a.depth] = a.w GROUP BY a.depth, a.w
+), below AS (
+  SELECT a.depth, a.w, sum(b.saved)::BIGINT AS saved_tokens, count(*) FILTER (k.n_children = 0) AS n_leaves
+  FROM (SELECT n.*, unnest(range(n.depth + 1)) AS up FROM node n) b JOIN node a ON a.depth = b.up AND a.w = b.w[1:b.up] JOIN kids k ON k.depth = b.depth AND k.w = b.w GROUP BY a.depth, a.w
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, k.n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+FROM node n JOIN kids k ON k.depth = n.depth AND k.w = n.w JOIN below b ON b.depth = n.depth AND b.w = n.w LEFT JOIN node u ON u.depth = n.depth - 1 AND u.w = n.w[1:n.depth - 1]
+"""
+
+_AUDIT = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), f AS (
+  SELECT t.doc_id, part, concat(
+      CASE WHEN len(w) < 50 THEN 'A' ELSE '' END,
+      CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END,
+      CASE WHEN 100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(text) THEN 'C' ELSE '' END,
+      CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END,
+      CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails,
+    coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic
+  FROM t LEFT JOIN labels l ON l.doc_id = t.doc_id
+), o(filter_order) AS (
+  SELECT '' UNION ALL SELECT o.filter_order || c FROM o, unnest(['A', 'B', 'C', 'D', 'E']) u(c) WHERE NOT contains(o.filter_order, c)
+), s AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS c, substr(filter_order, 1, step - 1) AS before FROM o, range(1, 6) r(step) WHERE len(filter_order) = 5
+), d AS (
+  SELECT part, filter_order, step, c, contains(fails, c) AS hit, length(translate(fails, before, '')) < length(fails) AS gone, fails, good, toxic FROM f, s
+), n AS (
+  SELECT part, filter_order, step, c, count(*) FILTER (NOT hit AND NOT gone) AS kept, count(*) FILTER (hit AND NOT gone) AS removed, count(*) FILTER (hit AND gone) AS redundant,
+         count(*) FILTER (fails = c) AS unique_fails, count(*) FILTER (hit AND NOT gone AND good) AS good_lost, count(*) FILTER (hit AND NOT gone AND toxic) AS toxic_lost
+  FROM d GROUP BY part, filter_order, step, c
+)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley FROM n
+"""
+
 SQL: dict[str, str] = {
     "op1_pfair_mixing": _MIX,
     "op2_chat_tool_links": _CHAT,
@@ -197,4 +257,6 @@ SQL: dict[str, str] = {
     "op7_minimax_shards": _SHARDS,
     "op9_licence_windows": _licences(),
     "op10_signature_tree_jaccard": _JACCARD,
+    "op11_conversation_prefix_trie": _TRIE,
+    "op13_filter_interactions": _AUDIT,
 }

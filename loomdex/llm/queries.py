@@ -1,13 +1,14 @@
-"""The ten operators applied to their tables with production parameters."""
+"""The operators applied to their tables with production parameters."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html, itq, jaccard, licences, mixing, quality, shards, toxicity
+from . import audit, bpe, chat, decontam, html, itq, jaccard, licences, mixing, prefixes, quality, shards, toxicity
 from .labelled import held_out
 
 TOXIC_AT = 0.7
@@ -93,10 +94,27 @@ def op10_signature_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every text and of what they decode to."""
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pfair_mixing, op2_chat_tool_links, op3_html_layout_text, op4_toxic_segments, op5_spaced_seed_decontamination,
         op6_itq_near_duplicates, op7_minimax_shards, op8_quality_discriminant, op9_licence_windows, op10_signature_tree_jaccard,
+        op11_conversation_prefix_trie, op12_byte_bpe_round_trip, op13_filter_interactions,
     )
 }
