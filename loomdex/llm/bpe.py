@@ -32,7 +32,7 @@ NONE = np.int32(2**31 - 1)
 #: Widest row of each matrix; longer pieces go to the heap.
 BUCKETS = (4, 8, 12, 16, 24, 32, 48, 64, 128, 256)
 #: Rows of a matrix at a time, pieces and bytes of pieces kept, and bytes of text taken at a time.
-ROWS, KEPT, KEPT_BYTES, TAKEN = 1 << 15, 1 << 19, 1 << 24, 1 << 22
+ROWS, KEPT, KEPT_BYTES, TAKEN = 1 << 15, 1 << 18, 1 << 23, 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -32,8 +32,8 @@ from .stream import frugal
 
 #: Fixed masks, weight 6; 1 marks a word that must agree.
 MASKS = ("111010011", "1101100011", "11001010011", "110100010101", "1010011000111")
-#: Items of fewer words use masks of their own.
-SHORT = 11
+#: Items of fewer words use masks of their own: MASKS miss some verified overlaps of 11 words.
+SHORT = 12
 AROUND = "111101111"
 MIN_MATCHES = 12
 MIN_SHARE = 0.7

@@ -92,7 +92,8 @@ def mix(docs: DataFrame, weights: dict | None = None, default_weight: int = 1, a
     row is kept, repeated ones too; rows with the same doc_id are ordered by ``tie``, which is
     a hash of all columns if not given. An empty table stays empty. The driver holds one row
     for each source (sources are assumed to be few: the plan has sources x sources rows at
-    most). Columns of ``docs`` named like the new ones are replaced. ``docs`` is written twice
+    most). Columns of ``docs`` named like the new ones are replaced; others may have any
+    name, as the rows travel as one struct beside the helper columns. ``docs`` is written twice
     on the way, in the order of a source's rows and with the result, so give it narrow.
     """
     spark = docs.sparkSession
@@ -117,17 +118,16 @@ def mix(docs: DataFrame, weights: dict | None = None, default_weight: int = 1, a
         data.append((names[r["source_no"]], r["phase"], r["first"], min(later, default=1 << 60), r["weight"], r["base"], r["period"], r["places"], sum(x for p, x in lack if p < r["phase"])))
     phases = spark.createDataFrame(data, schema)
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    along = [fresh(docs, n) for n in ("__h", "__tie", "__row")]
-    named = docs.withColumns({along[0]: key, along[1]: F.xxhash64(*docs.columns) if tie is None else tie, along[2]: F.monotonically_increasing_id()})
-    along.insert(1, "doc_id")
+    along = ["__h", "doc_id", "__tie", "__row"]
+    named = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", key.alias("__h"), (F.xxhash64(*docs.columns) if tie is None else tie).alias("__tie"), F.monotonically_increasing_id().alias("__row"))
     with Scratch(spark, "mixing") as scratch:
         ranked = dealt(named, ["source", *along], total, ROWS_A_BUCKET, scratch, "ranked")
         ranked = running(ranked, ["source"], "__b", along, {"__rank": F.lit(1).cast("long")})
-        return scratch.keep(_positions(ranked, phases, docs.columns, block_rows))
+        return scratch.keep(_positions(ranked, phases, block_rows))
 
 
-def _positions(ranked: DataFrame, phases: DataFrame, columns: list[str], block_rows: int) -> DataFrame:
-    """The slot and position of each row from its rank within its source."""
+def _positions(ranked: DataFrame, phases: DataFrame, block_rows: int) -> DataFrame:
+    """The slot and position of each row from its rank within its source; ``row`` holds its columns."""
     block = F.expr(f"__rank div {block_rows}")
     ranked = ranked.withColumn("mix_block", block)
     found = ranked.join(broadcast_if_small(phases), ranked["source"].eqNullSafe(phases["__s"]) & (F.col("mix_block") >= F.col("__first")) & (F.col("mix_block") < F.col("__until")))
@@ -135,4 +135,4 @@ def _positions(ranked: DataFrame, phases: DataFrame, columns: list[str], block_r
     slot = F.expr("__base + (mix_block - __first) div __e * __w") + F.element_at("__places", ((nth % F.col("__e")) + 1).cast("int"))
     found = found.withColumn("mix_slot", slot.cast("long"))
     position = F.col("mix_slot") * block_rows + F.col("__rank") % block_rows - F.col("__lack")
-    return found.select(*columns, "mix_block", F.col("__phase").alias("mix_phase"), "mix_slot", position.cast("long").alias("mix_position"))
+    return found.select("row.*", "mix_block", F.col("__phase").alias("mix_phase"), "mix_slot", position.cast("long").alias("mix_position"))

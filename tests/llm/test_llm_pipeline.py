@@ -3,10 +3,12 @@
 import hashlib
 import os
 
+import duckdb
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from loomdex.llm import decontam, mixing
+from loomdex.llm import mixing
+from loomdex.llm.oracle import SQL
 from test_llm_operators import brute_components
 
 
@@ -45,11 +47,16 @@ def test_stages(spark, tmp_path, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     kept = toxic.join(labels, "doc_id").where("toxic = 0").count()
     assert kept >= 0.97 * labels.where("toxic = 0").count()
+    bad = labels.where("toxic = 1")
+    assert toxic.join(bad, "doc_id").count() <= 0.5 * bad.count()  # eleven documents to learn from
     rows = [tuple(r) for r in toxic.select("doc_id", "text", "source").collect()]
     first = {component for _, n, component in brute_components(rows) if n} | {i for i, n, _ in brute_components(rows) if not n}
     assert sorted(first) == sorted(r[0] for r in unique.select("doc_id").collect())
-    found = decontam.overlaps(unique, spark.read.parquet(f"{sf}/benchmark.parquet")).select("doc_id").distinct()
-    assert unique.count() - clean.count() == found.count() and clean.join(found, "doc_id").count() == 0
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/near_duplicates/*.parquet'")
+    con.sql(f"create view benchmark as select * from '{sf}/benchmark.parquet'")
+    found = {r[0] for r in con.sql(f"select distinct doc_id from ({SQL['op5_spaced_seed_decontamination']})").fetchall()}
+    assert found and {r[0] for r in unique.select("doc_id").collect()} - found == {r[0] for r in clean.select("doc_id").collect()}
     order = plain_mixture([tuple(r) for r in clean.select("doc_id", "source").collect()])
     assert order == [r[0] for r in mixing.mix(clean).orderBy("mix_position").select("doc_id").collect()]
     files = sorted(f for f in os.listdir(tmp_path / "mixing") if f.endswith(".parquet"))
@@ -57,21 +64,48 @@ def test_stages(spark, tmp_path, sf):
     place = {d: i for i, d in enumerate(order)}
     rows = sorted((r["shard"], r["slot"], place[r["doc_id"]]) for r in sharded.collect())
     assert [p for _, _, p in rows] == sorted(p for _, _, p in rows) and len(rows) == mixed.count()
-    sizes = sharded.groupBy("shard").agg(F.sum(F.octet_length("text") + 1).alias("n"), F.max("slot").alias("s"), F.count("*").alias("c")).collect()
-    assert all(r["s"] == r["c"] - 1 for r in sizes) and len(sizes) <= 16
-    groups, at = [], {}
+    sizes = sharded.groupBy("shard").agg(F.max("slot").alias("s"), F.count("*").alias("c")).collect()
+    assert all(r["s"] == r["c"] - 1 for r in sizes) and 1 < len(sizes) <= 16
+    groups, at, group_of = [], {}, {}
     for r in sorted(mixed.select("doc_id", "text").collect(), key=lambda r: place[r["doc_id"]]):  # texts are groups at their first place
         at.setdefault(r["text"], len(groups)) == len(groups) and groups.append(0)
         groups[at[r["text"]]] += len((r["text"] or "").encode()) + 1
+        group_of[r["doc_id"]] = at[r["text"]]
 
     def shards_at(capacity):
-        used, n = 0, 1
+        used, out = 0, [0]
         for g in groups:
-            used, n = (used + g, n) if used + g <= capacity else (g, n + 1)
-        return n
+            out.append(out[-1] + (used + g > capacity))
+            used = used + g if out[-1] == out[-2] else g
+        return out[1:]
 
-    low = next(c for c in range(max(groups), sum(groups) + 1) if shards_at(c) <= 16)
-    assert max(r["n"] for r in sizes) <= low and shards_at(low - 1) > 16 or low == max(groups)
+    low, high = max(groups) - 1, sum(groups)
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if shards_at(middle)[-1] < 16 else (middle, high)
+    want = shards_at(high)
+    assert {r["doc_id"]: want[group_of[r["doc_id"]]] for r in sharded.collect()} == {r["doc_id"]: r["shard"] for r in sharded.collect()}
+
+
+def test_toxic_documents_go(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    left = P.drop_toxic(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).join(labels, "doc_id").groupBy("toxic").count()
+    left, all_ = dict(map(tuple, left.collect())), dict(map(tuple, labels.groupBy("toxic").count().collect()))
+    assert left.get(1, 0) <= 0.2 * all_[1] and left[0] >= 0.98 * all_[0]
+
+
+def test_clashing_names(spark, sf, tmp_path):
+    """Extra columns named like every helper column go through each stage unharmed."""
+    names = ["__rank", "__first", "__until", "__e", "__s", "__w", "__base", "__phase", "__places", "__lack", "__h", "__tie", "__row", "__at", "__file", "__of", "__place", "__key", "__comp", "__id", "__b", "mix_position", "row", "size", "score", "SHARD", "slot"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).withColumns({n: F.lit(f"own {n}") for n in names})
+    docs.repartition(2).write.parquet(str(tmp_path / "rows"))
+    docs = spark.read.parquet(str(tmp_path / "rows"))
+    for name, stage in P.STAGES[1:]:
+        for given in (docs, docs.sort("doc_id").limit(60)):  # from files, and not
+            out = stage(spark, given, sf)
+            assert out.columns == (docs.columns if name != "sharding" else [*docs.columns[:-2], "shard", "slot"])
+            assert out.select(*names[:-2]).distinct().collect() == [tuple(f"own {n}" for n in names[:-2])] and out.count() > 40
 
 
 def test_repeated_and_null_ids(spark, sf):
