@@ -51,8 +51,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows in the files that this stage is written to."""
     with Scratch(spark, "mix") as scratch:
         rows, at = _row_keys(docs, scratch)
-        places = _mixture(rows, docs.columns, at)
-        return rows.join(places, at).orderBy("mix_position").select(*docs.columns)
+        place = fresh(rows, "__place")
+        places = _mixture(rows, docs.columns, at).withColumnRenamed("mix_position", place)
+        return rows.join(places, at).orderBy(place).select(*docs.columns)
 
 
 def _mixture(rows: DataFrame, columns: list[str], at: str) -> DataFrame:
@@ -64,18 +65,18 @@ def _mixture(rows: DataFrame, columns: list[str], at: str) -> DataFrame:
 
 def _file_order(docs: DataFrame) -> tuple[DataFrame, str] | None:
     """``docs`` with a whole number of each row's own, its place in its files, if it is read from files."""
-    name = fresh(docs, "__at")
+    name, file, row, of, first = (fresh(docs, n) for n in ("__at", "__file", "__row", "__of", "__first"))
     try:
-        placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
     except AnalysisException as e:
         if not (e.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
             raise
         return None
-    files = placed.groupBy("__file").agg((F.max("__row") + 1).alias("n"))
-    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
-    files = files.select(F.col("__file").alias("__f"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
-    placed = placed.join(broadcast_if_small(files, 100_000), F.col("__file") == F.col("__f"))
-    return placed.select(*docs.columns, (F.col("__first") + F.col("__row")).alias(name)), name
+    files = placed.groupBy(F.col(file).alias(of)).agg((F.max(row) + 1).alias("n"))
+    before = Window.orderBy(of).rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    files = files.select(of, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first))
+    placed = placed.join(broadcast_if_small(files, 100_000), F.col(file) == F.col(of))
+    return placed.select(*docs.columns, (F.col(first) + F.col(row)).alias(name)), name
 
 
 def _row_keys(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
@@ -86,14 +87,15 @@ def _row_keys(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its shard (0 to 15) and its slot there, cut from the mixture, which
-    is computed from the rows again and not read off file names."""
+    is computed from the rows again and not read off file names. Columns that ``docs`` has of
+    these names are replaced."""
     with Scratch(spark, "cut") as scratch:
         rows, at = _row_keys(docs, scratch)
         about = scratch.table(shards.described(rows, keep=(at,)).drop("__ord"), "about")
-        order = _mixture(rows, docs.columns, at).select(F.col(at).alias("__of"), F.col("mix_position").alias("__ord"))
-        base = scratch.table(about.join(order, about[at] == order["__of"]).drop("__of"), "base")
-        found = scratch.keep(shards.place(base, 16, (at,), scratch).select(F.col(at).alias("__key"), "shard", "slot"))
-    return rows.join(found, rows[at] == found["__key"]).select(*docs.columns, "shard", "slot")
+        base = scratch.table(about.join(_mixture(rows, docs.columns, at).withColumnRenamed("mix_position", "__ord"), at), "base")
+        found = scratch.keep(shards.place(base, 16, (at,), scratch).select(at, "shard", "slot"))
+    rows = rows.drop("shard", "slot")
+    return rows.join(found, at).select(*[c for c in docs.columns if c in rows.columns], "shard", "slot")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
