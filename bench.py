@@ -19,6 +19,7 @@ from loomdex.sources import corpora
 
 CASES = {
     "literal_selective": SearchRequest(pattern="thanedble"),
+    "literal_rare": SearchRequest(pattern="doc_id 7 of"),
     "literal_moderate": SearchRequest(pattern="heit "),
     "literal_high": SearchRequest(pattern="tion"),
     "literal_no_match": SearchRequest(pattern="zzqqxx"),
@@ -65,7 +66,9 @@ def main() -> None:
         if request.kind != "path":
             out[f"{name}_scan"] = timed(lambda r=request: se.search(index, r, "direct_scan").count())
     session = [r for n, r in CASES.items() if n not in ("regex_weak", "literal_no_match", "regex_no_match") and r.kind != "path"]
-    out["session_20"] = timed(lambda: [se.search(index, session[i % len(session)]).count() for i in range(20)], 1)
+    twenty = {f"q{i}": session[i % len(session)] for i in range(20)}
+    out["session_20"] = timed(lambda: se.search_many(index, twenty).groupBy("query").count().collect())
+    out["session_20_one_by_one"] = timed(lambda: [se.search(index, r).count() for r in twenty.values()], 1)
     for name in FRAMES:
         out[name] = timed(lambda f=queries.QUERIES[name]: f(spark, sf_dir).write.format("noop").mode("overwrite").save())
     spark.stop()

@@ -83,11 +83,26 @@ def reusable_searches(searches: DataFrame, edits: DataFrame) -> DataFrame:
     reusable: same epoch and no path that the previous one matched was edited since."""
     w = Window.partitionBy("session_id", "key").orderBy("turn")
     prev = searches.withColumns({"previous_turn": F.lag("turn").over(w), "pe": F.lag("epoch").over(w), "pm": F.lag("matched_paths").over(w)}).where("previous_turn is not null")
-    e = edits.select(F.col("session_id").alias("s"), F.col("turn").alias("t"), "path")
-    touched = prev.join(e, (F.col("s") == F.col("session_id")) & (F.col("t") > F.col("previous_turn")) & (F.col("t") < F.col("turn")) & F.array_contains("pm", F.col("path")), "left_semi").select("session_id", "turn", F.lit(True).alias("hit"))
-    return prev.join(touched, ["session_id", "turn"], "left").select("session_id", "turn", "key", "previous_turn", ((F.col("pe") == F.col("epoch")) & F.col("hit").isNull()).alias("reusable"))
+    # the last edit before each search, of each path that the previous one matched: both kinds of
+    # rows in one window, instead of all edits of a session met with all its searches
+    probes = prev.select("session_id", "turn", F.explode("pm").alias("path"), "previous_turn").distinct()
+    both = probes.unionByName(edits.select("session_id", "turn", "path", F.lit(None).cast("long").alias("previous_turn"), F.lit(True).alias("edit")), allowMissingColumns=True)
+    before = Window.partitionBy("session_id", "path").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("edited", F.max(F.when(F.col("edit"), F.col("turn"))).over(before)).where(F.col("edit").isNull() & (F.col("edited") > F.col("previous_turn")))
+    touched = seen.select("session_id", "turn", "previous_turn", F.lit(True).alias("hit")).distinct()
+    j = prev.join(touched, ["session_id", "turn", "previous_turn"], "left")
+    return j.select("session_id", "turn", "key", "previous_turn", ((F.col("pe") == F.col("epoch")) & F.col("hit").isNull()).alias("reusable"))
 
 
 def session_rollup(queries: DataFrame) -> DataFrame:
     """engine, queries, total_matches of a session's query rows (engine, matches)."""
     return queries.groupBy("engine").agg(F.count("*").alias("queries"), F.sum("matches").alias("total_matches"))
+
+
+def batch_rollup(hits: DataFrame, queries: list[str], build_units: float) -> DataFrame:
+    """query, matches, files and amortised of each search of a batch (``hits`` with query and
+    relative_path): what the batch cost, ``build_units``, is shared evenly, as its scans are."""
+    named = hits.sparkSession.createDataFrame([(q,) for q in queries], "query string")
+    per = hits.groupBy("query", "relative_path").agg(F.count("*").alias("n")).groupBy("query").agg(F.sum("n").alias("matches"), F.count("*").alias("files"))
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("matches", "files")}
+    return named.join(F.broadcast(per), "query", "left").withColumns(zero).withColumn("amortised", F.lit(build_units / max(len(queries), 1)))  # a row a query

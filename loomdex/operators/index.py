@@ -1,28 +1,26 @@
-"""The trigram index: postings as Parquet, sorted by trigram, with an overlay for changes."""
+"""The trigram index: candidates of seed conditions, changes, and indexes in memory or on disk."""
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.trigrams import encode, of_bytes, postings
-from ..plans.seeds import Condition, literals
+from ..plans.seeds import Condition, PathSeed, literals
+from . import segments
+from .segments import KEY, PATH, Conflict, Stored, remove
 
 REBUILD_AT = 0.25
 #: Trigrams of a literal that a search looks up: the rarest ones, and no one that so many times
 #: as many documents have as the rarest.
 PROBES, SPREAD = 16, 8
-#: Bytes and rows of Parquet pages of the documents: about what a candidate costs to read.
-PAGE, PAGE_ROWS = 1 << 16, 64
 
 
 class Frequency:
-    """Document frequency of each trigram on the driver: at most 2 ** 24 entries, whatever
+    """Document frequency of each trigram on the driver: at most 2 ** 25 entries, whatever
     the corpus."""
 
     def __init__(self, table: DataFrame):
@@ -35,77 +33,62 @@ class Frequency:
         return int(self.docs[at]) if at < len(self.trigram) and self.trigram[at] == trigram else 0
 
 
-_frequency: dict[str, tuple[str, Frequency]] = {}
+_frequency: dict[str, tuple[int, Frequency]] = {}
 
 
 @dataclass
 class Index:
-    """docs (without contents a search prunes them) and postings (trigram, doc_id). An index
-    on disk knows its ``path``; its documents are sorted by doc_id (``ranged``)."""
+    """Live docs (without contents a search prunes them) and live postings (trigram, doc_id) of
+    their contents. An index on disk also has its ``stored`` version."""
 
     docs: DataFrame
     postings: DataFrame
-    path: str | None = None
-    version: str | None = None
+    stored: Stored | None = None
 
     @property
     def ranged(self) -> bool:
-        return self.path is not None
+        """One segment, none of whose rows is gone."""
+        return self.stored is not None and len(self.stored.manifest.segments) == 1 and not self.stored.n_gone
 
     def frequency(self) -> Frequency | None:
         """Read once for each version of an index."""
-        if self.version is None:
+        if self.stored is None:
             return None
-        found = _frequency.get(self.path)
-        if found is None or found[0] != self.version:
-            found = _frequency[self.path] = (self.version, Frequency(self.docs.sparkSession.read.parquet(f"{self.path}/frequency")))
+        key, version = self.stored.path, (self.stored.manifest.version, self.stored.manifest.frequency)
+        found = _frequency.get(key)
+        if found is None or found[0] != version:
+            found = _frequency[key] = (version, Frequency(self.stored.frequency()))
         return found[1]
 
 
-META = "version string, format int, built_secs long, docs long, bytes long, postings long, trigrams long"
-FORMAT = 1
-
-
 def metadata(spark: SparkSession, path: str) -> dict | None:
-    """The record that the last build wrote, or None."""
-    try:
-        row = spark.read.schema(META).json(f"{path}/meta").first()
-    except AnalysisException:
-        return None
-    if row is not None and row["format"] != FORMAT:
-        raise ValueError(f"index format {row['format']} is not {FORMAT}")
-    return row.asDict() if row is not None else None
+    """version, docs, bytes, postings, trigrams, segments and built_secs of the newest version, or None."""
+    m = segments.manifest(spark, path)
+    return m and {"version": m.version, "format": m.format, "built_secs": m.built_secs, "docs": m.docs, "bytes": m.bytes, "postings": m.postings, "trigrams": m.trigrams, "segments": len(m.segments), "generation": m.applied}
 
 
 def build(docs: DataFrame, path: str, files: int | None = None, now: int = 0) -> dict:
-    """Write an index: docs sorted by doc_id in small pages, postings ranged and sorted by
-    (trigram, doc_id), so that neither a lookup nor a frequent trigram is one task's work,
-    the document frequencies and, last, the metadata, which it returns."""
-    spark = docs.sparkSession
-    docs.repartitionByRange(*([files] if files else []), "doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").option("parquet.page.size", PAGE).option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{path}/docs")
-    written = spark.read.parquet(f"{path}/docs")
-    postings(written).write.mode("overwrite").parquet(f"{path}/pairs")  # extracted once, though ranging reads it twice
-    pairs = spark.read.schema("trigram int, doc_id long").parquet(f"{path}/pairs")
-    pairs.repartitionByRange(*([files] if files else []), "trigram", "doc_id").sortWithinPartitions("trigram", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    document_frequency(pairs).write.mode("overwrite").parquet(f"{path}/frequency")
-    remove(spark, f"{path}/pairs")
-    frequency = spark.read.parquet(f"{path}/frequency").agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("postings"), F.count("*").alias("trigrams"))
-    size = F.col("size") if "size" in written.columns else F.octet_length(F.col("contents").cast("binary"))
-    stats = written.agg(F.count("*").alias("docs"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
-    meta = stats.crossJoin(frequency).select(F.lit(uuid.uuid4().hex).alias("version"), F.lit(FORMAT).alias("format"), F.lit(now).cast("long").alias("built_secs"), "docs", "bytes", "postings", "trigrams")  # one row each
-    meta.write.mode("overwrite").json(f"{path}/meta")
-    return metadata(spark, path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def load(spark: SparkSession, path: str) -> Index:
-    """An index that ``build`` wrote, without its delta."""
-    meta = metadata(spark, path)
-    return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"), path if meta else None, meta["version"] if meta else None)
+    """Write an index of ``docs`` as a new version; returns its metadata."""
+    segments.build(docs, path, files, now)
+    return metadata(docs.sparkSession, path)
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> Index:
+    """The newest version of an index, or the one asked for. It stays readable as it is while
+    later ones are written."""
+    found = segments.stored(spark, path, version)
+    if found is None:
+        raise FileNotFoundError(f"no index in {path}" + (f" has version {version}" if version is not None else ""))
+    live = found.live(found.postings().where(F.col("trigram") < PATH))
+    return Index(found.live(found.docs()).drop("segment"), live.select("trigram", "doc_id"), found)
+
+
+load_current = load
+
+
+def _grams(literal: bytes) -> list[int]:
+    at = PATH if isinstance(literal, PathSeed) else 0
+    return [int(g) + at for g in of_bytes(bytes(literal))]
 
 
 def _met(condition: Condition, flag: dict[bytes, Column]) -> Column:
@@ -119,30 +102,47 @@ def _met(condition: Condition, flag: dict[bytes, Column]) -> Column:
 
 
 def candidates(index: DataFrame, condition: Condition, frequency: Frequency | None = None) -> DataFrame | None:
-    """doc_id of the documents that may hold what a seed condition asks for: one scan of the
-    wanted postings, one grouping with map-side combine. With ``frequency`` only the PROBES
-    rarest trigrams of each literal are read, and None means that there are no candidates."""
-    grams = {s: [int(g) for g in of_bytes(s)] for s in set(literals(condition))}
+    """Keys (doc_id, with a segment where ``index`` has them) of the documents that may hold
+    what a seed condition asks for: one scan of the wanted postings, one grouping with
+    map-side combine. With ``frequency`` only the PROBES rarest trigrams of each literal are
+    read, and None means that there are no candidates."""
+    key = [c for c in KEY if c in index.columns]
+    grams = {s: _grams(s) for s in set(literals(condition))}
     if frequency is not None:
         grams = {s: sorted(gs, key=lambda g: (frequency.of(g), g))[:PROBES] for s, gs in grams.items()}
         if not _possible(condition, {s: frequency.of(gs[0]) > 0 for s, gs in grams.items()}):
             return None
+        condition = _selective(condition, {s: frequency.of(gs[0]) for s, gs in grams.items()})
+        grams = {s: grams[s] for s in set(literals(condition))}
         grams = {s: [g for g in gs if frequency.of(g) <= SPREAD * frequency.of(gs[0])] for s, gs in grams.items()}
     wanted = sorted({g for gs in grams.values() for g in gs})
     rows = index.where(F.col("trigram").isin(wanted))
     if len(wanted) == 1:
-        return rows.select("doc_id")  # each pair is there once
+        return rows.select(*key)  # each pair is there once
     names = {s: f"s{i}" for i, s in enumerate(grams)}
-    counted = rows.groupBy("doc_id").agg(*[F.count_if(F.col("trigram").isin(gs)).alias(names[s]) for s, gs in grams.items()])
+    counted = rows.groupBy(*key).agg(*[F.count_if(F.col("trigram").isin(gs)).alias(names[s]) for s, gs in grams.items()])
     flag = {s: F.col(names[s]) >= len(gs) for s, gs in grams.items()}
-    return counted.where(_met(condition, flag)).select("doc_id")
+    return counted.where(_met(condition, flag)).select(*key)
+
+
+def _bound(condition: Condition, known: dict[bytes, int]) -> int:
+    if isinstance(condition, bytes):
+        return known[condition]
+    return (min if condition[0] == "and" else sum)(_bound(p, known) for p in condition[1])
+
+
+def _selective(condition: Condition, known: dict[bytes, int]) -> Condition:
+    """The parts of a conjunction that bound its candidates about as well as all of it."""
+    if isinstance(condition, bytes) or condition[0] == "or":
+        return condition
+    best = _bound(condition, known)
+    kept = [p for p in condition[1] if _bound(p, known) <= SPREAD * best]
+    return ("and", kept) if len(kept) > 1 else kept[0]
 
 
 def most(condition: Condition, frequency: Frequency) -> int:
     """A bound on the candidates of a condition."""
-    if isinstance(condition, bytes):
-        return min(frequency.of(int(g)) for g in of_bytes(condition))
-    return (min if condition[0] == "and" else sum)(most(p, frequency) for p in condition[1])
+    return _bound(condition, {s: min(frequency.of(g) for g in _grams(s)) for s in set(literals(condition))})
 
 
 def _possible(condition: Condition, known: dict[bytes, bool]) -> bool:
@@ -187,41 +187,18 @@ def overlay_postings(index: Index, delta: DataFrame, removed: DataFrame) -> Inde
     return Index(overlay(index.docs, delta, removed), base.select("trigram", "doc_id").union(postings(delta)))
 
 
-def write_delta(delta: DataFrame, removed: DataFrame, path: str) -> None:
-    """The changes against the base as files of the index; a new delta takes the old one's place."""
-    delta.write.mode("overwrite").parquet(f"{path}/delta/docs")
-    removed.select("relative_path").distinct().write.mode("overwrite").parquet(f"{path}/delta/removed")
-
-
-def remove_delta(spark: SparkSession, path: str) -> None:
-    remove(spark, f"{path}/delta")
-
-
-def load_current(spark: SparkSession, path: str) -> Index:
-    """The base with its delta laid over it, if there is one."""
-    base = load(spark, path)
-    try:
-        delta, removed = spark.read.parquet(f"{path}/delta/docs"), spark.read.parquet(f"{path}/delta/removed")
-    except AnalysisException:
-        return base
-    return overlay_postings(base, delta, removed)
-
-
 def apply_changes(spark: SparkSession, path: str, scan: DataFrame, now: int = 0) -> dict:
     """Bring an index up to ``scan`` (its documents' columns, with size, modified_unix_secs
-    and hash): what differs from the base becomes its delta, or, from REBUILD_AT on, all of
-    ``scan`` a new base without a delta. Returns changed, base_docs, ratio and rebuild."""
-    base = spark.read.parquet(f"{path}/docs")
-    kinds = classify_changes(base, scan)
+    and hash): what differs becomes a segment of its own, or, from REBUILD_AT on, all of ``scan``
+    the only one. Returns changed, base_docs, ratio and rebuild."""
+    live = load(spark, path)
+    kinds = classify_changes(live.docs, scan)
     what = change_ratio(kinds).first().asDict()
     if what["rebuild"]:
-        scan.write.mode("overwrite").parquet(f"{path}/next")  # scan may read what build overwrites
-        build(spark.read.parquet(f"{path}/next"), path, now=now)
-        remove(spark, f"{path}/next")
-        remove_delta(spark, path)
-    else:
+        build(scan, path, now=now)
+    elif what["changed"]:
         new = kinds.where("change in ('added', 'modified')").select("relative_path")
-        write_delta(scan.join(new, "relative_path", "left_semi").select(*base.columns), kinds.where("change = 'removed'"), path)
+        segments.change(spark, path, scan.join(new, "relative_path", "left_semi").select(*live.docs.columns), kinds.where("change = 'removed'"), now)
     return what
 
 
@@ -238,6 +215,6 @@ def trigrams_of(text: str) -> list[int]:
 
 
 __all__ = [
-    "Index", "apply_changes", "build", "candidates", "change_ratio", "classify_changes", "document_frequency", "encode", "latest", "load", "load_current",
-    "metadata", "overlay", "overlay_postings", "remove_delta", "trigrams_of", "write_delta",
+    "Conflict", "Index", "apply_changes", "build", "candidates", "change_ratio", "classify_changes", "document_frequency", "encode", "latest", "load", "load_current",
+    "metadata", "most", "overlay", "overlay_postings", "remove", "trigrams_of",
 ]

@@ -16,11 +16,14 @@ def newest_batches(journal: DataFrame, n: int = JOURNAL) -> DataFrame:
     return journal.join(F.broadcast(last), "generation", "left_semi")  # n rows at most
 
 
-def check(requests: DataFrame, journal: DataFrame, generation: Column, epoch: Column, in_scope: Column) -> DataFrame:
+def check(requests: DataFrame, journal: DataFrame, generation: Column, epoch: Column, in_scope: Column | None = None) -> DataFrame:
     """request_id, fresh, reason and changed_path.
 
     Requests have request_id, recorded_generation, recorded_epoch and matched_paths (array).
-    ``in_scope`` says whether a changed path (column path) falls under a request's filters.
+    A request's column ``scope``, if there is one, is the prefix of the paths that it looked at
+    (null: none): it meets the prefixes of changed paths by equality. For filters that are
+    no prefix ``in_scope`` says whether a changed path (column path) falls under them; that
+    compares each request with each change, so it is for a few requests.
     In order: another epoch, a generation that went back, no new generation, a journal that
     no longer reaches back, the first change that matters, none. An empty journal with a
     newer generation counts as fresh.
@@ -31,13 +34,18 @@ def check(requests: DataFrame, journal: DataFrame, generation: Column, epoch: Co
     seen = journal.withColumn("ordinal", F.row_number().over(order)) if order is not None else journal
     seen = seen.select("generation", "ordinal", "path")
     newer = F.col("generation") > F.col("recorded_generation")
-    # the paths that a request has matched are joined by path; only changed paths of a request's
-    # scope are left to compare, each distinct change once
-    matched = base.select("request_id", "recorded_generation", F.explode("matched_paths").alias("path")).distinct().join(seen, "path").where(newer)
-    matched = matched.select("request_id", F.struct("generation", "ordinal", F.lit("changed_matched_path").alias("why"), "path").alias("c"))
-    scoped = base.join(seen, newer & in_scope & ~F.array_contains("matched_paths", F.col("path")))  # broadcast where the planner finds it small
-    scoped = scoped.select("request_id", F.struct("generation", "ordinal", F.lit("changed_search_scope").alias("why"), "path").alias("c"))
-    hits = matched.union(scoped).groupBy("request_id").agg(F.min("c").alias("c"))
+    # a change of a matched path comes before itself as a change of the scope, by its name
+    change = lambda why: F.struct("generation", "ordinal", F.lit(why).alias("why"), "path").alias("c")
+    hits = base.select("request_id", "recorded_generation", F.explode("matched_paths").alias("path")).distinct().join(seen, "path").where(newer).select("request_id", change("changed_matched_path"))
+    if in_scope is not None:
+        hits = hits.union(base.join(F.broadcast(seen), newer & in_scope).select("request_id", change("changed_search_scope")))  # the newest generations only
+    elif "scope" in base.columns:
+        below = seen.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.char_length("path")), lambda n: F.substring("path", F.lit(1), n))).alias("scope"))
+        # requests of one scope and generation meet the same first change
+        asked = base.select("scope", "recorded_generation").distinct().join(below, "scope").where(newer)
+        first_ = asked.groupBy("scope", "recorded_generation").agg(F.min(change("changed_search_scope")).alias("c"))
+        hits = hits.union(base.join(first_, ["scope", "recorded_generation"]).select("request_id", "c"))
+    hits = hits.groupBy("request_id").agg(F.min("c").alias("c"))
     j = base.join(hits, "request_id", "left")
     why = (
         F.when(F.col("epoch_") != F.col("recorded_epoch"), "context_invalidated")

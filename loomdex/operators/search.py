@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, lines, literal_column, regex_column
 from ..plans.globs import to_regex
 from ..plans.planner import plan, route
-from ..plans.request import SearchRequest
-from ..plans.seeds import check_dialect, named_groups
+from ..plans.request import InvalidQuery, SearchRequest
+from ..plans.seeds import Condition, PathSeed, check_dialect, fold, join_and, join_or, literals, named_groups
 from .index import Index, candidates, most
+from .lookup import LOOKUP, ranges
+from .segments import KEY
 
 #: Only a newline ends a line; classes and word boundaries know all letters; case is that of A-Z.
 DIALECT = "(?dU-u)"
-#: Where there can be no more candidates than this they are looked up by ranges of doc_id, so
-#: many at most, instead of a join.
-LOOKUP, RANGES = 1024, 64
+#: A condition met by at most so many times LOOKUP documents, by its frequencies, is counted
+#: before it is decided whether to look its candidates up or to join them.
+COUNTED = 64
 #: Candidates up to this bound (8 bytes each) are broadcast.
 SENT = 1_000_000
 
@@ -30,18 +33,21 @@ def _any_of(parts: list[Column]) -> Column:
     return out
 
 
-def path_predicate(request: SearchRequest, with_pattern: bool = False) -> Column:
-    """All path filters of a request on relative_path, file_name and extension. Names and
-    path parts ignore the case of A-Z; exact paths and prefixes do not."""
-    path, low = F.col("relative_path"), ascii_lower(F.col("relative_path"))
+def path_predicate(request: SearchRequest, with_pattern: bool = False, path: Column | None = None, name: Column | None = None, extension: Column | None = None) -> Column:
+    """All path filters of a request on relative_path, file_name and extension, or the columns
+    given. Names and path parts ignore the case of A-Z; exact paths and prefixes do not."""
+    path = F.col("relative_path") if path is None else path
+    name = F.col("file_name") if name is None else name
+    extension = F.col("extension") if extension is None else extension
+    low = ascii_lower(path)
     fold = lambda s: s.translate({c: c + 32 for c in range(65, 91)})
     tests = []
     if request.exact_paths:
         tests.append(path.isin(*request.exact_paths))
     if request.exact_names:
-        tests.append(ascii_lower(F.col("file_name")).isin(*map(fold, request.exact_names)))
+        tests.append(ascii_lower(name).isin(*map(fold, request.exact_names)))
     if request.extensions:
-        tests.append(F.coalesce(ascii_lower(F.col("extension")).isin(*request.extensions), F.lit(False)))
+        tests.append(F.coalesce(ascii_lower(extension).isin(*request.extensions), F.lit(False)))
     if request.path_prefixes:
         tests.append(_any_of([path.startswith(p) for p in request.path_prefixes]))
     if request.path_substrings:
@@ -56,6 +62,24 @@ def path_predicate(request: SearchRequest, with_pattern: bool = False) -> Column
     return out
 
 
+def in_scope(request: SearchRequest, path: Column) -> Column:
+    """Whether a path falls under the filters of a request, its pattern too if paths are sought."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return path_predicate(request, request.kind == "path", path, name, F.regexp_extract(name, r".\.([^.]+)$", 1))
+
+
+def compiled(spark, request: SearchRequest) -> SearchRequest:
+    """The checked request, of whose pattern the engine that matches can make sense."""
+    request = request.checked()
+    if request.kind != "path" and request.effective_kind == "regex":
+        check_dialect(request.pattern)
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(named_groups(request.pattern, "(?<"))
+        except IllegalArgumentException as e:
+            raise InvalidQuery(str(e).split("\n")[0]) from e
+    return request
+
+
 def _matcher(request: SearchRequest) -> tuple[Column, Column]:
     """(matches, byte column) on a column ``line_text``."""
     line = F.col("line_text")
@@ -86,44 +110,141 @@ def limited(hits: DataFrame, request: SearchRequest) -> DataFrame:
     return hits.orderBy("relative_path", "line_number").limit(request.max_results)
 
 
-def _spans(ids: list[int], most: int) -> list[tuple[int, int]]:
-    """At most so many ranges that hold sorted ids, cut at the widest gaps."""
-    gaps = sorted(range(1, len(ids)), key=lambda i: ids[i - 1] - ids[i])[: most - 1]
-    cuts = [0, *sorted(gaps), len(ids)]
-    return [(ids[a], ids[b - 1]) for a, b in zip(cuts, cuts[1:])]
+def path_condition(request: SearchRequest, with_pattern: bool = False) -> Condition:
+    """Literals that the path of every hit holds, of at least three bytes each, or None."""
+    seed = lambda text: PathSeed(fold(text.encode())) if len(text.encode()) >= 3 else None
+    any_of = [request.exact_paths, request.exact_names, request.path_prefixes, request.path_substrings, [f".{e}" for e in request.extensions]]
+    parts = [join_or([seed(t) for t in texts]) for texts in any_of if texts]
+    return join_and([*parts, seed(request.pattern) if with_pattern else None])
 
 
-def candidate_docs(index: Index, request: SearchRequest, engine: str | None = None, probe: bool = True) -> DataFrame:
-    """Documents to verify: path filters, and the index's candidates where it can serve. A
-    few candidates are looked up by ranges of doc_id, which Parquet prunes pages by (the
-    documents of an index are sorted); more are joined. ``probe``: the rarest trigrams of
-    each literal are enough; otherwise the candidates hold all of them."""
-    docs = index.docs.where(path_predicate(request))
+def _condition(index: Index, request: SearchRequest, engine: str | None) -> Condition:
+    """What an index can tell of a request's documents: seeds of the pattern, and of the path
+    where there are postings of paths. A direct scan that was asked for uses none."""
     found = plan(request)
-    engine = engine or route(request, found, None, True)[0]
-    if engine != "indexed" or found.condition is None:
-        return docs
-    frequency = index.frequency() if probe else None
-    wanted = candidates(index.postings, found.condition, frequency)
+    chosen = engine or route(request, found, None, True)[0]
+    path = path_condition(request, request.kind == "path") if index.stored and engine != "direct_scan" and request.engine != "direct_scan" else None
+    return join_and([found.condition if chosen == "indexed" else None, path])
+
+
+def _narrowed(index: Index, condition: Condition, probe: bool) -> DataFrame:
+    """The live documents that may meet a condition. Few candidates are looked up by ranges of
+    their keys, which folders and pages are pruned by; more are joined. The frequencies tell
+    whether counting them first can pay."""
+    stored, frequency = index.stored, index.frequency() if probe else None
+    wanted = candidates(stored.postings() if stored else index.postings, condition, frequency)
     if wanted is None:
-        return docs.where(F.lit(False))
-    bound = most(found.condition, frequency) if frequency else None
-    if bound is None or bound > LOOKUP:
-        return docs.join(F.broadcast(wanted) if bound is not None and bound <= SENT else wanted, "doc_id", "left_semi")
-    ids = sorted(r[0] for r in wanted.collect())  # LOOKUP rows at most
-    if not ids:
-        return docs.where(F.lit(False))
-    spans = " OR ".join(f"doc_id BETWEEN {a} AND {b}" for a, b in _spans(ids, RANGES))
-    return docs.where(F.expr(f"({spans}) AND doc_id IN ({', '.join(map(str, ids))})"))
+        return index.docs.where(F.lit(False))
+    if stored is None:
+        return index.docs.join(wanted, "doc_id", "left_semi")
+    wanted = stored.live(wanted)
+    bound = most(condition, frequency) if frequency else None
+    if bound is not None and bound <= COUNTED * LOOKUP:
+        keys = [tuple(r) for r in wanted.limit(LOOKUP + 1).collect()]
+        if len(keys) <= LOOKUP:
+            return stored.docs().where(ranges(keys)).drop("segment")
+    return stored.docs().join(F.broadcast(wanted) if bound is not None and bound <= SENT else wanted, KEY, "left_semi").drop("segment")
+
+
+def candidate_docs(index: Index, request: SearchRequest, engine: str | None = None, probe: bool = True) -> DataFrame:
+    """Documents to verify: path filters, and the index's candidates where it can serve.
+    ``probe``: the rarest trigrams of each literal are enough; otherwise the candidates hold
+    all of them."""
+    condition = _condition(index, request, engine)
+    docs = index.docs if condition is None else _narrowed(index, condition, probe)
+    return docs.where(path_predicate(request, request.kind == "path"))
+
+
+def candidate_paths(index: Index, request: SearchRequest) -> DataFrame:
+    """relative_path, file_name and extension of the documents whose paths hold all trigrams
+    of what a request asks of them, before any path is compared; no text is read."""
+    condition = path_condition(request, request.kind == "path")
+    docs = index.docs if condition is None or index.stored is None else _narrowed(index, condition, True)
+    return docs.select("relative_path", "file_name", "extension")
 
 
 def search(index: Index, request: SearchRequest, engine: str | None = None) -> DataFrame:
     """Hits of a request. ``engine`` (indexed, direct_scan) overrides the route; both give
     the same rows. A path search returns relative_path only and ignores max_results."""
-    request = request.checked()
+    request = compiled(index.docs.sparkSession, request)
+    docs = candidate_docs(index, request, engine)
     if request.kind == "path":
-        return index.docs.where(path_predicate(request, True)).select("relative_path")
-    return limited(verify(candidate_docs(index, request, engine), request), request)
+        return docs.select("relative_path")
+    return limited(verify(docs, request), request)
+
+
+def search_many(index: Index, requests: dict[str, SearchRequest]) -> DataFrame:
+    """Hits of many requests in one plan: query (its name), relative_path, line_number, column
+    and line_text. The same rows as a search for each, limits included.
+
+    The trigrams of all requests are read from the postings in one scan, documents that any of
+    them may match are read once and split into lines once, and every line meets the matchers
+    of those requests that its document is a candidate of. Requests without a seed make that
+    one scan a full one. Path searches are not for this.
+    """
+    asked = {name: compiled(index.docs.sparkSession, r) for name, r in requests.items()}
+    if any(r.kind == "path" for r in asked.values()):
+        raise InvalidQuery("a batch takes searches of contents")
+    spark = index.docs.sparkSession
+    shape = "query string, relative_path string, line_number int, column int, line_text string"
+    frequency, stored = index.frequency(), index.stored
+    conditions = {name: _condition(index, r, "indexed" if plan(r).condition is not None else None) for name, r in asked.items()}
+    if frequency is not None:  # requests that cannot match cost nothing
+        asked = {name: r for name, r in asked.items() if conditions[name] is None or most(conditions[name], frequency)}
+    if not asked:
+        return spark.createDataFrame([], shape)
+    names = list(asked)
+    seeded = [n for n in names if conditions[n] is not None]
+    docs = stored.docs() if stored else index.docs
+    key = [c for c in KEY if c in docs.columns]
+    may = {n: F.lit(True) for n in names}
+    if seeded:
+        found = _met_by(stored.postings() if stored else index.postings, {n: conditions[n] for n in seeded}, frequency)
+        found = stored.live(found) if stored else found
+        bound = sum(most(conditions[n], frequency) for n in seeded) if frequency else None
+        small = bound is not None and bound <= SENT
+        how = "inner" if len(seeded) == len(names) else "left"
+        docs = docs.join(F.broadcast(found) if small else found, key, how)
+        may |= {n: F.coalesce(F.array_contains("met", i), F.lit(False)) for i, n in enumerate(seeded)}
+    if len(seeded) < len(names) and stored:
+        docs = stored.live(docs)
+    wanted = F.filter(F.array(*[F.when(may[n] & path_predicate(r), F.lit(i)) for i, (n, r) in enumerate(asked.items())]), lambda x: x.isNotNull())
+    split = docs.where("contents is not null").select("relative_path", wanted.alias("wanted"), "contents").where("size(wanted) > 0")
+    split = split.select("relative_path", "wanted", F.posexplode(lines(F.col("contents").cast("string"))).alias("n", "line_text"))
+    hits = []
+    for i, r in enumerate(asked.values()):
+        hit, column = _matcher(r)
+        hits.append(F.when(F.array_contains("wanted", i) & hit, F.struct(F.lit(i).alias("i"), column.alias("column"))))
+    each = split.select("relative_path", (F.col("n") + 1).alias("line_number"), "line_text", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("hit"))
+    out = each.select(F.element_at(F.array(*map(F.lit, names)), F.col("hit.i") + 1).alias("query"), "relative_path", "line_number", F.col("hit.column").alias("column"), "line_text")
+    caps = {n: r for n, r in asked.items() if r.max_results is not None}
+    for mode, by in (("global", ["query"]), ("per_file", ["query", "relative_path"])):
+        most_ = {n: r.max_results for n, r in caps.items() if r.limit_mode == mode}
+        if most_:
+            capped = F.col("query").isin(*most_)
+            w = Window.partitionBy(*by).orderBy("relative_path", "line_number")
+            cap = F.element_at(F.create_map(*[F.lit(x) for p in most_.items() for x in p]), F.col("query"))
+            # the constant bound lets each task drop what is beyond it before the shuffle
+            first = out.where(capped).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= max(most_.values())).where(F.col("__n") <= cap).drop("__n")
+            out = out.where(~capped).union(first)
+    return out
+
+
+def _met_by(postings: DataFrame, conditions: dict[str, Condition], frequency) -> DataFrame:
+    """Keys and ``met``, the numbers of the conditions that a document may meet: one scan."""
+    from .index import PROBES, SPREAD, _grams, _met
+
+    key = [c for c in KEY if c in postings.columns]
+    grams = {s: _grams(s) for c in conditions.values() for s in literals(c)}
+    if frequency is not None:
+        grams = {s: sorted(gs, key=lambda g: (frequency.of(g), g))[:PROBES] for s, gs in grams.items()}
+        grams = {s: [g for g in gs if frequency.of(g) <= SPREAD * frequency.of(gs[0])] for s, gs in grams.items()}
+    rows = postings.where(F.col("trigram").isin(sorted({g for gs in grams.values() for g in gs})))
+    names = {s: f"s{i}" for i, s in enumerate(grams)}
+    counted = rows.groupBy(*key).agg(*[F.count_if(F.col("trigram").isin(gs)).alias(names[s]) for s, gs in grams.items()])
+    flag = {s: F.col(names[s]) >= len(gs) for s, gs in grams.items()}
+    met = F.filter(F.array(*[F.when(_met(c, flag), F.lit(i)) for i, c in enumerate(conditions.values())]), lambda x: x.isNotNull())
+    return counted.select(*key, met.alias("met")).where("size(met) > 0")
 
 
 def summary(hits: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from ..plans.request import InvalidQuery, SearchRequest
 from ..sources import git
 from ..sources.store import Store
 from . import envelope as env
-from . import frecency, index as ix, memo, pack, reuse, sessions
+from . import frecency, index as ix, memo, pack, reuse, search as se, sessions
 
 # The names, fields and limits of the tool interface.
 _TEXT, _FLAG = {"type": "string"}, {"type": "boolean", "default": False}
@@ -53,11 +54,14 @@ _REQUIRED = {
 }
 SCHEMAS = {name: {"type": "object", "properties": fields, "required": _REQUIRED.get(name, []), "additionalProperties": False} for name, fields in _FIELDS.items()}
 
+#: Rows of a list that one call returns.
+PAGE = 1000
+
 SESSIONS = "session_id string, goal string, status string, created_at long, updated_at long"
 LOG = "entry_id long, session_id string, ts long, kind string, payload string"
 EVENTS = "session_id string, seq long, ts timestamp, event string, path string, content_hash string, tokens long"
 JOURNAL = "generation long, path string"
-SEARCHES = "session_id string, seq long, key string, generation long, matched_paths array<string>, search_id string"
+SEARCHES = "session_id string, seq long, key string, generation long, epoch long, matched_paths array<string>, search_id string"
 SNAPSHOTS = "snapshot_id string, session_id string, created_at long, source_harness string, source_model string, git_commit string, dirty_files array<string>, changed_lines map<string,long>"
 FILES = "session_id string, path string, sha string, last_read_at long"
 RAN = "session_id string, search_id string, query string, search_kind string, result_paths array<string>, entry_id long"
@@ -115,6 +119,10 @@ class Workspace:
             code, message = e.code, str(e)
         except InvalidQuery as e:
             code, message = "INVALID_QUERY", str(e)
+        except FileNotFoundError as e:
+            code, message = "INDEX_UNAVAILABLE", str(e)
+        except ix.Conflict as e:
+            code, message = "BACKEND_FAILURE", str(e)
         except AnalysisException as e:
             missing = e.getCondition() == "PATH_NOT_FOUND"
             code, message = "INDEX_UNAVAILABLE" if missing else "BACKEND_FAILURE", str(e).split("\n")[0]
@@ -128,22 +136,29 @@ class Workspace:
     def _generation(self) -> int:
         return int(self.store.read_log("journal", JOURNAL).agg(F.coalesce(F.max("generation"), F.lit(0))).first()[0])
 
+    def _epoch(self) -> int:
+        """How often a context has been lost so far: session starts and compactions."""
+        return self.store.read_log("events", EVENTS).where(F.col("event").isin("session_start", "pre_compact")).count()
+
     def _found(self, request: SearchRequest, limit: int, force_refresh: bool) -> dict:
-        """An envelope, or word that the earlier result of the same search still holds."""
-        session, key = self._session(None), json.dumps([request.pattern, request.kind, request.globs])
-        current = self._generation()
+        """An envelope, or word that the earlier result of the same search still holds: the same
+        request to its last field and limit, in the same epoch, with no change since to a path
+        that it matched or that falls under its filters."""
+        request = se.compiled(self.spark, request)
+        session, key = self._session(None), json.dumps([asdict(request), limit])
+        current, epoch = self._generation(), self._epoch()
         known = self.store.read_log("searches", SEARCHES).where((F.col("session_id") == session) & (F.col("key") == key)).orderBy(F.desc("seq")).limit(1)
         journal = self.store.read_log("journal", JOURNAL)
         if not force_refresh and (last := known.first()):
-            asked = self.spark.createDataFrame([(1, last["generation"], 0, last["matched_paths"])], "request_id int, recorded_generation long, recorded_epoch long, matched_paths array<string>")
-            verdict = reuse.check(asked, reuse.newest_batches(journal), F.lit(current), F.lit(0), F.lit(True)).first()
+            asked = self.spark.createDataFrame([(1, last["generation"], last["epoch"], last["matched_paths"])], "request_id int, recorded_generation long, recorded_epoch long, matched_paths array<string>")
+            verdict = reuse.check(asked, reuse.newest_batches(journal), F.lit(current), F.lit(epoch), se.in_scope(request, F.col("path"))).first()
             if verdict["fresh"]:
                 return {"version": "1", "reused": True, "search_id": last["search_id"], "reason": verdict["reason"], "paths": last["matched_paths"], "cache": "hit"}
         out = env.envelope(self._index(), request, limit) | {"reused": False}
         paths = list(dict.fromkeys(r["relative_path"] for r in out["results"]))
         number = self.store.read_log("searches", SEARCHES).where(F.col("session_id") == session).count() + 1
         out["search_id"] = f"search-{number:06d}"
-        self.store.append("searches", self.spark.createDataFrame([(session, number, key, current, paths, out["search_id"])], SEARCHES))
+        self.store.append("searches", self.spark.createDataFrame([(session, number, key, current, epoch, paths, out["search_id"])], SEARCHES))
         self._record(session, "search", {"query": request.pattern, "kind": request.effective_kind, "result_paths": paths})
         if paths:
             self._accessed(paths)
@@ -177,17 +192,14 @@ class Workspace:
         meta = ix.metadata(self.spark, f"{self.root}/index")
         if meta is None:
             return {"exists": False, "healthy": False}
-        delta = ix.load_current(self.spark, f"{self.root}/index").path is None
-        return {"exists": True, "healthy": True, "delta": delta, "generation": self._generation()} | meta
+        return {"exists": True, "healthy": True, "delta": meta["segments"] > 1} | meta | {"generation": self._generation()}
 
     def reindex(self, mode: str) -> dict:
         path, scan, number = f"{self.root}/index", self.scan(), self._generation() + 1
         journal = lambda paths: self.store.append("journal", paths.select(F.lit(number).cast("long").alias("generation"), F.col("relative_path").alias("path")))
         if mode == "full" or ix.metadata(self.spark, path) is None:
             journal(scan)
-            out = ix.build(scan, path, now=int(self.clock()))
-            ix.remove_delta(self.spark, path)
-            return {"mode": "full"} | out
+            return {"mode": "full"} | ix.build(scan, path, now=int(self.clock()))
         journal(ix.classify_changes(self._index().docs, scan).where("change != 'same'"))  # before the index changes
         return {"mode": "incremental"} | ix.apply_changes(self.spark, path, scan, now=int(self.clock()))
 
@@ -199,13 +211,14 @@ class Workspace:
         row = self.spark.createDataFrame([(session_id, int(now * 1000), now, event, path, content_hash, tokens)], "session_id string, seq long, at double, event string, path string, content_hash string, tokens long")
         self.store.append("events", row.select("session_id", "seq", F.timestamp_seconds("at").alias("ts"), "event", "path", "content_hash", "tokens"))
 
-    def _checked_files(self, session: str) -> DataFrame:
-        events = self.store.read_log("events", EVENTS).where(F.col("session_id") == session)
-        disk = self.scan().select(F.col("relative_path").alias("path"), F.col("hash").alias("disk_hash"), F.ceil(F.col("size") / F.lit(3.5)).alias("disk_tokens"))
+    def _checked_files(self, session: str, files: list[str]) -> DataFrame:
+        """The files asked for; the scan is filtered, so a tree reads no others."""
+        events = self.store.read_log("events", EVENTS).where((F.col("session_id") == session) & (F.col("path").isNull() | F.col("path").isin(files)))
+        disk = self.scan().where(F.col("relative_path").isin(files)).select(F.col("relative_path").alias("path"), F.col("hash").alias("disk_hash"), F.ceil(F.col("size") / F.lit(3.5)).alias("disk_tokens"))
         return memo.check(memo.tracked(events), disk)
 
     def memo_status(self, files: list[str], session_id: str | None = None) -> list[dict]:
-        rows = {r["path"]: r.asDict() for r in self._checked_files(self._session(session_id)).where(F.col("path").isin(files)).collect()}  # the files asked for
+        rows = {r["path"]: r.asDict() for r in self._checked_files(self._session(session_id), files).collect()}  # the files asked for
         return [rows.get(f, {"path": f, "status": "unknown", "recommendation": "reread"}) for f in files]
 
     def memo_check(self, path: str, session_id: str | None = None) -> dict:
@@ -245,9 +258,9 @@ class Workspace:
             raise ToolError("INVALID_QUERY", f"unknown session {session}")
         return row.asDict() | {"actions": self.store.read_log("log", LOG).where(F.col("session_id") == session).count()}
 
-    def session_list(self) -> list[dict]:
-        """All sessions, the newest first."""
-        return [r.asDict() for r in self.store.read("sessions", SESSIONS).orderBy(F.desc("updated_at"), "session_id").toLocalIterator()]
+    def session_list(self, after: int = 0) -> list[dict]:
+        """PAGE sessions from number ``after`` on, the newest first."""
+        return [r.asDict() for r in self.store.read("sessions", SESSIONS).orderBy(F.desc("updated_at"), "session_id").offset(after).limit(PAGE).collect()]
 
     def session_close(self, status: str, session_id: str | None = None) -> dict:
         session = self._session(session_id)
@@ -275,11 +288,11 @@ class Workspace:
         self.store.append("snapshots_made", self.spark.createDataFrame([(name, session, now, harness, source_model, state.commit, state.dirty_files, state.hunk_summary)], SNAPSHOTS))
         return self.session_snapshot_get(name)
 
-    def session_snapshot_list(self, session_id: str | None = None) -> list[dict]:
-        """Snapshots, the newest first."""
+    def session_snapshot_list(self, session_id: str | None = None, after: int = 0) -> list[dict]:
+        """PAGE snapshots from number ``after`` on, the newest first."""
         made = self.store.read_log("snapshots_made", SNAPSHOTS)
         made = made.where(F.col("session_id") == session_id) if session_id else made
-        return [r.asDict() for r in made.orderBy(F.desc("created_at"), "snapshot_id").toLocalIterator()]
+        return [r.asDict() for r in made.orderBy(F.desc("created_at"), "snapshot_id").offset(after).limit(PAGE).collect()]
 
     def session_snapshot_get(self, snapshot_id: str) -> dict:
         row = self.store.read_log("snapshots_made", SNAPSHOTS).where(F.col("snapshot_id") == snapshot_id).first()
@@ -292,9 +305,10 @@ class Workspace:
         self.session_snapshot_get(snapshot_id)
         return self.store.read(f"snapshots/{snapshot_id}/files", FILES), self.store.read(f"snapshots/{snapshot_id}/searches", RAN)
 
-    def session_snapshot_diff(self, snapshot_a: str, snapshot_b: str) -> dict:
+    def session_snapshot_diff(self, snapshot_a: str, snapshot_b: str, after: int = 0) -> dict:
+        """PAGE differences of each kind from number ``after`` on."""
         (files_a, searches_a), (files_b, searches_b) = self._snapshot(snapshot_a), self._snapshot(snapshot_b)
-        rows = lambda d: [r.asDict() for r in d.orderBy("change", d.columns[0]).toLocalIterator()]
+        rows = lambda d: [r.asDict() for r in d.orderBy("change", d.columns[0]).offset(after).limit(PAGE).collect()]
         return {"files": rows(sessions.diff_files(files_a, files_b)), "searches": rows(sessions.diff_searches(searches_a, searches_b))}
 
     def session_resume(self, snapshot_id: str, budget_tokens: int = 3000) -> dict:

@@ -76,6 +76,30 @@ def _now(every: int) -> str:
       {_GRAMS.replace('FROM documents', 'FROM now')}"""
 
 
+_EDITED = "SELECT doc_id, CASE doc_id % 40 WHEN 3 THEN text || chr(10) || 'replacement_token' ELSE text END AS text, source, lang FROM documents WHERE doc_id % 40 <> 2"
+
+
+def _path_counts() -> str:
+    out = []
+    for p in ("src1/", "doc_12", "/fr/doc_", "c7/FR/D", "nowhere"):
+        low = p.lower()
+        path = _LOW.format("relative_path")
+        grams = " AND ".join(f"contains({path}, '{low[i:i + 3]}')" for i in range(len(low) - 2))
+        out.append(f"SELECT '{p}' AS pattern, count(*) FILTER ({grams}) AS candidates, count(*) FILTER (contains({path}, '{low}')) AS matches FROM docs")
+    return " UNION ALL ".join(out)
+
+
+_PATHS = _path_counts()
+
+
+def _batch() -> str:
+    """Each search of ``queries.BATCH``, by itself."""
+    parts = [("literal", _literal("ement"), "true"), ("short", _literal("qu", "starts_with(relative_path, 'src1')"), "true"), ("regex", _regex("license|heit|réeaux"), "true")]
+    parts += [("capped", _literal("tion"), "n <= 25"), ("per_file", _literal("tion"), "k <= 2"), ("none", _literal("zzqqxx"), "true")]
+    rows = "row_number() OVER (ORDER BY relative_path, line_number) AS n, row_number() OVER (PARTITION BY relative_path ORDER BY line_number) AS k"
+    return " UNION ALL ".join(f"""SELECT '{name}' AS query, relative_path, line_number, "column", line_text FROM (SELECT *, {rows} FROM ({sql} SELECT * FROM hits)) WHERE {cut}""" for name, sql, cut in parts)
+
+
 _LOG = """log AS (SELECT conv_id * 1000 + turn AS entry_id, conv_id::VARCHAR AS session_id, turn AS ts, CASE WHEN role = 'user' THEN 'search' ELSE 'read' END AS kind, text AS query, 'f/' || (turn % 3) AS path, md5(text) AS sha FROM conversations)"""
 _FILES = f"""{_LOG}, files AS (SELECT session_id, path, arg_min(sha, entry_id) AS sha, arg_min(ts, entry_id) AS last_read_at FROM log WHERE kind = 'read' GROUP BY 1, 2)"""
 
@@ -153,6 +177,18 @@ SQL: dict[str, str] = {
     "index_change_ratio": f"WITH {_VERSIONS}, n AS (SELECT sum(CASE change WHEN 'modified' THEN 2 WHEN 'same' THEN 0 ELSE 1 END)::BIGINT AS changed, count(*) FILTER (change <> 'added') AS base_docs FROM kinds) SELECT changed, base_docs, changed / base_docs AS ratio, changed / base_docs >= 0.25 AS rebuild FROM n",
     "index_overlay_search": f"WITH {_VERSIONS} SELECT relative_path, len(string_split_regex(text, '\\r?\\n'))::INTEGER + 1 AS line_number, 1::INTEGER AS \"column\", 'replacement_token' AS line_text FROM d WHERE k = 3",
     "overlay_document_frequency": f"WITH {_now(40)} SELECT trigram::INTEGER AS trigram, count(*) AS docs FROM grams GROUP BY trigram",
+    "index_segments": f"WITH {_now(40)} SELECT trigram::INTEGER AS trigram, count(*) AS docs FROM grams GROUP BY trigram",
+    "index_compaction": f"WITH {_now(40)} SELECT trigram::INTEGER AS trigram, count(*) AS docs FROM grams GROUP BY trigram",
+    "index_segments_search": _literal("replacement_token").replace("FROM documents)", f"FROM ({_EDITED}))") + _ALL + " UNION ALL SELECT * FROM (" + _literal("license").replace("FROM documents)", f"FROM ({_EDITED}))") + _ALL + ")",
+    "path_candidates": f"WITH {_DOCS} {_PATHS}",
+    "session_batch": _batch(),
+    "session_batch_rollup": f"WITH batch AS ({_batch()}) SELECT q AS query, count(b.query) AS matches, count(DISTINCT b.relative_path) AS files, 2.0::DOUBLE AS amortised FROM unnest(['literal', 'short', 'regex', 'capped', 'per_file', 'none']) u(q) LEFT JOIN batch b ON b.query = q GROUP BY q",
+    "tool_search_reuse": f"""WITH {_DOCS}, k AS (SELECT relative_path, doc_id % 40 AS k FROM docs WHERE contains(text, 'license')),
+      p AS (SELECT relative_path, k FROM k WHERE contains({_LOW.format('relative_path')}, 'src1/')), o AS (SELECT relative_path, k FROM k WHERE contains({_LOW.format('relative_path')}, 'src2/')),
+      n AS (SELECT count(*) FILTER (k <> 1) AS before, count(*) FILTER (k <> 2) AS after FROM p)
+      SELECT step, reused, (CASE step WHEN 'another path' THEN least(100, (SELECT count(*) FROM o WHERE k <> 1)) WHEN 'another limit' THEN least(1, n.before) WHEN 'the limit again' THEN least(1, n.before)
+        WHEN 'this path changed' THEN n.after WHEN 'settled' THEN n.after WHEN 'compacted' THEN n.after ELSE n.before END)::INTEGER AS files
+      FROM n, (VALUES ('first', false), ('again', true), ('another path', false), ('another limit', false), ('the limit again', true), ('forced', false), ('another path changed', true), ('this path changed', false), ('settled', true), ('compacted', false)) v(step, reused)""",
     "index_apply_changes": f"WITH {_now(40)} SELECT (SELECT sum(CASE doc_id % 40 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END)::BIGINT FROM documents) AS changed, false AS rebuild, count(*) AS docs, sum(strlen(text))::BIGINT AS bytes FROM now",
     "index_rebuild": f"WITH {_now(10)} SELECT true AS rebuild, (SELECT count(*) FROM now) AS docs, (SELECT sum(strlen(text))::BIGINT FROM now) AS bytes, count(*) AS postings, count(DISTINCT trigram) AS trigrams FROM grams",
     "context_pack_review": _review(),

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import hooks, text
-from .operators import analytics, frecency, index as ix, memo, pack, reuse, search as se, sessions
+from .operators import analytics, frecency, index as ix, memo, pack, reuse, search as se, segments, sessions
+from .operators.tools import Workspace
 from .plans.planner import classify
 from .plans.request import SearchRequest
 from .session import storage_root
@@ -145,7 +146,6 @@ def _changed(spark, sf_dir, every: int) -> tuple[str, dict]:
     path = f"{storage_root(spark)}/changing-{every}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
     base, now = _versions(spark, sf_dir, every)
     ix.build(base, path)
-    ix.remove_delta(spark, path)
     return path, ix.apply_changes(spark, path, now)
 
 
@@ -169,6 +169,100 @@ def index_rebuild(spark, sf_dir):
     return spark.createDataFrame([(what["rebuild"], m["docs"], m["bytes"], m["postings"], m["trigrams"])], "rebuild boolean, docs long, bytes long, postings long, trigrams long")
 
 
+def _segmented(spark, sf_dir, name: str) -> str:
+    """An index whose documents came in a base and four changes; one is applied as a feed, twice."""
+    path = f"{storage_root(spark)}/{name}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    base, now = _versions(spark, sf_dir, 40)
+    paths = lambda d, k: d.where(F.col("doc_id") % 40 == k)
+    none = base.select("relative_path").limit(0)
+    segments.build(base, path, applied=0)
+    segments.change(spark, path, paths(now, 1), none)
+    segments.change(spark, path, paths(now, 3).withColumn("contents", F.lit("an edit that does not last")), none)
+    feed = paths(now, 3).select("relative_path", F.lit(False).alias("deleted"))
+    read = lambda wanted: now.join(wanted, "relative_path", "left_semi")
+    for _ in range(2):  # the second time it is in already
+        segments.apply_feed(spark, path, feed, read, generation=1)
+    segments.change(spark, path, now.limit(0), paths(base, 2))
+    return path
+
+
+def index_segments(spark, sf_dir):
+    """Document frequencies that changes have added to and taken from, summed."""
+    path = _segmented(spark, sf_dir, "segments")
+    return segments.stored(spark, path).frequency().where(F.col("trigram") < segments.PATH)
+
+
+def index_compaction(spark, sf_dir):
+    """The same out of the postings, after all segments were merged into one."""
+    path = _segmented(spark, sf_dir, "compaction")
+    segments.compact(spark, path, which={x.number for x in segments.manifest(spark, path).segments})
+    return ix.document_frequency(ix.load(spark, path).postings)
+
+
+def index_segments_search(spark, sf_dir):
+    """Searches over base and changes together: what was edited, and what was there before."""
+    live = ix.load(spark, _segmented(spark, sf_dir, "searched"))
+    return se.search(live, SearchRequest(pattern="replacement_token")).union(se.search(live, SearchRequest(pattern="license")))
+
+
+PATH_PARTS = ("src1/", "doc_12", "/fr/doc_", "c7/FR/D", "nowhere")
+
+
+def path_candidates(spark, sf_dir):
+    """How many paths the postings of paths leave to compare, and how many match."""
+    live, out = index(spark, sf_dir), None
+    for p in PATH_PARTS:
+        request = SearchRequest(pattern=p, kind="path")
+        part = se.candidate_paths(live, request).agg(F.lit(p).alias("pattern"), F.count("*").alias("candidates"), F.count_if(se.path_predicate(request, True)).alias("matches"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+BATCH = {
+    "literal": SearchRequest(pattern="ement"), "short": SearchRequest(pattern="qu", path_prefixes=("src1",)), "regex": SearchRequest(pattern="license|heit|réeaux", kind="regex"),
+    "capped": SearchRequest(pattern="tion", max_results=25), "per_file": SearchRequest(pattern="tion", max_results=2, limit_mode="per_file"), "none": SearchRequest(pattern="zzqqxx"),
+}
+
+
+def session_batch(spark, sf_dir):
+    """Six searches of one session in one plan."""
+    return se.search_many(index(spark, sf_dir), BATCH)
+
+
+def session_batch_rollup(spark, sf_dir):
+    """Matches of each search of the batch and its share of the batch's cost."""
+    return analytics.batch_rollup(session_batch(spark, sf_dir), list(BATCH), build_units=12.0)
+
+
+def tool_search_reuse(spark, sf_dir):
+    """What the search tools reuse: two paths, two limits, a change out of scope, a compaction."""
+    base, now = _versions(spark, sf_dir, 40)
+    at, seen = {"scan": base}, []
+    w = Workspace(spark, f"{storage_root(spark)}/tools-{uuid.uuid4().hex}", lambda: at["scan"], session_id="s", clock=lambda: 1000.0)
+
+    def ask(step: str, path: str = "src1/", limit: int = 100, **more) -> None:
+        r = w.call("search_path_and_content", {"path_query": path, "content_query": "license", "limit": limit, **more})["result"]
+        seen.append((step, r["reused"], len(r["paths"]) if r["reused"] else len({x["relative_path"] for x in r["results"]})))
+
+    w.call("reindex", {"mode": "full"})
+    ask("first")
+    ask("again")
+    ask("another path", "src2/")
+    ask("another limit", limit=1)
+    ask("the limit again", limit=1)
+    ask("forced", force_refresh=True)
+    at["scan"] = base.where(~((F.col("doc_id") % 40 == 2) & F.col("relative_path").startswith("src3/")))
+    w.call("reindex")
+    ask("another path changed")
+    at["scan"] = now
+    w.call("reindex")
+    ask("this path changed")
+    ask("settled")
+    w.observe("s", "pre_compact")
+    ask("compacted")
+    return spark.createDataFrame(seen, "step string, reused boolean, files int")
+
+
 def change_log_latest(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     log = e.select(F.col("event_id").alias("batch"), F.get_json_object("props", "$.k").alias("relative_path"), (F.col("event_type") == "error").alias("deleted"), F.col("user_id").alias("doc_id"))
@@ -267,7 +361,7 @@ def reuse_check(spark, sf_dir):
         F.col("seq").alias("request_id"), (F.col("g") - F.col("seq") % 90 + F.when(F.col("seq") % 17 == 0, 200).otherwise(0)).alias("recorded_generation"), (F.col("seq") % 11 == 0).cast("long").alias("recorded_epoch"),
         F.array("path").alias("matched_paths"), F.substring("path", 1, 4).alias("scope"), F.col("g").alias("current"),
     )
-    return reuse.check(requests, journal, F.col("current"), F.lit(0).cast("long"), F.col("path").startswith(F.col("scope")))
+    return reuse.check(requests, journal, F.col("current"), F.lit(0).cast("long"))
 
 
 def context_terms(spark, sf_dir):
@@ -477,7 +571,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         f.__name__: f
         for f in (
             scan_repo_stats, language_histogram, repo_category, binary_sniff, hidden_paths, trigram_df, trigram_postings_topn, total_postings, candidate_counts, search_summary, grouped_hits,
-            session_rollup, index_change_classify, index_change_ratio, index_overlay_search, overlay_document_frequency, index_apply_changes, index_rebuild, change_log_latest, frecency_scores, frecency_top, frecency_rerank, frecency_restore, query_ring_buffer,
+            session_rollup, index_change_classify, index_change_ratio, index_overlay_search, overlay_document_frequency, index_apply_changes, index_rebuild, index_segments, index_compaction, index_segments_search, path_candidates, session_batch, session_batch_rollup, tool_search_reuse, change_log_latest, frecency_scores, frecency_top, frecency_rerank, frecency_restore, query_ring_buffer,
             memo_redundant_reads, memo_session_totals, memo_idle_sessions, memo_check_recommendation, memo_broadcast, memo_stream, search_epochs, reuse_check, context_terms, context_pack_rank, context_pack_review,
             context_pack_budget, working_set, searches_run, snapshot_diff, snapshot_diff_searches, sessions_newest_open, pinned_snippets, pack_checksums, session_brief, bench_percentiles,
             bench_result_diff, ir_metrics, reusable_searches, token_estimates, preview_trim, path_heuristics, token_frequency, pick_tokens, hook_events, change_coalesce,
