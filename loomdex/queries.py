@@ -344,7 +344,7 @@ def memo_stream(spark, sf_dir):
     q = memo_totals(spark.readStream.schema(e.schema).parquet(f"{root}/in"), IDLE).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     done = spark.read.parquet(f"{root}/out-{run}")
-    newest = done.groupBy("session_id").agg(F.max_by(F.struct("life", "total_reads", "redundant_reads_prevented", "tokens_saved", "compaction_count"), "seq").alias("s"))
+    newest = done.groupBy("session_id").agg(F.max_by(F.struct("life", "total_reads", "redundant_reads_prevented", "tokens_saved", "compaction_count"), "batch").alias("s"))
     return newest.select("session_id", "s.*")
 
 

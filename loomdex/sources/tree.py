@@ -162,6 +162,34 @@ def scan_tree(spark: SparkSession, root: str, include_hidden: bool = False, incl
     return describe(kept.withColumn("skipped_binary", binary)).withColumn("contents", F.when(~F.col("skipped_binary"), F.col("contents")))
 
 
+def _named(root: str):
+    def run(batches):
+        from pyarrow.fs import FileSystem, FileType
+
+        for batch in batches:
+            paths, seen, contents = [], [], []
+            for path in batch.column("relative_path").to_pylist():
+                uri = f"{root}/{path}"
+                fs, place = FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+                info = fs.get_file_info(place)
+                if info.type == FileType.File:
+                    paths.append(path)
+                    seen.append(info.mtime_ns // 1_000_000_000)
+                    with fs.open_input_stream(place, compression=None) as stream:
+                        contents.append(stream.read())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(seen, pa.int64()), pa.array(contents, pa.binary())], names=["relative_path", "modified_unix_secs", "contents"])
+
+    return run
+
+
+def scan_named(paths: DataFrame, root: str, include_binary: bool = False) -> DataFrame:
+    """The documents of a tree that ``paths`` (relative_path) names, read by tasks; nothing is
+    listed. A path that is no file has no row. Ignore and hidden rules are the caller's."""
+    files = paths.select("relative_path").mapInArrow(_named(root.rstrip("/")), "relative_path string, modified_unix_secs long, contents binary")
+    binary = F.lit(False) if include_binary else F.coalesce(looks_binary(F.col("contents")), F.lit(False))
+    return describe(files.withColumn("skipped_binary", binary)).withColumn("contents", F.when(~F.col("skipped_binary"), F.col("contents")))
+
+
 def scan_file(spark: SparkSession, path: str, include_binary: bool = False) -> DataFrame:
     """One file as a document, whatever ignore and hidden rules say."""
     top = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,75 +1,105 @@
 """Memo counters as a stream: the batch operators' state machine, event by event.
 
-The fold depends on each event before, so it runs in Python, a session's batch at a time. A
-session that stays idle ends by an event-time timer: what it tracked is dropped and only the
-number of its lives is kept, and that, too, goes after ``FORGET_SECONDS``.
+Events count in the order in which they arrive (within a batch by time and number): there is no
+watermark, so none is left out, however late. What a session tracks is one map entry for each
+path, so a batch writes the paths that it touches and no others. A session that ends, compacts, or
+whose next event comes after an idle gap, starts anew with an empty map.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.memo import IDLE_SECONDS
 
-FORGET_SECONDS = 30 * 86400
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _OUT = "session_id long, life long, total_reads long, redundant_reads_prevented long, tokens_saved long, compaction_count long, seq long"
-_STATE = "life long, last double, ended boolean, reads long, redundant long, saved long, compactions long, paths array<string>, hashes array<long>, tokens array<long>, stale array<boolean>"
-
-
-def _wake(state: GroupState, at: float) -> None:
-    state.setTimeoutTimestamp(max(int(at * 1000), state.getCurrentWatermarkMs() + 1))
-
-
-def _advance(idle_seconds: int, forget_seconds: int):
-    def run(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            life, last, ended = state.get[:3]
-            if ended and state.getCurrentWatermarkMs() >= (last + forget_seconds) * 1000:
-                state.remove()
-            else:
-                state.update((life, last, True, 0, 0, 0, 0, [], [], [], []))
-                _wake(state, last + forget_seconds)
-            return
-        life, last, ended, reads, redundant, saved, compactions, files = 0, None, False, 0, 0, 0, 0, {}
-        if state.exists:
-            life, last, ended, reads, redundant, saved, compactions, p, h, t, s = state.get
-            files = {a: [b, c, d] for a, b, c, d in zip(p, h, t, s)}
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable")
-        seq = 0
-        columns = ("ts", "seq", "event", "path", "content_hash", "tokens")
-        for ts, seq, event, path, content_hash, tokens in zip(*(rows[c].tolist() for c in columns)):
+_HEAD = "life long, last double, ended boolean, reads long, redundant long, saved long, compactions long"
+_FILE = "content_hash long, tokens long, stale boolean"
+
+
+class _Files:
+    """The map of a session for one batch: entries are read when first asked for, and only
+    those that changed are written."""
+
+    def __init__(self, state):
+        self.state, self.known, self.changed, self.cleared = state, {}, set(), False
+
+    def get(self, path: str) -> list | None:
+        if path not in self.known:
+            held = None if self.cleared or not self.state.containsKey((path,)) else self.state.getValue((path,))
+            self.known[path] = list(held) if held else None
+        return self.known[path]
+
+    def put(self, path: str, entry: list) -> None:
+        self.known[path] = entry
+        self.changed.add(path)
+
+    def clear(self) -> None:
+        self.known, self.changed, self.cleared = {}, set(), True
+
+    def save(self) -> None:
+        if self.cleared and self.state.exists():
+            self.state.clear()
+        for path in self.changed:
+            self.state.updateValue((path,), tuple(self.known[path]))
+
+
+class Memo(StatefulProcessor):
+    def __init__(self, idle_seconds: int, forget_seconds: int | None):
+        self.idle_seconds, self.forget = idle_seconds, forget_seconds and forget_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", _HEAD, self.forget)
+        self.files = handle.getMapState("files", "path string", _FILE, self.forget)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        life, last, ended, reads, redundant, saved, compactions = self.head.get() if self.head.exists() else (0, None, False, 0, 0, 0, 0)
+        files, seq = _Files(self.files), 0
+        batch = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
+        for ts, seq, event, path, content_hash, tokens in zip(*(batch[c].tolist() for c in ("ts", "seq", "event", "path", "content_hash", "tokens"))):
             now = ts.timestamp()
-            if ended or last is not None and int(now) - int(last) > idle_seconds:
-                life, ended, reads, redundant, saved, compactions, files = life + 1, False, 0, 0, 0, 0, {}
-            last = now
+            if ended or last is not None and int(now) - int(last) > self.idle_seconds:
+                life, ended, reads, redundant, saved, compactions = life + 1, False, 0, 0, 0, 0
+                files.clear()
+            last = now if last is None else max(last, now)
             if event == "session_end":
                 ended = True
+                files.clear()
             elif event == "pre_compact":
-                compactions, files = compactions + 1, {}
-            elif event == "edit" and path in files:
-                files[path][2] = True
+                compactions += 1
+                files.clear()
+            elif event == "edit" and isinstance(path, str) and (f := files.get(path)):
+                files.put(path, [f[0], f[1], True])
             elif event == "read" and isinstance(path, str):
                 observed, value = 0 if pd.isna(tokens) else int(tokens), None if pd.isna(content_hash) else int(content_hash)
                 reads += 1
                 f = files.get(path)
                 if f and not f[2] and f[0] == value:
-                    f[1] = observed or f[1]
-                    redundant, saved = redundant + 1, saved + f[1]
+                    files.put(path, [f[0], observed or f[1], False])
+                    redundant, saved = redundant + 1, saved + (observed or f[1])
                 else:
-                    files[path] = [value, max(observed, f[1] if f else 0), False]
-        cells = [list(x) for x in zip(*((a, *b) for a, b in files.items()))] or [[], [], [], []]
-        state.update((life, last, ended, reads, redundant, saved, compactions, *cells))
-        _wake(state, last + idle_seconds + 1)
+                    files.put(path, [value, max(observed, f[1] if f else 0), False])
+        files.save()
+        self.head.update((life, last, ended, reads, redundant, saved, compactions))
         yield pd.DataFrame([[key[0], life, reads, redundant, saved, compactions, seq]], columns=[c.split()[0] for c in _OUT.split(", ")])
 
-    return run
+    def close(self) -> None:
+        pass
 
 
-def memo_totals(events: DataFrame, idle_seconds: int = IDLE_SECONDS, forget_seconds: int = FORGET_SECONDS, late: str = "10 minutes") -> DataFrame:
+def memo_totals(events: DataFrame, idle_seconds: int = IDLE_SECONDS, forget_seconds: int | None = None) -> DataFrame:
     """Counters of each session's current life after every batch, out of a stream of events
-    (session_id, seq, ts, event, path, content_hash, tokens). Output mode update. Events that
-    are later than ``late`` behind the newest are left out, as their session may have ended."""
-    run = _advance(idle_seconds, forget_seconds)
-    return events.withWatermark("ts", late).groupBy("session_id").applyInPandasWithState(run, _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    (session_id, seq, ts, event, path, content_hash, tokens). Output mode update. Sets the
+    session's state store to RocksDB, which keyed state of this kind needs.
+
+    With ``forget_seconds`` what was not touched for so long is forgotten, by the clock. Such a
+    query runs on without data, so it never ends by itself under availableNow.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    mode = "processingTime" if forget_seconds else "none"
+    return events.groupBy("session_id").transformWithStateInPandas(Memo(idle_seconds, forget_seconds), _OUT, "update", mode)

@@ -369,19 +369,78 @@ def test_watch(spark, tmp_path):
     (tree_ / "f3.txt").write_text("now it holds a needle")
     (tree_ / ".hidden").write_text("needle")
     told = []
-    q = watch.watch(spark, lambda: tree.listing(spark, str(tree_)), scan, path, str(tmp_path / "checkpoint"), told=lambda n, what: told.append(what)).start()
+    asked = []
+
+    def read(paths):
+        asked.append(sorted(r[0] for r in paths.collect()))
+        return tree.scan_named(paths, str(tree_)).withColumn("doc_id", F.xxhash64("relative_path"))
+
+    q = watch.watch(spark, lambda: tree.listing(spark, str(tree_)), read, path, str(tmp_path / "checkpoint"), told=lambda n, what: told.append(what)).start()
     try:
         until = time.time() + 90
         while not told and time.time() < until and q.isActive:
             time.sleep(0.5)
     finally:
         q.stop()
-    assert told and told[0]["changed"] == 2 and told[0]["rebuild"]
+    assert told and told[0]["changed"] == 1 and told[0]["docs"] == 8 and asked[0] == ["f3.txt"]
     assert [r[0] for r in se.search(ix.load_current(spark, path), SearchRequest(pattern="needle")).select("relative_path").collect()] == ["f3.txt"]
     events = spark.createDataFrame([("a.rs", "created"), ("../x", "created"), ("idx/docs", "changed"), (".venv/y", "changed"), ("b.log", "deleted"), (".gitignore", "changed")], "path string, kind string")
     assert sorted(r["path"] for r in watch.relevant(events, "idx", [("", "*.log")]).collect()) == [".gitignore", "a.rs"]
 
 
+def test_index_feed(spark, tmp_path):
+    """Changes file by file: created, changed, deleted, renamed, late ones; a restart from the checkpoint."""
+    from loomdex.streaming import changes, watch
+
+    tree_ = tmp_path / "tree"
+    tree_.mkdir()
+    for n in range(6):
+        (tree_ / f"f{n}.txt").write_text(f"text number {n} here")
+    scan = tree.scan_tree(spark, str(tree_)).withColumn("doc_id", F.xxhash64("relative_path"))
+    path, asked = str(tmp_path / "index"), []
+    ix.build(scan, path)
+
+    def read(paths):
+        asked.append(sorted(r[0] for r in paths.collect()))
+        return tree.scan_named(paths, str(tree_)).withColumn("doc_id", F.xxhash64("relative_path"))
+
+    shape = "path string, kind string, new_path string, ts timestamp"
+
+    def tell(*rows):
+        made = spark.createDataFrame([(p, k, n, t) for p, k, n, t in rows], "path string, kind string, new_path string, ts double")
+        made.withColumn("ts", F.timestamp_seconds("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        stream = changes.renames(spark.readStream.schema(shape).parquet(str(tmp_path / "events")))
+        q = watch.index_feed(spark, stream, read, path, str(tmp_path / "checkpoint"), [("", "*.log")]).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return [r[0] for r in se.search(ix.load(spark, path), SearchRequest(pattern="needle")).orderBy("relative_path").select("relative_path").collect()]
+
+    (tree_ / "f3.txt").write_text("a needle")
+    (tree_ / "new.txt").write_text("another needle")
+    (tree_ / "f4.txt").rename(tree_ / "moved.txt")
+    (tree_ / "f5.txt").unlink()
+    (tree_ / "x.log").write_text("needle")
+    rows = [("f3.txt", "changed", None, 1000.0), ("f3.txt", "changed", None, 1000.2), ("new.txt", "created", None, 1000.0), ("f4.txt", "renamed", "moved.txt", 1001.0), ("f5.txt", "deleted", None, 1001.0), ("x.log", "created", None, 1001.0)]
+    assert tell(*rows) == ["f3.txt", "new.txt"] and asked == [["f3.txt", "moved.txt", "new.txt"]]
+    assert {r[0] for r in ix.load(spark, path).docs.select("relative_path").collect()} == {"f0.txt", "f1.txt", "f2.txt", "f3.txt", "new.txt", "moved.txt"}
+    (tree_ / "f1.txt").write_text("late needle")
+    assert tell(("f1.txt", "changed", None, 10.0)) == ["f1.txt", "f3.txt", "new.txt"] and asked[1:] == [["f1.txt"]]  # an hour behind the newest
+    (tree_ / "new.txt").unlink()
+    assert tell(("new.txt", "deleted", None, 5000.0), ("new.txt", "created", None, 4000.0)) == ["f1.txt", "f3.txt"]
+
+
+def test_late_events_count(spark, tmp_path):
+    """Hours behind the newest, in a batch of their own: counted as they arrive."""
+    from loomdex.streaming.memo import memo_totals
+
+    shape, out = events(spark, [(1, 0, "read", "a", 1, 100)]).schema, []
+    batches = [[(1, 9_000, "read", "a", 1, 100), (2, 9_000, "read", "b", 1, 7)], [(1, 100, "read", "a", 1, 0), (1, 50, "read", "c", 1, 3)]]
+    for rows in batches:
+        events(spark, rows).write.mode("append").parquet(str(tmp_path / "in"))
+        q = memo_totals(spark.readStream.schema(shape).parquet(str(tmp_path / "in")), 60_000).writeStream.foreachBatch(lambda b, n: out.extend(tuple(r)[:6] for r in b.collect())).option("checkpointLocation", str(tmp_path / "checkpoint")).outputMode("update").trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert (1, 0, 1, 0, 0, 0) in out and (1, 0, 3, 1, 100, 0) in out
+
+
 def test_idle_sessions_start_anew_in_a_stream(spark, tmp_path):
     """A later batch after an idle gap, with a timer in between, is the session's next life."""
     from loomdex.streaming.memo import memo_totals
