@@ -19,7 +19,7 @@ from loomdex.sources import corpora
 
 CASES = {
     "literal_selective": SearchRequest(pattern="thanedble"),
-    "literal_rare": SearchRequest(pattern="doc_id 7 of"),
+    "literal_rare": SearchRequest(pattern="porci"),
     "literal_moderate": SearchRequest(pattern="heit "),
     "literal_high": SearchRequest(pattern="tion"),
     "literal_no_match": SearchRequest(pattern="zzqqxx"),

@@ -22,6 +22,8 @@ DIALECT = "(?dU-u)"
 #: A condition met by at most so many times LOOKUP documents, by its frequencies, is counted
 #: before it is decided whether to look its candidates up or to join them.
 COUNTED = 64
+#: Documents that a search with a limit over all files verifies first, and how that number grows.
+FIRST, GROWTH = 32, 4
 #: Candidates up to this bound (8 bytes each) are broadcast.
 SENT = 1_000_000
 
@@ -146,6 +148,39 @@ def _narrowed(index: Index, condition: Condition, probe: bool) -> DataFrame:
     return stored.docs().join(F.broadcast(wanted) if bound is not None and bound <= SENT else wanted, KEY, "left_semi").drop("segment")
 
 
+def _keys(index: Index, condition: Condition) -> DataFrame:
+    """segment, doc_id and the columns of paths of the live documents that may meet a
+    condition; contents are not read."""
+    stored = index.stored
+    docs = stored.live(stored.docs().select(*KEY, "relative_path", "file_name", "extension"))
+    if condition is None:
+        return docs
+    wanted = candidates(stored.postings(), condition, index.frequency())
+    if wanted is None:
+        return docs.where(F.lit(False))
+    small = most(condition, index.frequency()) <= SENT
+    return docs.join(F.broadcast(wanted) if small else wanted, KEY, "left_semi")
+
+
+def _leading(index: Index, request: SearchRequest, condition: Condition) -> DataFrame | None:
+    """The first documents in order of path that fill a limit over all files, or all that there
+    are; None if LOOKUP of them do not. Only they are read: candidates are ordered by path
+    without their texts, and verified in runs that grow until the limit is full."""
+    keys = _keys(index, condition).where(path_predicate(request)).select("relative_path", *KEY)
+    at = lambda path, *key: F.struct(path, *[k.cast("long") for k in key])
+    taken, hits, n, order = [], 0, FIRST, at(F.col("relative_path"), *map(F.col, KEY))
+    while len(taken) + n <= LOOKUP:
+        rest = keys.where(order > at(*map(F.lit, taken[-1]))) if taken else keys
+        run = [tuple(r) for r in rest.orderBy("relative_path", *KEY).limit(n).collect()]
+        taken += run
+        if len(run) == n:
+            hits += verify(index.stored.docs().where(ranges([r[1:] for r in run])), request).limit(request.max_results).count()
+        if len(run) < n or hits >= request.max_results:
+            return index.stored.docs().where(ranges([r[1:] for r in taken])).drop("segment")
+        n *= GROWTH
+    return None
+
+
 def candidate_docs(index: Index, request: SearchRequest, engine: str | None = None, probe: bool = True) -> DataFrame:
     """Documents to verify: path filters, and the index's candidates where it can serve.
     ``probe``: the rarest trigrams of each literal are enough; otherwise the candidates hold
@@ -167,10 +202,12 @@ def search(index: Index, request: SearchRequest, engine: str | None = None) -> D
     """Hits of a request. ``engine`` (indexed, direct_scan) overrides the route; both give
     the same rows. A path search returns relative_path only and ignores max_results."""
     request = compiled(index.docs.sparkSession, request)
-    docs = candidate_docs(index, request, engine)
     if request.kind == "path":
-        return docs.select("relative_path")
-    return limited(verify(docs, request), request)
+        return candidate_docs(index, request, engine).select("relative_path")
+    docs = None
+    if engine is None and index.stored and request.max_results is not None and request.limit_mode == "global":
+        docs = _leading(index, request, _condition(index, request, engine))
+    return limited(verify(candidate_docs(index, request, engine) if docs is None else docs, request), request)
 
 
 def search_many(index: Index, requests: dict[str, SearchRequest]) -> DataFrame:

@@ -190,3 +190,20 @@ def test_ranges_hold_the_keys(spark):
     every = spark.range(10_000).select(F.col("id").alias("doc_id"), F.explode(F.array(F.lit(1).cast("long"), F.lit(2**47), F.lit(5).cast("long"))).alias("segment"))
     assert sorted((r["segment"], r["doc_id"]) for r in every.where(ranges(keys)).collect()) == sorted(keys)
     assert every.where(ranges([])).count() == 0 and spans([3], 4) == [(3, 3)] and LOOKUP > 1000
+
+
+def test_a_limit_reads_no_more_than_it_needs(spark, tmp_path, monkeypatch):
+    path, given = str(tmp_path / "index"), corpus(spark).cache()
+    segments.build(given, path)
+    segments.change(spark, path, given.where("doc_id = 7").withColumn("contents", F.lit("common text")), paths(spark, "d0/Part0/f0000.txt"))
+    index, read = ix.load(spark, path), []
+    lookup = se.ranges
+    monkeypatch.setattr(se, "ranges", lambda keys: read.append(len(keys)) or lookup(keys))
+    for r in (SearchRequest(pattern="common", max_results=5), SearchRequest(pattern="needle", max_results=4), SearchRequest(pattern="needle", max_results=99), SearchRequest(pattern="o", max_results=40), SearchRequest(pattern="zzzz", max_results=1), SearchRequest(pattern="common", max_results=3, path_prefixes=("d3/",)), SearchRequest(pattern="common|nothing", kind="regex", max_results=200)):
+        read.clear()
+        got, want = [tuple(x) for x in se.search(index, r).collect()], [tuple(x) for x in se.search(index, r, "direct_scan").collect()]
+        assert sorted(got) == sorted(want), r
+        if r.max_results <= 5 and r.pattern == "common":
+            assert sum(read) <= 2 * se.FIRST  # of 299 documents, all of which match
+    monkeypatch.setattr(se, "LOOKUP", 100)  # too few to fill the limit: all candidates are verified
+    assert se.search(index, SearchRequest(pattern="common", max_results=200)).count() == 200
