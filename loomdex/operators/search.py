@@ -22,6 +22,9 @@ DIALECT = "(?dU-u)"
 #: A condition met by at most so many times LOOKUP documents, by its frequencies, is counted
 #: before it is decided whether to look its candidates up or to join them.
 COUNTED = 64
+#: What can be read in about the time that one more job takes: an index on disk is asked for
+#: candidates only if it may spare more than that. Path searches read about PATH_BYTES a document.
+JOB_BYTES, PATH_BYTES = 64 << 20, 64
 #: Documents that a search with a limit over all files verifies first, and how that number grows.
 FIRST, GROWTH = 32, 4
 #: Candidates up to this bound (8 bytes each) are broadcast.
@@ -181,12 +184,25 @@ def _leading(index: Index, request: SearchRequest, condition: Condition) -> Data
     return None
 
 
+def _pays(index: Index, request: SearchRequest, engine: str | None) -> bool:
+    """Whether an index may spare more than asking it costs; an engine that is named decides."""
+    if index.stored is None or engine is not None or request.engine != "auto":
+        return True
+    m = index.stored.manifest
+    return (m.docs * PATH_BYTES if request.kind == "path" else m.bytes) > JOB_BYTES
+
+
 def candidate_docs(index: Index, request: SearchRequest, engine: str | None = None, probe: bool = True) -> DataFrame:
     """Documents to verify: path filters, and the index's candidates where it can serve.
     ``probe``: the rarest trigrams of each literal are enough; otherwise the candidates hold
-    all of them."""
+    all of them. Of a small index only the frequencies are asked, whether there can be any."""
     condition = _condition(index, request, engine)
-    docs = index.docs if condition is None else _narrowed(index, condition, probe)
+    if condition is None:
+        docs = index.docs
+    elif _pays(index, request, engine):
+        docs = _narrowed(index, condition, probe)
+    else:
+        docs = index.docs if most(condition, index.frequency()) else index.docs.where(F.lit(False))
     return docs.where(path_predicate(request, request.kind == "path"))
 
 
@@ -205,7 +221,7 @@ def search(index: Index, request: SearchRequest, engine: str | None = None) -> D
     if request.kind == "path":
         return candidate_docs(index, request, engine).select("relative_path")
     docs = None
-    if engine is None and index.stored and request.max_results is not None and request.limit_mode == "global":
+    if engine is None and index.stored and request.max_results is not None and request.limit_mode == "global" and _pays(index, request, engine):
         docs = _leading(index, request, _condition(index, request, engine))
     return limited(verify(candidate_docs(index, request, engine) if docs is None else docs, request), request)
 

@@ -15,6 +15,12 @@ from test_operators import docs, live
 RND = random.Random(3)
 
 
+@pytest.fixture(autouse=True)
+def every_index_pays(monkeypatch):
+    """These indexes are small; they are to be used as large ones are."""
+    monkeypatch.setattr(se, "JOB_BYTES", 0)
+
+
 def corpus(spark, n=300, edit=lambda i: ""):
     rows = [(i, f"d{i % 7}/Part{i % 11}/f{i:04}.txt", f"common text number{i:05} " + "filler words " * 30 + ("needle" if i % 50 == 3 else "") + edit(i)) for i in range(n)]
     return docs(spark, rows).withColumns({"modified_unix_secs": F.lit(0).cast("long"), "hash": text.sha256(F.col("contents"))})
@@ -207,3 +213,13 @@ def test_a_limit_reads_no_more_than_it_needs(spark, tmp_path, monkeypatch):
             assert sum(read) <= 2 * se.FIRST  # of 299 documents, all of which match
     monkeypatch.setattr(se, "LOOKUP", 100)  # too few to fill the limit: all candidates are verified
     assert se.search(index, SearchRequest(pattern="common", max_results=200)).count() == 200
+
+
+def test_a_small_index_is_scanned(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    segments.build(corpus(spark, 60), path)
+    index = ix.load(spark, path)
+    by_index = found(index, "needle"), found(index, "PART1", kind="path")
+    monkeypatch.setattr(se, "JOB_BYTES", 64 << 20)
+    monkeypatch.setattr(se, "_narrowed", None)  # not called
+    assert (found(index, "needle"), found(index, "PART1", kind="path")) == by_index and found(index, "zzqq") == []
