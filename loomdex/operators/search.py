@@ -116,9 +116,10 @@ def limited(hits: DataFrame, request: SearchRequest) -> DataFrame:
 
 
 def path_condition(request: SearchRequest, with_pattern: bool = False) -> Condition:
-    """Literals that the path of every hit holds, of at least three bytes each, or None."""
+    """Literals that the path of every hit holds, of at least three bytes each, or None. A file's
+    name is the last part of its path; its extension need not be (a table may have its own)."""
     seed = lambda text: PathSeed(fold(text.encode())) if len(text.encode()) >= 3 else None
-    any_of = [request.exact_paths, request.exact_names, request.path_prefixes, request.path_substrings, [f".{e}" for e in request.extensions]]
+    any_of = [request.exact_paths, request.exact_names, request.path_prefixes, request.path_substrings]
     parts = [join_or([seed(t) for t in texts]) for texts in any_of if texts]
     return join_and([*parts, seed(request.pattern) if with_pattern else None])
 

@@ -148,10 +148,11 @@ def test_path_postings_lose_nothing(spark, tmp_path):
     path, given = str(tmp_path / "index"), corpus(spark, 120).cache()
     segments.build(given, path)
     segments.change(spark, path, given.where("doc_id < 5").withColumn("contents", F.lit("x")), paths(spark, "d3/Part3/f0003.txt"))
+    segments.change(spark, path, given.where("doc_id between 20 and 24").withColumn("extension", F.lit("en")), paths(spark))  # not what its path ends with
     index = ix.load(spark, path)
     names = [r[0] for r in index.docs.select("relative_path").collect()]
     asked = [SearchRequest(pattern=n[a : a + RND.randint(1, 9)].swapcase(), kind="path") for n in RND.sample(names, 6) for a in [RND.randint(0, len(n) - 2)]]
-    asked += [SearchRequest(kind="path", exact_names=("F0007.TXT", "f0008.txt")), SearchRequest(kind="path", extensions=("TXT",)), SearchRequest(kind="path", path_prefixes=("d1/Part",), path_substrings=("PART1/", "9/")), SearchRequest(kind="path", globs=("d2*",)), SearchRequest(pattern="zzz", kind="path")]
+    asked += [SearchRequest(kind="path", exact_names=("F0007.TXT", "f0008.txt")), SearchRequest(kind="path", extensions=("TXT",)), SearchRequest(kind="path", extensions=(".EN",), path_prefixes=("d",)), SearchRequest(kind="path", path_prefixes=("d1/Part",), path_substrings=("PART1/", "9/")), SearchRequest(kind="path", globs=("d2*",)), SearchRequest(pattern="zzz", kind="path")]
     asked += [SearchRequest(pattern="number", path_substrings=("part1/",)), SearchRequest(pattern="needle", exact_paths=tuple(names[:9]))]
     for r in asked:
         assert sorted(map(tuple, se.search(index, r).collect())) == sorted(map(tuple, se.search(index, r, "direct_scan").collect())), r
