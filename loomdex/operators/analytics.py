@@ -72,6 +72,21 @@ def verdict(misleading: Column, hit_at_4: Column, token_reduction: Column, call_
     return F.when(misleading, "hurts").when(hit_at_4 & ((token_reduction > 0.15) | (call_reduction >= 1)), "helps").when(~hit_at_4 & more_tokens, "hurts").otherwise("neutral")
 
 
+def validation_summary(runs: DataFrame, group: str | None = None) -> DataFrame:
+    """Measured runs (verdict, hit_at_1, hit_at_4, token_reduction_ratio, tool_call_reduction) as one
+    row, or one for each value of ``group`` and one, total true, for all: total_runs, helps, neutral,
+    hurts, hit rates and averages. What a run lacks counts as no hit and as no reduction; without
+    runs all is 0. One pass, summed before the shuffle."""
+    keys = [group] if group else []
+    grouped = runs.rollup(*keys) if group else runs.groupBy()
+    mean = lambda c: F.coalesce(F.avg(F.coalesce(c.cast("double"), F.lit(0.0))), F.lit(0.0))
+    out = grouped.agg(
+        (F.grouping(group) == 1 if group else F.lit(True)).alias("total"), F.count("*").alias("total_runs"), *[F.count_if(F.col("verdict") == v).alias(v) for v in ("helps", "neutral", "hurts")],
+        mean(F.col("hit_at_1")).alias("hit_at_1_rate"), mean(F.col("hit_at_4")).alias("hit_at_4_rate"), mean(F.col("token_reduction_ratio")).alias("avg_token_reduction_ratio"), mean(F.col("tool_call_reduction")).alias("avg_tool_call_reduction"),
+    )
+    return out if group else out.drop("total")
+
+
 def replay_totals(runs: DataFrame) -> DataFrame:
     """eligible, saved and saved_ratio of replayed runs (eligible_tokens, tokens_saved, false_negatives)."""
     t = runs.agg(F.sum("eligible_tokens").alias("eligible"), F.sum("tokens_saved").alias("saved"), F.sum("false_negatives").alias("false_negatives"))

@@ -34,7 +34,12 @@ def reads(events: DataFrame, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
     tokens sets them anew; each such read opens a run, within which they are a running
     maximum, so windows express the fold.
     """
-    touched = lives(events, idle_seconds).where(F.col("event").isin("read", "edit") & F.col("path").isNotNull())
+    return folded(lives(events, idle_seconds))
+
+
+def folded(keyed: DataFrame) -> DataFrame:
+    """``reads`` of events that have life and segment already."""
+    touched = keyed.where(F.col("event").isin("read", "edit") & F.col("path").isNotNull())
     path = Window.partitionBy("session_id", "life", "segment", "path").orderBy("ts", "seq")
     same = (F.lag("event").over(path) == "read") & F.lag("content_hash").over(path).eqNullSafe(F.col("content_hash"))
     marked = touched.withColumn("redundant", (F.col("event") == "read") & F.coalesce(same, F.lit(False)))

@@ -235,4 +235,26 @@ SQL: dict[str, str] = {
     "session_upsert": "WITH c AS (SELECT conv_id::VARCHAR AS session_id, count(*) AS n, max(turn) AS u FROM conversations GROUP BY conv_id) SELECT session_id, CASE WHEN n % 2 = 1 AND u > 3 THEN 'new goal' ELSE 'goal ' || n END AS goal, 'open' AS status, 0::INTEGER AS created_at, CASE WHEN n % 2 = 1 THEN 1706745600 ELSE u END AS updated_at FROM c UNION ALL SELECT 'fresh', 'first goal', 'open', 1706745600, 1706745600",
     "session_resume": f"WITH {_FILES} SELECT session_id, path, CASE WHEN path IN (SELECT path FROM files WHERE last_read_at > 1) THEN 'primed' ELSE 'stale' END AS state FROM files",
 }
+# Files of traces call by call: what each holds after a call is found by recursion.
+_REPLAY = """c AS (SELECT conv_id AS run_id, turn AS t, coalesce(text, '') AS text FROM conversations WHERE turn IS NOT NULL),
+  ev AS (SELECT run_id, t * 3 + 1 AS turn, 'read' AS kind, t % 2 AS file, text AS data FROM c WHERE text <> ''
+    UNION ALL SELECT run_id, t * 3 + 2, CASE t % 3 WHEN 0 THEN 'edit' WHEN 1 THEN 'read' ELSE 'write' END, t % 2, text FROM c WHERE t % 3 <> 1 OR text <> ''
+    UNION ALL SELECT run_id, t * 3 + 3, 'read', (t + 1) % 2, text FROM c WHERE text <> ''),
+  o AS (SELECT *, row_number() OVER (PARTITION BY run_id, file ORDER BY turn) AS n FROM ev),
+  d AS (SELECT *, CASE WHEN kind <> 'edit' THEN data END AS disk FROM o WHERE n = 1
+    UNION ALL SELECT o.*, CASE WHEN o.kind = 'read' THEN coalesce(d.disk, o.data) WHEN o.kind = 'write' THEN o.data
+      WHEN contains(d.disk, 'ion') THEN left(d.disk, instr(d.disk, 'ion') - 1) || 'ION' || substr(d.disk, instr(d.disk, 'ion') + 3) ELSE d.disk END
+    FROM d JOIN o ON o.run_id = d.run_id AND o.file = d.file AND o.n = d.n + 1),
+  s AS (SELECT run_id, turn, CASE kind WHEN 'read' THEN kind ELSE 'edit' END AS kind, 'f' || file AS path, ceil(strlen(data) / 3.5)::BIGINT AS tokens, disk, turn > 10 AS segment FROM d),
+  w AS (SELECT *, last_value(CASE WHEN disk IS NOT NULL THEN kind END IGNORE NULLS) OVER p AS last_kind, last_value(disk IGNORE NULLS) OVER p AS last_disk,
+      last_value(CASE WHEN kind = 'read' THEN disk END IGNORE NULLS) OVER p AS read_disk, lag(kind) OVER q AS k, lag(disk) OVER q AS x
+    FROM s WINDOW q AS (PARTITION BY run_id, path, segment ORDER BY turn), p AS (PARTITION BY run_id, path, segment ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  r AS (SELECT run_id, turn, path, tokens, CASE WHEN read_disk IS NULL THEN 'unknown' WHEN read_disk = disk THEN 'fresh' ELSE 'stale' END AS memo_status, last_kind IS NOT NULL AS seen,
+      coalesce(last_kind = 'read', false) AS eligible, coalesce(read_disk = disk AND disk <> last_disk, false) AS wrong, coalesce(k = 'read' AND x = disk, false) AS redundant FROM w WHERE kind = 'read')"""
+SQL |= {
+    "trace_replay_reads": f"WITH RECURSIVE {_REPLAY} SELECT *, CASE WHEN redundant THEN tokens ELSE 0 END AS tokens_saved FROM r",
+    "trace_replay": f"WITH RECURSIVE {_REPLAY} SELECT run_id, count(*) AS total_reads, count(*) FILTER (redundant) AS redundant_reads_prevented, coalesce(sum(tokens) FILTER (redundant), 0)::BIGINT AS tokens_saved, count(*) FILTER (wrong) AS false_negatives, 0::BIGINT AS post_compact_false_negatives, sum(tokens)::BIGINT AS actual_navigation_tokens, coalesce(sum(tokens) FILTER (NOT (seen AND memo_status = 'fresh')), 0)::BIGINT AS memo_navigation_tokens, coalesce(sum(tokens) FILTER (eligible), 0)::BIGINT AS memo_eligible_redundant_tokens FROM r GROUP BY run_id",
+    "validation_groups": "WITH v AS (SELECT *, CASE WHEN l_tax >= 0.08 THEN 'hurts' WHEN l_linestatus = 'O' AND (l_discount * 2 > 0.15 OR l_linenumber - 3 >= 1) THEN 'helps' WHEN l_linestatus <> 'O' AND l_quantity > 25 THEN 'hurts' ELSE 'neutral' END AS verdict FROM lineitem) SELECT l_returnflag, grouping(l_returnflag) = 1 AS total, count(*) AS total_runs, count(*) FILTER (verdict = 'helps') AS helps, count(*) FILTER (verdict = 'neutral') AS neutral, count(*) FILTER (verdict = 'hurts') AS hurts, round(avg((l_linenumber = 1)::DOUBLE), 6) AS hit_at_1_rate, round(avg((l_linestatus = 'O')::DOUBLE), 6) AS hit_at_4_rate, round(avg((l_discount * 2)::DOUBLE), 6) AS avg_token_reduction_ratio, round(avg((l_linenumber - 3)::DOUBLE), 6) AS avg_tool_call_reduction FROM v GROUP BY ROLLUP (l_returnflag)",
+    "bundle_roundtrip": f"WITH {_FILES} SELECT 'snapshot-1' AS snapshot, session_id, 'action' AS what, entry_id::VARCHAR AS name, sha256(CASE WHEN kind = 'search' THEN query ELSE sha END) AS digest FROM log UNION ALL SELECT 'snapshot-1', session_id, 'file', path, sha256(sha) FROM files",
+}
 SQL = {k: v for k, v in SQL.items() if v}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import hooks, text
-from .operators import analytics, frecency, index as ix, memo, pack, reuse, search as se, segments, sessions
+from .operators import analytics, bundle, frecency, index as ix, memo, pack, replay, reuse, search as se, segments, sessions
 from .operators.tools import Workspace
 from .plans.planner import classify
 from .plans.request import SearchRequest
@@ -534,6 +534,49 @@ def verdict_counts(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").select("l_returnflag", v.alias("verdict")).groupBy("l_returnflag", "verdict").agg(F.count("*").alias("runs"))
 
 
+def validation_groups(spark, sf_dir):
+    """The same runs with their hits and reductions, by group and over all."""
+    v = analytics.verdict(F.col("l_tax") >= 0.08, F.col("l_linestatus") == "O", F.col("l_discount") * 2, F.col("l_linenumber") - 3, F.col("l_quantity") > 25)
+    runs = _t(spark, sf_dir, "lineitem").select(
+        "l_returnflag", v.alias("verdict"), (F.col("l_linenumber") == 1).alias("hit_at_1"), (F.col("l_linestatus") == "O").alias("hit_at_4"), (F.col("l_discount") * 2).alias("token_reduction_ratio"), (F.col("l_linenumber") - 3).alias("tool_call_reduction")
+    )
+    return _rounded(analytics.validation_summary(runs, "l_returnflag"), "hit_at_1_rate", "hit_at_4_rate", "avg_token_reduction_ratio", "avg_tool_call_reduction")
+
+
+def _tool_calls(spark, sf_dir) -> DataFrame:
+    """Conversations as traces of two files each: a turn reads one, then reads it by the shell,
+    edits or writes it, and then reads the other."""
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    at = lambda n: F.concat(F.lit("/w/f"), ((F.col("turn") + n) % 2).cast("string"))
+    path, third = F.struct(at(0).alias("file_path")), F.col("turn") % 3
+    call = lambda n, name, given, answer=None: F.struct(F.lit(n).alias("n"), F.lit(name).alias("name"), F.to_json(given).alias("input"), (F.lit(None).cast("string") if answer is None else F.to_json(answer)).alias("answer"))
+    read = lambda n, k: call(n, "Read", F.struct(at(k).alias("file_path")), F.struct(F.struct(at(k).alias("filePath"), F.col("text").alias("content")).alias("file")))
+    shell = call(2, "Bash", F.struct(F.concat(F.lit("cat -n "), at(0)).alias("command")), F.struct(F.col("text").alias("stdout")))
+    edit = call(2, "Edit", path.withField("old_string", F.lit("ion")).withField("new_string", F.lit("ION")))
+    write = call(2, "Write", path.withField("content", F.col("text")))
+    calls = c.select("conv_id", "turn", F.explode(F.array(read(1, 0), F.when(third == 1, shell).when(third == 0, edit).otherwise(write), read(3, 1))).alias("c"))
+    return calls.select(F.col("conv_id").alias("run_id"), (F.col("turn") * 3 + F.col("c.n")).alias("turn"), "c.name", "c.input", "c.answer", F.lit(None).cast("string").alias("text"), F.lit("/w").alias("cwd"))
+
+
+def trace_replay(spark, sf_dir):
+    return replay.replay(_tool_calls(spark, sf_dir), 10)
+
+
+def trace_replay_reads(spark, sf_dir):
+    return replay.replay_reads(_tool_calls(spark, sf_dir), 10).select("run_id", "turn", "path", "tokens", "memo_status", "seen", "eligible", "wrong", "redundant", "tokens_saved")
+
+
+def bundle_roundtrip(spark, sf_dir):
+    """A snapshot of all sessions, exported, imported twice, and read from the second import."""
+    log = _log(spark, sf_dir)
+    root = f"{storage_root(spark)}/bundles/{uuid.uuid4().hex}"
+    bundle.export({"action_log": log, "files": sessions.files_read(log)}, "snapshot", f"{root}/bundle")
+    name = [bundle.load(spark, f"{root}/bundle", f"{root}/snapshots") for _ in range(2)][-1]
+    found = bundle.open_tables(spark, f"{root}/snapshots/{name}")
+    log = found["action_log"].select(F.lit(name).alias("snapshot"), "session_id", F.lit("action").alias("what"), F.col("entry_id").cast("string").alias("name"), F.sha2(F.coalesce(F.get_json_object("payload", "$.query"), F.get_json_object("payload", "$.sha")), 256).alias("digest"))
+    return log.union(found["files"].select(F.lit(name), "session_id", F.lit("file"), "path", F.sha2("sha", 256)))
+
+
 def session_upsert(spark, sf_dir):
     """Conversations as sessions, those of an odd number of turns closed; the closed ones open again."""
     c = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("updated_at"))
@@ -575,7 +618,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
             memo_redundant_reads, memo_session_totals, memo_idle_sessions, memo_check_recommendation, memo_broadcast, memo_stream, search_epochs, reuse_check, context_terms, context_pack_rank, context_pack_review,
             context_pack_budget, working_set, searches_run, snapshot_diff, snapshot_diff_searches, sessions_newest_open, pinned_snippets, pack_checksums, session_brief, bench_percentiles,
             bench_result_diff, ir_metrics, reusable_searches, token_estimates, preview_trim, path_heuristics, token_frequency, pick_tokens, hook_events, change_coalesce,
-            search_memo, change_renames, replay_totals, verdict_counts, session_upsert, session_resume,
+            search_memo, change_renames, replay_totals, verdict_counts, validation_groups, trace_replay, trace_replay_reads, bundle_roundtrip, session_upsert, session_resume,
         )
     },
 }
