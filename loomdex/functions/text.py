@@ -123,6 +123,11 @@ def normalize_path(path: Column) -> Column:
     return F.regexp_replace(F.trim(path), "^(\\./)+", "")
 
 
+def normalize_line_text(c: Column) -> Column:
+    """Without the carriage returns that it ends with."""
+    return F.rtrim(c, F.lit("\r"))
+
+
 def line_range(text: Column, first: Column, last: Column) -> Column:
     """Lines first..last (1-based, inclusive), joined by newlines."""
     all_ = lines(text)

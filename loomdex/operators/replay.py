@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hooks import _first as text_at
 from . import memo
 
 # Shell commands that read a file, in the order in which they are tried.
@@ -22,6 +21,12 @@ SHELL_READS = [rf"\b{name}\s+(?:-[^\s]*\s+)*([^-\s|;&][^\s|;&]*)" for name in ("
 EDITS = ("Edit", "MultiEdit", "Write")
 
 
+def text_at(record: Column, *paths: str) -> Column:
+    """The first of these places of a variant that holds a JSON string."""
+    at = lambda p: F.when(F.schema_of_variant(F.try_variant_get(record, p, "variant")) == "STRING", F.try_variant_get(record, p, "string"))
+    return F.coalesce(*[at(p) for p in paths])
+
+
 def relative(path: Column, cwd: Column) -> Column:
     """Below cwd without it; elsewhere without the slash that it starts with."""
     home = F.concat(F.rtrim(cwd, F.lit("/")), F.lit("/"))
@@ -29,7 +34,7 @@ def relative(path: Column, cwd: Column) -> Column:
 
 
 def read_path(name: Column, input: Column, answer: Column) -> Column:
-    """The file that a Read call or a reading shell command names; null if it is none."""
+    """Input and answer are variants. The file that a Read call or a reading shell command names; null if it is none."""
     line = text_at(input, "$.command")
     shell = F.coalesce(*[F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in SHELL_READS])
     return F.when(name == "Read", F.coalesce(text_at(answer, "$.file.filePath"), text_at(input, "$.file_path"))).when(name == "Bash", F.btrim(shell, F.lit("\"'")))
@@ -43,11 +48,12 @@ def file_events(calls: DataFrame) -> DataFrame:
     """run_id, turn, kind (read, edit), path, data (what a read showed, what a Write wrote) and
     edits (pairs to replace). Reads that showed nothing and calls without a path are left out;
     so are calls without a turn, which have no place in the run."""
-    n, i, a = F.col("name"), F.col("input"), F.col("answer")
+    n, i, a = F.col("name"), F.col("__i"), F.col("__a")
     shown = F.coalesce(text_at(a, "$.file.content"), text_at(a, "$.content"), text_at(a, "$.stdout"), F.col("text"), F.lit(""))
     pair = "struct<old_string:string,new_string:string>"
-    edits = F.when(n == "Edit", F.array(F.from_json(i, pair))).when(n == "MultiEdit", F.from_json(F.get_json_object(i, "$.edits"), f"array<{pair}>"))
-    out = calls.select(
+    edits = F.when(n == "Edit", F.array(F.try_variant_get(i, "$", pair))).when(n == "MultiEdit", F.try_variant_get(i, "$.edits", f"array<{pair}>"))
+    parsed = calls.select("run_id", "turn", "name", "text", "cwd", F.try_parse_json("input").alias("__i"), F.try_parse_json("answer").alias("__a"))
+    out = parsed.select(
         "run_id", F.col("turn").cast("long").alias("turn"), F.when(n.isin(*EDITS), "edit").otherwise("read").alias("kind"), F.coalesce(edit_path(n, i, a), read_path(n, i, a)).alias("path"), F.col("cwd"),
         F.when(n == "Write", F.coalesce(text_at(i, "$.content"), F.lit(""))).when(~n.isin(*EDITS), shown).alias("data"), edits.alias("edits"),
     )
