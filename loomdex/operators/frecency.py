@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.running import running_sum
 from ..functions.text import decay
 
 HALF_LIFE = 604800.0
 WEIGHTS = {"result": 1.0, "select": 3.0}
 HISTORY = 500
+#: How many places of the old order share a task where scores are equal.
+BLOCK = 1 << 16
 
 
 def scores(access: DataFrame, now: int, half_life: float = HALF_LIFE) -> DataFrame:
@@ -37,9 +40,14 @@ def restore(current: DataFrame, saved: DataFrame, now: int) -> DataFrame:
 
 
 def rerank(hits: DataFrame, current: DataFrame) -> DataFrame:
-    """Hits (path, ordinal) with new_rank from 1: scored paths first, others as they were."""
+    """Hits (path, ordinal) with new_rank from 1: scored paths first, others as they were.
+    Ranks are counted by score and by blocks of ordinals, and those by bands of scores (at most
+    some thirty thousand), so that no task sees more than a block or a band."""
     joined = hits.join(current.select("path", "score"), "path", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return joined.withColumn("new_rank", F.row_number().over(Window.orderBy(F.desc("score"), "ordinal")))
+    bucket = F.struct((-F.col("score")).alias("below"), F.floor(F.col("ordinal") / BLOCK).alias("block"))
+    below = F.col("__k.below")
+    band = F.when(below < 0, -F.floor(F.log2(-below) * 16)).otherwise(F.lit(1 << 20))
+    return running_sum(joined, bucket, ["ordinal"], F.lit(1), "new_rank", coarse=F.struct(band, F.when(below == 0, F.col("__k.block"))))
 
 
 def top(current: DataFrame, n: int) -> DataFrame:

@@ -62,9 +62,9 @@ def check(requests: DataFrame, journal: DataFrame, generation: Column, epoch: Co
 
 def epochs(events: DataFrame) -> DataFrame:
     """``events`` plus epoch: how many session starts and compactions came so far, of all
-    sessions. Counted by hour first, so no task sees more than an hour's events."""
+    sessions. Counted by second, and seconds by day, so no task sees more than a second's events."""
     starts = F.when(F.col("event").isin("session_start", "pre_compact"), 1).otherwise(0).cast("long")
-    return running_sum(events, F.date_trunc("hour", "ts"), ["ts", "seq"], starts, "epoch")
+    return running_sum(events, F.date_trunc("second", "ts"), ["ts", "seq"], starts, "epoch", coarse=F.date_trunc("day", "__k"))
 
 
 def search_memo(uses: DataFrame, n: int = 256) -> DataFrame:

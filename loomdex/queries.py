@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import hooks, text
+from .functions.running import running_sum
 from .operators import analytics, bundle, frecency, index as ix, memo, pack, replay, reuse, search as se, segments, sessions
 from .operators.tools import Workspace
 from .plans.planner import classify
@@ -289,9 +290,9 @@ def frecency_top(spark, sf_dir):
 
 def frecency_rerank(spark, sf_dir):
     paths = _access(spark, sf_dir).select("path").distinct().union(spark.sql("select 'k/none'"))
-    hits = paths.withColumn("ordinal", F.row_number().over(Window.orderBy("path")))
+    hits = running_sum(paths, F.substring("path", 1, 4), ["path"], F.lit(1), "ordinal").withColumn("ordinal", F.col("ordinal").cast("int"))
     ranked = frecency.rerank(hits, frecency.scores(_access(spark, sf_dir), NOW))
-    return ranked.select("path", "ordinal", "new_rank")
+    return ranked.select("path", "ordinal", F.col("new_rank").cast("int").alias("new_rank"))
 
 
 def frecency_restore(spark, sf_dir):

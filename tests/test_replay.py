@@ -130,3 +130,22 @@ def test_tool_calls_out_of_json_lines(spark, tmp_path):
     assert rows[1].answer is None and json.loads(rows[0].answer)["file"]["content"] == "fn a() {}" and len(rows) == 6
     found = replay.replay(calls).collect()
     assert [(r.total_reads, r.redundant_reads_prevented, r.tokens_saved, r.memo_eligible_redundant_tokens) for r in found] == [(3, 1, 3, 3)] * 2
+
+
+def test_running_sums_of_many_small_buckets(spark):
+    from loomdex.functions.running import running_sum
+    from loomdex.operators import frecency
+
+    r = random.Random(3)
+    rows = [(i, r.choice([None, 1, 2, 3, 40, 41, 1000]), r.randrange(5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, b int, v int").repartition(3)
+    found = {x.i: x.s for x in running_sum(df, F.col("b"), ["i"], F.col("v"), "s", coarse=F.floor(F.col("__k") / 10)).collect()}
+    total = 0
+    for i, _, v in sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[0])):
+        total += v
+        assert found[i] == total
+    hits = spark.createDataFrame([(f"p{i % 90}", 200_000 - 700 * i) for i in range(280)], "path string, ordinal int")
+    scores = {f"p{i}": r.choice([1e-9, 0.5, 0.50001, 3.0, 1e6, 2.0**-700]) for i in range(60)}
+    current = spark.createDataFrame(list(scores.items()), "path string, score double")
+    got = [(x.path, x.ordinal) for x in frecency.rerank(hits, current).orderBy("new_rank").collect()]
+    assert got == sorted(((x.path, x.ordinal) for x in hits.collect()), key=lambda x: (-scores.get(x[0], 0), x[1]))
