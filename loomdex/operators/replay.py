@@ -126,7 +126,9 @@ def replay_reads(calls: DataFrame, compact_at: Column | int | None = None) -> Da
 
 
 def replay(calls: DataFrame, compact_at: Column | int | None = None) -> DataFrame:
-    """One row for each run that reads: what it read, what the memo saves, and its mistakes."""
+    """One row for each run that reads: what it read, what the memo saves, and its mistakes.
+    Both kinds of mistakes are 0 by construction here: the memo's state and the disk are
+    computed from the same calls, so they hold the definition and measure no memo of another kind."""
     tokens, fresh = F.col("tokens"), F.col("memo_status") == "fresh"
     total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
     return replay_reads(calls, compact_at).groupBy("run_id").agg(
