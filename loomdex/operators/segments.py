@@ -14,7 +14,8 @@ merged when there are FANOUT of them: postings are merged as they are, no text i
 its trigrams again.
 
 A row is known by (segment, doc_id); doc_ids must be unique among the documents that are live.
-Postings hold trigrams of the contents and, from PATH on, those of the path.
+Postings hold trigrams of the contents and, from PATH on, those of the path. They are kept in blocks,
+a trigram and some of its doc_ids: a sort or a shuffle moves a row for each block, not for each pair.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.trigrams import postings as pairs
+from ..functions.trigrams import BLOCKS, blocks, packed, unpacked
 
-FORMAT, FANOUT, PATH = 2, 8, 1 << 24
+FORMAT, FANOUT, PATH = 3, 8, 1 << 24
 KEY = ["segment", "doc_id"]
 #: Bytes and rows of Parquet pages of the documents: about what a candidate costs to read.
 PAGE, PAGE_ROWS = 1 << 16, 64
@@ -169,8 +170,11 @@ class Stored:
         """All rows of the segments, those that are gone too, with their segment."""
         return self._read("docs", self._segments(only), self.schema.add("segment", "long"))
 
+    def blocks(self, only: set[int] | None = None) -> DataFrame:
+        return self._read("postings", self._segments(only), f"{BLOCKS}, segment long")
+
     def postings(self, only: set[int] | None = None) -> DataFrame:
-        return self._read("postings", self._segments(only), "trigram int, doc_id long, segment long")
+        return unpacked(self.blocks(only))
 
     def gone(self) -> DataFrame:
         names = [f"change={n}" for n in self.manifest.gone]
@@ -205,23 +209,31 @@ def new_number() -> int:
     return random.getrandbits(48)
 
 
-def all_pairs(docs: DataFrame) -> DataFrame:
-    """(trigram, doc_id) of contents and paths."""
-    paths = pairs(docs, "relative_path").select((F.col("trigram") + PATH).alias("trigram"), "doc_id")
-    return pairs(docs).union(paths)
+def all_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of contents and paths."""
+    return blocks(docs).union(blocks(docs, "relative_path").select((F.col("trigram") + PATH).alias("trigram"), "first", "docs"))
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    """trigram and docs, how many documents its blocks hold."""
+    return found.groupBy("trigram").agg(F.sum(F.size("docs")).alias("docs"))
+
+
+def _ranged(found: DataFrame, files: int | None = None) -> DataFrame:
+    """Blocks ranged and sorted by trigram and first doc_id, so that neither a lookup nor a
+    frequent trigram is one task's work."""
+    return found.repartitionByRange(*([files] if files else []), "trigram", "first").sortWithinPartitions("trigram", "first")
 
 
 def _write_segment(docs: DataFrame, path: str, number: int, files: int | None = None) -> DataFrame:
-    """Documents sorted by doc_id in small pages; postings ranged and sorted by (trigram,
-    doc_id), so that neither a lookup nor a frequent trigram is one task's work."""
+    """Documents sorted by doc_id in small pages, and their postings."""
     spark, spread = docs.sparkSession, [files] if files else []
     ranged = docs.repartitionByRange(*spread, "doc_id").sortWithinPartitions("doc_id")
     _write(ranged, f"{path}/docs/segment={number}", **{"parquet.page.size": PAGE, "parquet.page.row.count.limit": PAGE_ROWS})
     written = spark.read.schema(docs.schema).parquet(f"{path}/docs/segment={number}")
     temporary = f"{path}/pairs-{number}"
-    _write(all_pairs(written), temporary)  # extracted once, though ranging reads it twice
-    found = spark.read.schema("trigram int, doc_id long").parquet(temporary)
-    _write(found.repartitionByRange(*spread, "trigram", "doc_id").sortWithinPartitions("trigram", "doc_id"), f"{path}/postings/segment={number}")
+    _write(all_blocks(written), temporary)  # extracted once, though ranging reads it twice
+    _write(_ranged(spark.read.schema(BLOCKS).parquet(temporary), files), f"{path}/postings/segment={number}")
     remove(spark, temporary)
     return written
 
@@ -245,8 +257,7 @@ def build(docs: DataFrame, path: str, files: int | None = None, now: int = 0, ap
     spark, number = docs.sparkSession, new_number()
     last = max(versions(spark, path), default=0)
     written = _write_segment(docs, path, number, files)
-    counts = spark.read.schema("trigram int, doc_id long").parquet(f"{path}/postings/segment={number}").groupBy("trigram").agg(F.count("*").alias("docs"))
-    _write(counts, f"{path}/frequency/change={number}")
+    _write(_counted(spark.read.schema(BLOCKS).parquet(f"{path}/postings/segment={number}")), f"{path}/frequency/change={number}")
     n, size = _totals(written)
     new = Manifest(last + 1, docs.schema.json(), (Segment(number, n),), (), (number,), n, size, applied=applied)
     return commit(spark, path, _finished(Stored(spark, path, new), now))
@@ -266,8 +277,8 @@ def change(spark: SparkSession, path: str, docs: DataFrame, removed: DataFrame,
     dead = spark.read.schema("segment long, doc_id long").parquet(f"{path}/gone/change={number}")
     each = {r["segment"]: r["count"] for r in dead.groupBy("segment").count().collect()}  # a row a segment
     texts = rows_of(old, dead, sum(each.values()))
-    fell = all_pairs(texts).groupBy("trigram").agg((-F.count("*")).alias("docs"))
-    rose = spark.read.schema("trigram int, doc_id long").parquet(f"{path}/postings/segment={number}").groupBy("trigram").agg(F.count("*").alias("docs"))
+    fell = _counted(all_blocks(texts)).select("trigram", (-F.col("docs")).alias("docs"))
+    rose = _counted(spark.read.schema(BLOCKS).parquet(f"{path}/postings/segment={number}"))
     _write(rose.union(fell).groupBy("trigram").agg(F.sum("docs").alias("docs")).where("docs != 0"), f"{path}/frequency/change={number}")
     (n, size), (n_dead, size_dead) = _totals(added), _totals(texts)
     kept = [replace(s, gone=s.gone + each.get(s.number, 0)) for s in m.segments]
@@ -306,10 +317,14 @@ def compact(spark: SparkSession, path: str, fanout: int = FANOUT, which: set[int
     if not which:
         return None
     number = new_number()
-    docs, found = old.live(old.docs(which)), old.live(old.postings(which))
+    docs, partly = old.live(old.docs(which)), {s.number for s in m.segments if s.number in which and s.gone}
+    found = old.blocks(which - partly).drop("segment") if which - partly else None
+    if partly:  # blocks that lose documents are made anew
+        left = packed(old.live(old.postings(partly)))
+        found = left if found is None else found.union(left)
     ranged = docs.drop("segment").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     _write(ranged, f"{path}/docs/segment={number}", **{"parquet.page.size": PAGE, "parquet.page.row.count.limit": PAGE_ROWS})
-    _write(found.select("trigram", "doc_id").repartitionByRange("trigram", "doc_id").sortWithinPartitions("trigram", "doc_id"), f"{path}/postings/segment={number}")
+    _write(_ranged(found), f"{path}/postings/segment={number}")
     rest = [s for s in m.segments if s.number not in which]
     n = sum(s.docs - s.gone for s in m.segments if s.number in which)
     gone = ()
