@@ -61,7 +61,7 @@ SESSIONS = "session_id string, goal string, status string, created_at long, upda
 LOG = "entry_id long, session_id string, ts long, kind string, payload string"
 EVENTS = "session_id string, seq long, ts timestamp, event string, path string, content_hash string, tokens long"
 JOURNAL = "generation long, path string"
-SEARCHES = "session_id string, seq long, key string, generation long, epoch long, matched_paths array<string>, search_id string"
+SEARCHES = "session_id string, seq long, key string, generation long, epoch long, matched_paths array<string>, search_id string, counts map<string,long>"
 SNAPSHOTS = "snapshot_id string, session_id string, created_at long, source_harness string, source_model string, git_commit string, dirty_files array<string>, changed_lines map<string,long>"
 FILES = "session_id string, path string, sha string, last_read_at long"
 RAN = "session_id string, search_id string, query string, search_kind string, result_paths array<string>, entry_id long"
@@ -153,12 +153,12 @@ class Workspace:
             asked = self.spark.createDataFrame([(1, last["generation"], last["epoch"], last["matched_paths"])], "request_id int, recorded_generation long, recorded_epoch long, matched_paths array<string>")
             verdict = reuse.check(asked, reuse.newest_batches(journal), F.lit(current), F.lit(epoch), se.in_scope(request, F.col("path"))).first()
             if verdict["fresh"]:
-                return {"version": "1", "reused": True, "search_id": last["search_id"], "reason": verdict["reason"], "paths": last["matched_paths"], "cache": "hit"}
+                return {"version": "1", "reused": True, "search_id": last["search_id"], "reason": verdict["reason"], "paths": last["matched_paths"], "counts": last["counts"] or {}, "cache": "hit"}
         out = env.envelope(self._index(), request, limit) | {"reused": False}
         paths = list(dict.fromkeys(r["relative_path"] for r in out["results"]))
         number = self.store.read_log("searches", SEARCHES).where(F.col("session_id") == session).count() + 1
         out["search_id"] = f"search-{number:06d}"
-        self.store.append("searches", self.spark.createDataFrame([(session, number, key, current, epoch, paths, out["search_id"])], SEARCHES))
+        self.store.append("searches", self.spark.createDataFrame([(session, number, key, current, epoch, paths, out["search_id"], out["counts"])], SEARCHES))
         self._record(session, "search", {"query": request.pattern, "kind": request.effective_kind, "result_paths": paths})
         if paths:
             self._accessed(paths)
