@@ -15,6 +15,8 @@ def percentile(sorted_values: Column, p: float) -> Column:
 
 #: The sketch's rank error is a group's rows divided by this.
 ACCURACY = 10_000
+#: Tasks that the rows of one group are dealt to.
+SPREAD = 32
 
 
 def percentiles(samples: DataFrame, keys: list[str], value: str, ps: dict[str, float] | None = None) -> DataFrame:
@@ -33,7 +35,10 @@ def percentiles(samples: DataFrame, keys: list[str], value: str, ps: dict[str, f
     ])
     about = about.withColumn("__w", wanted).drop("__q", "__n")
     bounds = about.select(*[F.col(n).alias(f"{n}_") for n in names], "__w")
-    met = rows.join(bounds, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names] if names else F.lit(True))
+    # a group's values meet its bounds in SPREAD tasks, by the task that read them: few groups may hold all rows
+    dealt = rows.withColumn("__s", F.pmod(F.spark_partition_id(), F.lit(SPREAD)))
+    each = bounds.withColumn("__s_", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    met = dealt.join(each, [F.col("__s") == F.col("__s_"), *[F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names]]) if names else rows.join(bounds, F.lit(True))
     met = met.select(*names, "__v", F.explode(F.filter("__w", lambda w: F.col("__v") <= w["hi"])).alias("__w"))
     # all that is below the bounds counts as one value
     met = met.withColumn("__v", F.when(F.col("__v") >= F.col("__w.lo"), F.col("__v"))).groupBy(*names, "__w", "__v").agg(F.count("*").alias("__c"))
