@@ -200,6 +200,8 @@ def candidate_docs(index: Index, request: SearchRequest, engine: str | None = No
     condition = _condition(index, request, engine)
     if condition is None:
         docs = index.docs
+    elif probe and index.stored and most(condition, index.frequency()) > SENT:
+        docs = index.docs  # read where they are; to join so many would shuffle every text
     elif _pays(index, request, engine):
         docs = _narrowed(index, condition, probe)
     else:
@@ -231,10 +233,12 @@ def search_many(index: Index, requests: dict[str, SearchRequest]) -> DataFrame:
     """Hits of many requests in one plan: query (its name), relative_path, line_number, column
     and line_text. The same rows as a search for each, limits included.
 
-    The trigrams of all requests are read from the postings in one scan, documents that any of
-    them may match are read once and split into lines once, and every line meets the matchers
-    of those requests that its document is a candidate of. Requests without a seed make that
-    one scan a full one. Path searches are not for this.
+    Requests without a limit, with one over all files and with one for each file are a pass each.
+    In a pass the trigrams of all requests are read from the postings in one scan, documents
+    that any of them may match are read once and split into lines once, and every line meets the
+    matchers of those requests that its document is a candidate of. Where one request has no
+    seed, or candidates are too many to be sent to each task, the pass reads all documents where
+    they are: to join them would shuffle every text. Path searches are not for this.
     """
     asked = {name: compiled(index.docs.sparkSession, r) for name, r in requests.items()}
     if any(r.kind == "path" for r in asked.values()):
@@ -247,20 +251,35 @@ def search_many(index: Index, requests: dict[str, SearchRequest]) -> DataFrame:
         asked = {name: r for name, r in asked.items() if conditions[name] is None or most(conditions[name], frequency)}
     if not asked:
         return spark.createDataFrame([], shape)
-    names = list(asked)
-    seeded = [n for n in names if conditions[n] is not None]
+    kind = lambda r: r.limit_mode if r.max_results is not None else None
+    out = None
+    for mode, by in ((None, []), ("global", ["query"]), ("per_file", ["query", "relative_path"])):
+        some = {n: r for n, r in asked.items() if kind(r) == mode}
+        if not some:
+            continue
+        hits = _hits_of(index, some, {n: conditions[n] for n in some}, frequency)
+        if mode:
+            most_ = {n: r.max_results for n, r in some.items()}
+            w = Window.partitionBy(*by).orderBy("relative_path", "line_number")
+            cap = F.element_at(F.create_map(*[F.lit(x) for p in most_.items() for x in p]), F.col("query"))
+            # the constant bound lets each task drop what is beyond it before the shuffle
+            hits = hits.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= max(most_.values())).where(F.col("__n") <= cap).drop("__n")
+        out = hits if out is None else out.union(hits)
+    return out
+
+
+def _hits_of(index: Index, asked: dict[str, SearchRequest], conditions: dict[str, Condition], frequency) -> DataFrame:
+    """Hits of the requests of one pass, before their limits."""
+    stored, names = index.stored, list(asked)
     docs = stored.docs() if stored else index.docs
-    key = [c for c in KEY if c in docs.columns]
     may = {n: F.lit(True) for n in names}
-    if seeded:
-        found = _met_by(stored.postings() if stored else index.postings, {n: conditions[n] for n in seeded}, frequency)
+    bound = None if frequency is None or None in conditions.values() else sum(most(c, frequency) for c in conditions.values())
+    if None not in conditions.values() and (bound is None or bound <= SENT):
+        found = _met_by(stored.postings() if stored else index.postings, conditions, frequency)
         found = stored.live(found) if stored else found
-        bound = sum(most(conditions[n], frequency) for n in seeded) if frequency else None
-        small = bound is not None and bound <= SENT
-        how = "inner" if len(seeded) == len(names) else "left"
-        docs = docs.join(F.broadcast(found) if small else found, key, how)
-        may |= {n: F.coalesce(F.array_contains("met", i), F.lit(False)) for i, n in enumerate(seeded)}
-    if len(seeded) < len(names) and stored:
+        docs = docs.join(found if bound is None else F.broadcast(found), [c for c in KEY if c in docs.columns], "inner")
+        may = {n: F.array_contains("met", i) for i, n in enumerate(names)}
+    elif stored:
         docs = stored.live(docs)
     wanted = F.filter(F.array(*[F.when(may[n] & path_predicate(r), F.lit(i)) for i, (n, r) in enumerate(asked.items())]), lambda x: x.isNotNull())
     split = docs.where("contents is not null").select("relative_path", wanted.alias("wanted"), "contents").where("size(wanted) > 0")
@@ -270,18 +289,7 @@ def search_many(index: Index, requests: dict[str, SearchRequest]) -> DataFrame:
         hit, column = _matcher(r)
         hits.append(F.when(F.array_contains("wanted", i) & hit, F.struct(F.lit(i).alias("i"), column.alias("column"))))
     each = split.select("relative_path", (F.col("n") + 1).alias("line_number"), "line_text", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("hit"))
-    out = each.select(F.element_at(F.array(*map(F.lit, names)), F.col("hit.i") + 1).alias("query"), "relative_path", "line_number", F.col("hit.column").alias("column"), "line_text")
-    caps = {n: r for n, r in asked.items() if r.max_results is not None}
-    for mode, by in (("global", ["query"]), ("per_file", ["query", "relative_path"])):
-        most_ = {n: r.max_results for n, r in caps.items() if r.limit_mode == mode}
-        if most_:
-            capped = F.col("query").isin(*most_)
-            w = Window.partitionBy(*by).orderBy("relative_path", "line_number")
-            cap = F.element_at(F.create_map(*[F.lit(x) for p in most_.items() for x in p]), F.col("query"))
-            # the constant bound lets each task drop what is beyond it before the shuffle
-            first = out.where(capped).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= max(most_.values())).where(F.col("__n") <= cap).drop("__n")
-            out = out.where(~capped).union(first)
-    return out
+    return each.select(F.element_at(F.array(*map(F.lit, names)), F.col("hit.i") + 1).alias("query"), "relative_path", "line_number", F.col("hit.column").alias("column"), "line_text")
 
 
 def _met_by(postings: DataFrame, conditions: dict[str, Condition], frequency) -> DataFrame:
