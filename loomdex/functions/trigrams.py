@@ -83,9 +83,16 @@ def _blocks(batches):
             first = last
 
 
-def _packed(batches):
-    for batch in batches:
-        yield _batch(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+def _left(batch: pa.RecordBatch, gone: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """Blocks (trigram, first, docs, segment) without what is gone, packed anew where neighbours have the same trigram."""
+    sizes = batch.column(2).value_lengths().to_numpy()
+    doc_ids = batch.column(2).flatten().to_numpy() + np.repeat(batch.column(1).to_numpy(), sizes)
+    segment, stays = batch.column(3).to_numpy(), np.ones(len(doc_ids), dtype=bool)
+    for number, ids in gone.items():
+        at = np.flatnonzero(np.repeat(segment == number, sizes))
+        near = np.minimum(np.searchsorted(ids, doc_ids[at]), len(ids) - 1)
+        stays[at] = ids[near] != doc_ids[at]
+    return _batch(np.repeat(batch.column(0).to_numpy(), sizes)[stays], doc_ids[stays])
 
 
 #: ``docs`` are distances from ``first``, small numbers that pack and shuffle well.
@@ -99,9 +106,10 @@ def blocks(docs: DataFrame, column: str = "contents") -> DataFrame:
     return keyed.where("doc_id is not null").mapInArrow(_blocks, BLOCKS)  # no row is known without its key
 
 
-def packed(pairs: DataFrame) -> DataFrame:
-    """Blocks out of pairs (trigram, doc_id) that come sorted by trigram; others make short blocks."""
-    return pairs.select("trigram", "doc_id").mapInArrow(_packed, BLOCKS)
+def without(found: DataFrame, gone: dict[int, np.ndarray]) -> DataFrame:
+    """Blocks with their segment, less the sorted doc_ids of ``gone`` for each segment, which are sent
+    to all tasks; no row is made for a pair."""
+    return found.select("trigram", "first", "docs", "segment").mapInArrow(lambda batches: (_left(b, gone) for b in batches), BLOCKS)
 
 
 def unpacked(found: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ writers one is told so (``Conflict``).
 A change costs what it touches: its documents become a small segment with postings of their own,
 the rows that it replaces are listed as gone, frequencies are summed. Segments of like size are
 merged when there are FANOUT of them: postings are merged as they are, no text is read for
-its trigrams again.
+its trigrams again unless more than SENT rows are gone.
 
 A row is known by (segment, doc_id); doc_ids must be unique among the documents that are live.
 Postings hold trigrams of the contents and, from PATH on, those of the path. They are kept in blocks,
@@ -26,11 +26,12 @@ import random
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.trigrams import BLOCKS, blocks, packed, unpacked
+from ..functions.trigrams import BLOCKS, blocks, unpacked, without
 
 FORMAT, FANOUT, PATH = 3, 8, 1 << 24
 KEY = ["segment", "doc_id"]
@@ -190,6 +191,20 @@ class Stored:
             return rows
         return rows.join(F.broadcast(self.gone()) if self.n_gone <= SENT else self.gone(), KEY, "left_anti").select(*rows.columns)
 
+    def live_blocks(self, only: set[int] | None = None) -> DataFrame | None:
+        """Blocks of the live documents; None if more than SENT rows of these segments are gone."""
+        mine = {s.number: s.gone for s in self.manifest.segments if only is None or s.number in only}
+        partly = {n for n, gone in mine.items() if gone}
+        if sum(mine.values()) > SENT:
+            return None
+        found = self.blocks(mine.keys() - partly).drop("segment")
+        if not partly:
+            return found
+        gone = self.gone().where(F.col("segment").isin(*partly)).orderBy(*KEY).toArrow()
+        segment, doc_id = (gone.column(c).to_numpy() for c in KEY)
+        left = without(self.blocks(partly), {n: doc_id[segment == n] for n in partly})
+        return found.union(left) if mine.keys() - partly else left
+
     def frequency(self) -> DataFrame:
         """trigram and docs: of how many live documents, at most 2 ** 25 rows."""
         found = self._read("frequency", [f"change={n}" for n in self.manifest.frequency], "trigram int, docs long, change long")
@@ -309,7 +324,7 @@ def due(m: Manifest, fanout: int = FANOUT) -> set[int]:
 
 
 def compact(spark: SparkSession, path: str, fanout: int = FANOUT, which: set[int] | None = None) -> Manifest | None:
-    """Merge segments into one: their live rows, and their postings as they are. None if
+    """Merge segments into one: their live rows, and their blocks without what is gone. None if
     nothing is due."""
     old = stored(spark, path)
     m = old.manifest
@@ -317,14 +332,17 @@ def compact(spark: SparkSession, path: str, fanout: int = FANOUT, which: set[int
     if not which:
         return None
     number = new_number()
-    docs, partly = old.live(old.docs(which)), {s.number for s in m.segments if s.number in which and s.gone}
-    found = old.blocks(which - partly).drop("segment") if which - partly else None
-    if partly:  # blocks that lose documents are made anew
-        left = packed(old.live(old.postings(partly)))
-        found = left if found is None else found.union(left)
-    ranged = docs.drop("segment").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    docs = old.live(old.docs(which)).drop("segment")
+    ranged = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     _write(ranged, f"{path}/docs/segment={number}", **{"parquet.page.size": PAGE, "parquet.page.row.count.limit": PAGE_ROWS})
-    _write(_ranged(found), f"{path}/postings/segment={number}")
+    found = old.live_blocks(which)
+    if found is None:  # too many rows are gone to be sent: the trigrams of those that stay are extracted again
+        found = all_blocks(spark.read.schema(docs.schema).parquet(f"{path}/docs/segment={number}"))
+    found = found.persist(StorageLevel.DISK_ONLY)  # made once, though ranging reads it twice
+    try:
+        _write(_ranged(found), f"{path}/postings/segment={number}")
+    finally:
+        found.unpersist()
     rest = [s for s in m.segments if s.number not in which]
     n = sum(s.docs - s.gone for s in m.segments if s.number in which)
     gone = ()
