@@ -151,7 +151,14 @@ def _possible(condition: Condition, known: dict[bytes, bool]) -> bool:
     return (all if condition[0] == "and" else any)(_possible(p, known) for p in condition[1])
 
 
-def document_frequency(index: DataFrame) -> DataFrame:
+def document_frequency(index: DataFrame | Index) -> DataFrame:
+    """trigram and docs, out of pairs, or out of an index: where it is stored, its blocks are
+    counted as they are."""
+    if isinstance(index, Index):
+        found = index.stored.live_blocks() if index.stored else None
+        if found is not None:
+            return segments.counted(found.where(F.col("trigram") < PATH))
+        index = index.postings
     return index.groupBy("trigram").agg(F.count("*").alias("docs"))
 
 
@@ -198,6 +205,7 @@ def apply_changes(spark: SparkSession, path: str, scan: DataFrame, now: int = 0)
         build(scan, path, now=now)
     elif what["changed"]:
         new = kinds.where("change in ('added', 'modified')").select("relative_path")
+        new = F.broadcast(new) if what["changed"] <= segments.SENT else new  # a join by shuffle moves every text
         segments.change(spark, path, scan.join(new, "relative_path", "left_semi").select(*live.docs.columns), kinds.where("change = 'removed'"), now)
     return what
 

@@ -229,7 +229,7 @@ def all_blocks(docs: DataFrame) -> DataFrame:
     return blocks(docs).union(blocks(docs, "relative_path").select((F.col("trigram") + PATH).alias("trigram"), "first", "docs"))
 
 
-def _counted(found: DataFrame) -> DataFrame:
+def counted(found: DataFrame) -> DataFrame:
     """trigram and docs, how many documents its blocks hold."""
     return found.groupBy("trigram").agg(F.sum(F.size("docs")).alias("docs"))
 
@@ -272,7 +272,7 @@ def build(docs: DataFrame, path: str, files: int | None = None, now: int = 0, ap
     spark, number = docs.sparkSession, new_number()
     last = max(versions(spark, path), default=0)
     written = _write_segment(docs, path, number, files)
-    _write(_counted(spark.read.schema(BLOCKS).parquet(f"{path}/postings/segment={number}")), f"{path}/frequency/change={number}")
+    _write(counted(spark.read.schema(BLOCKS).parquet(f"{path}/postings/segment={number}")), f"{path}/frequency/change={number}")
     n, size = _totals(written)
     new = Manifest(last + 1, docs.schema.json(), (Segment(number, n),), (), (number,), n, size, applied=applied)
     return commit(spark, path, _finished(Stored(spark, path, new), now))
@@ -292,8 +292,8 @@ def change(spark: SparkSession, path: str, docs: DataFrame, removed: DataFrame,
     dead = spark.read.schema("segment long, doc_id long").parquet(f"{path}/gone/change={number}")
     each = {r["segment"]: r["count"] for r in dead.groupBy("segment").count().collect()}  # a row a segment
     texts = rows_of(old, dead, sum(each.values()))
-    fell = _counted(all_blocks(texts)).select("trigram", (-F.col("docs")).alias("docs"))
-    rose = _counted(spark.read.schema(BLOCKS).parquet(f"{path}/postings/segment={number}"))
+    fell = counted(all_blocks(texts)).select("trigram", (-F.col("docs")).alias("docs"))
+    rose = counted(spark.read.schema(BLOCKS).parquet(f"{path}/postings/segment={number}"))
     _write(rose.union(fell).groupBy("trigram").agg(F.sum("docs").alias("docs")).where("docs != 0"), f"{path}/frequency/change={number}")
     (n, size), (n_dead, size_dead) = _totals(added), _totals(texts)
     kept = [replace(s, gone=s.gone + each.get(s.number, 0)) for s in m.segments]
@@ -362,5 +362,6 @@ def apply_feed(spark: SparkSession, path: str, changes: DataFrame, read: Callabl
     if generation <= m.applied:
         return m
     last = changes.groupBy("relative_path").agg(F.max("deleted").alias("deleted"))
-    docs = read(last.where("not deleted").select("relative_path"))
+    wanted = last.where("not deleted").select("relative_path")
+    docs = read(F.broadcast(wanted) if last.count() <= SENT else wanted)  # a join by shuffle moves every text
     return change(spark, path, docs, last.select("relative_path"), now, generation)
