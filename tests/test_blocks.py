@@ -1,6 +1,7 @@
 """Postings in blocks: the same pairs, rows for blocks only, and memory that does not follow the input."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -62,3 +63,21 @@ def test_merged_blocks_lose_what_is_gone_and_nothing_else(spark, tmp_path):
     now = docs.where("doc_id % 10 not in (3, 4) or doc_id = 4").union(edited)
     want = sorted(map(tuple, trigrams.postings(now).collect()))
     assert sorted(map(tuple, ix.load(spark, path).postings.collect())) == want and len(set(want)) == len(want)
+
+
+def test_memory_of_extracting_and_of_filtering_does_not_follow_the_input():
+    """The most that numpy holds at once is the same for one batch of few texts and of many."""
+    text = bytes(np.random.default_rng(2).integers(97, 123, 4000, dtype=np.uint8)).decode()
+    gone = {1: np.arange(0, 10_000, 7)}
+
+    def most(n):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([text] * n)], names=["doc_id", "text"])
+        tracemalloc.start()
+        try:
+            for out in trigrams._blocks([batch]):
+                trigrams._left(out.append_column("segment", pa.array([1] * out.num_rows, pa.int64())), gone)
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert most(6000) < 1.2 * most(1200)
