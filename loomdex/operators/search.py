@@ -193,22 +193,51 @@ def _pays(index: Index, request: SearchRequest, engine: str | None) -> bool:
     return (m.docs * PATH_BYTES if request.kind == "path" else m.bytes) > JOB_BYTES
 
 
+def _meeting(index: Index, condition: Condition, pays: bool, probe: bool = True) -> DataFrame:
+    """The live documents that may meet a condition, or all where the index cannot serve."""
+    if condition is None:
+        return index.docs
+    if probe and index.stored and most(condition, index.frequency()) > SENT:
+        return index.docs  # read where they are; to join so many would shuffle every text
+    if pays:
+        return _narrowed(index, condition, probe)
+    return index.docs if most(condition, index.frequency()) else index.docs.where(F.lit(False))
+
+
 def candidate_docs(index: Index, request: SearchRequest, engine: str | None = None, probe: bool = True) -> DataFrame:
     """Documents to verify: path filters, and the index's candidates where it can serve.
     ``probe``: the rarest trigrams of each literal are enough; otherwise the candidates hold
     all of them. Of a small index only the frequencies are asked, whether there can be any."""
-    condition = _condition(index, request, engine)
-    if condition is None:
-        docs = index.docs
-    elif probe and index.stored and most(condition, index.frequency()) > SENT:
-        docs = index.docs  # read where they are; to join so many would shuffle every text
-    elif _pays(index, request, engine):
-        docs = _narrowed(index, condition, probe)
-    else:
-        docs = index.docs if most(condition, index.frequency()) else index.docs.where(F.lit(False))
+    docs = _meeting(index, _condition(index, request, engine), _pays(index, request, engine), probe)
     return docs.where(path_predicate(request, request.kind == "path"))
 
 
+def holding(index: Index, terms: list[str]) -> DataFrame:
+    """relative_path, ``texts`` and ``paths``: the numbers of the terms (without line ends) that
+    a file's text and its path hold, whatever the case of A-Z. All files with any, without a
+    limit, a row for the text and one for the path: texts are read once for all terms, and not
+    split into lines; paths are read without them."""
+    spark, none = index.docs.sparkSession, F.array().cast("array<int>")
+    texts = [compiled(spark, SearchRequest(pattern=t, case="insensitive")) for t in terms]
+    paths = [compiled(spark, SearchRequest(pattern=t, kind="path", case="insensitive")) for t in terms]
+    which = lambda tests: F.filter(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)]), lambda x: x.isNotNull())
+    docs = lambda some: _meeting(index, join_or([_condition(index, r, None) for r in some]), _pays(index, some[0], None))
+    held = docs(texts).where(F.col("contents").isNotNull()).select("relative_path", F.col("contents").cast("string").alias("line_text"))
+    held = held.select("relative_path", which([_matcher(r)[0] for r in texts]).alias("texts"), none.alias("paths")).where("size(texts) > 0")
+    named = docs(paths).select("relative_path", none.alias("texts"), which([path_predicate(r, True) for r in paths]).alias("paths")).where("size(paths) > 0")
+    return held.unionByName(named)
+
+
+def documents_at(index: Index, paths: list[str]) -> DataFrame:
+    """The documents of a few paths. Of an index on disk paths are read to find their keys, and
+    texts only by ranges of these."""
+    here = F.col("relative_path").isin(*paths)
+    if index.stored is None:
+        return index.docs.where(here)
+    keys = [tuple(r) for r in _keys(index, None).where(here).select(*KEY).collect()]
+    return index.stored.docs().where(ranges(keys)).drop("segment")
+
+
 def candidate_paths(index: Index, request: SearchRequest) -> DataFrame:
     """relative_path, file_name and extension of the documents whose paths hold all trigrams
     of what a request asks of them, before any path is compared; no text is read."""
